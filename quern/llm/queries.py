@@ -19,8 +19,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,34 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 """
 
 
+def held_out(doc_id: Column) -> Column:
+    """crc32 of the id as text, modulo 5, is 0: not for learning."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.toxicity import fit, scored
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    out = scored(docs, fit(docs.join(labels, "doc_id")))
+    return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.language import fit, identified
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = identified(docs.select("doc_id", "text"), fit(docs.where(~held_out(F.col("doc_id")))))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.packing_bins import pack_sequences
+
+    return pack_sequences(_read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.sharding import shard
 
@@ -60,7 +88,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op3_decontamination": op3_decontamination, "op4_url_filters": op4_url_filters, "op9_sharding": op9_sharding}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op3_decontamination": op3_decontamination, "op4_url_filters": op4_url_filters, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op9_sharding": op9_sharding, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:

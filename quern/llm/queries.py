@@ -75,6 +75,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.embedding_dedup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.packing_bins import pack_sequences
 
@@ -88,7 +94,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op3_decontamination": op3_decontamination, "op4_url_filters": op4_url_filters, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op9_sharding": op9_sharding, "op10_packing": op10_packing}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op3_decontamination": op3_decontamination, "op4_url_filters": op4_url_filters, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_embedding_dedup": op8_embedding_dedup, "op9_sharding": op9_sharding, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,12 +1,65 @@
-"""A cleaning pipeline for training documents: five stages, each written and read again."""
+"""A cleaning pipeline for training documents: five stages, each written and read again.
+
+Stages take ``(spark, docs, sf_dir)``; all but the last return the columns of
+``docs``.  Rows with a null id pass the filters, since no decision names them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm.decontaminate import leaks
+from quern.llm.minhash_dedup import near_duplicates
+from quern.llm.packing_bins import pack_sequences
+from quern.llm.scratch import Scratch
+from quern.llm.suffix_dedup import remove_repeats
+from quern.llm.toxicity import fit, scored
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples do not call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    index = fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return scored(docs, index).where("predicted = 0").select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that a document of a smaller id has."""
+    cut = remove_repeats(docs)
+    text = F.when(F.col("row.text").isNull() | (F.col("n_removed") == 0), F.col("row.text")).otherwise(F.col("kept_text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("kept_text").cast("long"))}
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bad = leaks(docs.select("doc_id", "text"), benchmark).where("doc_id is not null").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences."""
+    return pack_sequences(docs.select("doc_id", "text"))
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("decontamination", decontamination), ("packing", packing)]
 
-STAGES: list = []
+#: SQL can express neither the radix sort nor the set join nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    keep, docs = Scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = out if i == len(STAGES) - 1 else keep.table(out, name)
+    return docs

@@ -75,6 +75,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.scratch import Scratch
+    from quern.llm.token_counts import Rollup, deltas, signed
+
+    rollup = Rollup(spark, Scratch(spark).folder)
+    batch = _read(spark, sf_dir, "documents").select(F.lit("insert").alias("op"), "source", "lang", "text")
+    rollup.commit("documents", deltas(signed(batch)))
+    return rollup.totals()
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.embedding_dedup import near_vectors
 
@@ -94,7 +104,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op3_decontamination": op3_decontamination, "op4_url_filters": op4_url_filters, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_embedding_dedup": op8_embedding_dedup, "op9_sharding": op9_sharding, "op10_packing": op10_packing}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op3_decontamination": op3_decontamination, "op4_url_filters": op4_url_filters, "op5_token_counts": op5_token_counts, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_embedding_dedup": op8_embedding_dedup, "op9_sharding": op9_sharding, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -42,7 +42,13 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return what reads it back."""
         path = f"{self.folder}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go once the table is there
+        before = self.spark.conf.get(clean, "false")
+        self.spark.conf.set(clean, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(clean, before)
         release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -40,7 +40,7 @@ from quern.llm.scratch import Scratch
 
 #: Bytes of text in a block, entries in a bucket of anchors, surroundings of
 #: one anchor that are compared in one task.
-BLOCK_BYTES, BUCKET_ENTRIES, COMMON = 6 << 20, 600_000, 20_000
+BLOCK_BYTES, BUCKET_ENTRIES, COMMON = 4 << 20, 300_000, 20_000
 _SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
 
 

@@ -1,0 +1 @@
+"""Readers of tables, logs, samples and configurations, and their writers."""

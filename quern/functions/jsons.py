@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Keys of the several layouts, in the order in which they are tried. Fixed values.
 GENERATION = ["filtered_resps", "resps", "response", "responses", "prediction", "pred", "generation", "model_output", "output"]
@@ -17,8 +18,8 @@ PROBLEM = ["problem", "question", "query", "prompt", "input"]
 REFERENCE = ["solution", "answer", "target", "reference", "gold", "gold_answer"]
 CORRECT = ["exact_match", "acc", "accuracy", "correct", "is_correct", "score"]
 SAMPLE_KEYS = ["doc", "arguments", "resps", "filtered_resps", "target", "problem", "question", "prompt", "exact_match", "acc", "correct"]
-DECISION = "has_error boolean, earliest_error_chunk_id int, earliest_error_span string, error_type string, explanation string, parse_failed boolean"
-MESSAGES = "array<struct<role:string,content:string>>"
+DECISION = T.StructType().add("has_error", T.BooleanType()).add("earliest_error_chunk_id", T.IntegerType()).add("earliest_error_span", T.StringType()).add("error_type", T.StringType()).add("explanation", T.StringType()).add("parse_failed", T.BooleanType())
+MESSAGES = T.ArrayType(T.StructType().add("role", T.StringType()).add("content", T.StringType()))
 
 
 def first_object(text: str | None, repair: bool = False):
@@ -66,7 +67,7 @@ def decision(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["has_error", "earliest_error_chunk_id", "earliest_error_span", "error_type", "explanation", "parse_failed"]).astype({"earliest_error_chunk_id": "Int32", "has_error": "boolean"})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired(text: pd.Series) -> pd.Series:
     """The first object as compact JSON, after repairing common escapes; null without one."""
     return text.map(lambda t: None if (x := first_object(t, True)) is None else json.dumps(x, ensure_ascii=False, sort_keys=True))

@@ -59,7 +59,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "text", "n_chars", F.filter(F.split("text", " ", -1), lambda w: w != "").alias("w"))
 
 
-WORDS = "wd AS (SELECT doc_id, text, n_chars, list_filter(string_split(text, ' '), x -> x <> '') AS w FROM documents)"
+WORDS = "wd AS (SELECT doc_id, text, n_chars, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)"
 
 
 def id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1,383 @@
-"""Queries."""
+"""Queries on rows: mapping, joins, rollouts, evaluation, JSON samples, sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quern.functions import jsons as Y
+from quern.functions import rows as C
+from quern.operators import evaluation, joins, rollouts, sequence
+from quern.plans.facts import BOXED, IDS, TOKENS, boxed_texts, id_lists, r6, read, tokens
+from quern.plans.registry import query
+from quern.session import ship
+from quern.sources import readers, writers
+
+_ID = F.col("doc_id").cast("string")
+
+
+@query("C1_C2_first_of", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS nonblank, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '  ' END AS nonnull FROM documents")
+def c1(spark, sf):
+    even = F.col("doc_id") % 2 == 0
+    first = F.when(even, F.col("lang")).otherwise(F.lit("  "))
+    return read(spark, sf, "documents").select("doc_id", C.first_nonblank(first, F.col("source")).alias("nonblank"), C.first_nonnull(F.lit(None).cast("string"), first).alias("nonnull"))
+
+
+@query("C3_map_math", f"WITH {BOXED} SELECT gold AS problem, gold AS ground_truth, 'Solve ' || gold || '.' AS prompt, 'math' AS task_type, count(*) AS n FROM bx GROUP BY gold")
+def c3(spark, sf):
+    d = boxed_texts(spark, sf).select(F.col("gold").alias("question"), F.concat(F.lit("so \\boxed{"), "gold", F.lit("}")).alias("answer_text"), F.lit(" ").alias("problem"))
+    m = C.map_math(d, "Solve {problem}.", problem="problem", solution="answer_text", system="Be brief")
+    return m.groupBy("problem", "ground_truth", F.col("prompt_messages")[1]["content"].alias("prompt"), "task_type").agg(F.count("*").alias("n"))
+
+
+def _chats(spark, sf):
+    c = read(spark, sf, "conversations")
+    return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m")).select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+
+
+@query("C4_map_code", "SELECT coalesce(first(text ORDER BY turn, text) FILTER (role = 'assistant'), '') AS target_text, '' AS ground_truth, 'code' AS task_type FROM conversations GROUP BY conv_id")
+def c4(spark, sf):
+    return C.map_code(_chats(spark, sf)).select("target_text", "ground_truth", "task_type")
+
+
+@query("C5_map_generic", "SELECT doc_id::VARCHAR AS problem, source AS target_text, 'generic' AS task_type FROM documents")
+def c5(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("prompt"), F.col("source").alias("target"))
+    return C.adapted(d, "other").select("problem", "target_text", "task_type")
+
+
+@query("C6_adapter", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'code' ELSE 'generic' END AS task_type FROM documents")
+def c6(spark, sf):
+    k = F.col("doc_id") % 3
+    kind = F.when(k == 0, "dapo_math").when(k == 1, "function_calling").otherwise("x")
+    task = F.when(kind.isin("math", "dapo_math"), "math").when(kind.isin("code", "function_calling"), "code").otherwise("generic")
+    return read(spark, sf, "documents").select("doc_id", task.alias("task_type"))
+
+
+@query("C7_X25_messages", "SELECT conv_id, string_agg(trim(text, chr(32) || chr(10) || chr(9) || chr(13)), chr(10) || chr(10) ORDER BY turn, role, text) FILTER (trim(text, chr(32) || chr(10) || chr(9) || chr(13)) <> '') AS prompt FROM conversations GROUP BY conv_id")
+def c7(spark, sf):
+    return _chats(spark, sf).select("conv_id", Y.plain_prompt(F.col("messages")).alias("prompt"))
+
+
+@query("X26_chat_template", "SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn, role, text) || '<|assistant|>' || chr(10) AS prompt FROM conversations GROUP BY conv_id")
+def x26(spark, sf):
+    return _chats(spark, sf).select("conv_id", Y.chat_prompt(F.col("messages"), generation="<|assistant|>\n").alias("prompt"))
+
+
+@query("C9_drop_columns", "SELECT doc_id, lang FROM documents")
+def c9(spark, sf):
+    return read(spark, sf, "documents").drop("text", "source", "n_chars")
+
+
+@query("C10_C11_filters", "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS DISTINCT FROM 1 AND n_chars > 100")
+def c10(spark, sf):
+    d = read(spark, sf, "documents").join(read(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("correct")), "doc_id", "left")
+    return d.where(~F.col("correct").eqNullSafe(F.lit(True)) & (F.col("n_chars") > 100)).select("doc_id")
+
+
+def _vocabularies(spark, sf):
+    p = read(spark, sf, "part").select("p_partkey")
+    one = lambda step, n: p.where(F.col("p_partkey") % step == 0).select(F.concat(F.lit("w"), F.col("p_partkey").cast("string")).alias("token"), (F.col("p_partkey") + n).cast("int").alias("id"))
+    return one(2, 0), one(3, 1)
+
+
+_VOC = "sv AS (SELECT 'w' || p_partkey AS token, p_partkey AS id FROM part WHERE p_partkey % 2 = 0), tv AS (SELECT 'w' || p_partkey AS token, p_partkey + 1 AS id FROM part WHERE p_partkey % 3 = 0)"
+
+
+@query("J1_vocabulary_alignment", f"WITH {_VOC} SELECT token, sv.id AS student_id, tv.id AS teacher_id FROM sv JOIN tv USING (token)")
+def j1(spark, sf):
+    return joins.vocabulary_alignment(*_vocabularies(spark, sf))
+
+
+@query("J1_alignment_stats", f"WITH {_VOC}, j AS (SELECT count(*) AS n FROM sv JOIN tv USING (token)), c AS (SELECT (SELECT count(*) FROM sv) AS ns, (SELECT count(*) FROM tv) AS nt) SELECT n AS shared, ns - n AS student_only, nt - n AS teacher_only, round(n / greatest(ns, nt), 6) AS shared_ratio FROM j, c")
+def j1b(spark, sf):
+    return r6(joins.alignment_stats(*_vocabularies(spark, sf)))
+
+
+@query("J2_mapped_ids", f"WITH {TOKENS}, {IDS}, {_VOC}, e AS (SELECT seq_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM idl) SELECT e.seq_id, string_agg(coalesce(sv.id, -1)::VARCHAR, ',' ORDER BY i) AS mapped FROM e LEFT JOIN tv ON tv.id = e.id LEFT JOIN sv ON sv.token = tv.token GROUP BY e.seq_id")
+def j2(spark, sf):
+    m = joins.mapped_ids(id_lists(spark, sf), joins.vocabulary_alignment(*_vocabularies(spark, sf)), "ids", "seq_id")
+    return m.select("seq_id", F.array_join(F.transform("mapped", lambda x: x.cast("string")), ",").alias("mapped"))
+
+
+@query("J3_span_alignment", f"""WITH {TOKENS}, l AS (SELECT seq_id, pos, event_id % 5 AS a, event_id % 3 + 1 AS b FROM tok),
+s AS (SELECT seq_id, pos, sum(a) OVER w - a AS lo, sum(a) OVER w AS hi FROM l WINDOW w AS (PARTITION BY seq_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT seq_id, pos, sum(b) OVER w - b AS lo, sum(b) OVER w AS hi FROM l WINDOW w AS (PARTITION BY seq_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+SELECT s.seq_id, s.pos AS s_pos, s.lo::BIGINT AS start_char, s.hi::BIGINT AS end_char, string_agg(t.pos::VARCHAR, ',' ORDER BY t.pos) AS t_pos FROM s JOIN t ON s.seq_id = t.seq_id AND least(s.hi, t.hi) - greatest(s.lo, t.lo) >= 1 WHERE s.hi > s.lo GROUP BY ALL""")
+def j3(spark, sf):
+    t = tokens(spark, sf)
+    piece = lambda n: t.select("seq_id", "pos", F.repeat(F.lit("x"), n.cast("int")).alias("piece"))
+    s, u = sequence.char_spans(piece(F.col("event_id") % 5)), sequence.char_spans(piece(F.col("event_id") % 3 + 1))
+    return joins.span_alignment(s, u).withColumn("t_pos", F.array_join(F.transform("t_pos", lambda x: x.cast("string")), ","))
+
+
+@query("J4_seeds", "SELECT item_id, unnest([11, 22, 33]) AS seed FROM benchmark")
+def j4(spark, sf):
+    return joins.expanded(read(spark, sf, "benchmark").select("item_id"), [11, 22, 33])
+
+
+@query("J5_R13_two_stage", "SELECT d.doc_id, coalesce(l.quality = 1, false) OR d.doc_id % 7 = 0 AS ok FROM documents d LEFT JOIN labels l USING (doc_id)")
+def j5(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id")
+    rule = d.join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("ok"))
+    model = rule.where("not ok").select("doc_id", (F.col("doc_id") % 7 == 0).alias("ok"))
+    return joins.two_stage(rule, model, ["doc_id"])
+
+
+@query("J9_compatible", f"WITH {_VOC} SELECT false AS identical, (SELECT count(*) FROM sv ANTI JOIN (SELECT token, id - 1 AS id FROM tv) USING (token, id)) = 0 AS prefix_compatible")
+def j9(spark, sf):
+    s, t = _vocabularies(spark, sf)
+    return joins.compatible(s, t.withColumn("id", (F.col("id") - 1).cast("int")))
+
+
+@query("J10_zip", f"WITH {TOKENS}, {IDS} SELECT seq_id, list_sum(list_transform(ids, lambda x, i: x * i))::BIGINT AS dot FROM idl")
+def j10(spark, sf):
+    d = id_lists(spark, sf).withColumn("at", F.sequence(F.lit(1), F.size("ids")))
+    z = joins.zipped(d, "ids", "at")
+    return z.select("seq_id", F.aggregate("zipped", F.lit(0).cast("long"), lambda a, x: a + x["ids"] * x["at"]).alias("dot"))
+
+
+_STOPS = {3: ["student_tokenizer"], 7: ["teacher_tokenizer"], 11: ["configured_extra"]}
+_CUT = f"""{IDS}, r AS (SELECT seq_id, ids, ids[1:12] AS raw FROM idl), p AS (SELECT *, coalesce(least(nullif(coalesce(list_position(raw, 3), 0), 0), nullif(coalesce(list_position(raw, 7), 0), 0), nullif(coalesce(list_position(raw, 11), 0), 0)), 999) AS st, coalesce(nullif(coalesce(list_position(raw, 5), 0), 0), 999) AS pd FROM r),
+c AS (SELECT *, CASE WHEN st < 999 AND st <= pd THEN st ELSE least(pd - 1, len(raw)) END AS n, CASE WHEN st < 999 AND st <= pd THEN raw[st] END AS stop_token_id FROM p),
+cut AS (SELECT seq_id, raw, raw[1:n] AS token_ids, n, len(raw) AS raw_tensor_length, stop_token_id, stop_token_id IS NULL AND n >= 12 AS hit_horizon,
+  CASE stop_token_id WHEN 3 THEN 'student_eos' WHEN 7 THEN 'teacher_eos' WHEN 11 THEN 'configured_eos' ELSE CASE WHEN n >= 12 THEN 'max_length' WHEN n < len(raw) THEN 'padding' ELSE 'sequence_end' END END AS stop_reason FROM c)"""
+
+
+def _cut(spark, sf):
+    return rollouts.truncated(id_lists(spark, sf), _STOPS, 5, 12)
+
+
+@query("R2_R3_truncate", f"WITH {TOKENS}, {_CUT} SELECT seq_id, n AS length, raw_tensor_length, stop_token_id, hit_horizon, stop_reason FROM cut")
+def r3(spark, sf):
+    return _cut(spark, sf).select("seq_id", F.size("token_ids").alias("length"), "raw_tensor_length", "stop_token_id", "hit_horizon", "stop_reason")
+
+
+@query("J8_stop_set", f"WITH {TOKENS}, {IDS} SELECT seq_id, list_has_any(ids, [3, 7, 11]) AS any_stop FROM idl")
+def j8(spark, sf):
+    return id_lists(spark, sf).select("seq_id", F.arrays_overlap("ids", F.array(*[F.lit(i) for i in _STOPS])).alias("any_stop"))
+
+
+@query("R10_pad_first", f"WITH {TOKENS}, {IDS}, p AS (SELECT seq_id, ids[1:12] AS raw FROM idl), q AS (SELECT *, coalesce(nullif(list_position(raw, 5), 0), 999) AS pd FROM p) SELECT seq_id, CASE WHEN pd < 999 THEN pd - 1 ELSE len(raw) END AS length FROM q")
+def r10(spark, sf):
+    c = rollouts.truncate(F.col("ids"), [5], 5, 12, pad_first=True)
+    return id_lists(spark, sf).withColumns(c).select("seq_id", F.size("token_ids").alias("length"))
+
+
+def _final(spark, sf):
+    d = _cut(spark, sf)
+    text = F.when(F.col("seq_id") % 3 == 0, "\\boxed{1}\n").otherwise("x ")
+    pieces = F.transform("token_ids", lambda t, i: F.when(i == 2, text).otherwise("y "))
+    return rollouts.finalized(d.withColumn("pieces", pieces), eos_id=3, horizon=F.lit(12))
+
+
+@query("R6_finalize", f"WITH {TOKENS}, {_CUT}, f AS (SELECT *, seq_id % 3 = 0 AND stop_token_id IS NULL AND n > 3 AS boxed FROM cut) SELECT seq_id, CASE WHEN boxed THEN 4 ELSE n END AS length, CASE WHEN boxed THEN 'boxed_answer' ELSE stop_reason END AS stop_reason, boxed AS appended_eos, hit_horizon AND NOT boxed AS hit_horizon, CASE WHEN seq_id % 3 = 0 AND n >= 3 THEN 1 ELSE 0 END AS raw_boxed_count FROM f")
+def r6_(spark, sf):
+    return _final(spark, sf).select("seq_id", F.size("token_ids").alias("length"), "stop_reason", "appended_eos", "hit_horizon", "raw_boxed_count")
+
+
+_REPORT = f"""WITH {TOKENS}, {_CUT}, f AS (SELECT *, seq_id % 3 = 0 AND stop_token_id IS NULL AND n > 3 AS boxed FROM cut),
+g AS (SELECT *, CASE WHEN boxed THEN 4 ELSE n END AS len, CASE WHEN boxed THEN 'boxed_answer' ELSE stop_reason END AS reason, hit_horizon AND NOT boxed AS hit, seq_id % 20 AS prompt FROM f)
+SELECT 12 AS horizon, 16 AS requested_horizon, 40 AS total_length_limit, round(avg(len), 6) AS mean_generated_tokens, round(avg(raw_tensor_length), 6) AS raw_mean_generated_tokens, round(avg(greatest(raw_tensor_length - len, 0)), 6) AS mean_removed_tokens,
+round(avg(prompt), 6) AS mean_prompt_tokens, round(avg(prompt + len), 6) AS mean_total_effective_tokens, 1.0::DOUBLE AS context_limited_fraction, median(len)::DOUBLE AS median_generated_tokens, max(len) AS max_generated_tokens, min(len) AS min_generated_tokens,
+round(avg((stop_token_id IS NOT NULL)::INT), 6) AS eos_fraction, round(avg(hit::INT), 6) AS truncated_fraction, round(avg(hit_horizon::INT), 6) AS raw_truncated_fraction, round(avg((reason = 'boxed_answer')::INT), 6) AS boxed_answer_stop_fraction, round(avg(boxed::INT), 6) AS boxed_truncation_fraction, round(avg(boxed::INT), 6) AS appended_eos_fraction,
+round(avg((reason = 'student_eos')::INT), 6) AS student_eos_fraction, round(avg((reason = 'teacher_eos')::INT), 6) AS teacher_eos_fraction, round(avg((reason = 'configured_eos')::INT), 6) AS configured_eos_fraction, round(avg((stop_token_id IS NULL)::INT), 6) AS no_eos_fraction, 0.0::DOUBLE AS multi_boxed_fraction, round(avg(CASE WHEN hit THEN 0.25 ELSE 1 END), 6) AS mean_sequence_loss_weight FROM g"""
+
+
+@query("E13_E14_rollout_report", _REPORT)
+def e14(spark, sf):
+    d = _final(spark, sf).withColumns({"horizon": F.lit(12), "requested_horizon": F.lit(16), "total_length_limit": F.lit(40), "prompt_tokens": F.col("seq_id") % 20, "seq_weight": rollouts.sequence_weight(F.col("hit_horizon"), 0.25)})
+    return r6(rollouts.report(d).drop("repeated_4gram_ratio", "effective_repeated_4gram_ratio"))
+
+
+@query("R7_R8_R9_limits", "SELECT conv_id, turn, least(16, least(40, 64) - (turn % 8)) AS horizon, CASE WHEN turn % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS weight, 24 AS scheduled FROM conversations")
+def r7(spark, sf):
+    c = read(spark, sf, "conversations")
+    return c.select("conv_id", "turn", rollouts.effective_horizon(F.lit(16).cast("long"), F.lit(40), F.lit(64), F.col("turn") % 8).alias("horizon"), rollouts.sequence_weight(F.col("turn") % 2 == 0).alias("weight"), F.lit(rollouts.scheduled_horizon("esr", 100, 24)).alias("scheduled"))
+
+
+_CHUNKED = f"WITH {TOKENS}, {IDS}, k AS (SELECT seq_id, len(ids) AS n, (seq_id % 4)::INT AS chunk, (len(ids) - 1) // 8 AS last FROM idl)"
+
+
+def _chunked(spark, sf):
+    return id_lists(spark, sf).select("seq_id", F.size("ids").alias("n"), (F.col("seq_id") % 4).cast("int").alias("chunk"), sequence.chunks(F.col("ids"), 8).alias("zero"), sequence.one_based_chunks(F.col("ids"), 8).alias("one"))
+
+
+@query("R11_cut_length", f"{_CHUNKED} SELECT seq_id, CASE WHEN seq_id % 5 = 0 THEN least(n, 6) WHEN seq_id % 5 = 1 THEN n WHEN chunk <= last THEN chunk * 8 ELSE least(n, 6) END AS keep FROM k")
+def r11(spark, sf):
+    error = F.when(F.col("seq_id") % 5 == 0, F.lit(None)).otherwise(F.col("seq_id") % 5 != 1)
+    return _chunked(spark, sf).select("seq_id", rollouts.cut_length(F.col("chunk"), error, F.col("zero"), F.col("n"), 6).alias("keep"))
+
+
+@query("R12_error_position", f"{_CHUNKED} SELECT seq_id, CASE WHEN chunk <= last THEN chunk * 8 + 1 END AS error_pos, coalesce(chunk <= last AND chunk * 8 + 1 <= 10, false) AS within FROM k")
+def r12(spark, sf):
+    at, within = rollouts.error_position(F.col("chunk"), F.col("one"), 10)
+    return _chunked(spark, sf).select("seq_id", at.alias("error_pos"), within.alias("within"))
+
+
+@query("Y9_padding", f"WITH {TOKENS}, {IDS}, m AS (SELECT max(len(ids)) AS w FROM idl) SELECT seq_id, w AS width, list_sum(list_transform(ids, lambda x, i: x * (i + w - len(ids))))::BIGINT AS left_dot, list_sum(list_transform(ids, lambda x, i: x * i))::BIGINT - (w - len(ids)) * (w + len(ids) + 1) // 2 AS right_dot FROM idl, m")
+def y9(spark, sf):
+    d = id_lists(spark, sf)
+    d = d.crossJoin(F.broadcast(d.agg(F.max(F.size("ids")).alias("w"))))  # one row
+    dot = lambda a: F.aggregate(F.transform(a, lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return d.select("seq_id", F.col("w").alias("width"), dot(C.padded(F.col("ids"), F.col("w"), 0, True)).alias("left_dot"), dot(C.padded(F.col("ids"), F.col("w"), -1, False)).alias("right_dot"))
+
+
+@query("Y10_Y11_labels", f"WITH {TOKENS}, {IDS}, p AS (SELECT seq_id, ids, least(len(ids), 4) AS np, least(len(ids), greatest(10 - least(len(ids), 4), 0)) AS nt FROM idl) SELECT seq_id, np + nt AS length, np AS masked, list_sum(ids[-np:] || ids[1:nt])::BIGINT AS total FROM p")
+def y10(spark, sf):
+    ids, labels = C.assembled(F.col("ids"), F.col("ids"), 10, 4)
+    total = F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x)
+    return id_lists(spark, sf).select("seq_id", F.size(ids).alias("length"), F.size(F.filter(labels, lambda x: x == -100)).alias("masked"), total.alias("total"))
+
+
+@query("Y12_id_lists", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 1 ELSE 2 END AS n FROM events")
+def y12(spark, sf):
+    k = F.col("event_id") % 3
+    one = rollouts.normalised_ids(F.when(k == 1, F.col("event_id")), "scalar")
+    many = rollouts.normalised_ids(F.array(F.lit(1), F.lit(None).cast("int"), F.lit(2)), "array")
+    return read(spark, sf, "events").select("event_id", F.size(F.when(k == 2, many).otherwise(one)).alias("n"))
+
+
+@query("Y1_repaired_json", "SELECT doc_id, '{\"a\": ' || doc_id || '}' AS body FROM documents")
+def y1(spark, sf):
+    ship(spark)
+    t = F.concat(F.lit("<think>no {</think> it is ```json {x \\{\"a\": "), _ID, F.lit("\\} rest"))
+    return read(spark, sf, "documents").select("doc_id", Y.repaired(t).alias("body"))
+
+
+def _judged(spark, sf):
+    ship(spark)
+    k = F.col("doc_id") % 4
+    t = F.when(k == 0, F.concat(F.lit('ok {"has_error": true, "earliest_error_chunk_id": "'), (F.col("doc_id") % 7).cast("string"), F.lit('"} end'))).when(k == 1, '```json\n{"has_error": false}\n```').when(k == 2, '{"has_error": "yes", "earliest_error_chunk_id": "x"}').otherwise("nothing here")
+    return read(spark, sf, "documents").select("doc_id", Y.decision(t).alias("d")).select("doc_id", "d.*")
+
+
+@query("Y2_Y3_decisions", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS has_error, CASE WHEN doc_id % 4 = 0 THEN doc_id % 7 END AS chunk, doc_id % 4 = 3 AS parse_failed FROM documents")
+def y2(spark, sf):
+    return _judged(spark, sf).select("doc_id", "has_error", F.col("earliest_error_chunk_id").alias("chunk"), "parse_failed")
+
+
+@query("E24_judge_summary", """WITH j AS (SELECT CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS e, doc_id % 4 = 3 AS f, doc_id % 4 = 0 AND doc_id % 7 < 3 AS w FROM documents)
+SELECT count(*) AS judged, count(*) FILTER (NOT f) AS parsed, count(*) FILTER (f) AS parse_failed, count(*) FILTER (e) AS with_error, count(*) FILTER (NOT e) AS without_error, count(*) FILTER (e IS NULL) AS undecided, count(*) FILTER (w) AS within, count(*) FILTER (e AND NOT w) AS beyond,
+round(count(*) FILTER (w) / count(*), 6) AS within_of_judged, round(count(*) FILTER (w) / nullif(count(*) FILTER (e), 0), 6) AS within_of_errors, round(count(*) FILTER (NOT f) / count(*), 6) AS parse_rate FROM j""")
+def e24(spark, sf):
+    cases = _judged(spark, sf).withColumn("within", F.coalesce(F.col("has_error") & (F.col("earliest_error_chunk_id") < 3), F.lit(False)))
+    return r6(evaluation.judge_summary(cases))
+
+
+_SAMPLES = "CASE doc_id % 5 WHEN 0 THEN '{\"resps\": [[\"gen ' || doc_id || '\"]], \"doc\": {\"problem\": \"p\", \"answer\": \"a\"}, \"exact_match\": 1.0}' WHEN 1 THEN '{\"response\": \"gen ' || doc_id || '\", \"question\": \"p\", \"target\": \"a\", \"metrics\": {\"acc\": false}}' WHEN 2 THEN '{\"filtered_resps\": [{\"text\": \"gen ' || doc_id || '\"}], \"arguments\": {\"query\": \"p\"}, \"gold\": \"a\", \"correct\": true}' WHEN 3 THEN '{\"arguments\": {\"output\": \"gen ' || doc_id || '\", \"input\": \"p\"}, \"solution\": {\"answer\": \"a\"}}' ELSE '{\"other\": 1}' END"
+
+
+def _samples(spark, sf):
+    text = F.expr(_SAMPLES.replace("\\", ""))
+    return read(spark, sf, "documents").select("doc_id", text.alias("j")).withColumn("v", Y.variant(F.col("j")))
+
+
+@query("Y4_Y5_Y6_Y7_samples", "SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN 'gen ' || doc_id ELSE '' END AS generation, CASE WHEN doc_id % 5 < 4 THEN 'p' ELSE '' END AS problem, CASE WHEN doc_id % 5 < 4 THEN 'a' ELSE '' END AS reference, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS correct FROM documents")
+def y4(spark, sf):
+    v = F.col("v")
+    return _samples(spark, sf).select("doc_id", Y.generation(v).alias("generation"), Y.problem(v).alias("problem"), Y.reference(v).alias("reference"), Y.correctness(v).alias("correct"))
+
+
+@query("A7_H5_looks_like_sample", "SELECT doc_id, doc_id % 5 <> 4 AND doc_id % 5 <> 9 AS sample FROM documents")
+def a7(spark, sf):
+    return _samples(spark, sf).select("doc_id", Y.looks_like_sample(F.col("j")).alias("sample"))
+
+
+@query("Y8_messages", "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 2 ELSE 1 END AS n, CASE doc_id % 4 WHEN 0 THEN 'hi' WHEN 1 THEN 'a' WHEN 2 THEN 'lit' ELSE 'plain' END AS content FROM documents")
+def y8(spark, sf):
+    ship(spark)
+    k = F.col("doc_id") % 4
+    t = F.when(k == 0, '{"role": "user", "text": "hi"}').when(k == 1, '[{"content": "a"}, "b", " "]').when(k == 2, "[{'role': 'user', 'value': 'lit'}]").otherwise(" plain ")
+    m = Y.messages(t)
+    return read(spark, sf, "documents").select("doc_id", m.alias("m")).select("doc_id", F.size("m").alias("n"), F.col("m")[0]["content"].alias("content"))
+
+
+_GRADED = "gr AS (SELECT doc_id // 4 AS example_id, doc_id % 3 = 0 AS ok, doc_id % 6 NOT IN (0, 4, 5) AS bad FROM documents)"
+
+
+@query("E23_scores", f"WITH {_GRADED}, p AS (SELECT example_id, count(*) AS n, count(*) FILTER (ok) AS r, count(*) FILTER (bad) AS b FROM gr GROUP BY 1) SELECT round(avg(r / n), 6) AS avg_at_n, round(avg((r > 0)::INT), 6) AS pass_at_n, round(avg((r = 0)::INT), 6) AS solve_none, round(avg((r = n)::INT), 6) AS solve_all, sum(b)::BIGINT AS format_errors, sum(n)::BIGINT AS responses FROM p")
+def e23(spark, sf):
+    from quern.functions.answers import format_error
+
+    g = boxed_texts(spark, sf).select(F.floor(F.col("doc_id") / 4).alias("example_id"), (F.col("doc_id") % 3 == 0).alias("ok"), format_error(F.col("text")).alias("format_error"))
+    return r6(evaluation.scores(g))
+
+
+@query("A11_D20_gaps", "WITH r AS (SELECT doc_id // 4 AS k, lang AS response FROM documents WHERE doc_id % 16 < 8) SELECT g.id AS example_id, count(response) AS n, coalesce(string_agg(response, ',' ORDER BY response), '') AS responses FROM (SELECT unnest(range(0, (SELECT max(k) FROM r) + 1)) AS id) g LEFT JOIN r ON r.k = g.id GROUP BY 1")
+def a11(spark, sf):
+    d = read(spark, sf, "documents").where("doc_id % 16 < 8").select(F.floor(F.col("doc_id") / 4).alias("example_id"), F.col("lang").alias("response"))
+    return evaluation.with_gaps(d).select("example_id", F.size("responses").cast("long").alias("n"), F.array_join("responses", ",").alias("responses"))
+
+
+@query("E25_aligned_loss", f"WITH {TOKENS}, g AS (SELECT seq_id, pos // 3 AS gid, sum(student_logp) AS s, sum(teacher_logp) AS t, first(seq_weight) AS w FROM tok WHERE student_logp IS NOT NULL GROUP BY 1, 2), q AS (SELECT seq_id, avg(greatest(least(s - t, 0.5), -0.5)) AS m, first(w) AS w FROM g GROUP BY 1) SELECT round(sum(m * w) / greatest(sum(w), 1.0), 6) AS loss FROM q")
+def e25(spark, sf):
+    t = tokens(spark, sf).where("student_logp is not null").withColumn("group_id", F.floor(F.col("pos") / 3))
+    return r6(evaluation.aligned_loss(t, 0.5))
+
+
+@query("E26_H2_R1_eos_sources", f"""WITH {_VOC}, a AS (SELECT id AS token_id, token, 'student_tokenizer' AS source, true AS native FROM sv WHERE id IN (6, 12) UNION ALL SELECT sv.id, token, 'teacher_tokenizer', false FROM tv JOIN sv USING (token) WHERE tv.id IN (7, 19) UNION ALL SELECT id, token, 'configured_extra', false FROM sv WHERE token IN ('w6', 'w24'))
+SELECT token_id, token, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, bool_or(native) AS native FROM a GROUP BY 1, 2""")
+def e26(spark, sf):
+    r = joins.resolved_eos(*_vocabularies(spark, sf), {"student_tokenizer": [6, 12]}, {"teacher_tokenizer": [7, 19]}, ["w6", "w24"])
+    return r.withColumn("sources", F.array_join("sources", ","))
+
+
+@query("H3_preferred_eos", "SELECT 18 AS token_id")
+def h3(spark, sf):
+    return joins.preferred_teacher_eos(joins.resolved_eos(*_vocabularies(spark, sf), {"student_tokenizer": [6, 12]}, {"teacher_tokenizer": [7, 19]}, ["w24"]))
+
+
+@query("H6_concatenated", "SELECT 'events' AS t, event_id AS id FROM events UNION ALL SELECT 'docs', doc_id FROM documents")
+def h6(spark, sf):
+    e = read(spark, sf, "events").select(F.lit("events").alias("t"), F.col("event_id").alias("id"))
+    return e.unionByName(read(spark, sf, "documents").select(F.lit("docs").alias("t"), F.col("doc_id").alias("id")))
+
+
+@query("A1_A2_scan", "SELECT item_id, length(text) AS n FROM benchmark")
+def a1(spark, sf):
+    return readers.table(spark, f"{sf}/benchmark.parquet").select("item_id", F.length("text").alias("n"))
+
+
+@query("A8_source_file", "SELECT 'benchmark.parquet' AS f, count(*) AS n FROM benchmark")
+def a8(spark, sf):
+    d = readers.with_source(read(spark, sf, "benchmark"))
+    return d.groupBy(F.regexp_extract("source_file", r"([a-z]+\.parquet)", 1).alias("f")).agg(F.count("*").alias("n"))
+
+
+@query("A9_event_filter", "SELECT event_id FROM events WHERE event_type = 'click'")
+def a9(spark, sf):
+    return read(spark, sf, "events").where(F.col("event_type") == "click").select("event_id")
+
+
+@query("A10_benchmark_samples", "SELECT item_id AS example_id, text AS prompt, item_id::VARCHAR AS answer FROM benchmark")
+def a10(spark, sf):
+    b = read(spark, sf, "benchmark").select("item_id", F.array(F.struct(F.col("text").alias("content"))).alias("prompt"), F.struct(F.col("item_id").alias("ground_truth")).alias("reward_model"))
+    return readers.benchmark_samples(b, "aime24.parquet", F.col("item_id"))
+
+
+@query("A13_A14_checkpoints", "SELECT 'checkpoint-' || doc_id AS name, doc_id AS step FROM documents WHERE doc_id >= 50 AND doc_id % 3 = 0")
+def a13(spark, sf):
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("checkpoint-"), _ID)).otherwise(F.concat(F.lit("tmp-"), _ID))
+    return readers.checkpoints(read(spark, sf, "documents").select(name.alias("name")), 50)
+
+
+@query("A13_latest_checkpoint", "SELECT 'checkpoint-' || max(doc_id) AS name FROM documents")
+def a13b(spark, sf):
+    return readers.latest_checkpoint(read(spark, sf, "documents").select(F.concat(F.lit("checkpoint-"), _ID).alias("name")))
+
+
+@query("X23_file_names", "SELECT doc_id, 'aime' || doc_id AS task, 0.7::DOUBLE AS temperature, 0.9::DOUBLE AS top_p, (doc_id % 16)::INT AS n, 1024 AS max_new_tokens FROM documents")
+def x23(spark, sf):
+    name = F.concat(F.lit("aime"), _ID, F.lit("_t0.7_p0.9_n"), (F.col("doc_id") % 16).cast("string"), F.lit("-MNT1024.jsonl"))
+    d = read(spark, sf, "documents").select("doc_id", name.alias("name"))
+    return d.select("doc_id", *[c.alias(k) for k, c in readers.file_parameters(F.col("name")).items()])
+
+
+@query("B4_summary", "SELECT '{\"documents\":' || count(*) || ',\"nothing\":null}' AS json FROM documents")
+def b4(spark, sf):
+    return writers.summary(read(spark, sf, "documents").agg(F.count("*").alias("documents"), F.max(F.lit(None).cast("int")).alias("nothing")))
+
+
+@query("B6_shortened", "SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '... [' || (length(text) - 40) || ' more chars]' ELSE text END AS short FROM documents")
+def b6(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", writers.shortened(F.col("text"), 40).alias("short"))

@@ -1 +1,188 @@
-"""Queries."""
+"""Queries on texts: n-grams, chunks, answers, boxes, grading."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quern.functions import answers as A
+from quern.functions import grading as G
+from quern.operators import evaluation, rollouts, sequence
+from quern.plans.facts import BOXED, WORDS, boxed_texts, r6, read, words
+from quern.plans.registry import query
+from quern.session import ship
+
+_GRAMS = "g AS (SELECT doc_id, len(w) AS n, list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], chr(31))) AS g FROM wd)"
+
+
+@query("R4_repeated_ratio", f"WITH {WORDS}, {_GRAMS} SELECT doc_id, round(CASE WHEN n >= 4 THEN 1 - len(list_distinct(g)) / len(g) ELSE 0 END, 6) AS ratio FROM g")
+def r4(spark, sf):
+    return r6(words(spark, sf).select("doc_id", sequence.repeated_ratio(F.col("w"), 4).alias("ratio")))
+
+
+@query("F10_H4_ngrams", f"WITH {WORDS}, {_GRAMS} SELECT doc_id, CASE WHEN n >= 4 THEN len(g) ELSE 0 END AS total, CASE WHEN n >= 4 THEN len(list_distinct(g)) ELSE 0 END AS distinct_n FROM g")
+def f10(spark, sf):
+    grams = F.transform(sequence.ngrams(F.col("w"), 4), lambda g: F.xxhash64(g))
+    return words(spark, sf).select("doc_id", F.size(grams).alias("total"), F.size(F.array_distinct(grams)).alias("distinct_n"))
+
+
+@query("F8_chunks", f"WITH {WORDS}, c AS (SELECT doc_id, len(w) AS n, unnest(generate_series(0, len(w) - 1, 32)) AS s FROM wd) SELECT doc_id, s // 32 AS id, s AS start_token, least(s + 32, n) AS end_token FROM c WHERE n > 0")
+def f8(spark, sf):
+    return words(spark, sf).select("doc_id", F.explode(sequence.chunks(F.col("w"), 32)).alias("c")).select("doc_id", "c.*")
+
+
+@query("F8_chunks_one_based", f"WITH {WORDS}, c AS (SELECT doc_id, len(w) AS n, unnest(generate_series(0, len(w) - 1, 32)) AS s FROM wd) SELECT doc_id, s // 32 AS id, s + 1 AS start_token_pos, least(s + 32, n) AS end_token_pos FROM c WHERE n > 0")
+def f8b(spark, sf):
+    return words(spark, sf).select("doc_id", F.explode(sequence.one_based_chunks(F.col("w"), 32)).alias("c")).select("doc_id", "c.*")
+
+
+@query("C16_slices", f"WITH {WORDS} SELECT doc_id, array_to_string(CASE WHEN len(w) > 5 THEN w[-5:] ELSE w END, ' ') AS last_ids, array_to_string(w[1:3], ' ') AS first_ids, right(text, 300) AS tail, left(text, 300) AS head FROM wd")
+def c16(spark, sf):
+    w = F.col("w")
+    return words(spark, sf).select("doc_id", F.array_join(sequence.last_n(w, 5), " ").alias("last_ids"), F.array_join(sequence.first_n(w, 3), " ").alias("first_ids"), F.right("text", F.lit(300)).alias("tail"), F.left("text", F.lit(300)).alias("head"))
+
+
+@query("E22_distinct_n", """WITH r AS (SELECT doc_id // 4 AS example_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT example_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], chr(31))) ELSE [NULL] END) AS gram FROM r)
+SELECT example_id, round(coalesce(count(DISTINCT gram) / nullif(count(gram), 0), 0), 6) AS "distinct" FROM g GROUP BY example_id""")
+def e22(spark, sf):
+    d = read(spark, sf, "documents").select(F.floor(F.col("doc_id") / 4).alias("example_id"), F.col("text").alias("response"))
+    return r6(evaluation.distinct_n(d, 4))
+
+
+_STRIP = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
+_MARK = "regexp_replace(" + _STRIP.format("coalesce(" + ", ".join(f"nullif(regexp_extract_all(t, '(?i){p}', 1)[-1], '')" for p in ("The answer is\\s*([^\\n\\.]+)", "Final answer\\s*:?\\s*([^\\n]+)", "Answer\\s*:\\s*([^\\n]+)", "####\\s*([^\\n]+)")) + ")") + ", '^[.$]+|[.$]+$', '', 'g')"
+#: Boxes in these texts have one level of braces inside at most.
+_LAST = "regexp_extract(t, '(?s)^.*\\\\boxed\\s*(\\{.*)$', 1)"
+_BOX = f"CASE WHEN regexp_matches(t, '\\\\boxed\\s*\\{{') AND regexp_matches({_LAST}, '^\\{{([^{{}}]|\\{{([^{{}}]|\\{{[^{{}}]*\\}})*\\}})*\\}}') THEN " + _STRIP.format(f"regexp_extract({_LAST}, '^\\{{(([^{{}}]|\\{{([^{{}}]|\\{{[^{{}}]*\\}})*\\}})*)\\}}', 1)") + " END"
+_NUM = "regexp_extract_all(t, '[-+]?\\d+(?:\\.\\d+)?(?:/\\d+)?')[-1]"
+_BT = f"{BOXED}, st AS (SELECT doc_id, n_chars, gold, text, {_STRIP.format('text')} AS t FROM bx)"
+
+
+@query("X1_extract_answer", f"WITH {_BT} SELECT doc_id, coalesce({_BOX}, {_MARK}, {_NUM}) AS answer FROM st WHERE coalesce({_BOX}, {_MARK}, {_NUM}) IS NOT NULL")
+def x1(spark, sf):
+    return boxed_texts(spark, sf).select("doc_id", A.extract_answer(F.col("text")).alias("answer"))
+
+
+@query("X2_last_boxed", f"WITH {_BT} SELECT doc_id, {_BOX} AS answer FROM st")
+def x2(spark, sf):
+    return boxed_texts(spark, sf).select("doc_id", A.last_boxed(A.strip(F.col("text"))).alias("answer"))
+
+
+@query("X3_markers", f"WITH {_BT} SELECT doc_id, {_MARK} AS answer FROM st")
+def x3(spark, sf):
+    return boxed_texts(spark, sf).select("doc_id", A.marked(A.strip(F.col("text"))).alias("answer"))
+
+
+@query("X4_last_number", f"WITH {_BT} SELECT doc_id, {_NUM} AS answer FROM st")
+def x4(spark, sf):
+    return boxed_texts(spark, sf).select("doc_id", A.last_number(A.strip(F.col("text"))).alias("answer"))
+
+
+_X5 = "SELECT doc_id, ' $\\dfrac{' || n_chars || '}{1,000}\\,$ . ' AS raw, CASE WHEN n_chars % 2 = 0 THEN '\\boxed{ \\left( ' || n_chars || '\\pi \\right) }' ELSE n_chars || '.0 ' END AS other FROM documents"
+
+
+def _x5(spark, sf):
+    n = F.col("n_chars").cast("string")
+    other = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("\\boxed{ \\left( "), n, F.lit("\\pi \\right) }"))).otherwise(F.concat(n, F.lit(".0 ")))
+    return read(spark, sf, "documents").select("doc_id", F.concat(F.lit(" $\\dfrac{"), n, F.lit("}{1,000}\\,$ . ")).alias("raw"), other.alias("other"), "n_chars")
+
+
+@query("X5_normalize", f"WITH x AS ({_X5}) SELECT doc_id, '\\frac{{' || regexp_extract(raw, '\\d+') || '}}{{1000}}' AS a, CASE WHEN starts_with(other, '\\boxed') THEN '(' || regexp_extract(other, '\\d+') || 'pi)' ELSE trim(other) END AS b FROM x")
+def x5(spark, sf):
+    return _x5(spark, sf).select("doc_id", A.normalize(F.col("raw")).alias("a"), A.normalize(F.col("other")).alias("b"))
+
+
+@query("X6_answers_match", "SELECT doc_id, n_chars % 3 = 0 AS equal, n_chars % 2 = 1 AS numeric, false AS blank FROM documents")
+def x6(spark, sf):
+    d = _x5(spark, sf)
+    n = F.col("n_chars").cast("string")
+    return d.select("doc_id", A.answers_match(F.concat(F.lit("$"), n, F.lit("$")), F.when(F.col("n_chars") % 3 == 0, n).otherwise(F.concat(n, F.lit("x")))).alias("equal"), A.answers_match(F.col("other"), n).alias("numeric"), A.answers_match(F.lit(" "), F.lit("")).alias("blank"))
+
+
+@query("X7_judge", f"WITH {_BT}, a AS (SELECT doc_id, gold, coalesce({_BOX}, {_MARK}, {_NUM}) AS ans FROM st) SELECT doc_id, ans AS student_answer, gold AS ground_truth_answer, ans = gold AS is_correct FROM a")
+def x7(spark, sf):
+    return boxed_texts(spark, sf).select("doc_id", A.judge(F.col("text"), F.col("gold"), F.lit("")).alias("j")).select("doc_id", "j.*")
+
+
+@query("X8_X9_boxed_only", f"WITH {BOXED} SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '\\boxed{{\\frac{{1}}{{' || n_chars || '}}}}' WHEN 5 THEN '\\boxed{{}}' END AS boxed, CASE doc_id % 6 WHEN 0 THEN '\\frac{{1}}{{' || n_chars || '}}' WHEN 5 THEN '' END AS answer FROM bx")
+def x8(spark, sf):
+    t = F.col("text")
+    return boxed_texts(spark, sf).select("doc_id", A.last_boxed_only(t).alias("boxed"), A.eval_answer(t).alias("answer"))
+
+
+@query("X20_X22_boxes", f"WITH {BOXED} SELECT doc_id, (length(text) - length(replace(text, '\\boxed{{', ''))) // 7 AS boxes, NOT contains(text, 'boxed') AS format_error FROM bx")
+def x20(spark, sf):
+    return boxed_texts(spark, sf).select("doc_id", A.boxed_count(F.col("text")).alias("boxes"), A.format_error(F.col("text")).alias("format_error"))
+
+
+@query("X21_boxed_line_end", f"WITH {BOXED} SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN length(text) - 5 END AS line_end FROM bx")
+def x21(spark, sf):
+    return boxed_texts(spark, sf).select("doc_id", A.first_boxed_line_end(F.col("text")).alias("line_end"))
+
+
+@query("X24_verdict", "SELECT doc_id, doc_id % 3 = 0 AS ok FROM documents")
+def x24(spark, sf):
+    k = F.col("doc_id") % 3
+    return read(spark, sf, "documents").select("doc_id", A.verdict(F.when(k == 0, " A\n").when(k == 1, "CORRECT").otherwise("a")).alias("ok"))
+
+
+@query("X27_strip_thinking", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'after ' || doc_id WHEN 1 THEN '' ELSE 'plain' END AS rest FROM documents")
+def x27(spark, sf):
+    k, i = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    t = F.when(k == 0, F.concat(F.lit("<think>a b</think> after "), i)).when(k == 1, F.lit(" <think> open")).otherwise(F.lit(" plain\n"))
+    return read(spark, sf, "documents").select("doc_id", A.strip_thinking(t).alias("rest"))
+
+
+@query("X28_code_fence", "SELECT doc_id, '{\"a\": ' || doc_id || '}' AS body FROM documents")
+def x28(spark, sf):
+    t = F.concat(F.lit("```json\n{\"a\": "), F.col("doc_id").cast("string"), F.lit("}\n```"))
+    return read(spark, sf, "documents").select("doc_id", A.strip_fence(t).alias("body"))
+
+
+@query("X29_C8_prompts", "SELECT item_id, 'Solve {it}: ' || text || chr(10) || 'End' AS prompt FROM benchmark")
+def x29(spark, sf):
+    return read(spark, sf, "benchmark").select("item_id", A.template("Solve {{it}}: {problem}\nEnd", F.col("text")).alias("prompt"))
+
+
+@query("X10_X18_mathd", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '\\frac{' || n_chars || '}{7}' WHEN 1 THEN '\\frac{1}{2}' WHEN 2 THEN '\\sqrt{3}+' || n_chars ELSE n_chars::VARCHAR END AS form FROM documents")
+def x10(spark, sf):
+    ship(spark)
+    k, n = F.col("doc_id") % 4, F.col("n_chars").cast("string")
+    t = F.when(k == 0, F.concat(n, F.lit("/7"))).when(k == 1, F.lit("x = .5")).when(k == 2, F.concat(F.lit("\\left\\sqrt3 + \\right "), n)).otherwise(F.concat(n, F.lit("\\text{ cm}")))
+    return read(spark, sf, "documents").select("doc_id", G.mathd_udf(t).alias("form"))
+
+
+@query("X11_X12_X14_plain", "SELECT doc_id, (n_chars * 1000)::VARCHAR AS plain, n_chars || '234567' AS no_commas, true AS whole, doc_id % 2 = 0 AS fraction FROM documents")
+def x11(spark, sf):
+    ship(spark)
+    n = F.col("n_chars").cast("string")
+    return read(spark, sf, "documents").select(
+        "doc_id", G.plain_udf(F.concat((F.col("n_chars") * 1000).cast("string"), F.lit(".0"))).alias("plain"),
+        G.commas_udf(F.concat(n, F.lit(",234,567"))).alias("no_commas"), G.is_int_udf(F.concat(n, F.lit(",000"))).alias("whole"),
+        G.is_fraction_udf(F.when(F.col("doc_id") % 2 == 0, F.concat(n, F.lit("/9"))).otherwise(n)).alias("fraction"))
+
+
+@query("X13_X15_tuples", "SELECT doc_id, 'a|' || n_chars AS parts, doc_id % 2 = 0 AS allowed FROM documents")
+def x13(spark, sf):
+    ship(spark)
+    n = F.col("n_chars").cast("string")
+    return read(spark, sf, "documents").select("doc_id", F.array_join(G.elements_udf(F.concat(F.lit("(a, "), n, F.lit("]"))), "|").alias("parts"), G.may_evaluate_udf(F.when(F.col("doc_id") % 2 == 0, F.lit("sqrt(x)+y")).otherwise(F.lit("x^{2}"))).alias("allowed"))
+
+
+@query("X16_X17_X19_grade", "SELECT doc_id, doc_id % 4 <> 3 AS ok, doc_id % 3 <> 2 AS plain_ok FROM documents")
+def x17(spark, sf):
+    ship(spark)
+    k, n = F.col("doc_id") % 4, F.col("n_chars").cast("string")
+    given = F.when(k == 0, F.concat(F.lit("\\boxed{"), n, F.lit("}"))).when(k == 1, F.concat(F.lit("so \\boxed{2*"), n, F.lit("/2+0}"))).when(k == 2, F.concat(F.lit("\\boxed{"), n, F.lit(".0}"))).otherwise(F.concat(F.lit("\\boxed{"), n, F.lit("1}")))
+    truth = F.when(k == 1, F.concat(F.lit("("), n, F.lit("*3)/3"))).otherwise(n)
+    j = F.col("doc_id") % 3
+    a = F.when(j == 0, F.concat(F.lit("("), n, F.lit(", 1/2)"))).when(j == 1, F.lit("1/2+1/3")).otherwise(F.lit("2/4"))
+    b = F.when(j == 0, F.concat(F.lit("("), n, F.lit(",1/2)"))).when(j == 1, F.lit("(2+3)/6")).otherwise(F.lit("1/2"))
+    return read(spark, sf, "documents").select("doc_id", G.grade_udf(given, truth).alias("ok"), G.grade_plain_udf(a, b).alias("plain_ok"))
+
+
+@query("R5_boxed_trim", f"WITH {BOXED} SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN true ELSE false END AS cut, (length(text) - length(replace(text, '\\boxed{{', ''))) // 7 AS boxes FROM bx")
+def r5(spark, sf):
+    t = boxed_texts(spark, sf).select("doc_id", F.split(F.concat("text", F.lit("\nmore of it")), r"(?=[ \n])", -1).alias("pieces"))
+    _, cut, boxes = rollouts.boxed_trim(F.col("pieces"))
+    return t.select("doc_id", cut.alias("cut"), boxes.alias("boxes"))

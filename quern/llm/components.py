@@ -1,13 +1,42 @@
-"""Connected components of a table of edges, by alternating large-star and small-star steps."""
+"""Connected components of a table of edges, by alternating large-star and small-star steps.
+
+What is left of the edges is solved by one task once it has no more than
+``ONE_TASK`` rows, a bound on that task's memory; both ways give the same.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.scratch import Scratch
 
 
+#: Edges that one task may hold, about 100 MB in its worker.
+ONE_TASK = 300_000
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up.setdefault(y, y)
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            u, v = find(u), find(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+    ids = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], names=["id", "component"])
+
+
 def components(edges: DataFrame, keep: Scratch, tag: str = "cc") -> DataFrame:
     """(id, component) of every vertex in ``edges`` (a long, b long): the smallest id reachable.
 
@@ -20,7 +49,9 @@ def components(edges: DataFrame, keep: Scratch, tag: str = "cc") -> DataFrame:
     now, before, step = keep.table(both, f"{tag}0"), None, 0
     while True:
         said = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if said == before or not said[0]:
+        if said[0] <= ONE_TASK:
+            return keep.table(now.coalesce(1).mapInArrow(_solved, "id long, component long"), f"{tag}_solved")
+        if said == before:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         before = said
         # large star: neighbours above u move to the least neighbour of u

@@ -4,11 +4,13 @@ A document is the set of its distinct five-word shingles.  Trees branch the
 documents by minwise tokens: the root of each of ``TREES`` independent trees
 takes two coordinates, so a document follows sixteen paths; a pair of
 similarity 0.75 misses all of them with probability 0.25 ** 16.  A node with at
-most ``NODE`` documents is compared exhaustively; a larger one chooses two more
-coordinates by the hash of its path and branches again.  What does not get
-smaller in ``DEPTH`` levels consists of near copies of each other: it is
-compared with a few pivots first, and then only across the components that
-are still apart, in blocks.
+most ``NODE`` documents is compared exhaustively.  In a larger one the members
+are compared with a few pivots first, and only nodes whose members are still in
+several components go on, so a large group of near copies ends there: up to
+``MIDDLE`` documents they are compared exhaustively in pairs of blocks, and
+beyond that the node chooses two more coordinates by the hash of its path and
+branches again.  What is large and of several components after ``DEPTH`` levels
+is compared across these components in blocks.
 
 Within a node, sketches of 64 minwise values pass pairs that agree in 30 places
 or more (a pair at 0.75 fails that once in about ten million times) and the
@@ -29,14 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.packing import flat, mix, of_table
 from quern.llm.scratch import Scratch
 
-TREES, SKETCH, AGREE, NODE, DEPTH, PIVOTS, BLOCK = 8, 64, 30, 256, 4, 8, 256
+TREES, SKETCH, AGREE, NODE, MIDDLE, DEPTH, PIVOTS, BLOCK = 8, 64, 30, 256, 2048, 4, 8, 512
 ROOTS = 2 * TREES
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -146,18 +148,26 @@ class _Forest:
         return x
 
 
+def _near(i: int, later: np.ndarray, sketch: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Those of ``later`` whose sketch and size allow a link with i."""
+    later = later[100 * np.minimum(n[later], n[i]) >= 75 * np.maximum(n[later], n[i])]
+    return later[(sketch[later] == sketch[i]).sum(axis=1) >= AGREE]
+
+
 def _promising(table: pa.Table) -> pa.Table:
-    """Members of a node with some other member whose sketch and size allow a link."""
-    ids, n = table["id"].to_numpy(), table["n"].to_numpy()
+    """Members of a task with some member of another label that they may link with; ``side`` as in :func:`_links`."""
+    n, label, side = (table[c].to_numpy() for c in ("n", "label", "side"))
     sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)
-    some = np.zeros(len(ids), bool)
-    for i in range(len(ids) - 1):
-        rest = slice(i + 1, None)
-        near = ((sketch[rest] == sketch[i]).sum(axis=1) >= AGREE) & (100 * np.minimum(n[rest], n[i]) >= 75 * np.maximum(n[rest], n[i]))
-        if near.any():
+    order = np.lexsort((table["id"].to_numpy(), side))
+    n, label, side, sketch = n[order], label[order], side[order], sketch[order]
+    some = np.zeros(len(n), bool)
+    for i in np.flatnonzero(side == 0).tolist():
+        later = np.arange(i + 1, len(n))
+        near = _near(i, later[label[later] != label[i]], sketch, n)
+        if len(near):
             some[i] = True
-            some[i + 1 :] |= near
-    return table.select(["key", "id"]).filter(pa.array(some))
+            some[near] = True
+    return table.select(["key", "id", "label", "side"]).take(pa.array(order[some]))
 
 
 def _links(table: pa.Table) -> pa.Table:
@@ -180,9 +190,7 @@ def _links(table: pa.Table) -> pa.Table:
     group = np.array([forest.find(i) for i in range(len(ids))])
     for i in np.flatnonzero(side == 0).tolist():
         later = np.arange(i + 1, len(ids))
-        later = later[group[later] != group[i]]
-        near = ((sketch[later] == sketch[i]).sum(axis=1) >= AGREE) & (100 * np.minimum(n[later], n[i]) >= 75 * np.maximum(n[later], n[i]))
-        for j in later[near].tolist():
+        for j in _near(i, later[group[later] != group[i]], sketch, n).tolist():
             if group[i] == group[j]:
                 continue
             both = np.concatenate([sets[i], sets[j]])
@@ -195,10 +203,79 @@ def _links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _compared(tasks: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges of tasks (key, id, label, side); texts and sketches are joined in."""
-    full = tasks.join(marks.select("id", "sketch"), "id").join(texts, "id").select("key", "id", "label", "side", "sketch", "text")
-    return full.groupBy("key").applyInArrow(of_table(_links), "a long, b long")
+class _Join:
+    """The links found so far and what finding more of them needs."""
+
+    def __init__(self, marks: DataFrame, texts: DataFrame, keep: Scratch):
+        self.marks, self.texts, self.keep = marks, texts, keep
+        self.edges: list[DataFrame] = []
+        self.step = 0
+
+    def labelled(self, nodes: DataFrame) -> DataFrame:
+        """(key, id, label) of ``nodes``, and only nodes with several labels."""
+        self.step += 1
+        labels = components(self.all_edges(), self.keep, f"label{self.step}") if self.edges else None
+        named = nodes.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")) if labels is not None else nodes.select("key", "id", F.col("id").alias("label"))
+        return self.keep.table(_several(named), f"named{self.step}")
+
+    def all_edges(self) -> DataFrame:
+        out = self.edges[0]
+        for e in self.edges[1:]:
+            out = out.unionByName(e)
+        return out
+
+    def compare(self, tasks: DataFrame) -> None:
+        """Find the links inside tasks (key, id, label, side): sketches first, texts only of what may link."""
+        self.step += 1
+        sketched = tasks.join(self.marks.select("id", "n", "sketch"), "id").groupBy("key").applyInArrow(of_table(_promising), "key long, id long, label long, side int")
+        near = self.keep.table(sketched, f"near{self.step}")
+        once = near.join(_apart(near).select("key"), "key")
+        full = once.join(self.marks.select("id", "sketch"), "id").join(self.texts, "id").select("key", "id", "label", "side", "sketch", "text")
+        self.edges.append(self.keep.table(full.groupBy("key").applyInArrow(of_table(_links), "a long, b long"), f"edges{self.step}"))
+        self.keep.drop(f"near{self.step}")
+
+    def pivots(self, named: DataFrame) -> None:
+        """Compare every member of a node with a few of them, in blocks."""
+        sized = _blocks(named)
+        least = F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks") * (BLOCK // PIVOTS // 2)) == 0, F.struct("id", "label"))))
+        chosen = sized.groupBy("key").agg(least.alias("p"), F.min(F.struct("id", "label")).alias("first"), F.first("blocks").alias("blocks"))
+        heads = chosen.select("key", "blocks", F.explode(F.array_distinct(F.concat(F.array("first"), F.slice("p", 1, PIVOTS)))).alias("h")).select("key", "blocks", "h.id", "h.label")
+        spread = heads.select("key", "id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
+        first = spread.select(F.xxhash64("key", "k").alias("key"), "id", "label", F.lit(0).alias("side"))
+        rest = sized.select(F.xxhash64("key", _block(F.col("blocks"))).alias("key"), "id", "label", F.lit(1).alias("side"))
+        self.compare(first.unionByName(rest).groupBy("key", "id", "label").agg(F.min("side").alias("side")))
+
+    def pairs(self, named: DataFrame) -> None:
+        """Compare all members of a node whose labels differ, in pairs of blocks."""
+        sized = _blocks(named).withColumn("own", _block(F.col("blocks")))
+        other = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        i, j = F.least("own", "other"), F.greatest("own", "other")
+        self.compare(other.select(F.xxhash64("key", i, j).alias("key"), "id", "label", F.when(F.col("own") == i, 0).otherwise(1).alias("side")))
+
+    def across(self, named: DataFrame) -> None:
+        """Compare the members outside a node's largest component with all of it, in pairs of blocks."""
+        sized = _blocks(named)
+        main = sized.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+        both = self.keep.table(sized.join(main, "key").withColumn("j", _block(F.col("blocks"))), f"across{self.step}")
+        others = both.where("label <> main")
+        a = others.select("key", "id", "label", F.col("j").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
+        b = both.join(others.select("key", F.col("j").alias("i")).distinct(), "key")
+        tasks = a.select(F.xxhash64("key", "i", "j").alias("key"), "id", "label", F.lit(0).alias("side")).unionByName(b.select(F.xxhash64("key", "i", "j").alias("key"), "id", "label", F.lit(1).alias("side")))
+        self.compare(tasks.groupBy("key", "id", "label").agg(F.min("side").alias("side")))
+
+
+def _block(n: Column) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(3)), n)
+
+
+def _blocks(named: DataFrame) -> DataFrame:
+    size = named.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    return named.join(size, "key").select("key", "id", "label", "blocks")
+
+
+def _several(named: DataFrame) -> DataFrame:
+    mixed = named.groupBy("key").agg((F.min("label") < F.max("label")).alias("m")).where("m").select("key")
+    return named.join(mixed, "key")
 
 
 def _apart(nodes: DataFrame) -> DataFrame:
@@ -209,50 +286,54 @@ def _apart(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept (see the module's text)."""
-    spark, keep = docs.sparkSession, Scratch(docs.sparkSession)
+    keep = Scratch(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     all_marks = keep.table(rows.mapInArrow(_sketches, "id long, n long, d1 long, d2 long, keys array<long>, sketch array<int>"), "marks")
     some = all_marks.where("n > 0 and id is not null")
-    same = some.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    # a vertex for each distinct set; ids repeated with other texts are tied below
-    reps = keep.table(same, "reps")
-    marks = keep.table(some.join(reps.select("d1", "d2", F.col("rep").alias("id")), ["d1", "d2", "id"], "left_semi").dropDuplicates(["id", "d1", "d2"]).groupBy("id").agg(F.min_by(F.struct("n", "d1", "d2", "keys", "sketch"), F.struct("d1", "d2")).alias("m")).select("id", "m.*"), "rep_marks")
     twice = some.groupBy("id").agg((F.min(F.struct("d1", "d2")) != F.max(F.struct("d1", "d2"))).alias("more")).where("more")
     if twice.limit(1).count():
         return _by_row(rows, keep)
-    texts = rows.join(marks.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    nodes = marks.select(F.explode("keys").alias("key"), "id")
-    stuck, small, level = None, [], 0
-    while True:
-        level += 1
-        found = keep.table(_apart(nodes), f"nodes{level}")
-        fit = nodes.join(found.where(F.col("size") <= NODE).select("key"), "key")
-        small.append(keep.table(fit.join(marks.select("id", "n", "sketch"), "id").groupBy("key").applyInArrow(of_table(_promising), "key long, id long"), f"small{level}"))
-        large = found.where(F.col("size") > NODE)
-        if not large.limit(1).count():
-            break
-        members = keep.table(nodes.join(large.select("key"), "key"), f"large{level}")
-        if level > DEPTH:
-            stuck = members
-            break
-        branch = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.pmod(F.xxhash64("key", F.lit(b)), F.lit(SKETCH)).cast("int").alias("c")) for b in range(2)]))
-        nodes = members.join(marks.select("id", "sketch"), "id").select("key", "id", "sketch", branch.alias("p")).select(F.xxhash64("key", "p.b", "p.c", F.get("sketch", F.col("p.c"))).alias("key"), "id")
-        nodes = keep.table(nodes, f"branched{level}")
-    every = small[0]
-    for x in small[1:]:
-        every = every.unionByName(x)
-    once = every.join(_apart(every).select("key"), "key")
-    tasks = once.select("key", "id", F.col("id").alias("label"), F.lit(0).alias("side"))
-    edges = keep.table(_compared(tasks, marks, texts), "edges")
-    if stuck is not None:
-        edges = _stuck(stuck, edges, marks, texts, keep)
-    labels = components(edges, keep)
-    rep = all_marks.select("id", "n", "d1", "d2").join(reps.where("copies > 1"), ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep"))
+    # a vertex for each distinct set: the least of its ids
+    sets = keep.table(all_marks.select("id", "n", "d1", "d2"), "sets")
+    reps = keep.table(some.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "reps")
+    marks = some.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    marks = keep.table(marks.select("id", "n", "keys", "sketch"), "rep_marks")
+    keep.drop("marks")
+    join = _Join(marks.select("id", "n", "sketch"), rows.join(marks.select("id"), "id", "left_semi").dropDuplicates(["id"]), keep)
+    roots = marks.select(F.posexplode("keys").alias("c", "key"), "id")
+    found = keep.table(_apart(roots.select("key", "id")), "roots")
+    small = roots.join(found.where(F.col("size") <= NODE).select("key"), "key")
+    join.compare(small.select("key", "id", F.col("id").alias("label"), F.lit(0).alias("side")))
+    large = found.where(F.col("size") > NODE).select("key")
+    if large.limit(1).count():
+        _large(keep.table(roots.join(large, "key"), "large"), join, keep)
+    labels = components(join.all_edges(), keep)
+    rep = sets.join(reps.where("copies > 1"), ["d1", "d2"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep"))
     done = rep.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
     return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _large(members: DataFrame, join: _Join, keep: Scratch) -> None:
+    """Nodes above the limit: pivots join what is alike, and only nodes still of several components go on."""
+    join.pivots(join.labelled(members.where("c < 2").select("key", "id")))
+    named = join.labelled(members.select("key", "id"))
+    for level in range(DEPTH + 1):
+        found = keep.table(_apart(named), f"sizes{level}")
+        join.pairs(named.join(found.where(F.col("size") <= MIDDLE).select("key"), "key"))
+        big = found.where(F.col("size") > MIDDLE).select("key")
+        if not big.limit(1).count():
+            return
+        named = keep.table(named.join(big, "key"), f"deeper{level}")
+        if level == DEPTH:
+            join.across(join.labelled(named.select("key", "id")))
+            return
+        branch = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.pmod(F.xxhash64("key", F.lit(b)), F.lit(SKETCH)).cast("int").alias("c")) for b in range(2)]))
+        child = F.xxhash64("key", "p.b", "p.c", F.get("sketch", F.col("p.c")))
+        nodes = named.join(join.marks.select("id", "sketch"), "id").select("key", "id", "label", "sketch", branch.alias("p")).select(child.alias("key"), "id", "label")
+        named = keep.table(_several(nodes), f"branched{level}")
+
+
 def _by_row(rows: DataFrame, keep: Scratch) -> DataFrame:
     """Ids that repeat with different texts: link rows under ids of their own, then tie equal ids."""
     own = rows.withColumn("row", F.xxhash64("id", "text"))
@@ -272,31 +353,3 @@ def _null_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, raw = flat(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in shingles(at, raw)], pa.int64())], names=["doc_id", "n_shingles"])
-
-
-def _stuck(stuck: DataFrame, edges: DataFrame, marks: DataFrame, texts: DataFrame, keep: Scratch) -> DataFrame:
-    """Links of nodes that branching did not make small: pivots first, then blocks across components."""
-    block = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), n)
-    sized = stuck.join(_apart(stuck), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
-    sized = keep.table(sized.select("key", "id", "blocks"), "stuck")
-    pivots = sized.groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks") * (BLOCK // PIVOTS // 2)) == 0, F.col("id")))).alias("p"), F.min("id").alias("first"), F.first("blocks").alias("blocks"))
-    pivots = pivots.select("key", "blocks", F.array_distinct(F.concat(F.array("first"), F.slice("p", 1, PIVOTS))).alias("p"))
-    heads = pivots.select("key", F.explode("p").alias("id"), "blocks")
-    spread = heads.select(F.col("key").alias("node"), "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
-    first = spread.select(F.xxhash64("node", "k").alias("key"), "id", F.col("id").alias("label"), F.lit(0).alias("side"))
-    rest = sized.join(heads.select("key", "id"), ["key", "id"], "left_anti").select(F.xxhash64("key", block(F.col("blocks"))).alias("key"), "id", F.col("id").alias("label"), F.lit(1).alias("side"))
-    edges = keep.table(edges.unionByName(_compared(first.unionByName(rest), marks, texts)), "edges_pivot")
-    labels = components(edges, keep, "pivot")
-    named = sized.join(labels, "id", "left").select("key", "id", "blocks", F.coalesce("component", "id").alias("label"))
-    counted = keep.table(named.groupBy("key", "label").agg(F.count("*").alias("size")), "labels")
-    main = counted.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    named = keep.table(named.join(main, "key"), "named")
-    others = named.where("label <> main").withColumn("i", block(F.col("blocks")))
-    wide = others.groupBy("key").agg(F.collect_set("i").alias("own"))
-    # every block of others against every block of the node
-    a = others.select("key", "id", "label", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-    a = a.select(F.xxhash64("key", "i", "j").alias("key"), "id", "label", F.lit(0).alias("side"))
-    b = named.join(wide, "key").select("key", "id", "label", block(F.col("blocks")).alias("j"), F.explode("own").alias("i"))
-    b = b.select(F.xxhash64("key", "i", "j").alias("key"), "id", "label", F.lit(1).alias("side"))
-    more = a.unionByName(b).groupBy("key", "id", "label").agg(F.min("side").alias("side"))
-    return keep.table(edges.unionByName(_compared(more, marks, texts)), "edges_all")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions import jsons as Y
@@ -12,7 +13,8 @@ from quern.plans.registry import query
 from quern.session import ship
 from quern.sources import readers, writers
 
-_ID = F.col("doc_id").cast("string")
+def _id() -> Column:
+    return F.col("doc_id").cast("string")
 
 
 @query("C1_C2_first_of", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS nonblank, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '  ' END AS nonnull FROM documents")
@@ -240,7 +242,7 @@ def y12(spark, sf):
 @query("Y1_repaired_json", "SELECT doc_id, '{\"a\": ' || doc_id || '}' AS body FROM documents")
 def y1(spark, sf):
     ship(spark)
-    t = F.concat(F.lit("<think>no {</think> it is ```json {x \\{\"a\": "), _ID, F.lit("\\} rest"))
+    t = F.concat(F.lit("<think>no {</think> it is ```json {x \\{\"a\": "), _id(), F.lit("\\} rest"))
     return read(spark, sf, "documents").select("doc_id", Y.repaired(t).alias("body"))
 
 
@@ -357,18 +359,18 @@ def a10(spark, sf):
 
 @query("A13_A14_checkpoints", "SELECT 'checkpoint-' || doc_id AS name, doc_id AS step FROM documents WHERE doc_id >= 50 AND doc_id % 3 = 0")
 def a13(spark, sf):
-    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("checkpoint-"), _ID)).otherwise(F.concat(F.lit("tmp-"), _ID))
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("checkpoint-"), _id())).otherwise(F.concat(F.lit("tmp-"), _id()))
     return readers.checkpoints(read(spark, sf, "documents").select(name.alias("name")), 50)
 
 
 @query("A13_latest_checkpoint", "SELECT 'checkpoint-' || max(doc_id) AS name FROM documents")
 def a13b(spark, sf):
-    return readers.latest_checkpoint(read(spark, sf, "documents").select(F.concat(F.lit("checkpoint-"), _ID).alias("name")))
+    return readers.latest_checkpoint(read(spark, sf, "documents").select(F.concat(F.lit("checkpoint-"), _id()).alias("name")))
 
 
 @query("X23_file_names", "SELECT doc_id, 'aime' || doc_id AS task, 0.7::DOUBLE AS temperature, 0.9::DOUBLE AS top_p, (doc_id % 16)::INT AS n, 1024 AS max_new_tokens FROM documents")
 def x23(spark, sf):
-    name = F.concat(F.lit("aime"), _ID, F.lit("_t0.7_p0.9_n"), (F.col("doc_id") % 16).cast("string"), F.lit("-MNT1024.jsonl"))
+    name = F.concat(F.lit("aime"), _id(), F.lit("_t0.7_p0.9_n"), (F.col("doc_id") % 16).cast("string"), F.lit("-MNT1024.jsonl"))
     d = read(spark, sf, "documents").select("doc_id", name.alias("name"))
     return d.select("doc_id", *[c.alias(k) for k, c in readers.file_parameters(F.col("name")).items()])
 

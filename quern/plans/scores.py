@@ -19,43 +19,42 @@ def _kl(rank: str, p: str, q: str) -> str:
 SELECT vec_id, round(sum(exp({p} - z{p}) * (({p} - z{p}) - ({q} - z{q}))), 6) AS kl FROM k JOIN z USING (vec_id) GROUP BY vec_id"""
 
 
-S, T = F.col("s"), F.col("t")
 
 
 @query("Z1_reverse_kl", _kl("rs", "s", "t"))
 def z1(spark, sf):
-    return r6(pairs(spark, sf).select("vec_id", D.reverse_kl(S, T, K).alias("kl")))
+    return r6(pairs(spark, sf).select("vec_id", D.reverse_kl(F.col("s"), F.col("t"), K).alias("kl")))
 
 
 @query("Z2_forward_kl", _kl("rt", "t", "s"))
 def z2(spark, sf):
-    return r6(pairs(spark, sf).select("vec_id", D.forward_kl(S, T, K).alias("kl")))
+    return r6(pairs(spark, sf).select("vec_id", D.forward_kl(F.col("s"), F.col("t"), K).alias("kl")))
 
 
 @query("Z3_J6_overlap", f"WITH {PAIRS} SELECT vec_id, round(count(*) FILTER (rs <= {K} AND rt <= {K}) / {K}, 6) AS overlap FROM pr GROUP BY vec_id")
 def z3(spark, sf):
-    return r6(pairs(spark, sf).select("vec_id", D.overlap(S, T, K).alias("overlap")))
+    return r6(pairs(spark, sf).select("vec_id", D.overlap(F.col("s"), F.col("t"), K).alias("overlap")))
 
 
 @query("Z4_entropy", f"WITH {PAIRS}, k AS (SELECT *, s - ln(sum(exp(s)) OVER (PARTITION BY vec_id)) AS lp FROM pr WHERE rs <= {K}) SELECT vec_id, round(-sum(exp(lp) * ln(greatest(exp(lp), 1e-12))), 6) AS h FROM k GROUP BY vec_id")
 def z4(spark, sf):
-    return r6(pairs(spark, sf).select("vec_id", D.entropy(S, K).alias("h")))
+    return r6(pairs(spark, sf).select("vec_id", D.entropy(F.col("s"), K).alias("h")))
 
 
 @query("Z5_set_probability", f"WITH {PAIRS}, {_LSE} SELECT vec_id, round(sum(exp(s - zs)) FILTER (i IN (3, 7, 63)), 6) AS p FROM pr JOIN lse USING (vec_id) GROUP BY vec_id")
 def z5(spark, sf):
-    return r6(pairs(spark, sf).select("vec_id", D.set_probability(S, F.array(*[F.lit(i) for i in (3, 7, 63, 64, -1)])).alias("p")))
+    return r6(pairs(spark, sf).select("vec_id", D.set_probability(F.col("s"), F.array(*[F.lit(i) for i in (3, 7, 63, 64, -1)])).alias("p")))
 
 
 @query("Z6_full_distribution", f"WITH {PAIRS}, {_LSE} SELECT vec_id, round(sum(exp(s - zs)) FILTER (rs <= {K}), 6) AS student_mass, round(sum(exp(t - zt)) FILTER (rt <= {K}), 6) AS teacher_mass, round(sum(s - zs) FILTER (i = vec_id % 64), 6) AS student_logp, round(sum(t - zt) FILTER (i = vec_id % 64), 6) AS teacher_logp FROM pr JOIN lse USING (vec_id) GROUP BY vec_id")
 def z6(spark, sf):
     y = (F.col("vec_id") % 64).cast("int")
-    return r6(pairs(spark, sf).select("vec_id", D.top_mass(S, K).alias("student_mass"), D.top_mass(T, K).alias("teacher_mass"), D.target_logp(S, y).alias("student_logp"), D.target_logp(T, y).alias("teacher_logp")))
+    return r6(pairs(spark, sf).select("vec_id", D.top_mass(F.col("s"), K).alias("student_mass"), D.top_mass(F.col("t"), K).alias("teacher_mass"), D.target_logp(F.col("s"), y).alias("student_logp"), D.target_logp(F.col("t"), y).alias("teacher_logp")))
 
 
 @query("Z7_target_logp", f"WITH {PAIRS}, {_LSE} SELECT vec_id, round(sum(s - zs) FILTER (i = 5), 6) AS logp FROM pr JOIN lse USING (vec_id) GROUP BY vec_id")
 def z7(spark, sf):
-    return r6(pairs(spark, sf).select("vec_id", D.target_logp(S, F.lit(5)).alias("logp")))
+    return r6(pairs(spark, sf).select("vec_id", D.target_logp(F.col("s"), F.lit(5)).alias("logp")))
 
 
 @query("Z8_advantage", f"WITH {TOKENS} SELECT event_id, round(student_logp - teacher_logp, 6) AS raw, round(greatest(least(student_logp - teacher_logp, 0.2), -0.2), 6) AS clipped FROM tok WHERE student_logp IS NOT NULL")
@@ -66,7 +65,7 @@ def z8(spark, sf):
 
 @query("Z9_top1_agreement", f"WITH {PAIRS} SELECT vec_id, count(*) FILTER (rs = 1 AND rt = 1)::DOUBLE AS same FROM pr GROUP BY vec_id")
 def z9(spark, sf):
-    return pairs(spark, sf).select("vec_id", D.top1_agreement(S, T).alias("same"))
+    return pairs(spark, sf).select("vec_id", D.top1_agreement(F.col("s"), F.col("t")).alias("same"))
 
 
 _LOW, _PW = "(active AND overlap < 0.65)", "CASE WHEN active THEN weight ELSE 0 END"
@@ -99,19 +98,19 @@ def z10(spark, sf):
 
 @query("J7_target_rank", f"WITH {PAIRS} SELECT vec_id, max(CASE WHEN rs <= {K} THEN 1 ELSE 0 END) FILTER (i = vec_id % 64) = 1 AS inside, max(CASE WHEN rs <= {K} THEN rs END) FILTER (i = vec_id % 64) AS rank FROM pr GROUP BY vec_id")
 def j7(spark, sf):
-    ids, y = array_top_k(S, K), (F.col("vec_id") % 64).cast("int")
+    ids, y = array_top_k(F.col("s"), K), (F.col("vec_id") % 64).cast("int")
     return pairs(spark, sf).select("vec_id", F.array_contains(ids, y).alias("inside"), joins.rank_in(ids, y).alias("rank"))
 
 
 @query("H1_ordered_intersection", f"WITH {PAIRS} SELECT vec_id, coalesce(string_agg(i::VARCHAR, ',' ORDER BY rs) FILTER (rs <= {K} AND rt <= {K}), '') AS ids FROM pr GROUP BY vec_id")
 def h1(spark, sf):
-    return pairs(spark, sf).select("vec_id", F.array_join(F.transform(F.array_intersect(array_top_k(S, K), array_top_k(T, K)), lambda i: i.cast("string")), ",").alias("ids"))
+    return pairs(spark, sf).select("vec_id", F.array_join(F.transform(F.array_intersect(array_top_k(F.col("s"), K), array_top_k(F.col("t"), K)), lambda i: i.cast("string")), ",").alias("ids"))
 
 
 @query("C14_common_vocabulary", f"WITH {PAIRS} SELECT vec_id, round(sum(s), 6) AS s, round(sum(t), 6) AS t FROM pr WHERE i < 50 GROUP BY vec_id")
 def c14(spark, sf):
-    short = F.slice(T, 1, 50)
-    return r6(pairs(spark, sf).select("vec_id", D.total(D.cropped(S, short)).alias("s"), D.total(short).alias("t")))
+    short = F.slice(F.col("t"), 1, 50)
+    return r6(pairs(spark, sf).select("vec_id", D.total(D.cropped(F.col("s"), short)).alias("s"), D.total(short).alias("t")))
 
 
 @query("E16_loss_report", f"""WITH {PAIRS}, k1 AS (SELECT *, ln(sum(exp(s)) OVER (PARTITION BY vec_id)) AS zs, ln(sum(exp(t)) OVER (PARTITION BY vec_id)) AS zt FROM pr WHERE rs <= {K}),
@@ -122,7 +121,7 @@ SELECT count(*) AS n, round(avg(rev), 6) AS reverse_mean, round(avg(fwd), 6) AS
 def e16(spark, sf):
     from quern.operators import masked
 
-    p = pairs(spark, sf).select(D.reverse_kl(S, T, K).alias("reverse"), D.forward_kl(S, T, K).alias("forward"), D.overlap(S, T, K).alias("overlap"))
+    p = pairs(spark, sf).select(D.reverse_kl(F.col("s"), F.col("t"), K).alias("reverse"), D.forward_kl(F.col("s"), F.col("t"), K).alias("forward"), D.overlap(F.col("s"), F.col("t"), K).alias("overlap"))
     on = F.lit(True)
     q = [c.alias(f"{n}_p{round(x * 100)}") for n in ("reverse", "forward", "overlap") for x, c in zip((0.1, 0.5, 0.9), masked.masked_quantiles(F.col(n), on, (0.1, 0.5, 0.9)), strict=True)]
     return r6(p.agg(F.count("*").alias("n"), F.avg("reverse").alias("reverse_mean"), F.avg("forward").alias("forward_mean"), F.avg("overlap").alias("overlap_mean"), F.avg((F.col("overlap") < 0.65).cast("double")).alias("low_fraction"), masked.masked_correlation(F.col("reverse"), F.col("forward"), on).alias("corr"), *q))
@@ -131,5 +130,5 @@ def e16(spark, sf):
 @query("E27_eos_diagnostics", f"WITH {PAIRS}, {_LSE} SELECT round(avg(p), 6) AS mean_eos_probability, round(avg(inside::INT), 6) AS in_top_k, round(avg(is_eos::INT), 6) AS target_fraction FROM (SELECT vec_id, sum(exp(s - zs)) FILTER (i IN (3, 7)) AS p, bool_or(i IN (3, 7) AND rs <= {K}) AS inside, any_value(vec_id % 64 IN (3, 7)) AS is_eos FROM pr JOIN lse USING (vec_id) GROUP BY vec_id)")
 def e27(spark, sf):
     stops = F.array(F.lit(3), F.lit(7))
-    p = pairs(spark, sf).select(D.set_probability(S, stops).alias("p"), F.arrays_overlap(array_top_k(S, K), stops).alias("inside"), (F.col("vec_id") % 64).isin(3, 7).alias("eos"))
+    p = pairs(spark, sf).select(D.set_probability(F.col("s"), stops).alias("p"), F.arrays_overlap(array_top_k(F.col("s"), K), stops).alias("inside"), (F.col("vec_id") % 64).isin(3, 7).alias("eos"))
     return r6(p.agg(F.avg("p").alias("mean_eos_probability"), F.avg(F.col("inside").cast("double")).alias("in_top_k"), F.avg(F.col("eos").cast("double")).alias("target_fraction")))

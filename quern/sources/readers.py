@@ -35,7 +35,7 @@ def with_source(df: DataFrame) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """source_file, line_number (from 1), line: whole files, so that lines can be counted."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
     lines = files.select("source_file", F.posexplode(F.split("value", "\n", -1)).alias("n", "line"))
     return lines.where(F.trim("line") != "").select("source_file", (F.col("n") + 1).alias("line_number"), "line")
 
@@ -73,7 +73,7 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     that puts files named after samples first.
     """
     ship(spark)
-    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("source_file"), "value").where(F.regexp_like("source_file", F.lit(r"\.jsonl?$")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ def test_line_numbers(spark, tmp_path):
 
 
 def test_writers(spark, tmp_path):
-    df = spark.createDataFrame([(1, "x", None)], "a int, b string, c string")
+    df = spark.createDataFrame([(1, "x", None)], "a int, b string, c string").coalesce(1)
     writers.write_csv(df, str(tmp_path / "csv"), ["b", "missing", "a"])
     assert next((tmp_path / "csv").glob("*.csv")).read_text().splitlines() == ["b,missing,a", "x,,1"]
     for _ in range(2):

@@ -20,8 +20,7 @@ from quern.llm.toxicity import fit, scored
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples do not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    index = fit(docs.select("doc_id", "text").join(labels, "doc_id"))
-    return scored(docs, index).where("predicted = 0").select("row.*")
+    return scored(docs, fit(docs.select("doc_id", "text"), labels)).where("predicted = 0").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from quern.llm.components import components
 from quern.llm.packing import flat, mix, of_table
 from quern.llm.scratch import Scratch
 
-TREES, SKETCH, AGREE, NODE, MIDDLE, DEPTH, PIVOTS, BLOCK = 8, 64, 30, 256, 2048, 4, 8, 512
+TREES, SKETCH, AGREE, NODE, MIDDLE, DEPTH, PIVOTS, BLOCK = 8, 64, 30, 256, 2048, 4, 8, 2048
 ROOTS = 2 * TREES
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)

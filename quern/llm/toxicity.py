@@ -1,9 +1,9 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled documents (``EXAMPLES``, those with
-the least hash of their id).  The index holds the words whose presence depends
-on the label (chi-squared of ``CHI`` or more, ``TERMS`` at most), weighted by
-TF-IDF, in an inverted index of blocks of examples with the largest weight of
+the least hash of their id).  The index holds the words that toxic examples have
+more often than chance allows (no more than ``FALSE`` words are expected to get
+in by chance, ``TERMS`` at most), weighted by TF-IDF, in an inverted index of blocks of examples with the largest weight of
 each word in each block.  For a document the blocks are visited by falling
 upper bound until no block can still reach the ``K`` best: the neighbours are
 exact.  Examples with equal vectors are one entry with counts of both labels,
@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.llm.scratch import Scratch
 from quern.session import ship
 
-EXAMPLES, TERMS, CHI, K, BLOCK, NEAR, PRIOR, EVIDENCE = 20_000, 2_000, 40.0, 15, 64, 0.05, 1.0, 3
+EXAMPLES, TERMS, FALSE, K, BLOCK, NEAR, PRIOR, EVIDENCE = 20_000, 2_000, 0.5, 15, 64, 0.05, 1.0, 3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -41,6 +42,11 @@ def terms(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def held(text: str | None, known) -> Counter:
+    """Counts of the words of a text that are in ``known``."""
+    return Counter([w for w in terms(text) if w in known])
+
+
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: dict[str, list[int]] = {}
@@ -118,8 +124,7 @@ class Index:
         return got[0] if got else (np.zeros(0, int), np.zeros(0))
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        number = self.number
-        key = tuple(sorted(Counter([number[t] for t in terms(text) if t in number]).items()))
+        key = tuple(sorted((self.number[t], n) for t, n in held(text, self.number).items()))
         if not key:
             return self.bare, []
         if key not in self.known:
@@ -134,29 +139,43 @@ class Index:
         return self.known[key]
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Index:
-    """The index of a bounded sample of ``labelled``, whose label is 0 or 1."""
-    ship(labelled.sparkSession)
-    rows = labelled.where(F.col(f"`{label_col}`").isin(0, 1)).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    order = [F.xxhash64(F.coalesce("id", F.lit(-1))), F.col("id")]
-    chosen = rows.select("id", "label").orderBy(*order).limit(examples)
-    last = chosen.agg(F.max(order[0])).first()[0]
-    sample = rows.where(order[0] <= last) if last is not None else rows.limit(0)
+def tail(k: int, n: int, p: float) -> float:
+    """Probability of ``k`` hits or more in ``n`` draws."""
+    if p <= 0 or p >= 1:
+        return 1.0
+    total, last = 0.0, 0.0
+    for i in range(k, n + 1):
+        x = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+        total += x
+        if x < last and x < 1e-12 * total:
+            break
+        last = x
+    return min(1.0, total)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Index:
+    """The index of a bounded sample of ``labels`` (id, label 0 or 1) and the texts of ``docs`` with their ids."""
+    keep = Scratch(docs.sparkSession)
+    marked = labels.where(F.col(f"`{label_col}`").isin(0, 1)).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null")
+    # at most ``examples`` rows, so they can go to every task and no text is shuffled
+    chosen = keep.table(marked.orderBy(F.xxhash64("id"), "id", "label").limit(examples), "chosen")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    sample = keep.table(texts.join(F.broadcast(chosen), "id").select("id", "text", "label"), "sample")
     both = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     n0, n1 = both.get(0, 0), both.get(1, 0)
     rate = n1 / (n0 + n1) if n0 + n1 else 0.0
     seen = sample.mapInArrow(_presence, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where("c + t >= 4")
-    # chi-squared of the word's presence and the label
-    a, b = F.col("t").cast("double"), F.col("c").cast("double")
-    c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
-    below = (a + b) * (c + d) * F.lit(float(n1)) * F.lit(float(n0))
-    chi = F.when(below > 0, F.lit(float(n0 + n1)) * F.pow(a * d - b * c, 2) / below).otherwise(0.0)
-    best = seen.withColumn("chi", chi).where(F.col("chi") >= CHI).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
+    # words that toxic examples have more often than their rate; rough order first, then the exact tail
+    a, n = F.col("t").cast("double"), (F.col("t") + F.col("c")).cast("double")
+    excess = (a - n * rate) / F.sqrt(n)
+    words = seen.count()
+    likely = seen.withColumn("excess", excess).where(F.col("excess") > 0).orderBy(F.desc("excess"), "term").limit(5 * TERMS).collect()
+    best = [r for r in likely if tail(r.t, r.t + r.c, rate) * words < FALSE][:TERMS]
     idf = {r.term: math.log((1 + n0 + n1) / (1 + r.c + r.t)) + 1 for r in sorted(best, key=lambda r: r.term)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [Counter(t for t in terms(x.as_py()) if t in idf) for x in batch.column(1)]
+            counts = [held(x.as_py(), idf) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], names=["id", "label", "term", "n"])
 
     got = sample.mapInArrow(vectors, "id long, label int, term array<string>, n array<long>").collect()
@@ -167,11 +186,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row`` (a struct of all of the input's columns), score, predicted, evidence."""
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the parameters above
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the parameters above
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
+        known = shared.value
         for batch in batches:
             got = [known.score(x.as_py()) for x in batch.column(1)]
             score = np.array([g[0] for g in got], float)

@@ -248,10 +248,10 @@ def test_toxicity_edges(spark):
 
     rows = [(i, "fine words here" if i % 3 else "you scum there", i % 3 == 0) for i in range(90)]
     labelled = spark.createDataFrame([(i, t, int(x)) for i, t, x in rows] + [(900, "scum", None)], "doc_id long, text string, toxic int")
-    out = scored(docs(spark, [(1, "SCUM!"), (2, "nice"), (3, None), (4, ""), (1, "SCUM!"), (None, "scum " * 4000)]), fit(labelled))
+    out = scored(docs(spark, [(1, "SCUM!"), (2, "nice"), (3, None), (4, ""), (1, "SCUM!"), (None, "scum " * 4000)]), fit(labelled, labelled))
     got = Counter((r.row.doc_id, r.predicted) for r in out.collect())
     assert got == {(1, 1): 2, (2, 0): 1, (3, 0): 1, (4, 0): 1, (None, 1): 1}
-    assert all(r.score == 0 for r in scored(docs(spark, [(1, "a"), (2, None)]), fit(labelled.limit(0))).collect())
+    assert all(r.score == 0 for r in scored(docs(spark, [(1, "a"), (2, None)]), fit(labelled, labelled.limit(0))).collect())
 
 
 def test_held_out_accuracy(spark):

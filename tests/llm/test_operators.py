@@ -237,7 +237,7 @@ def test_toxicity_neighbours_are_exact(spark):
         n = 0
         for c in sorted(range(len(keys)), key=lambda i: -cosine[i]):
             n += index.counts[c].sum()
-            if n > T.K:
+            if n >= T.K:
                 break
         want = {i for i in range(len(keys)) if cosine[i] >= cosine[c] - 1e-12 and cosine[i] > 0}
         assert set(entry.tolist()) == want and np.allclose(sorted(score, reverse=True), order[: len(want)])

@@ -1,13 +1,16 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by word-triple hashing.
 
-Texts are sequences of words (runs of letters and digits, lower case).  A seed
-is the hash of five words that a fixed mask picks out of nine neighbours, so a
-substituted word outside the picked places does not hide a hit.  Benchmark
-items give the seeds of all masks at every position, documents at every second
-position; both meet in an equi-join.  Every hit names a diagonal (document
-position minus item position).  Along it the words of both are compared: the
+Texts are sequences of words (runs of letters and digits, lower case).  The
 document leaks the item if some run of ``RUN`` item words (or the whole item,
-if shorter) has at least ``NEED`` of its words equal in place.
+if shorter) has at least ``NEED`` of ``RUN`` of its words equal in place.
+
+A seed is the hash of three neighbouring words; items and documents give the
+seeds of every position and meet in an equi-join.  No leak is lost by this: a
+run of 13 words has 3 substitutions at most, which leave 10 equal words in 4
+stretches, so that one stretch has 3 words.  Shorter items of 9 words and more
+tolerate 2 substitutions (7 equal words in 3 stretches) or have more words
+left.  Every hit names a diagonal (document position minus item position),
+along which the words of both are compared.
 
 Items of fewer than nine words have no seeds; they are joined by their first
 word, at every position of the documents, and verified alike.  Null or empty
@@ -20,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Places, out of nine, that each mask keeps.  Fixed values.
-MASKS = [(0, 1, 3, 4, 8), (0, 2, 3, 6, 7), (0, 1, 4, 6, 8)]
-SPAN, RUN, NEED, STRIDE = 9, 13, 10, 2
+#: Words of a seed; fixed by RUN and NEED, see above.
+SPAN = 3
+RUN, NEED = 13, 10
+#: Items of fewer words are found by their first word.
+SHORT = 9
 #: Seeds, and hits, that are broadcast at most; beyond these the joins shuffle.
 BROADCAST_SEEDS = 1_000_000
 
@@ -35,27 +40,23 @@ def _hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(h: Column, n: Column, stride: int) -> Column:
-    """(position, mask, hash) of all seeds; a text below the span gives one of all its words."""
-
-    def at(i: Column) -> Column:
-        return F.array(*[F.struct(i.alias("p"), F.xxhash64(F.lit(m), *[F.get(h, i + k) for k in mask]).alias("s")) for m, mask in enumerate(MASKS)])
-
-    many = F.flatten(F.transform(F.sequence(F.lit(0), n - SPAN, F.lit(stride)), at))
-    return F.when(n >= SPAN, many).otherwise(F.array().cast("array<struct<p:int,s:bigint>>"))
+def _seeds(h: Column, n: Column) -> Column:
+    """Hashes of the seeds at every position."""
+    every = F.transform(F.sequence(F.lit(0), n - SPAN), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SPAN)]))
+    return F.when(n >= SPAN, every).otherwise(F.array().cast("array<bigint>"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, item_words, doc_word (where the item begins; may be negative), n_equal, best_run of every leak."""
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), _hashes(F.col(f"`{item_text_col}`")).alias("b")).withColumn("nb", F.size("b")).where("nb > 0")
-    long = items.where(F.col("nb") >= SPAN).select("item_id", F.explode(_seeds(F.col("b"), F.col("nb"), 1)).alias("x")).select("item_id", F.col("x.p").alias("ip"), F.col("x.s").alias("s")).distinct()
+    long = items.where(F.col("nb") >= SHORT).select("item_id", F.posexplode(_seeds(F.col("b"), F.col("nb"))).alias("ip", "s")).distinct()
     few = long.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     hint = F.broadcast if few else (lambda df: df)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _hashes(F.col(f"`{text_col}`")).alias("h")).withColumn("n", F.size("h"))
-    spread = rows.where(F.col("n") >= SPAN).select("doc_id", "h", "n", F.explode(_seeds(F.col("h"), F.col("n"), STRIDE)).alias("x")).select("doc_id", "h", "n", F.col("x.p").alias("dp"), F.col("x.s").alias("s"))
+    spread = rows.where(F.col("n") >= SPAN).select("doc_id", "h", "n", F.posexplode(_seeds(F.col("h"), F.col("n"))).alias("dp", "s"))
     hits = spread.join(hint(long), "s").select("doc_id", "h", "n", "item_id", (F.col("dp") - F.col("ip")).alias("diagonal"))
     # short items: their first word, at every position
-    short = items.where(F.col("nb") < SPAN).select("item_id", F.get("b", F.lit(0)).alias("s"))
+    short = items.where(F.col("nb") < SHORT).select("item_id", F.get("b", F.lit(0)).alias("s"))
     if short.limit(1).count():
         first = rows.select("doc_id", "h", "n", F.posexplode("h").alias("dp", "s"))
         hits = hits.unionByName(first.join(hint(short), "s").select("doc_id", "h", "n", "item_id", F.col("dp").alias("diagonal")))

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, and their edge cases: nulls, empties, ties, repeats, clashing names."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -152,6 +153,54 @@ def test_decontamination(spark):
     assert leaks(docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def leaks_brute(rows, items):
+    """(doc, item) pairs by comparing the words of every item along every diagonal."""
+    out = set()
+    for j, t in rows:
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        for i, u in items:
+            b = re.findall(r"[^\W_]+", (u or "").lower())
+            run = min(13, len(b))
+            for d in range(-len(b), len(w) + 1) if b else ():
+                e = [0 <= d + q < len(w) and w[d + q] == b[q] for q in range(len(b))]
+                if max(sum(e[q : q + run]) for q in range(len(b) - run + 1)) * 13 >= 10 * run:
+                    out.add((j, i))
+                    break
+    return out
+
+
+def leak_cases(lengths, seed):
+    """Items of the given lengths; documents hold parts of them, with substitutions, at even and odd words."""
+    r = random.Random(seed)
+    w = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    items = [(i, " ".join(w(n))) for i, n in enumerate(lengths)]
+    rows = []
+    for _, text in items:
+        b = text.split()
+        for before in (0, 1, 4, 7):
+            for subs in range(5):
+                part = b[:]
+                for k in r.sample(range(len(b)), min(subs, len(b))):
+                    part[k] = "zz"
+                cut = r.choice([0, 0, 1, 2])
+                rows.append((len(rows), " ".join(w(before) + part[cut:] + w(r.choice([0, 3])))))
+    return rows, items
+
+
+def test_decontamination_recall(spark):
+    """Any substitution pattern that the rule accepts is found, at both parities."""
+    from quern.llm.decontaminate import leaks
+
+    rows, items = leak_cases([9, 10, 11, 12, 13, 13, 14, 15, 18, 30], 3)
+    # every pattern of three substitutions in 13 words, behind one word
+    b = items[4][1].split()
+    for bad in itertools.combinations(range(13), 3):
+        rows.append((len(rows), "k " + " ".join("zz" if k in bad else x for k, x in enumerate(b))))
+    want = leaks_brute(rows, items)
+    assert len(want) > 350
+    assert {(x.doc_id, x.item_id) for x in leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()} == want
+
+
 def test_url_rules(spark):
     from quern.llm.queries import RULES
     from quern.llm.url_filter import url_verdicts

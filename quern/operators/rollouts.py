@@ -56,9 +56,18 @@ def boxed_trim(pieces: Column) -> tuple[Column, Column, Column]:
     """
     text = F.array_join(pieces, "")
     end = first_boxed_line_end(text)
-    lengths = F.transform(pieces, lambda p: F.length(p))
-    sums = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    reach = F.array_position(F.transform(sums, lambda s: s >= end), F.lit(True)).cast("int")
+    # one fold with the end in its state: a lambda would evaluate it anew for every piece
+    reach = F.aggregate(
+        F.transform(pieces, lambda p: F.length(p)),
+        F.struct(end.alias("end"), F.lit(0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("reach")),
+        lambda a, x: F.struct(
+            a["end"].alias("end"),
+            (a["sum"] + x).alias("sum"),
+            (a["n"] + 1).alias("n"),
+            F.when((a["reach"] == 0) & (a["sum"] + x >= a["end"]), a["n"] + 1).otherwise(a["reach"]).alias("reach"),
+        ),
+        lambda a: a["reach"],
+    )
     kept = F.when(end.isNull() | (F.size(pieces) == 0), F.size(pieces)).otherwise(F.when(reach > 0, reach).otherwise(F.size(pieces)))
     return kept, kept < F.size(pieces), boxed_count(text)
 

@@ -77,10 +77,10 @@ def boxed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     k, n = F.col("doc_id") % 6, F.col("n_chars").cast("string")
     tail = F.when(k == 0, F.concat(F.lit("\n\\boxed{\\frac{1}{"), n, F.lit("}} done"))).when(k == 1, F.concat(F.lit("\nAnswer: "), n, F.lit(".\n"))).when(k == 2, F.concat(F.lit("\n#### "), n, F.lit("$"))).when(k == 3, F.concat(F.lit(" -"), n, F.lit(".5 end"))).when(k == 4, F.concat(F.lit("\\boxed{"), n)).otherwise(F.concat(F.lit("\n\\boxed { "), n, F.lit(" }\n\\boxed{}")))
-    return d.select("doc_id", F.concat(F.left("text", F.lit(80)), tail).alias("text"), n.alias("gold"), "n_chars")
+    return d.select("doc_id", F.concat("text", tail).alias("text"), n.alias("gold"), "n_chars")
 
 
-BOXED = """bx AS (SELECT doc_id, n_chars, n_chars::VARCHAR AS gold, left(text, 80) || CASE doc_id % 6 WHEN 0 THEN chr(10) || '\\boxed{\\frac{1}{' || n_chars || '}} done'
+BOXED = """bx AS (SELECT doc_id, n_chars, n_chars::VARCHAR AS gold, text || CASE doc_id % 6 WHEN 0 THEN chr(10) || '\\boxed{\\frac{1}{' || n_chars || '}} done'
   WHEN 1 THEN chr(10) || 'Answer: ' || n_chars || '.' || chr(10) WHEN 2 THEN chr(10) || '#### ' || n_chars || '$' WHEN 3 THEN ' -' || n_chars || '.5 end'
   WHEN 4 THEN '\\boxed{' || n_chars ELSE chr(10) || '\\boxed { ' || n_chars || ' }' || chr(10) || '\\boxed{}' END AS text FROM documents)"""
 

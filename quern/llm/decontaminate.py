@@ -4,30 +4,33 @@ Texts are sequences of words (runs of letters and digits, lower case).  The
 document leaks the item if some run of ``RUN`` item words (or the whole item,
 if shorter) has at least ``NEED`` of ``RUN`` of its words equal in place.
 
-A seed is the hash of three neighbouring words; items and documents give the
-seeds of every position and meet in an equi-join.  No leak is lost by this: a
-run of 13 words has 3 substitutions at most, which leave 10 equal words in 4
-stretches, so that one stretch has 3 words.  Shorter items of 9 words and more
-tolerate 2 substitutions (7 equal words in 3 stretches) or have more words
-left.  Every hit names a diagonal (document position minus item position),
-along which the words of both are compared.
-
-Items of fewer than nine words have no seeds; they are joined by their first
-word, at every position of the documents, and verified alike.  Null or empty
+A seed is the hash of the words that a mask picks out of neighbours; items and
+documents give the seeds of every position and meet in an equi-join.  No leak
+is lost by this.  Items of three words and more have the mask of three words in
+a row: a run of 13 words has 3 substitutions at most, which leave 10 equal
+words in 4 stretches, so that one stretch has 3 words; shorter items tolerate
+fewer (9 to 11 words: 2, 5 to 8: 1, below: none) and keep such a stretch too,
+but for five words with the third substituted, for which there is a mask that
+leaves it out.  Items of one or two words must be equal.  Documents give the
+seeds of those masks that some item has.  Every hit names a diagonal (document
+position minus item position), along which the words of both are compared;
+words of the item that stick out of the document count as substituted.
+
+Null or empty
 texts match nothing; null ids are carried.  Empty tables give empty results;
 repeated rows give their rows once.  DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a seed; fixed by RUN and NEED, see above.
-SPAN = 3
 RUN, NEED = 13, 10
-#: Items of fewer words are found by their first word.
-SHORT = 9
+#: Places that each mask keeps, and the least and largest number of words of its items; fixed by RUN and NEED, see above.
+MASKS = [((0, 1, 2), 3, None), ((0, 1, 3), 5, 5), ((0, 1), 2, 2), ((0,), 1, 1)]
 #: Seeds, and hits, that are broadcast at most; beyond these the joins shuffle.
 BROADCAST_SEEDS = 1_000_000
 
@@ -40,26 +43,30 @@ def _hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(h: Column, n: Column) -> Column:
-    """Hashes of the seeds at every position."""
-    every = F.transform(F.sequence(F.lit(0), n - SPAN), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SPAN)]))
-    return F.when(n >= SPAN, every).otherwise(F.array().cast("array<bigint>"))
+def _has(n: Column, least: int, most: int | None) -> Column:
+    return (n >= least) if most is None else n.between(least, most)
+
+
+def _seeds(rows: DataFrame, h: str, n: str, mask: tuple[int, ...], keep: list[str], place: str) -> DataFrame:
+    """The columns to keep, the place and hash ``s`` of a mask's seeds at every position."""
+    span = mask[-1] + 1
+    every = F.transform(F.sequence(F.lit(0), F.col(n) - span), lambda i: F.xxhash64(F.lit(len(mask) + span), *[F.get(h, i + k) for k in mask]))
+    return rows.where(F.col(n) >= span).select(*keep, F.posexplode(F.when(F.col(n) >= span, every)).alias(place, "s"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, item_words, doc_word (where the item begins; may be negative), n_equal, best_run of every leak."""
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), _hashes(F.col(f"`{item_text_col}`")).alias("b")).withColumn("nb", F.size("b")).where("nb > 0")
-    long = items.where(F.col("nb") >= SHORT).select("item_id", F.posexplode(_seeds(F.col("b"), F.col("nb"))).alias("ip", "s")).distinct()
-    few = long.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
+    flags = items.agg(*[F.coalesce(F.max(_has(F.col("nb"), least, most)), F.lit(False)) for _, least, most in MASKS]).first()
+    # the first mask stays for tables without items, so that there is always a plan
+    masks = [m for i, m in enumerate(MASKS) if flags[i] or i == 0]
+    parts = [_seeds(items.where(_has(F.col("nb"), least, most)), "b", "nb", mask, ["item_id"], "ip") for mask, least, most in masks]
+    seeds = reduce(DataFrame.unionByName, parts).distinct()
+    few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     hint = F.broadcast if few else (lambda df: df)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _hashes(F.col(f"`{text_col}`")).alias("h")).withColumn("n", F.size("h"))
-    spread = rows.where(F.col("n") >= SPAN).select("doc_id", "h", "n", F.posexplode(_seeds(F.col("h"), F.col("n"))).alias("dp", "s"))
-    hits = spread.join(hint(long), "s").select("doc_id", "h", "n", "item_id", (F.col("dp") - F.col("ip")).alias("diagonal"))
-    # short items: their first word, at every position
-    short = items.where(F.col("nb") < SHORT).select("item_id", F.get("b", F.lit(0)).alias("s"))
-    if short.limit(1).count():
-        first = rows.select("doc_id", "h", "n", F.posexplode("h").alias("dp", "s"))
-        hits = hits.unionByName(first.join(hint(short), "s").select("doc_id", "h", "n", "item_id", F.col("dp").alias("diagonal")))
+    spread = reduce(DataFrame.unionByName, [_seeds(rows, "h", "n", mask, ["doc_id", "h", "n"], "dp") for mask, _, _ in masks])
+    hits = spread.join(hint(seeds), "s").select("doc_id", "h", "n", "item_id", (F.col("dp") - F.col("ip")).alias("diagonal"))
     sized = hits.join(hint(items), "item_id")
     # the document's words along the diagonal, padded where the item sticks out of the document
     before = F.greatest(-F.col("diagonal"), F.lit(0))

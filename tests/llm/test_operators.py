@@ -201,6 +201,26 @@ def test_decontamination_recall(spark):
     assert {(x.doc_id, x.item_id) for x in leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()} == want
 
 
+def test_decontamination_of_short_items(spark):
+    """Items and documents of few words: any word that the rule tolerates may be substituted or cut off."""
+    from quern.llm.decontaminate import leaks
+
+    rows, items = leak_cases([1, 2, 3, 4, 5, 6, 7, 8, 8, 9], 5)
+    for _, text in items:
+        b = text.split()
+        for k in range(len(b)):
+            rows.append((len(rows), " ".join(b[:k] + ["zz"] + b[k + 1 :])))
+            rows.append((len(rows), " ".join(b[k:])))
+            rows.append((len(rows), " ".join(b[: k + 1])))
+    rows += [(len(rows) + i, t) for i, t in enumerate((None, "", "k", "k k"))]
+    want = leaks_brute(rows, items)
+    assert {i for _, i in want} == set(range(10))
+    for some in (items, items[:1], items[4:5], items[8:]):
+        ids = {i for i, _ in some}
+        got = {(x.doc_id, x.item_id) for x in leaks(docs(spark, rows), spark.createDataFrame(some, "item_id long, text string")).collect()}
+        assert got == {x for x in want if x[1] in ids}
+
+
 def test_url_rules(spark):
     from quern.llm.queries import RULES
     from quern.llm.url_filter import url_verdicts

@@ -305,9 +305,9 @@ def e23(spark, sf):
     return r6(evaluation.scores(g))
 
 
-@query("A11_D20_gaps", "WITH r AS (SELECT doc_id // 4 AS k, lang AS response FROM documents WHERE doc_id % 16 < 8) SELECT g.id AS example_id, count(response) AS n, coalesce(string_agg(response, ',' ORDER BY response), '') AS responses FROM (SELECT unnest(range(0, (SELECT max(k) FROM r) + 1)) AS id) g LEFT JOIN r ON r.k = g.id GROUP BY 1")
+@query("A11_D20_gaps", "WITH r AS (SELECT 2 * (doc_id // 4) AS k, text AS response FROM documents) SELECT g.id AS example_id, count(response) AS n, coalesce(string_agg(response, ',' ORDER BY response), '') AS responses FROM (SELECT unnest(range(0, (SELECT max(k) FROM r) + 1)) AS id) g LEFT JOIN r ON r.k = g.id GROUP BY 1")
 def a11(spark, sf):
-    d = read(spark, sf, "documents").where("doc_id % 16 < 8").select(F.floor(F.col("doc_id") / 4).alias("example_id"), F.col("lang").alias("response"))
+    d = read(spark, sf, "documents").select((2 * F.floor(F.col("doc_id") / 4)).alias("example_id"), F.col("text").alias("response"))
     return evaluation.with_gaps(d).select("example_id", F.size("responses").cast("long").alias("n"), F.array_join("responses", ",").alias("responses"))
 
 

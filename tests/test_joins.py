@@ -43,3 +43,15 @@ def test_two_stage_keeps_the_rule(spark):
     rule = spark.createDataFrame([(1, True), (2, False), (3, False)], "k int, ok boolean")
     model = spark.createDataFrame([(2, True), (1, False)], "k int, ok boolean")
     assert [r.ok for r in joins.two_stage(rule, model, ["k"]).orderBy("k").collect()] == [True, True, False]
+
+
+def test_gaps_query_groups_every_document(spark):
+    from conftest import SF
+
+    from quern.plans import registry
+
+    got = registry.queries()["A11_D20_gaps"](spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert sum(r.n for r in got) == len(docs) and {r.example_id for r in got} == set(range(max(r.example_id for r in got) + 1))
+    assert {r.example_id for r in got if r.n == 0} == set(range(1, len(got), 2))
+    assert "".join(sorted("".join(r.responses for r in got).replace(",", ""))) == "".join(sorted("".join(d.text for d in docs).replace(",", "")))

@@ -24,9 +24,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document, that of the smallest id, of each group of near duplicates.
+
+    An id may have several texts; these are then documents of their own, and of
+    linked ones with the same id that of the least hash stays.  Of rows with
+    equal id and text the least in the order of the other columns stays.
+    """
+    named = docs.where("doc_id is not null")
+    mark = F.xxhash64("doc_id", "text")
+    several = named.groupBy("doc_id").agg((F.min(mark) != F.max(mark)).alias("more")).where("more")
+    if several.limit(1).count():
+        own = named.select("doc_id", "text", mark.alias("row"))
+        found = near_duplicates(own.select("row", "text").distinct(), "row", "text").select(F.col("doc_id").alias("row"), "component_id")
+        kept = own.select("doc_id", "row").distinct().join(found, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least")).select("least.row")
+        one = named.withColumn("__row", mark).join(kept.withColumnRenamed("row", "__row"), "__row", "left_semi")
+    else:
+        kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
+        one = named.join(kept, "doc_id", "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    one = one.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__0"), *others)).alias("__r")).select(*[c if c in ("doc_id", "text") else F.col(f"__r.`{c}`") for c in docs.columns])
     return one.unionByName(docs.where("doc_id is null"))
 
 

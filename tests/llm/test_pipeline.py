@@ -27,3 +27,14 @@ def test_stages_on_odd_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_near_dedup_of_ids_with_several_texts(spark):
+    a, b, c = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
+    # 5 has a copy of 1's text, two texts of its own, and one of these twice with other columns
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, c, "de", "s", 1), (5, c, "en", "s", 1), (6, b, "en", "s", 1), (7, None, "en", "s", 0), (7, "", "en", "s", 0), (None, a, "en", "s", 1)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        got = P.near_dedup(spark, docs, SF)
+        assert got.columns == docs.columns
+        assert sorted(((r.doc_id or -1), r.text or "", r.lang) for r in got.collect()) == [(-1, a, "en"), (1, a, "en"), (5, b, "en"), (5, c, "de"), (7, "", "en"), (7, "", "en")]

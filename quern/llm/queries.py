@@ -75,13 +75,34 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+#: Labels that are broadcast at most; more of them meet the documents in a shuffle.
+BROADCAST_LABELS = 2_000_000
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches and a compaction.
+
+    All documents come in; those labelled toxic go again; those labelled of low
+    quality move to the source ``low`` with blanks trimmed; the batch of toxic
+    ones is sent a second time, which changes nothing.
+    """
     from quern.llm.scratch import Scratch
     from quern.llm.token_counts import Rollup, deltas, signed
 
     rollup = Rollup(spark, Scratch(spark).folder)
-    batch = _read(spark, sf_dir, "documents").select(F.lit("insert").alias("op"), "source", "lang", "text")
-    rollup.commit("documents", deltas(signed(batch)))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = _read(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    if labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        labels = F.broadcast(labels)
+    marked = docs.join(labels, "doc_id")
+    toxic = marked.where("toxic = 1").select(F.lit("delete").alias("op"), "source", "lang", "text")
+    old = [F.col(c).alias(f"old_{c}") for c in ("source", "lang", "text")]
+    low = marked.where("quality = 0 and coalesce(toxic, 0) <> 1").select(F.lit("revise").alias("op"), F.lit("low").alias("source"), "lang", F.trim("text").alias("text"), *old)
+    rollup.commit("arrivals", deltas(signed(docs.select(F.lit("insert").alias("op"), "source", "lang", "text"))))
+    rollup.commit("toxic", deltas(signed(toxic)))
+    rollup.commit("low", deltas(signed(low)))
+    rollup.commit("toxic", deltas(signed(toxic)))
+    rollup.compact()
     return rollup.totals()
 
 

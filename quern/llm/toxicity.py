@@ -1,26 +1,31 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled documents (``EXAMPLES``, those with
-the least hash of their id).  The index holds the words that toxic examples have
-more often than chance allows (no more than ``FALSE`` words are expected to get
-in by chance, ``TERMS`` at most), weighted by TF-IDF, in an inverted index of blocks of examples with the largest weight of
-each word in each block.  For a document the blocks are visited by falling
-upper bound until no block can still reach the ``K`` best: the neighbours are
-exact.  Examples with equal vectors are one entry with counts of both labels,
-so ties are whole.  Votes are weighted by 1 / (distance + ``NEAR``) and drawn
-to the base rate by ``PRIOR`` votes, which keeps few or distant neighbours from
-giving certain scores.
+Examples are a bounded sample of the labelled documents: of each label the
+``EXAMPLES`` ids with the least hash, as long as their distinct words are no
+more than ``POSTINGS`` in all.  Every word of their texts is a term.  Its weight
+is its TF-IDF times ``FLOOR`` plus how far, in standard deviations drawn in by
+``DRAWN``, toxic examples have it above their rate: no word is left out, but
+words that go with the label count more.  Where the sample has one label's
+examples more often than the corpus, their counts and votes are scaled back.
+
+The inverted index keeps the examples of a term in blocks of ``BLOCK`` with the
+largest weight in each.  For a document the blocks are visited by falling upper
+bound until no block can still reach the ``K`` best: the neighbours are exact,
+and those that tie with the last are all taken.  Votes are weighted by
+1 / (distance + ``NEAR``) and drawn to the base rate by ``PRIOR`` votes, which
+keeps few or distant neighbours from giving certain scores.
 
 The index and its size are bounded by these parameters, whatever the corpus;
 every document is scored from its whole text.  Texts that are null, empty or
-without any indexed word get the rate of such examples.  Labels of null are no
-examples; ids that repeat among labels count each time.  Without examples the
-score is 0.  Evidence lists the ids of the nearest examples.
+without any word of the examples get the rate of such examples.  Labels of null
+are no examples; an id that is labelled several times is one example, toxic if
+any of its labels says so, and of documents that share its id the text with the
+least hash is taken.  Without examples the score is 0.  Evidence lists the ids of the
+nearest examples.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +39,10 @@ from pyspark.sql import types as T
 from quern.llm.scratch import Scratch
 from quern.session import ship
 
-EXAMPLES, TERMS, FALSE, K, BLOCK, NEAR, PRIOR, EVIDENCE = 20_000, 2_000, 0.5, 15, 64, 0.05, 1.0, 3
+#: Examples of a label, and distinct words of all of them, that the index may hold.
+EXAMPLES, POSTINGS = 2_000, 2_000_000
+K, BLOCK, NEAR, PRIOR, EVIDENCE = 15, 64, 0.05, 1.0, 3
+FLOOR, DRAWN = 0.02, 8.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -42,158 +50,168 @@ def terms(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def held(text: str | None, known) -> Counter:
-    """Counts of the words of a text that are in ``known``."""
-    return Counter([w for w in terms(text) if w in known])
-
-
-def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen: dict[str, list[int]] = {}
-        for text, label in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            for t in set(terms(text.as_py())):
-                seen.setdefault(t, [0, 0])[label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["term", "clean", "toxic"])
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges from start to end, one after the other."""
+    size = end - start
+    at = np.cumsum(size)
+    total = int(at[-1]) if len(at) else 0
+    return np.arange(total) + np.repeat(start - at + size, size)
 
 
 class Index:
-    """Entries (distinct vectors of examples) by block, with the largest weight of each term in each."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], rate: float):
-        self.number = {t: i for i, t in enumerate(idf)}
-        self.idf = np.array(list(idf.values()))
-        self.rate = rate
-        grouped: dict[tuple, list] = {}
-        for doc, label, counts in examples:
-            key = tuple(sorted((self.number[t], n) for t, n in counts.items()))
-            entry = grouped.setdefault(key, [0, 0, []])
-            entry[label] += 1
-            if len(entry[2]) < EVIDENCE:
-                entry[2].append(doc)
-        none = grouped.pop((), [0, 0, []])
-        self.bare = (none[1] + rate) / (none[0] + none[1] + 1)
-        keys = sorted(grouped)  # entries that share terms stand in the same blocks
-        self.counts = np.array([grouped[k][:2] for k in keys], float).reshape(-1, 2)
-        self.docs = [grouped[k][2] for k in keys]
-        self.blocks = -(-len(keys) // BLOCK)
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        rows: dict[int, list[tuple[int, float]]] = {}
-        for e, k in enumerate(keys):
-            w = self.weights(k)
-            for (t, _), x in zip(k, w.tolist(), strict=True):
-                rows.setdefault(t, []).append((e, x))
-        self.most: dict[int, np.ndarray] = {}
-        for t, got in rows.items():
-            at, w = np.array([x[0] for x in got]), np.array([x[1] for x in got])
-            self.postings[t] = (at, w)
-            self.most[t] = np.zeros(self.blocks)
-            np.maximum.at(self.most[t], at // BLOCK, w)
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
-
-    def weights(self, key: tuple) -> np.ndarray:
-        w = np.array([(1 + math.log(n)) * self.idf[t] for t, n in key])
-        return w / math.sqrt(float(w @ w))
-
-    def neighbours(self, key: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and cosines of the ``K`` nearest examples or more, where ties or an entry's copies go beyond."""
-        q = self.weights(key)
-        bound = np.zeros(self.blocks)
-        parts = [(w, t) for (t, _), w in zip(key, q.tolist(), strict=True) if t in self.postings]
-        for w, t in parts:
-            bound += w * self.most[t]
+    """Examples in an inverted index of blocks, with the largest weight of each term in each block."""
+
+    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], shares: tuple[float, float] = (1.0, 1.0)):
+        """``examples``: (id, label, counts of terms); ``shares``: what an example of label 0, and 1, counts."""
+        label = np.array([e[1] for e in examples], int)
+        worth = np.array(shares, float)[label] if len(label) else np.zeros(0)
+        total = float(worth.sum())
+        self.rate = float(worth[label == 1].sum()) / total if total else 0.0
+        self.number = {t: i for i, t in enumerate(sorted({t for e in examples for t in e[2]}))}
+        size = np.array([len(e[2]) for e in examples], int)
+        row = np.repeat(np.arange(len(examples)), size)
+        term = np.array([self.number[t] for e in examples for t in e[2]], int)
+        n = np.array([x for e in examples for x in e[2].values()], float)
+        have, toxic = (np.bincount(term, w, len(self.number)) for w in (worth[row], (worth * label)[row]))
+        # the usual inverse frequency, and how much more often toxic examples have the term than their rate says
+        excess = (toxic - have * self.rate) / np.sqrt(have * self.rate * (1 - self.rate) + DRAWN)
+        self.weight = (np.log((1 + total) / (1 + have)) + 1) * (FLOOR + np.maximum(0, excess))
+        w = (1 + np.log(n)) * self.weight[term]
+        norm = np.sqrt(np.bincount(row, w * w, len(examples)))
+        w = w / np.maximum(norm, 1e-300)[row]
+        bare = size == 0
+        self.bare = (float((worth * label)[bare].sum()) + self.rate) / (float(worth[bare].sum()) + 1)
+        # examples with the same heaviest term stand in the same blocks
+        o = np.lexsort((-w, row))
+        first = np.zeros(len(examples), int)
+        heads = o[np.append(True, row[o][1:] != row[o][:-1])] if len(o) else o
+        first[row[heads]] = term[heads]
+        ids = np.array([e[0] for e in examples], np.int64)
+        order = np.lexsort((ids, first, label))
+        order = order[~bare[order]]
+        place = np.zeros(len(examples), int)
+        place[order] = np.arange(len(order))
+        self.ids, self.label, self.worth = ids[order], label[order], worth[order]
+        self.blocks = -(-len(order) // BLOCK)
+        # postings by term and example; the rows of a term's blocks point into them
+        entry = place[row]
+        o = np.lexsort((entry, term))
+        self.entry, self.w, term = entry[o].astype(np.int32), w[o], term[o]
+        block = self.entry // BLOCK
+        new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])) if len(o) else np.zeros(0, bool)
+        self.start = np.flatnonzero(new)
+        self.end = np.append(self.start[1:], len(o))
+        self.block = block[self.start]
+        self.most = np.maximum.reduceat(self.w, self.start) if len(o) else self.w
+        self.row = np.searchsorted(term[self.start], np.arange(len(self.number) + 1))
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of a text's terms that the examples have, of length one."""
+        counts = Counter(terms(text))
+        known = [(i, n) for t, n in counts.items() if (i := self.number.get(t)) is not None]
+        if not known:
+            return np.zeros(0, int), np.zeros(0)
+        at, n = np.array(known).T
+        w = (1 + np.log(n)) * self.weight[at]
+        return at, w / np.sqrt(w @ w)
+
+    def neighbours(self, at: np.ndarray, q: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines of the ``K`` nearest and of those that tie with the last; ``own`` is an id to leave out."""
+        first, last = self.row[at], self.row[at + 1]
+        rows, weight = _ranges(first, last), np.repeat(q, last - first)
+        block = self.block[rows]
+        bound = np.bincount(block, weight * self.most[rows], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        got: list[tuple[np.ndarray, np.ndarray]] = []
-        kth, i = 0.0, 0
+        score, kth, i, step = np.zeros(self.blocks * BLOCK), 0.0, 0, 4
+        if own is not None:
+            left = np.flatnonzero(self.ids == own)
         while i < len(order) and bound[order[i]] > 0 and bound[order[i]] >= kth - 1e-12:
-            take = order[i : i + 4]
-            i += 4
-            for b in take.tolist():
-                score = np.zeros(BLOCK)
-                for w, t in parts:
-                    at, x = self.postings[t]
-                    lo, hi = np.searchsorted(at, (b * BLOCK, (b + 1) * BLOCK))
-                    score[at[lo:hi] - b * BLOCK] += w * x[lo:hi]
-                hit = np.flatnonzero(score > 0)
-                got.append((hit + b * BLOCK, score[hit]))
-            entry, score = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            o = np.lexsort((entry, -score))
-            entry, score = entry[o], score[o]
-            enough = np.searchsorted(np.cumsum(self.counts[entry].sum(axis=1)), K)
-            kth = score[enough] if enough < len(score) else 0.0
-            got = [(entry[score >= kth - 1e-12], score[score >= kth - 1e-12])]
-        return got[0] if got else (np.zeros(0, int), np.zeros(0))
-
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        key = tuple(sorted((self.number[t], n) for t, n in held(text, self.number).items()))
-        if not key:
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[i : i + step]] = True
+            i, step = i + step, 2 * step
+            some = chosen[block]
+            a, b = self.start[rows[some]], self.end[rows[some]]
+            hit = _ranges(a, b)
+            score += np.bincount(self.entry[hit], np.repeat(weight[some], b - a) * self.w[hit], len(score))
+            if own is not None:
+                score[left] = 0
+            kth = max(0.0, np.partition(score, -K)[-K]) if len(score) >= K else 0.0
+        found = np.flatnonzero((score >= kth - 1e-12) & (score > 0))
+        found = found[np.lexsort((self.ids[found], -score[found]))]
+        return found, score[found]
+
+    def score(self, text: str | None, own: int | None = None) -> tuple[float, list[int]]:
+        at, q = self.vector(text)
+        if not len(at):
             return self.bare, []
-        if key not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            entry, cosine = self.neighbours(key)
-            vote = 1 / (np.maximum(0, 1 - cosine) + NEAR)
-            clean, toxic = (float((vote * self.counts[entry, j]).sum()) for j in (0, 1))
-            some = PRIOR / (1 + NEAR)
-            docs = [d for e in entry[:EVIDENCE].tolist() for d in self.docs[e]][:EVIDENCE]
-            self.known[key] = (toxic + some * self.rate) / (clean + toxic + some), docs
-        return self.known[key]
-
-
-def tail(k: int, n: int, p: float) -> float:
-    """Probability of ``k`` hits or more in ``n`` draws."""
-    if p <= 0 or p >= 1:
-        return 1.0
-    total, last = 0.0, 0.0
-    for i in range(k, n + 1):
-        x = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
-        total += x
-        if x < last and x < 1e-12 * total:
-            break
-        last = x
-    return min(1.0, total)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Index:
-    """The index of a bounded sample of ``labels`` (id, label 0 or 1) and the texts of ``docs`` with their ids."""
-    keep = Scratch(docs.sparkSession)
-    marked = labels.where(F.col(f"`{label_col}`").isin(0, 1)).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null")
-    # at most ``examples`` rows, so they can go to every task and no text is shuffled
-    chosen = keep.table(marked.orderBy(F.xxhash64("id"), "id", "label").limit(examples), "chosen")
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sample = keep.table(texts.join(F.broadcast(chosen), "id").select("id", "text", "label"), "sample")
-    both = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    n0, n1 = both.get(0, 0), both.get(1, 0)
-    rate = n1 / (n0 + n1) if n0 + n1 else 0.0
-    seen = sample.mapInArrow(_presence, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where("c + t >= 4")
-    # words that toxic examples have more often than their rate; rough order first, then the exact tail
-    a, n = F.col("t").cast("double"), (F.col("t") + F.col("c")).cast("double")
-    excess = (a - n * rate) / F.sqrt(n)
-    words = seen.count()
-    likely = seen.withColumn("excess", excess).where(F.col("excess") > 0).orderBy(F.desc("excess"), "term").limit(5 * TERMS).collect()
-    best = [r for r in likely if tail(r.t, r.t + r.c, rate) * words < FALSE][:TERMS]
-    idf = {r.term: math.log((1 + n0 + n1) / (1 + r.c + r.t)) + 1 for r in sorted(best, key=lambda r: r.term)}
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [held(x.as_py(), idf) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], names=["id", "label", "term", "n"])
+        near, cosine = self.neighbours(at, q, own)
+        vote = self.worth[near] / (np.maximum(0, 1 - cosine) + NEAR)
+        some = PRIOR / (1 + NEAR)
+        toxic = float(vote[self.label[near] == 1].sum())
+        return (toxic + some * self.rate) / (float(vote.sum()) + some), self.ids[near[:EVIDENCE]].tolist()
 
-    got = sample.mapInArrow(vectors, "id long, label int, term array<string>, n array<long>").collect()
-    examples_of = [(r.id, r.label, dict(zip(r.term, r.n, strict=True))) for r in sorted(got, key=lambda r: (r.id is None, r.id or 0, r.label))]
-    return Index(idf, examples_of, rate)
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [Counter(terms(x.as_py())) for x in batch.column(2)]
+        words = pa.array([list(c) for c in counts], pa.list_(pa.string()))
+        n = pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
+        size = pa.array([len(c) for c in counts], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, n, size], names=["id", "label", "term", "n", "size"])
 
 
-def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``row`` (a struct of all of the input's columns), score, predicted, evidence."""
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES
+) -> Index:
+    """The index of a bounded sample of ``labels`` (id, label 0 or 1) and the texts of ``docs`` with their ids."""
+    keep = Scratch(docs.sparkSession)
+    mark = F.col(f"`{label_col}`")
+    marked = labels.where(mark.isin(0, 1)).select(F.col(f"`{id_col}`").cast("long").alias("id"), mark.cast("int").alias("label"))
+    marked = marked.where("id is not null").groupBy("id").agg(F.max("label").alias("label"))
+    marked = keep.table(marked, "marked")
+    known = {r[0]: r[1] for r in marked.groupBy("label").count().collect()}
+    # at most ``examples`` rows of a label, so they can go to every task and no text is shuffled
+    least = [marked.where(F.col("label") == x).orderBy(F.xxhash64("id"), "id").limit(examples) for x in (0, 1)]
+    chosen = F.broadcast(keep.table(least[0].unionByName(least[1]), "chosen"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = texts.join(chosen, "id").groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = keep.table(found.mapInArrow(_counted, "id long, label int, term array<string>, n array<long>, size long"), "sample")
+    held = {0: [], 1: []}
+    for r in sorted(sample.select("id", "label", "size", F.xxhash64("id").alias("h")).collect(), key=lambda r: (r.h, r.id)):
+        held[r.label].append((r.id, r.size))
+    kept: list[int] = []
+    for rows in held.values():
+        room = np.cumsum([n for _, n in rows]) <= POSTINGS // 2 if rows else []
+        kept += [i for (i, _), fits in zip(rows, room, strict=True) if fits]
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in kept], "id long")
+    got = sample.join(F.broadcast(wanted), "id").select("id", "label", "term", "n").collect()
+    counts = Counter(r.label for r in got)
+    every, total = sum(known.get(x, 0) for x in counts), len(got)
+    shares = [known.get(x, 0) / every * total / counts[x] if counts[x] else 1.0 for x in (0, 1)]
+    return Index([(r.id, r.label, dict(zip(r.term, r.n, strict=True))) for r in sorted(got, key=lambda r: r.id)], tuple(shares))
+
+
+def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", leave_own: bool = False) -> DataFrame:
+    """``row`` (a struct of all of the input's columns), score, predicted, evidence.
+
+    With ``leave_own`` a document that is an example itself does not vote on itself.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the parameters above
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    own = F.col(f"`{id_col}`").cast("long") if leave_own else F.lit(None).cast("long")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), own.alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            got = [known.score(x.as_py()) for x in batch.column(1)]
+            got = [known.score(x.as_py(), i) for x, i in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
             score = np.array([g[0] for g in got], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([g[1] for g in got], pa.list_(pa.int64()))], names=["row", "score", "predicted", "evidence"])
-
-    return row.mapInArrow(run, row.select("row").schema.add("score", "double").add("predicted", "integer").add("evidence", T.ArrayType(T.LongType())))
+            evidence = pa.array([g[1] for g in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), evidence],
+                names=["row", "score", "predicted", "evidence"],
+            )
+
+    kind = rows.select("row").schema.add("score", "double").add("predicted", "integer")
+    return rows.mapInArrow(run, kind.add("evidence", T.ArrayType(T.LongType())))

@@ -102,9 +102,9 @@ def components_brute(pairs):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize(("node", "middle", "one_task"), [(256, 2048, 300_000), (2, 4, 0)])
-def test_near_duplicates(spark, monkeypatch, node, middle, one_task):
-    for k, v in {"NODE": node, "MIDDLE": middle, "BLOCK": 8, "PIVOTS": 2, "DEPTH": 1}.items():
+@pytest.mark.parametrize(("block", "weight", "one_task"), [(2048, 4_000_000, 300_000), (4, 40, 0)])
+def test_near_duplicates(spark, monkeypatch, block, weight, one_task):
+    for k, v in {"BLOCK": block, "WEIGHT": weight, "PIVOTS": 2, "LEVELS": 2}.items():
         monkeypatch.setattr(M, k, v)
     monkeypatch.setattr(CC, "ONE_TASK", one_task)
     pairs = corpus(3)
@@ -238,8 +238,8 @@ def test_url_rules(spark):
 def test_token_rollup(spark, tmp_path):
     from quern.llm.token_counts import Rollup, deltas, signed
 
-    schema = "op string, source string, lang string, text string, old_source string, old_lang string, old_text string"
-    batch = lambda rows: deltas(signed(spark.createDataFrame(rows, schema)), ("words-1",))
+    schema = "op string, source string, lang string, text string, old_source string, old_lang string, old_text string, tokens long"
+    batch = lambda rows: deltas(signed(spark.createDataFrame([(*r, 5) for r in rows], schema)), ("words-1",))
     rollup = Rollup(spark, str(tmp_path))
     assert rollup.totals().count() == 0
     first = batch([("insert", "a", "en", "one two", None, None, None), ("insert", "a", "en", None, None, None, None), ("insert", None, "de", "x", None, None, None)])
@@ -247,69 +247,214 @@ def test_token_rollup(spark, tmp_path):
     rollup.commit("b2", batch([("revise", "a", "en", "one two three", "a", "en", "one two"), ("delete", None, "de", "x", None, None, None)]))
     want = [("a", "en", "words-1", 2, 3, 13)]
     assert [tuple(r) for r in rollup.totals().collect()] == want
-    rollup.compact()
-    assert [tuple(r) for r in rollup.totals().collect()] == want and not rollup.commit("b1", first)
+    for _ in range(3):
+        assert rollup.compact()
+        assert [tuple(r) for r in rollup.totals().collect()] == want and not rollup.commit("b1", first)
     rollup.commit("b3", batch([]))
     assert [tuple(r) for r in rollup.totals().collect()] == want
+    assert len(list((tmp_path / "data").iterdir())) <= 5
+
+
+def test_token_rollup_survives_a_loss_at_every_step(spark, tmp_path, monkeypatch):
+    """Every file operation in turn fails; a new writer runs the same batches again and gets the same totals."""
+    from quern.llm.token_counts import Rollup, deltas, signed
+
+    class Lost(Exception):
+        pass
+
+    rows = [("insert", "a", "en", "one two"), ("insert", "b", "en", "x")]
+    first = deltas(signed(spark.createDataFrame(rows, "op string, source string, lang string, text string")), ("words-1",)).cache()
+    more = first.where("source = 'a'")
+    steps = ("_write", "_publish", "vacuum", "manifest")
+    plain = {name: getattr(Rollup, name) for name in steps}
+    for n in itertools.count():
+        done = 0
+
+        def lose(name, after, n=n):
+            def run(self, *args):
+                nonlocal done
+                out = plain[name](self, *args) if after else None
+                done += 1
+                if done - 1 == n:
+                    raise Lost
+                return out if after else plain[name](self, *args)
+
+            return run
+
+        work = lambda r: (r.commit("b1", first), r.commit("b2", more), r.compact())
+        for after in (False, True):
+            folder, done = str(tmp_path / f"{n}-{after}"), 0
+            for name in steps:
+                monkeypatch.setattr(Rollup, name, lose(name, after))
+            try:
+                work(Rollup(spark, folder))
+                ended = True
+            except Lost:
+                ended = False
+            for name in steps:
+                monkeypatch.setattr(Rollup, name, plain[name])
+            again = Rollup(spark, folder)
+            work(again)
+            assert {tuple(r) for r in again.totals().collect()} == {("a", "en", "words-1", 2, 4, 14), ("b", "en", "words-1", 1, 1, 1)}
+        if ended:
+            break
+    assert n > 8
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    from quern.llm.token_counts import Rollup
+
+    one, two = Rollup(spark, str(tmp_path)), Rollup(spark, str(tmp_path))
+    manifest = {"version": 1, "tables": [], "batches": ["x"], "held": None}
+    assert one._publish(manifest) and not two._publish(manifest | {"batches": ["y"]})
+    assert two.manifest()["batches"] == ["x"]
+
+
+def named_model():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_token_counts_of_documents(spark):
     from conftest import SF
-    from tokenizers import Tokenizer
 
     from quern.llm.queries import op5_token_counts
 
     got = {(r.source, r.lang, r.tokenizer): (r.documents, r.tokens, r.bytes) for r in op5_token_counts(spark, SF).collect()}
-    import public_tokenizers
-
-    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
-    want = {}
+    model, want = named_model(), {}
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
-        for version, n in (("byte_bpe_50k.tiktoken", len(model.encode(r.text, add_special_tokens=False).ids)), ("words-1", len(WORD.findall(r.text)))):
-            x = want.setdefault((r.source, r.lang, version), [0, 0, 0])
+        label, text, source = labels.get(r.doc_id), r.text, r.source
+        if label and label.toxic == 1:
+            continue
+        if label and label.quality == 0:
+            text, source = text.strip(" "), "low"
+        for version, n in (("byte_bpe_50k.tiktoken", len(model.encode(text, add_special_tokens=False).ids)), ("words-1", len(WORD.findall(text)))):
+            x = want.setdefault((source, r.lang, version), [0, 0, 0])
             x[0] += 1
             x[1] += n
-            x[2] += len(r.text.encode())
+            x[2] += len(text.encode())
     assert got == {k: tuple(v) for k, v in want.items()}
 
 
-def test_ids_equal_those_of_the_named_tokenizer():
-    import public_tokenizers
-    from tokenizers import Tokenizer
+SPACES = " \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2003\u2028\u3000\u180e\u200b"
+
+
+def test_ids_equal_those_of_the_named_tokenizer(monkeypatch):
+    from quern.llm import tokens
 
+    model, r = named_model(), random.Random(1)
+    texts = ["", " ", "  a  b\n\n c", "don't 's  'll", "<|endoftext|> x", "a <|endoftext|> b", "a  <|endoftext|><|endoftext|>", "<|endoftext", "\u3000\u00a0\u00e9\u0301 \u00df\u65e5\u672c", "\t\r\n", "a" * 5000, "0123456789" * 50, "\x00\x1f\U0001f642", "A,B;c--!!?"]
+    letters = list(SPACES * 2 + "abcXYZ'stremlvd0123.,!?<|>\u00e9\u65e5\u00df\U0001f642\u00bd")
+    for _ in range(500):
+        texts.append("".join(r.choice(letters) for _ in range(r.randint(0, 80))))
+        texts.append(texts[-1][:9] + "<|endoftext|>" + texts[-1][9:])
+    for run in (20_000, 3):  # the second cuts at every run of three
+        monkeypatch.setattr(tokens, "RUN", run)
+        monkeypatch.setattr(tokens, "_RUNS", re.compile(tokens._RUNS.pattern.replace("20000", str(run)).replace("{3,}", f"{{{run},}}")))
+        ids = tokens.Ids(tokens.vocabulary())
+        for t in texts:
+            want = model.encode(t, add_special_tokens=False).ids
+            assert ids(t).tolist() == want and ids.count(t) == len(want)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", " \n", "a", "1", "!", "\u4e2d", "\xa0"])
+def test_ids_of_very_long_texts(unit):
     from quern.llm.tokens import ids_of
 
-    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
-    for t in ["", " ", "  a  b\n\n c", "don't 's  'll", "<|endoftext|> x", "\u3000\u00a0é\u0301 ß日本", "\t\r\n", "a" * 5000, "0123456789" * 50, "\x00\x1f🙂🙂", "A,B;c--!!?"]:
-        assert ids_of()(t).tolist() == model.encode(t, add_special_tokens=False).ids
+    text = "x y" + unit * (5_000_000 // len(unit.encode())) + "end"
+    assert ids_of()(text).tolist() == named_model().encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_texts(spark):
+    """Runs of one character of a million and more go through counting, packing, scoring and language."""
+    from quern.llm.language import fit, identified
+    from quern.llm.packing_bins import pack_sequences
+    from quern.llm.token_counts import deltas, signed
+    from quern.llm.toxicity import fit as learn
+    from quern.llm.toxicity import scored
+
+    rows = [(1, " " * 1_000_000), (2, "a" * 1_000_000), (3, "scum " * 200_000), (4, "\n" * 2_000_000 + "x")]
+    table, model = docs(spark, rows), named_model()
+    counts = {i: len(model.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    batch = table.select(F.lit("insert").alias("op"), F.col("doc_id").cast("string").alias("source"), F.lit("en").alias("lang"), "text")
+    assert {int(r.source): r.tokens for r in deltas(signed(batch), ("byte_bpe_50k.tiktoken",)).collect()} == counts
+    assert {r[0]: r[1] for r in pack_sequences(table).groupBy("doc_id").agg(F.sum("length")).collect()} == {i: n + 1 for i, n in counts.items()}
+    train = spark.createDataFrame([(i, "you scum" if i % 2 else "fine words", "en", i % 2) for i in range(40)], "doc_id long, text string, lang string, toxic int")
+    assert {r.row.doc_id: r.predicted for r in scored(table, learn(train, train)).collect()}[3] == 1
+    assert {r.doc_id: r.lang_pred for r in identified(table, fit(train)).collect()} == {1: "und", 2: "en", 3: "en", 4: "en"}
+
+
+def toxicity_brute(rows, examples, own=False):
+    """Scores by all cosines, from the definitions; ``examples``: (id, label, text) of one label rate."""
+    import math
 
+    from quern.llm import toxicity as T
+
+    words = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    held = [(i, y, words(t)) for i, y, t in examples]
+    n, rate = len(held), sum(y for _, y, _ in held) / len(held)
+    weight = {}
+    for t in {t for _, _, c in held for t in c}:
+        have, toxic = sum(t in c for _, _, c in held), sum(t in c for _, y, c in held if y)
+        excess = max(0, (toxic - have * rate) / math.sqrt(have * rate * (1 - rate) + T.DRAWN))
+        weight[t] = (math.log((1 + n) / (1 + have)) + 1) * (T.FLOOR + excess)
+
+    def vector(c):
+        v = {t: (1 + math.log(k)) * weight[t] for t, k in c.items() if t in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = [(i, y, vector(c)) for i, y, c in held if c]
+    none = [y for _, y, c in held if not c]
+    out = []
+    for doc, text in rows:
+        q = vector(words(text))
+        if not q:
+            out.append((sum(none) + rate) / (len(none) + 1))
+            continue
+        near = sorted(((sum(x * v.get(t, 0) for t, x in q.items()), y) for i, y, v in vectors if not (own and i == doc)), reverse=True)
+        near = [x for x in near if x[0] > 0 and x[0] >= near[min(T.K, len(near)) - 1][0] - 1e-12]
+        vote = [(1 / (max(0, 1 - c) + T.NEAR), y) for c, y in near]
+        some = T.PRIOR / (1 + T.NEAR)
+        out.append((sum(v for v, y in vote if y) + some * rate) / (sum(v for v, _ in vote) + some))
+    return out
 
-def test_toxicity_neighbours_are_exact(spark):
+
+@pytest.mark.parametrize("own", [False, True])
+@pytest.mark.parametrize("block", [64, 3])
+def test_toxicity_is_exact(spark, monkeypatch, block, own):
+    """The whole operator, choice of terms included, against all cosines."""
     from quern.llm import toxicity as T
 
+    monkeypatch.setattr(T, "BLOCK", block)
     r = random.Random(4)
-    vocab = [f"t{chr(97 + i)}" for i in range(12)]
-    examples = [(i, r.randrange(2), dict(Counter(r.choice(vocab) for _ in range(r.randint(0, 5))))) for i in range(400)]
-    index = T.Index({v: 1 + i / 5 for i, v in enumerate(vocab)}, examples, 0.5)
-    keys = sorted({tuple(sorted((index.number[t], n) for t, n in c.items())) for _, _, c in examples} - {()})
-    w = np.zeros((len(keys), 12))
-    for i, k in enumerate(keys):
-        w[i, [t for t, _ in k]] = index.weights(k)
-    for key in keys[::7] + [((0, 1), (3, 4))]:
-        q = np.zeros(12)
-        q[[t for t, _ in key]] = index.weights(key)
-        cosine = w @ q
-        order = sorted(cosine[cosine > 0], reverse=True)
-        entry, score = index.neighbours(key)
-        n = 0
-        for c in sorted(range(len(keys)), key=lambda i: -cosine[i]):
-            n += index.counts[c].sum()
-            if n >= T.K:
-                break
-        want = {i for i in range(len(keys)) if cosine[i] >= cosine[c] - 1e-12 and cosine[i] > 0}
-        assert set(entry.tolist()) == want and np.allclose(sorted(score, reverse=True), order[: len(want)])
+    word = lambda bad: r.choice(["scum", "trash", "Idiot"]) if bad and r.random() < 0.4 else f"t{chr(97 + int(r.random() ** 2 * 26))}{r.choice('xy')}"
+    examples = [(i, y := r.randrange(4) // 3, " ".join(word(y) for _ in range(r.randint(0, 9)))) for i in range(250)]
+    examples += [(i, 0, None if i % 2 else "1 2 3") for i in range(300, 306)]
+    rows = [(i, t) for i, _, t in examples[::3]] + [(1000 + i, " ".join(word(i % 3 == 0) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(None, "scum tax"), (7, None), (8, ""), (9, "zzz")]
+    table = spark.createDataFrame([(i, t, y) for i, y, t in examples], "doc_id long, text string, toxic int").repartition(3)
+    got = {(x.row.doc_id, x.row.text): x.score for x in T.scored(docs(spark, rows), T.fit(table, table), leave_own=own).collect()}
+    want = dict(zip(rows, toxicity_brute(rows, examples, own), strict=True))
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_toxicity_sample(spark, monkeypatch):
+    """The sample is bounded by rows of a label and by words; ids that repeat are one example; shares keep the rate."""
+    from quern.llm import toxicity as T
+
+    rows = [(i, "you scum there" if i % 5 == 0 else f"fine words a{'bcdefgh'[i % 7]}", int(i % 5 == 0)) for i in range(500)]
+    table = spark.createDataFrame(rows + rows[:5] * 200, "doc_id long, text string, toxic int")
+    index = T.fit(table, table, examples=50)
+    assert len(index.ids) == 100 and len(set(index.ids.tolist())) == 100 and abs(index.rate - 0.2) < 1e-9
+    monkeypatch.setattr(T, "POSTINGS", 60)
+    assert len(T.fit(table, table).w) <= 60
+    both = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None)], "doc_id long, toxic int")
+    text = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "doc_id long, text string")
+    index = T.fit(text, both)
+    assert sorted(zip(index.ids.tolist(), index.label.tolist(), strict=True)) == [(1, 1), (2, 0)]
 
 
 def test_toxicity_edges(spark):

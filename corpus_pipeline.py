@@ -18,9 +18,10 @@ from quern.llm.toxicity import fit, scored
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples do not call toxic."""
+    """Documents that the nearest labelled examples, their own left out, do not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return scored(docs, fit(docs.select("doc_id", "text"), labels)).where("predicted = 0").select("row.*")
+    index = fit(docs.select("doc_id", "text"), labels)
+    return scored(docs, index, leave_own=True).where("predicted = 0").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

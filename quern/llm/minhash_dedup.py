@@ -3,17 +3,21 @@
 A document is the set of its distinct five-word shingles.  Trees branch the
 documents by minwise tokens: the root of each of ``TREES`` independent trees
 takes two coordinates, so a document follows sixteen paths; a pair of
-similarity 0.75 misses all of them with probability 0.25 ** 16.  A node with at
-most ``NODE`` documents is compared exhaustively.  In a larger one the members
-are compared with a few pivots first, and only nodes whose members are still in
-several components go on, so a large group of near copies ends there: up to
-``MIDDLE`` documents they are compared exhaustively in pairs of blocks, and
-beyond that the node chooses two more coordinates by the hash of its path and
-branches again.  What is large and of several components after ``DEPTH`` levels
-is compared across these components in blocks.
+similarity 0.75 misses all of them with probability 0.25 ** 16.  A node of one
+block is compared exhaustively.  In a larger one the members are compared with
+a few pivots first, and if they are still in several components the node
+chooses two more coordinates by the hash of its path and branches again, until
+nodes are small.  The two branches keep a pair at 0.75 with probability 0.89
+however deep its path goes, so that one root of it is lost with 0.33 at most
+and all sixteen with 0.33 ** 16.  Nodes that are still large after ``LEVELS``
+levels, or of few but very long texts, are compared in pairs of blocks.
+
+The first tree links most of what is alike; nodes of the others, and what is
+below the first's, are opened only if their members are still in several
+components.
 
 Within a node, sketches of 64 minwise values pass pairs that agree in 30 places
-or more (a pair at 0.75 fails that once in about ten million times) and the
+or more (a pair at 0.75 fails that once in about a million times) and the
 full sets of both texts confirm every link.  Equal sets are one vertex from
 the start, nodes with equal members are compared once, and a node's answer is
 a spanning forest of its links, so no group emits all of its pairs.
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +43,9 @@ from quern.llm.components import components
 from quern.llm.packing import flat, mix, of_table
 from quern.llm.scratch import Scratch
 
-TREES, SKETCH, AGREE, NODE, MIDDLE, DEPTH, PIVOTS, BLOCK = 8, 64, 30, 256, 2048, 4, 8, 2048
+TREES, SKETCH, AGREE, LEVELS, PIVOTS = 8, 64, 30, 16, 8
+#: What one task compares at most, or twice that for two blocks: members, and shingles of them all.
+BLOCK, WEIGHT = 2_048, 4_000_000
 ROOTS = 2 * TREES
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -155,7 +162,10 @@ def _near(i: int, later: np.ndarray, sketch: np.ndarray, n: np.ndarray) -> np.nd
 
 
 def _promising(table: pa.Table) -> pa.Table:
-    """Members of a task with some member of another label that they may link with; ``side`` as in :func:`_links`."""
+    """Members of a task with some member of another label that they may link with; ``side`` as in :func:`_links`.
+
+    ``task`` is a digest of what is returned, so equal tasks can be told.
+    """
     n, label, side = (table[c].to_numpy() for c in ("n", "label", "side"))
     sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)
     order = np.lexsort((table["id"].to_numpy(), side))
@@ -167,7 +177,10 @@ def _promising(table: pa.Table) -> pa.Table:
         if len(near):
             some[i] = True
             some[near] = True
-    return table.select(["key", "id", "label", "side"]).take(pa.array(order[some]))
+    got = table.select(["id", "label", "side"]).take(pa.array(order[some]))
+    said = hashlib.blake2b(b"".join(np.ascontiguousarray(got[c].to_numpy()).tobytes() for c in got.column_names), digest_size=8)
+    task = np.full(len(got), int.from_bytes(said.digest(), "little", signed=True), np.int64)
+    return got.add_column(0, "task", pa.array(task))
 
 
 def _links(table: pa.Table) -> pa.Table:
@@ -204,84 +217,119 @@ def _links(table: pa.Table) -> pa.Table:
 
 
 class _Join:
-    """The links found so far and what finding more of them needs."""
+    """The links found so far and what finding more of them needs: ``docs`` has id, n, sketch and text, dealt by id."""
 
-    def __init__(self, marks: DataFrame, texts: DataFrame, keep: Scratch):
-        self.marks, self.texts, self.keep = marks, texts, keep
+    def __init__(self, docs: DataFrame, keep: Scratch):
+        self.docs, self.keep = docs, keep
         self.edges: list[DataFrame] = []
+        self.labels: DataFrame | None = None
         self.step = 0
 
-    def labelled(self, nodes: DataFrame) -> DataFrame:
-        """(key, id, label) of ``nodes``, and only nodes with several labels."""
-        self.step += 1
-        labels = components(self.all_edges(), self.keep, f"label{self.step}") if self.edges else None
-        named = nodes.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")) if labels is not None else nodes.select("key", "id", F.col("id").alias("label"))
-        return self.keep.table(_several(named), f"named{self.step}")
-
-    def all_edges(self) -> DataFrame:
-        out = self.edges[0]
-        for e in self.edges[1:]:
-            out = out.unionByName(e)
-        return out
-
-    def compare(self, tasks: DataFrame) -> None:
-        """Find the links inside tasks (key, id, label, side): sketches first, texts only of what may link."""
+    def components(self) -> DataFrame | None:
+        """(id, component) by the links found so far."""
+        if self.labels is None and self.edges:
+            self.labels = components(reduce(DataFrame.unionByName, self.edges), self.keep, f"label{len(self.edges)}_")
+        return self.labels
+
+    def nodes(self, members: DataFrame) -> DataFrame:
+        """(key, id, n, label, size, blocks) of the nodes that still have several labels, those of equal members once."""
         self.step += 1
-        sketched = tasks.join(self.marks.select("id", "n", "sketch"), "id").groupBy("key").applyInArrow(of_table(_promising), "key long, id long, label long, side int")
-        near = self.keep.table(sketched, f"near{self.step}")
-        once = near.join(_apart(near).select("key"), "key")
-        full = once.join(self.marks.select("id", "sketch"), "id").join(self.texts, "id").select("key", "id", "label", "side", "sketch", "text")
-        self.edges.append(self.keep.table(full.groupBy("key").applyInArrow(of_table(_links), "a long, b long"), f"edges{self.step}"))
-        self.keep.drop(f"near{self.step}")
-
-    def pivots(self, named: DataFrame) -> None:
-        """Compare every member of a node with a few of them, in blocks."""
-        sized = _blocks(named)
-        least = F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks") * (BLOCK // PIVOTS // 2)) == 0, F.struct("id", "label"))))
-        chosen = sized.groupBy("key").agg(least.alias("p"), F.min(F.struct("id", "label")).alias("first"), F.first("blocks").alias("blocks"))
-        heads = chosen.select("key", "blocks", F.explode(F.array_distinct(F.concat(F.array("first"), F.slice("p", 1, PIVOTS)))).alias("h")).select("key", "blocks", "h.id", "h.label")
-        spread = heads.select("key", "id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k"))
-        first = spread.select(F.xxhash64("key", "k").alias("key"), "id", "label", F.lit(0).alias("side"))
-        rest = sized.select(F.xxhash64("key", _block(F.col("blocks"))).alias("key"), "id", "label", F.lit(1).alias("side"))
-        self.compare(first.unionByName(rest).groupBy("key", "id", "label").agg(F.min("side").alias("side")))
-
-    def pairs(self, named: DataFrame) -> None:
-        """Compare all members of a node whose labels differ, in pairs of blocks."""
-        sized = _blocks(named).withColumn("own", _block(F.col("blocks")))
-        other = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        i, j = F.least("own", "other"), F.greatest("own", "other")
-        self.compare(other.select(F.xxhash64("key", i, j).alias("key"), "id", "label", F.when(F.col("own") == i, 0).otherwise(1).alias("side")))
-
-    def across(self, named: DataFrame) -> None:
-        """Compare the members outside a node's largest component with all of it, in pairs of blocks."""
-        sized = _blocks(named)
-        main = sized.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-        both = self.keep.table(sized.join(main, "key").withColumn("j", _block(F.col("blocks"))), f"across{self.step}")
-        others = both.where("label <> main")
-        a = others.select("key", "id", "label", F.col("j").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-        b = both.join(others.select("key", F.col("j").alias("i")).distinct(), "key")
-        tasks = a.select(F.xxhash64("key", "i", "j").alias("key"), "id", "label", F.lit(0).alias("side")).unionByName(b.select(F.xxhash64("key", "i", "j").alias("key"), "id", "label", F.lit(1).alias("side")))
-        self.compare(tasks.groupBy("key", "id", "label").agg(F.min("side").alias("side")))
-
-
-def _block(n: Column) -> Column:
-    return F.pmod(F.xxhash64("id", F.lit(3)), n)
-
-
-def _blocks(named: DataFrame) -> DataFrame:
-    size = named.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    return named.join(size, "key").select("key", "id", "label", "blocks")
-
-
-def _several(named: DataFrame) -> DataFrame:
-    mixed = named.groupBy("key").agg((F.min("label") < F.max("label")).alias("m")).where("m").select("key")
-    return named.join(mixed, "key")
-
-
-def _apart(nodes: DataFrame) -> DataFrame:
-    """Nodes (key, id) with two members or more, those of equal members once; with the count."""
-    signed = nodes.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("x"))
-    return signed.where("size > 1").groupBy("size", "s", "x").agg(F.min("key").alias("key")).select("key", "size")
+        labels = self.components()
+        if labels is None:
+            named = members.select("key", "id", "n", F.col("id").alias("label"))
+        else:
+            named = members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
+        signed = named.groupBy("key").agg(
+            F.count("*").alias("size"),
+            F.sum("n").alias("weight"),
+            (F.min("label") < F.max("label")).alias("mixed"),
+            *_signature(),
+        )
+        once = signed.where("mixed").groupBy("size", "s", "x").agg(F.min("key").alias("key"), F.first("weight").alias("weight"))
+        blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / WEIGHT)).cast("long")
+        found = named.join(once.select("key", "size", blocks.alias("blocks")), "key")
+        return self.keep.table(found.select("key", "id", "n", "label", "size", "blocks"), f"nodes{self.step}")
+
+    def compare(self, nodes: DataFrame, last: bool = False) -> DataFrame | None:
+        """Find the links in nodes: all pairs in those of up to ``BLOCK`` members, pivots in larger ones.
+
+        Returns the larger ones, if there are any; the ``last`` time these are compared in all pairs, too.
+        """
+        most = nodes.agg(F.max("size")).first()[0]
+        if most is None:
+            return None
+        small = F.lit(True) if last else F.col("size") <= BLOCK
+        tasks = _pairs(nodes.where(small))
+        large = None if last or most <= BLOCK else nodes.where(~small)
+        if large is not None:
+            tasks = tasks.unionByName(_pivots(large))
+        # sketches first, and the texts of what they let through; both meet the documents where these lie
+        sketched = tasks.hint("shuffle_hash").join(self.docs.select("id", "n", "sketch"), "id")
+        found = sketched.groupBy("key").applyInArrow(of_table(_promising), "task long, id long, label long, side int")
+        near = self.keep.table(found.dropDuplicates(["task", "id"]), f"near{self.step}")
+        if not near.isEmpty():
+            full = near.hint("shuffle_hash").join(self.docs.select("id", "sketch", "text"), "id")
+            links = full.groupBy("task").applyInArrow(of_table(_links), "a long, b long")
+            self.edges.append(self.keep.table(links, f"edges{self.step}"))
+            self.labels = None
+        return large
+
+    def children(self, nodes: DataFrame) -> DataFrame:
+        """Members of the two nodes below each, by coordinates that the node's path chooses."""
+        spread = nodes.hint("shuffle_hash").join(self.docs.select("id", "sketch"), "id").withColumn("b", F.explode(F.array(F.lit(0), F.lit(1))))
+        at = F.pmod(F.xxhash64("key", "b"), F.lit(SKETCH)).cast("int")
+        return spread.select(F.xxhash64("key", "b", at, F.get("sketch", at)).alias("key"), "id", "n")
+
+    def trees(self, members: DataFrame) -> None:
+        """Join the nodes (c, key, id, n) below the roots, those of the first tree before the others."""
+        first = self.nodes(members.where("c < 2"))
+        large = self.compare(first)
+        members = members.where("c >= 2").select("key", "id", "n")
+        members = members if large is None else members.unionByName(large.select("key", "id", "n"))
+        for level in range(LEVELS + 1):
+            large = self.compare(self.nodes(members), level == LEVELS)
+            if large is None:
+                return
+            members = self.children(large)
+
+
+def _pivots(nodes: DataFrame) -> DataFrame:
+    """Tasks that compare every member of a node with a few of them, in blocks."""
+    every = F.greatest(F.lit(1), F.floor(F.col("size") / (2 * PIVOTS)))
+    some = F.when(F.pmod(F.xxhash64("id", F.lit(5)), every) == 0, F.struct("id", "label"))
+    chosen = nodes.groupBy("key").agg(
+        F.array_sort(F.collect_set(some)).alias("some"),
+        F.min(F.struct("id", "label")).alias("first"),
+        F.first("blocks").alias("blocks"),
+    )
+    heads = F.array_distinct(F.concat(F.array("first"), F.slice("some", 1, PIVOTS)))
+    spread = chosen.select("key", "blocks", F.explode(heads).alias("h")).select(
+        "key", "h.id", "h.label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")
+    )
+    first = spread.select(F.xxhash64("key", "k").alias("key"), "id", "label", F.lit(0).alias("side"))
+    rest = nodes.select(F.xxhash64("key", _block()).alias("key"), "id", "label", F.lit(1).alias("side"))
+    return first.unionByName(rest).groupBy("key", "id", "label").agg(F.min("side").alias("side"))
+
+
+def _pairs(nodes: DataFrame) -> DataFrame:
+    """Tasks that compare all members of a node whose labels differ, in pairs of blocks."""
+    own = nodes.withColumn("own", _block())
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == i, 0).otherwise(1).alias("side")
+    return both.select(F.xxhash64("key", i, j).alias("key"), "id", "label", side)
+
+
+def _block() -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks"))
+
+
+def _signature(*more: str) -> list[Column]:
+    """A checksum of a node's members; with ``size`` it tells nodes of other members apart."""
+    return [
+        F.sum(F.xxhash64("id", *more).cast("decimal(38,0)")).alias("s"),
+        F.bit_xor(F.xxhash64("id", *more, F.lit(7))).alias("x"),
+    ]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,48 +338,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     all_marks = keep.table(rows.mapInArrow(_sketches, "id long, n long, d1 long, d2 long, keys array<long>, sketch array<int>"), "marks")
     some = all_marks.where("n > 0 and id is not null")
-    twice = some.groupBy("id").agg((F.min(F.struct("d1", "d2")) != F.max(F.struct("d1", "d2"))).alias("more")).where("more")
-    if twice.limit(1).count():
+    by_id = some.groupBy("id").agg((F.min(F.struct("d1", "d2")) != F.max(F.struct("d1", "d2"))).alias("more"), F.count("*").alias("n"))
+    several, repeated = by_id.agg(F.max("more"), F.max("n") > 1).first()
+    if several:
         return _by_row(rows, keep)
     # a vertex for each distinct set: the least of its ids
     sets = keep.table(all_marks.select("id", "n", "d1", "d2"), "sets")
     reps = keep.table(some.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "reps")
-    marks = some.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    once_each = (lambda df: df.dropDuplicates(["id"])) if repeated else (lambda df: df)
+    marks = once_each(some.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"))
     marks = keep.table(marks.select("id", "n", "keys", "sketch"), "rep_marks")
     keep.drop("marks")
-    join = _Join(marks.select("id", "n", "sketch"), rows.join(marks.select("id"), "id", "left_semi").dropDuplicates(["id"]), keep)
-    roots = marks.select(F.posexplode("keys").alias("c", "key"), "id")
-    found = keep.table(_apart(roots.select("key", "id")), "roots")
-    small = roots.join(found.where(F.col("size") <= NODE).select("key"), "key")
-    join.compare(small.select("key", "id", F.col("id").alias("label"), F.lit(0).alias("side")))
-    large = found.where(F.col("size") > NODE).select("key")
-    if large.limit(1).count():
-        _large(keep.table(roots.join(large, "key"), "large"), join, keep)
-    labels = components(join.all_edges(), keep)
-    rep = sets.join(reps.where("copies > 1"), ["d1", "d2"], "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep"))
+    # roots that several vertices share, those of equal members once; only their documents can be asked for
+    roots = marks.select(F.posexplode("keys").alias("c", "key"), "id", "n")
+    shared = roots.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("c"), *_signature()).where("size > 1")
+    once = shared.groupBy("size", "s", "x").agg(F.min_by("key", F.struct("c", "key")).alias("key"))
+    members = keep.table(roots.join(once.select("key"), "key").select("c", "key", "id", "n"), "roots")
+    asked = marks.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi")
+    with keep.dealt(once_each(rows.join(asked, "id")), "id", "asked") as found:
+        join = _Join(found, keep)
+        join.trees(members)
+        labels = join.components()
+    if labels is None:
+        labels = marks.select("id", F.col("id").alias("component")).limit(0)
+    one = sets.where("n = 0 or id is null").select("id", "n", F.col("id").alias("rep"))
+    rep = sets.where("n > 0 and id is not null").join(reps.where("copies > 1"), ["d1", "d2"], "left")
+    rep = rep.select("id", "n", F.coalesce("rep", "id").alias("rep")).unionByName(one)
     done = rep.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
-    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def _large(members: DataFrame, join: _Join, keep: Scratch) -> None:
-    """Nodes above the limit: pivots join what is alike, and only nodes still of several components go on."""
-    join.pivots(join.labelled(members.where("c < 2").select("key", "id")))
-    named = join.labelled(members.select("key", "id"))
-    for level in range(DEPTH + 1):
-        found = keep.table(_apart(named), f"sizes{level}")
-        join.pairs(named.join(found.where(F.col("size") <= MIDDLE).select("key"), "key"))
-        big = found.where(F.col("size") > MIDDLE).select("key")
-        if not big.limit(1).count():
-            return
-        named = keep.table(named.join(big, "key"), f"deeper{level}")
-        if level == DEPTH:
-            join.across(join.labelled(named.select("key", "id")))
-            return
-        branch = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.pmod(F.xxhash64("key", F.lit(b)), F.lit(SKETCH)).cast("int").alias("c")) for b in range(2)]))
-        child = F.xxhash64("key", "p.b", "p.c", F.get("sketch", F.col("p.c")))
-        nodes = named.join(join.marks.select("id", "sketch"), "id").select("key", "id", "label", "sketch", branch.alias("p")).select(child.alias("key"), "id", "label")
-        named = keep.table(_several(nodes), f"branched{level}")
+    kept = F.coalesce(F.col("id") == component, F.lit(True))
+    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def _by_row(rows: DataFrame, keep: Scratch) -> DataFrame:

@@ -8,12 +8,15 @@ unless their cells are provably more than eps apart in some direction.  Pairs
 that remain are judged by the cosine in double precision.
 
 Equal vectors of a label are one vertex that carries its number of copies.
-Blocks meet by an equi-join on the cells of the first direction that they
-span, widened by one; a block with very many neighbours is thus shared among
-tasks of one pair of blocks each.  Each pair of blocks returns link counts of
-its members and a spanning forest, never its pairs.
-
-Vectors that are null, empty, zero or hold a null or non-finite component, and
+A block holds ``TILE`` bytes of vectors, since a vector is sent to a task once
+for each block near its own.  Blocks meet by an equi-join on the cells of the
+first direction that they span, widened by one; a block with very many
+neighbours is thus shared among tasks of one pair of blocks each.  Each pair of
+blocks returns link counts of its members and a spanning forest, never its
+pairs, which it holds for one pair of leaves at a time.
+
+Vectors are scaled by a power of two first, which is exact, so that no norm
+overflows or vanishes.  Vectors that are null, empty, zero or hold a null or non-finite component, and
 those without a label, link with nothing.  Vectors of different lengths never
 link.  Null ids are carried and never linked; ids are taken as keys, a repeated
 id counts as another vector and shares its component.  Empty tables work.
@@ -26,14 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.packing import of_table
-from quern.llm.scratch import Scratch, parts
+from quern.llm.scratch import Scratch
 
-LIMIT, DIRECTIONS, FIT, BLOCK, LEAF = 0.98, 4, 4_000, 512, 64
+LIMIT, DIRECTIONS, FIT, LEAF = 0.98, 4, 4_000, 128
+#: Bytes of the vectors of a block.
+TILE = 16 << 20
+#: Cosines as close as this to the limit are taken again from the vectors themselves.
+CLOSE = 1e-9
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -41,10 +48,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two, so that their largest component is in [0.5, 1)."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -power)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _directions(sample: list[list[float]], count: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and leading principal directions of a bounded sample."""
-    x = np.array(sample, float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = _unit(_scaled(np.array(sample, float)))
     mean = x.mean(axis=0)
     _, _, right = np.linalg.svd(x - mean, full_matrices=False)
     return mean, right[:count]
@@ -59,8 +75,7 @@ def _cells(fitted: dict[int, tuple[np.ndarray, np.ndarray]], eps: float):
             for d in set(sizes.tolist()):
                 own = np.flatnonzero(sizes == d)
                 mean, right = fitted[d]
-                x = _matrix(vectors.take(pa.array(own)))
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = _unit(_scaled(_matrix(vectors.take(pa.array(own)))))
                 for i, c in zip(own.tolist(), np.floor((x - mean) @ right.T / eps).astype(np.int64).tolist(), strict=True):
                     cells[i] = c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], names=[*batch.schema.names, "cell"])
@@ -69,30 +84,48 @@ def _cells(fitted: dict[int, tuple[np.ndarray, np.ndarray]], eps: float):
 
 
 class _Pairs:
-    """Recursive join of two sorted intervals of unit vectors."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, cells_a: np.ndarray, cells_b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, limit: float, same: bool):
-        self.a, self.b, self.ca, self.cb, self.limit, self.same = a, b, cells_a, cells_b, limit, same
-        self.raw_a, self.raw_b = raw_a, raw_b
-        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+    """Recursive join of intervals of sorted vectors: link counts, and edges that connect what is linked."""
+
+    def __init__(self, raw: np.ndarray, cells: np.ndarray, copies: np.ndarray, limit: float):
+        self.raw, self.unit, self.cells, self.copies, self.limit = raw, _unit(raw), cells, copies, limit
+        self.links = np.zeros(len(raw), np.int64)
+        self.group = np.arange(len(raw))
+        self.edges: list[tuple[int, int]] = []
+
+    def leaf(self, i: int, j: int, k: int, m: int) -> None:
+        cosine = self.unit[i:j] @ self.unit[k:m].T
+        near = cosine >= self.limit
+        x, y = np.nonzero(np.abs(cosine - self.limit) <= CLOSE)
+        if len(x):
+            u, v = self.raw[x + i], self.raw[y + k]
+            near[x, y] = (u * v).sum(axis=1) / (np.sqrt((u * u).sum(axis=1)) * np.sqrt((v * v).sum(axis=1))) >= self.limit
+        if i == k:
+            near = np.triu(near, 1)
+        if not near.any():
+            return
+        self.links[i:j] += near @ self.copies[k:m]
+        self.links[k:m] += self.copies[i:j] @ near
+        x, y = np.nonzero(near & (self.group[i:j, None] != self.group[None, k:m]))
+        for a, b in zip((x + i).tolist(), (y + k).tolist(), strict=True):
+            if self.group[a] != self.group[b]:
+                self.edges.append((a, b))
+                self.group[self.group == self.group[b]] = self.group[a]
 
     def join(self, i: int, j: int, k: int, m: int) -> None:
-        if i >= j or k >= m or self.same and m <= i:
+        """Members i to j with k to m; an interval with itself is halved on both sides at once."""
+        if i >= j or k >= m:
             return
-        a, b = self.ca[i:j], self.cb[k:m]
+        a, b = self.cells[i:j], self.cells[k:m]
         if ((a.min(axis=0) > b.max(axis=0) + 1) | (b.min(axis=0) > a.max(axis=0) + 1)).any():
             return
         if j - i <= LEAF and m - k <= LEAF:
-            x, y = np.nonzero(self.a[i:j] @ self.b[k:m].T >= self.limit - 1e-9)
-            if len(x):
-                x, y = x + i, y + k
-                if self.same:
-                    x, y = x[x < y], y[x < y]
-                u, v = self.raw_a[x], self.raw_b[y]
-                cosine = (u * v).sum(axis=1) / (np.sqrt((u * u).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
-                self.found.append((x[cosine >= self.limit], y[cosine >= self.limit]))
-            return
-        if j - i >= m - k:
+            self.leaf(i, j, k, m)
+        elif (i, j) == (k, m):
+            h = (i + j) // 2
+            self.join(i, h, i, h)
+            self.join(i, h, h, j)
+            self.join(h, j, h, j)
+        elif j - i >= m - k:
             h = (i + j) // 2
             self.join(i, h, k, m)
             self.join(h, j, k, m)
@@ -105,38 +138,21 @@ class _Pairs:
 def _linked(table: pa.Table, limit: float) -> pa.Table:
     """One task: block p with itself or with block q.  kind 0: digest and links of a vertex; kind 1: an edge of ids."""
     block, first = table["block"].to_numpy(), table["p"][0].as_py()
-    order = np.lexsort((table["id"].to_numpy(), *_matrix(table["cell"]).T[::-1]))
-    block = block[order]
+    cells = _matrix(table["cell"])
+    order = np.lexsort((table["id"].to_numpy(), *cells.T[::-1], block != first))
     ids, copies = table["id"].to_numpy()[order], table["copies"].to_numpy()[order]
-    raw, cells = _matrix(table["v"])[order].astype(float), _matrix(table["cell"])[order]
-    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-    same = first == table["q"][0].as_py()
-    left = np.flatnonzero(block == first)
-    right = left if same else np.flatnonzero(block != first)
-    pairs = _Pairs(unit[left], unit[right], cells[left], cells[right], raw[left], raw[right], limit, same)
-    pairs.join(0, len(left), 0, len(right))
-    links = np.zeros(len(ids), np.int64)
-    up = list(range(len(ids)))
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    edges: list[tuple[int, int]] = []
-    for x, y in pairs.found:
-        x, y = left[x], right[y]
-        np.add.at(links, x, copies[y])
-        np.add.at(links, y, copies[x])
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            i, j = find(i), find(j)
-            if i != j:
-                up[max(i, j)] = min(i, j)
-                edges.append((int(ids[i]), int(ids[j])))
-    some = np.flatnonzero(links)
-    kind = np.append(np.zeros(len(some), np.int32), np.ones(len(edges), np.int32))
-    a = np.append(table["d"].to_numpy()[order][some], np.array([e[0] for e in edges], np.int64))
-    b = np.append(links[some], np.array([e[1] for e in edges], np.int64))
+    raw = _scaled(_matrix(table["v"])[order].astype(float))
+    pairs = _Pairs(raw, cells[order], copies, limit)
+    n, own = len(ids), int((block == first).sum())
+    if first == table["q"][0].as_py():
+        pairs.join(0, n, 0, n)
+    else:
+        pairs.join(0, own, own, n)
+    some = np.flatnonzero(pairs.links)
+    kind = np.append(np.zeros(len(some), np.int32), np.ones(len(pairs.edges), np.int32))
+    edges = np.array(pairs.edges, np.int64).reshape(-1, 2)
+    a = np.append(table["d"].to_numpy()[order][some], ids[edges[:, 0]])
+    b = np.append(pairs.links[some], ids[edges[:, 1]])
     return pa.table({"kind": kind, "a": a.astype(np.int64), "b": b.astype(np.int64)})
 
 
@@ -159,10 +175,21 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id
         fitted[size] = _directions([r[0] for r in sample], DIRECTIONS)
     group = F.concat_ws(":", F.size("v").cast("string"), "label")
     named = same.select("id", "d", "copies", "v", group.alias("g")).mapInArrow(_cells(fitted, eps), "id long, d long, copies long, v array<double>, g string, cell array<long>")
-    # the sequence in grid order, cut into blocks within range partitions; the table fixes the numbering
-    placed = named.repartitionByRange(parts(spark), "g", "cell", "id").sortWithinPartitions("g", "cell", "id").withColumn("m", F.monotonically_increasing_id())
-    row = F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
-    blocked = keep.table(placed.withColumn("block", F.xxhash64("g", F.shiftright("m", 33), F.floor(row / BLOCK))).drop("m"), "blocked")
+    # the sequence in grid order, numbered within each group across range partitions and cut into blocks
+    longest = max(fitted, default=1)
+    ranges = max(1, -(-same.count() * longest * 8 // TILE))
+    placed = named.repartitionByRange(ranges, "g", "cell", "id").sortWithinPartitions("g", "cell", "id").withColumn("m", F.monotonically_increasing_id())
+    placed = keep.table(placed, "placed")
+    part = F.shiftright("m", 33)
+    counts = placed.groupBy("g", part.alias("part")).agg(F.min("m").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("g", "part", "first", "base")
+    rank = F.col("base") + F.col("m") - F.col("first")
+    rows_of = F.greatest(F.lit(LEAF), F.lit(TILE) / (8 * F.size("v")))
+    block = F.xxhash64("g", F.floor(rank / F.floor(rows_of)))
+    numbered = placed.withColumn("part", part).join(bases, ["g", "part"])
+    blocked = keep.table(numbered.select("id", "d", "copies", "v", "g", "cell", block.alias("block")), "blocked")
+    keep.drop("placed")
     at = [F.get("cell", F.lit(k)) for k in range(DIRECTIONS)]
     sides = [f(c).alias(f"{n}{k}") for k, c in enumerate(at) for n, f in (("lo", F.min), ("hi", F.max))]
     boxes = keep.table(blocked.groupBy("block").agg(F.first("g").alias("g"), *sides), "boxes")

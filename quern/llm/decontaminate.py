@@ -28,10 +28,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.scratch import Scratch
+
 RUN, NEED = 13, 10
 #: Places that each mask keeps, and the least and largest number of words of its items; fixed by RUN and NEED, see above.
 MASKS = [((0, 1, 2), 3, None), ((0, 1, 3), 5, 5), ((0, 1), 2, 2), ((0,), 1, 1)]
-#: Seeds, and hits, that are broadcast at most; beyond these the joins shuffle.
+#: Seeds, words of items, and hits that are broadcast at most; beyond these the joins shuffle.
 BROADCAST_SEEDS = 1_000_000
 
 
@@ -63,11 +65,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     parts = [_seeds(items.where(_has(F.col("nb"), least, most)), "b", "nb", mask, ["item_id"], "ip") for mask, least, most in masks]
     seeds = reduce(DataFrame.unionByName, parts).distinct()
     few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    hint = F.broadcast if few else (lambda df: df)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _hashes(F.col(f"`{text_col}`")).alias("h")).withColumn("n", F.size("h"))
-    spread = reduce(DataFrame.unionByName, [_seeds(rows, "h", "n", mask, ["doc_id", "h", "n"], "dp") for mask, _, _ in masks])
-    hits = spread.join(hint(seeds), "s").select("doc_id", "h", "n", "item_id", (F.col("dp") - F.col("ip")).alias("diagonal"))
-    sized = hits.join(hint(items), "item_id")
+    small = (items.agg(F.sum("nb")).first()[0] or 0) <= BROADCAST_SEEDS
+    # a row is its id and the hash of its text: seeds carry these alone, and texts are read again for hits only
+    read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    rows = read.select("doc_id", "t", _hashes(F.col("text")).alias("h")).withColumn("n", F.size("h"))
+    spread = reduce(DataFrame.unionByName, [_seeds(rows, "h", "n", mask, ["doc_id", "t"], "dp") for mask, _, _ in masks])
+    found = spread.join(F.broadcast(seeds) if few else seeds, "s").select("doc_id", "t", "item_id", (F.col("dp") - F.col("ip")).alias("diagonal"))
+    hits = Scratch(docs.sparkSession).table(found.distinct().withColumnRenamed("doc_id", "id").withColumnRenamed("t", "u"), "hits")
+    some = hits.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
+    asked = hits.select("id", "u").distinct()
+    same = (F.col("t") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    # words are hashed once for each document with a hit
+    worded = read.join(F.broadcast(asked) if some else asked, same, "left_semi").select("doc_id", "t", _hashes(F.col("text")).alias("h"))
+    worded = worded.withColumn("n", F.size("h")).join(F.broadcast(hits) if some else hits, same)
+    sized = worded.join(F.broadcast(items) if small else items, "item_id")
     # the document's words along the diagonal, padded where the item sticks out of the document
     before = F.greatest(-F.col("diagonal"), F.lit(0))
     inside = F.slice("h", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.greatest(F.least(F.col("nb") - before, F.col("n") - F.greatest(F.col("diagonal"), F.lit(0))), F.lit(0)))

@@ -116,6 +116,25 @@ def test_near_duplicates(spark, monkeypatch, block, weight, one_task):
     assert M.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_near_duplicate_recall(spark, monkeypatch, block):
+    """Pairs at 0.75 to 0.8 among documents that share most of a passage: with small blocks their nodes branch."""
+    monkeypatch.setattr(M, "BLOCK", block)
+    r = random.Random(6)
+    fresh = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    passage, pairs = fresh(60), []
+    for i in range(200):
+        words = passage + fresh(40)
+        at = r.randrange(62, 88)
+        pairs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:at] + fresh(8 + i % 2) + words[at + 8 + i % 2 :]))]
+    sets = sets_brute(pairs)
+    alike = [len(sets[2 * i][0] & sets[2 * i + 1][0]) / len(sets[2 * i][0] | sets[2 * i + 1][0]) for i in range(200)]
+    assert 0.75 <= min(alike) and max(alike) < 0.8
+    got = {x.doc_id: x.component_id for x in M.near_duplicates(docs(spark, pairs)).collect()}
+    assert all(got[2 * i] == 2 * i for i in range(200))
+    assert sum(got[2 * i + 1] == 2 * i for i in range(200)) / 200 >= 0.99
+
+
 def test_an_id_with_two_texts_ties_its_links(spark):
     a, b = "a b c d e f g h", "k l m n o p q r"
     pairs = [(1, a), (2, a), (2, b), (3, b), (None, a)]
@@ -505,7 +524,7 @@ def vectors_brute(rows):
     for i in range(n):
         for j in range(i):
             if ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]):
-                a, b = np.array(rows[i][1], float), np.array(rows[j][1], float)
+                a, b = (np.array(rows[k][1], np.longdouble) for k in (i, j))
                 if a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)) >= 0.98:
                     links[i] += 1
                     links[j] += 1
@@ -518,17 +537,19 @@ def vectors_brute(rows):
     return sorted((rows[i][0] if rows[i][0] is not None else -9, links[i], min((x for x in groups[find(i)] if x is not None), default=-9)) for i in range(n))
 
 
-@pytest.mark.parametrize("block", [512, 5])
-def test_embeddings(spark, monkeypatch, block):
+@pytest.mark.parametrize("tile", [16 << 20, 320])
+def test_embeddings(spark, monkeypatch, tile):
     from quern.llm import embedding_dedup as E
 
-    monkeypatch.setattr(E, "BLOCK", block)
+    monkeypatch.setattr(E, "TILE", tile)
     monkeypatch.setattr(E, "LEAF", 3)
     r = np.random.RandomState(0)
     base = r.randn(12, 8)
     rows = [(int(i), (base[r.randint(12)] + r.randn(8) * 0.12).tolist(), int(r.randint(3))) for i in r.permutation(120)]
     rows += [(200 + k, rows[0][1], rows[0][2]) for k in range(4)]
     rows += [(300, None, 1), (301, [0.0] * 8, 1), (302, [float("nan")] * 8, 1), (303, [None] + [1.0] * 7, 1), (304, rows[1][1], None), (305, [], 1), (306, rows[2][1][:4], rows[2][2]), (307, [2 * x for x in rows[3][1]], rows[3][2]), (None, rows[0][1], rows[0][2])]
+    rows += [(400 + k, [x * 10.0 ** (200 - 100 * k) for x in rows[4][1]], rows[4][2]) for k in range(5)]
+    rows += [(410, [1e308] * 8, 1), (411, [5e-324] * 8, 1), (412, [1.0] * 8, 1), (413, [-1.0] * 8, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit("clash")).withColumn("d", F.lit(1))
     got = sorted((x.vec_id if x.vec_id is not None else -9, x.n_links, x.component_id if x.component_id is not None else -9) for x in E.near_vectors(df).collect())
     assert got == vectors_brute(rows)

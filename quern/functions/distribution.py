@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.operators.sequence import array_top_k
+from quern.operators.sequence import array_top_k, bound
 
 
 def gather(values: Column, ids: Column) -> Column:
@@ -17,13 +17,15 @@ def gather(values: Column, ids: Column) -> Column:
 
 
 def log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.ln(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    def of(v: Column) -> Column:
+        total = lambda top: top + F.ln(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+        return bound(F.array_max(v), total)
+
+    return bound(values, of)
 
 
 def log_softmax(values: Column) -> Column:
-    z = log_sum_exp(values)
-    return F.transform(values, lambda x: x - z)
+    return bound(values, lambda v: bound(log_sum_exp(v), lambda z: F.transform(v, lambda x: x - z)))
 
 
 def cropped(values: Column, other: Column) -> Column:
@@ -40,15 +42,22 @@ def divergence(p: Column, q: Column) -> Column:
     return total(F.zip_with(p, q, lambda a, b: F.exp(a) * (a - b)))
 
 
+def _truncated_kl(first: Column, second: Column, k: int) -> Column:
+    """KL(first || second) on the first's top k, both sides normalised on it."""
+    return bound(
+        array_top_k(first, k),
+        lambda ids: divergence(log_softmax(gather(first, ids)), log_softmax(gather(second, ids))),
+    )
+
+
 def reverse_kl(student: Column, teacher: Column, k: int) -> Column:
-    """KL(student || teacher) on the student's top k, both sides normalised on it."""
-    ids = array_top_k(student, k)
-    return divergence(log_softmax(gather(student, ids)), log_softmax(gather(teacher, ids)))
+    """KL(student || teacher) on the student's top k."""
+    return _truncated_kl(student, teacher, k)
 
 
 def forward_kl(student: Column, teacher: Column, k: int) -> Column:
-    ids = array_top_k(teacher, k)
-    return divergence(log_softmax(gather(teacher, ids)), log_softmax(gather(student, ids)))
+    """KL(teacher || student) on the teacher's top k."""
+    return _truncated_kl(teacher, student, k)
 
 
 def overlap(student: Column, teacher: Column, k: int) -> Column:
@@ -57,14 +66,18 @@ def overlap(student: Column, teacher: Column, k: int) -> Column:
 
 def entropy(student: Column, k: int) -> Column:
     """Entropy of the normalised top k."""
-    return -total(F.transform(log_softmax(gather(student, array_top_k(student, k))), lambda p: F.exp(p) * F.ln(F.greatest(F.exp(p), F.lit(1e-12)))))
+    logs = log_softmax(bound(array_top_k(student, k), lambda ids: gather(student, ids)))
+    return -total(F.transform(logs, lambda p: F.exp(p) * F.ln(F.greatest(F.exp(p), F.lit(1e-12)))))
 
 
 def set_probability(values: Column, ids: Column) -> Column:
     """Probability of a set of ids; ids out of range count nothing."""
-    z = log_sum_exp(values)
-    inside = F.filter(ids, lambda i: (i >= 0) & (i < F.size(values)))
-    return total(F.transform(inside, lambda i: F.exp(F.get(values, i) - z)))
+
+    def of(v: Column) -> Column:
+        inside = F.filter(ids, lambda i: (i >= 0) & (i < F.size(v)))
+        return bound(log_sum_exp(v), lambda z: total(F.transform(inside, lambda i: F.exp(F.get(v, i) - z))))
+
+    return bound(values, of)
 
 
 def top_mass(values: Column, k: int) -> Column:

@@ -9,11 +9,16 @@ from quern.operators.sequence import ngrams
 
 
 def distinct_n(responses: DataFrame, n: int = 4, key: str = "example_id", text: str = "response") -> DataFrame:
-    """Distinct n-grams of words over all of them, pooled for each key; 0 without any."""
+    """Distinct n-grams of words over all of them, pooled for each key; 0 without any.
+
+    N-grams are told apart by two 64-bit hashes, which shuffle a fraction of their texts.
+    """
     words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    each = responses.select(key, F.explode_outer(F.transform(ngrams(words, n), lambda g: F.array_join(g, "\x1f"))).alias("gram"))
+    hashes = lambda run: F.struct(F.xxhash64(*run).alias("a"), F.xxhash64(F.lit(n), *run).alias("b"))
+    each = responses.select(key, F.explode_outer(ngrams(words, n, hashes)).alias("gram"))
     counted = each.groupBy(key, "gram").count()
-    return counted.groupBy(key).agg(F.coalesce(F.count("gram") / F.sum(F.when(F.col("gram").isNotNull(), F.col("count"))), F.lit(0.0)).alias("distinct"))
+    some = F.sum(F.when(F.col("gram").isNotNull(), F.col("count")))
+    return counted.groupBy(key).agg(F.coalesce(F.count("gram") / some, F.lit(0.0)).alias("distinct"))
 
 
 def with_gaps(rows: DataFrame, key: str = "example_id") -> DataFrame:

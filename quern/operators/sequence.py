@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value`` evaluated once: inside lambdas an expression is otherwise evaluated for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def running(keys: list[str] | str = "seq_id", order: list[str] | str = "pos"):
     return Window.partitionBy(keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -82,17 +89,21 @@ def one_based_chunks(ids: Column, size: int) -> Column:
     return F.transform(chunks(ids, size), lambda c: F.struct(c["id"].alias("id"), (c["start_token"] + 1).alias("start_token_pos"), c["end_token"].alias("end_token_pos")))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of ``n`` neighbours; empty when there are fewer."""
-    size = F.size(tokens)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.slice(tokens, s, n))
+def ngrams(tokens: Column, n: int, of: Callable[[list[Column]], Column] | None = None) -> Column:
+    """All runs of ``n`` neighbours, or ``of`` each; empty when there are fewer."""
+    of = of or (lambda run: F.array(*run))
+
+    def runs(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: i + n <= F.size(w))
+        return F.transform(starts, lambda i: of([F.get(w, i + k) for k in range(n)]))
+
+    return bound(tokens, runs)
 
 
 def repeated_ratio(tokens: Column, n: int = 4) -> Column:
     """Share of n-grams that repeat an earlier one; 0 without any."""
-    grams = F.transform(ngrams(tokens, n), lambda g: F.xxhash64(g))
-    return F.when(F.size(tokens) >= n, 1.0 - F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(F.lit(0.0))
+    share = lambda g: 1.0 - F.try_divide(F.size(F.array_distinct(g)), F.size(g))
+    return F.coalesce(bound(ngrams(tokens, n, lambda run: F.xxhash64(*run)), share), F.lit(0.0))
 
 
 def last_n(values: Column, n: int) -> Column:

@@ -36,12 +36,41 @@ def scores(graded: DataFrame, key: str = "example_id") -> DataFrame:
     return per.agg(F.avg(F.col("right") / F.col("n")).alias("avg_at_n"), share(F.col("right") > 0).alias("pass_at_n"), share(F.col("right") == 0).alias("solve_none"), share(F.col("right") == F.col("n")).alias("solve_all"), F.sum("bad").alias("format_errors"), F.sum("n").alias("responses"))
 
 
-def judge_summary(cases: DataFrame) -> DataFrame:
-    """Counters of judged cases and their ratios, null over zero."""
-    n = lambda c: F.count_if(c)
-    judged, wrong, within = F.count("*"), n(F.col("has_error")), n(F.col("within"))
-    parsed = n(~F.col("parse_failed"))
-    return cases.agg(judged.alias("judged"), parsed.alias("parsed"), n(F.col("parse_failed")).alias("parse_failed"), wrong.alias("with_error"), n(~F.col("has_error")).alias("without_error"), n(F.col("has_error").isNull()).alias("undecided"), within.alias("within"), n(F.col("has_error") & ~F.col("within")).alias("beyond"), F.try_divide(within.cast("double"), judged).alias("within_of_judged"), F.try_divide(within.cast("double"), wrong).alias("within_of_errors"), F.try_divide(parsed.cast("double"), judged).alias("parse_rate"))
+def judge_summary(cases: DataFrame, judge_all: bool = False) -> DataFrame:
+    """Counters of all cases in one pass, and ratios that are null over zero.
+
+    Cases have ``correct`` (null: unknown), ``complete`` (problem and generation
+    are there), ``has_error`` (null: not to be read) and ``error_pos`` (null:
+    not located) with ``within``.  Correct cases are skipped unless
+    ``judge_all``; of the others those that are complete are judged.
+    """
+    skipped = F.lit(False) if judge_all else F.coalesce(F.col("correct"), F.lit(False))
+    judged = ~skipped & F.col("complete")
+    wrong, none = judged & F.col("has_error"), judged & ~F.col("has_error")
+    located = wrong & F.col("error_pos").isNotNull()
+    counters = {
+        "total_seen": F.lit(True),
+        "judged": judged,
+        "skipped_correct": skipped,
+        "missing_problem_or_generation": ~skipped & ~F.col("complete"),
+        "parse_failed": judged & F.col("has_error").isNull(),
+        "wrong_or_unknown_judged": judged & ~F.coalesce(F.col("correct"), F.lit(False)),
+        "wrong_without_error": none & ~F.col("correct"),
+        "without_error": none,
+        "with_error": wrong,
+        "error_located": located,
+        "error_unlocated": wrong & F.col("error_pos").isNull(),
+        "error_within": located & F.col("within"),
+        "error_beyond": located & ~F.col("within"),
+    }
+    n = {name: F.count_if(F.coalesce(c, F.lit(False))) for name, c in counters.items()}
+    share = lambda a, b: F.try_divide(n[a].cast("double"), n[b])
+    return cases.agg(
+        *[c.alias(name) for name, c in n.items()],
+        share("error_within", "error_located").alias("within_of_located"),
+        share("without_error", "judged").alias("without_error_of_judged"),
+        share("parse_failed", "judged").alias("parse_failed_of_judged"),
+    )
 
 
 def aligned_loss(terms: DataFrame, clip: float | None = None) -> DataFrame:

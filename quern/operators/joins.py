@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,3 +107,8 @@ def preferred_teacher_eos(resolved: DataFrame) -> DataFrame:
     of_teacher = F.exists("sources", lambda s: F.startswith(s, F.lit("teacher")))
     rank = F.when(of_teacher & ~F.col("native"), 0).when(of_teacher, 1).otherwise(2)
     return resolved.agg(F.min_by("token_id", F.struct(rank, "token_id")).alias("token_id"))
+
+
+def random_seeds(n: int, seed: int) -> list[int]:
+    """``n`` distinct seeds in [0, 2^31 - 1), the same for the same ``seed``."""
+    return random.Random(seed).sample(range((1 << 31) - 1), n)

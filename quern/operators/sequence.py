@@ -69,12 +69,20 @@ def round_robin(rows: DataFrame, n: int, order: str) -> DataFrame:
 
 
 def row_index(rows: DataFrame, order: str) -> DataFrame:
-    """Zero-based number in ``order`` (unique): numbers within ranges of it plus the counts of the ranges before."""
+    """Zero-based number in ``order`` (a unique whole number): its place in a range plus the rows of the ranges before.
+
+    Ranges of 4,096 are counted within ranges of these, so no task sees more than a small share of the counts.
+    """
     marked = rows.withColumn("range_", F.floor(F.col(order) / 4096))
-    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    counts = marked.groupBy("range_").count().withColumn("base_", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    above = F.floor(F.col("range_") / 4096).alias("above_")
+    counts = marked.groupBy("range_").count().select("range_", above, "count")
+    before = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = counts.select("range_", "above_", before(Window.partitionBy("above_").orderBy("range_")).alias("base_"))
+    tops = counts.groupBy("above_").agg(F.sum("count").alias("count")).select("above_", before(Window.orderBy("above_")).alias("top_"))
+    bases = within.join(tops, "above_").select("range_", (F.col("base_") + F.col("top_")).alias("base_"))
     inside = F.row_number().over(Window.partitionBy("range_").orderBy(order)) - 1
-    return marked.withColumn("in_", inside).join(counts, "range_").withColumn("row_index", F.col("base_") + F.col("in_")).drop("range_", "base_", "in_")
+    numbered = marked.withColumn("in_", inside).join(bases, "range_")
+    return numbered.withColumn("row_index", F.col("base_") + F.col("in_")).drop("range_", "base_", "in_")
 
 
 def chunks(ids: Column, size: int) -> Column:

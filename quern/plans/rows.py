@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +14,10 @@ from quern.functions import rows as C
 from quern.operators import evaluation, joins, rollouts, sequence
 from quern.plans.facts import BOXED, IDS, TOKENS, boxed_texts, id_lists, r6, read, tokens
 from quern.plans.registry import query
-from quern.session import ship
-from quern.sources import readers, writers
+from quern.session import shared_folder, ship
+from quern.sources import config, readers, writers
+from quern.sources.writers import renamed
+
 
 def _id() -> Column:
     return F.col("doc_id").cast("string")
@@ -117,6 +123,12 @@ def j4(spark, sf):
     return joins.expanded(read(spark, sf, "benchmark").select("item_id"), [11, 22, 33])
 
 
+@query("G8_random_seeds", "SELECT 500 AS n, 500 AS distinct_n, true AS inside, true AS repeatable")
+def g8(spark, sf):
+    rows = spark.createDataFrame([(x, x == y) for x, y in zip(joins.random_seeds(500, 7), joins.random_seeds(500, 7), strict=True)], "seed long, same boolean")
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("seed").alias("distinct_n"), F.every((F.col("seed") >= 0) & (F.col("seed") < (1 << 31) - 1)).alias("inside"), F.every("same").alias("repeatable"))
+
+
 @query("J5_R13_two_stage", "SELECT d.doc_id, coalesce(l.quality = 1, false) OR d.doc_id % 7 = 0 AS ok FROM documents d LEFT JOIN labels l USING (doc_id)")
 def j5(spark, sf):
     d = read(spark, sf, "documents").select("doc_id")
@@ -258,11 +270,17 @@ def y2(spark, sf):
     return _judged(spark, sf).select("doc_id", "has_error", F.col("earliest_error_chunk_id").alias("chunk"), "parse_failed")
 
 
-@query("E24_judge_summary", """WITH j AS (SELECT CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS e, doc_id % 4 = 3 AS f, doc_id % 4 = 0 AND doc_id % 7 < 3 AS w FROM documents)
-SELECT count(*) AS judged, count(*) FILTER (NOT f) AS parsed, count(*) FILTER (f) AS parse_failed, count(*) FILTER (e) AS with_error, count(*) FILTER (NOT e) AS without_error, count(*) FILTER (e IS NULL) AS undecided, count(*) FILTER (w) AS within, count(*) FILTER (e AND NOT w) AS beyond,
-round(count(*) FILTER (w) / count(*), 6) AS within_of_judged, round(count(*) FILTER (w) / nullif(count(*) FILTER (e), 0), 6) AS within_of_errors, round(count(*) FILTER (NOT f) / count(*), 6) AS parse_rate FROM j""")
+@query("E24_judge_summary", """WITH j AS (SELECT CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS c, doc_id % 11 <> 0 AS full_, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS e, CASE WHEN doc_id % 4 = 0 AND doc_id % 7 < 5 THEN doc_id % 7 * 16 + 1 END AS pos FROM documents),
+k AS (SELECT *, coalesce(c, false) AS skip, NOT coalesce(c, false) AND full_ AS judged FROM j)
+SELECT count(*) AS total_seen, count(*) FILTER (judged) AS judged, count(*) FILTER (skip) AS skipped_correct, count(*) FILTER (NOT skip AND NOT full_) AS missing_problem_or_generation, count(*) FILTER (judged AND e IS NULL) AS parse_failed,
+count(*) FILTER (judged AND NOT coalesce(c, false)) AS wrong_or_unknown_judged, count(*) FILTER (judged AND NOT e AND NOT c) AS wrong_without_error, count(*) FILTER (judged AND NOT e) AS without_error, count(*) FILTER (judged AND e) AS with_error,
+count(*) FILTER (judged AND e AND pos IS NOT NULL) AS error_located, count(*) FILTER (judged AND e AND pos IS NULL) AS error_unlocated, count(*) FILTER (judged AND e AND pos <= 40) AS error_within, count(*) FILTER (judged AND e AND pos > 40) AS error_beyond,
+round(count(*) FILTER (judged AND e AND pos <= 40) / nullif(count(*) FILTER (judged AND e AND pos IS NOT NULL), 0), 6) AS within_of_located, round(count(*) FILTER (judged AND NOT e) / nullif(count(*) FILTER (judged), 0), 6) AS without_error_of_judged, round(count(*) FILTER (judged AND e IS NULL) / nullif(count(*) FILTER (judged), 0), 6) AS parse_failed_of_judged FROM k""")
 def e24(spark, sf):
-    cases = _judged(spark, sf).withColumn("within", F.coalesce(F.col("has_error") & (F.col("earliest_error_chunk_id") < 3), F.lit(False)))
+    chunks = sequence.one_based_chunks(F.sequence(F.lit(1), F.lit(80)), 16)
+    k = F.col("doc_id") % 5
+    pos, within = rollouts.error_position(F.col("earliest_error_chunk_id"), chunks, 40)
+    cases = _judged(spark, sf).withColumns({"correct": F.when(k == 0, True).when(k < 3, False), "complete": F.col("doc_id") % 11 != 0, "error_pos": pos, "within": within})
     return r6(evaluation.judge_summary(cases))
 
 
@@ -375,6 +393,99 @@ def x23(spark, sf):
     return d.select("doc_id", *[c.alias(k) for k, c in readers.file_parameters(F.col("name")).items()])
 
 
+def _fresh(spark, name):
+    """A new folder in what driver and executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("A3_B2_jsonl_strict", "SELECT doc_id, text, lang, source FROM documents")
+def a3(spark, sf):
+    """JSON lines, written twice over, read strictly."""
+    d, path = read(spark, sf, "documents").select("doc_id", "text", "lang", "source"), _fresh(spark, "strict")
+    writers.write_jsonl(d.limit(1), path)
+    writers.write_jsonl(d, path)
+    return readers.jsonl(spark, path, "doc_id long, text string, lang string, source string")
+
+
+@query("B1_append_jsonl", "SELECT event_id % 4 AS rank, event_type AS kind, count(*) AS n, sum(event_id)::BIGINT AS total FROM events GROUP BY ALL")
+def b1(spark, sf):
+    """Two appends, a folder for each rank."""
+    e, path = read(spark, sf, "events").select("event_id", F.col("event_type").alias("kind"), (F.col("event_id") % 4).alias("rank")), _fresh(spark, "append")
+    for part in (0, 1):
+        writers.append_jsonl(e.where(F.col("event_id") % 2 == part), path, "rank")
+    back = readers.jsonl(spark, path, "event_id long, kind string, rank long")
+    return back.groupBy("rank", "kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
+def _lines(spark, sf):
+    """A log of objects, broken lines, lists and blank lines, by id."""
+    k = F.col("doc_id") % 5
+    obj = F.to_json(F.struct("doc_id", "text"))
+    line = F.when(k == 0, obj).when(k == 1, F.lit('{"doc_id": 1, "te')).when(k == 2, F.concat(F.lit("["), obj, F.lit("]"))).when(k == 3, F.lit("  ")).otherwise(obj)
+    return read(spark, sf, "documents").select(line.alias("value"))
+
+
+@query("A4_jsonl_lenient", "SELECT doc_id, text FROM documents WHERE doc_id % 5 IN (0, 4)")
+def a4(spark, sf):
+    path = _fresh(spark, "lenient")
+    _lines(spark, sf).write.text(path)
+    renamed(spark, path, ".txt", ".jsonl")
+    got = readers.samples(spark, path).select(F.from_json("record", "doc_id long, text string").alias("r"))
+    return got.select("r.*")
+
+
+@query("A8_line_numbers", "SELECT (row_number() OVER (ORDER BY doc_id))::BIGINT AS line_number, doc_id, text FROM documents QUALIFY doc_id % 3 <> 0")
+def a8b(spark, sf):
+    """Lines of one file that is read in several splits, blank ones counted but left out."""
+    path = _fresh(spark, "numbered")
+    d = read(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.to_json(F.struct("doc_id", "text"))).alias("value"))
+    d.orderBy("doc_id").select("value").coalesce(1).write.text(path)
+    got = readers.numbered_lines(spark, path)
+    return got.select("line_number", F.from_json("line", "doc_id long, text string").alias("r")).select("line_number", "r.*")
+
+
+@query("A5_A6_json_documents", "WITH l(layout, first_) AS (VALUES ('list', true), ('object', true), ('values', false)) SELECT layout, first_, item_id, text FROM l, benchmark UNION ALL SELECT 'single', false, min(item_id), arg_min(text, item_id) FROM benchmark")
+def a5(spark, sf):
+    """Documents of every layout, and one that holds no sample, found below one folder."""
+    b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("target"))
+    items = F.array_sort(F.collect_list(F.struct("item_id", "target")))
+    path = _fresh(spark, "layouts")
+    text = b.agg(F.to_json(items).alias("j"), F.to_json(F.min(F.struct("item_id", "target"))).alias("one"))
+    layouts = {"samples_list": F.concat(F.lit('{"samples": '), "j", F.lit("}")), "samples_object": F.concat(F.lit('{"samples": {"a": '), "j", F.lit(', "b": 3}}')), "values": F.concat(F.lit('{"x": '), "j", F.lit(', "y": [1]}')), "single": F.col("one"), "none": F.lit('{"z": [{"q": 1}]}')}
+    for name, value in layouts.items():
+        text.select(value.alias("value")).coalesce(1).write.text(f"{path}/deep/{name}")
+        renamed(spark, f"{path}/deep/{name}", ".txt", ".json", name)
+    got = readers.samples(spark, path).select(F.regexp_extract("source_file", r"([a-z]+)-[^/]*$", 1).alias("layout"), F.col("samples_first").alias("first_"), F.from_json("record", "item_id long, target string").alias("r"))
+    return got.select("layout", "first_", "r.item_id", F.col("r.target").alias("text"))
+
+
+@query("B3_csv", "SELECT page_id::VARCHAR AS page_id, NULL::VARCHAR AS missing, url FROM pages")
+def b3(spark, sf):
+    path = _fresh(spark, "csv")
+    writers.write_csv(read(spark, sf, "pages"), path, ["page_id", "missing", "url"])
+    return spark.read.option("header", True).schema("page_id string, missing string, url string").csv(path)
+
+
+@query("A12_B7_Y13_Y14_R14_R15_settings", """WITH n AS (SELECT n_nationkey AS k, n_name FROM nation)
+SELECT k::BIGINT AS nation, CASE WHEN k % 2 = 0 THEN 'prefix_length' ELSE 'full_max_new_tokens' END AS length_from, (CASE WHEN k % 2 = 0 THEN 64 + k ELSE 900 END)::BIGINT AS tokens, least(2000, 512 + CASE WHEN k % 2 = 0 THEN 64 + k ELSE 900 END)::BIGINT AS longest,
+n_name AS name, 3 AS kept, k::BIGINT AS changed, (CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END)::BIGINT AS problems FROM n""")
+def a12(spark, sf):
+    """For every nation: a file over a base file, dotted overrides, derived lengths, validation, and the dump read again."""
+    base = {"loss_backend": "adaptive_opd", "strategy": "full", "opd_loss_mode": "prune_opd", "reverse_top_k": 16, "forward_top_k": 16, "overlap_top_k": 16, "full_max_new_tokens": 900, "prefix_length": 1, "max_length": 2000, "max_prompt_length": 512, "auto_shrink_max_length": True, "inner": {"kept": 3, "changed": -1}}
+    out = []
+    with tempfile.TemporaryDirectory() as top:  # settings are files of the driver
+        folder = Path(top)
+        config.dump(base, folder / "base.json")
+        for k, name in read(spark, sf, "nation").select("n_nationkey", "n_name").collect():
+            own = {"base_config": "base.json", "name": name} | ({"strategy": "esr"} if k % 2 == 0 else {}) | ({"beta": 1, "prune_w_base": 2} if k % 5 == 0 else {})
+            config.dump(own, folder / "own.json")
+            cfg = config.with_lengths(config.load(folder / "own.json", [f"inner.changed={k}", f"prefix_length={64 + k}"]))
+            config.dump(cfg, folder / "all.json")
+            cfg = config.load(folder / "all.json")
+            out.append((k, cfg["effective_max_new_tokens_source"], cfg["effective_max_new_tokens"], cfg["effective_max_length"], cfg["name"], cfg["inner"]["kept"], cfg["inner"]["changed"], len(config.problems(cfg))))
+    return spark.createDataFrame(out, "nation long, length_from string, tokens long, longest long, name string, kept int, changed long, problems long")
+
+
 @query("B4_summary", "SELECT '{\"documents\":' || count(*) || ',\"nothing\":null}' AS json FROM documents")
 def b4(spark, sf):
     return writers.summary(read(spark, sf, "documents").agg(F.count("*").alias("documents"), F.max(F.lit(None).cast("int")).alias("nothing")))

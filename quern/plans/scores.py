@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import distribution as D
-from quern.operators import joins
+from quern.operators import joins, reports
 from quern.operators.sequence import array_top_k
 from quern.plans.facts import PAIRS, TOKENS, pairs, r6, tokens
 from quern.plans.registry import query
@@ -113,22 +113,57 @@ def c14(spark, sf):
     return r6(pairs(spark, sf).select("vec_id", D.total(D.cropped(F.col("s"), short)).alias("s"), D.total(short).alias("t")))
 
 
-@query("E16_loss_report", f"""WITH {PAIRS}, k1 AS (SELECT *, ln(sum(exp(s)) OVER (PARTITION BY vec_id)) AS zs, ln(sum(exp(t)) OVER (PARTITION BY vec_id)) AS zt FROM pr WHERE rs <= {K}),
-k2 AS (SELECT *, ln(sum(exp(s)) OVER (PARTITION BY vec_id)) AS zs, ln(sum(exp(t)) OVER (PARTITION BY vec_id)) AS zt FROM pr WHERE rt <= {K}),
-a AS (SELECT vec_id, sum(exp(s - zs) * ((s - zs) - (t - zt))) AS rev FROM k1 GROUP BY 1), b AS (SELECT vec_id, sum(exp(t - zt) * ((t - zt) - (s - zs))) AS fwd FROM k2 GROUP BY 1),
-c AS (SELECT vec_id, count(*) FILTER (rs <= {K} AND rt <= {K}) / {K} AS ov FROM pr GROUP BY 1), j AS (SELECT * FROM a JOIN b USING (vec_id) JOIN c USING (vec_id))
-SELECT count(*) AS n, round(avg(rev), 6) AS reverse_mean, round(avg(fwd), 6) AS forward_mean, round(avg(ov), 6) AS overlap_mean, round(avg((ov < 0.65)::INT), 6) AS low_fraction, round(corr(rev, fwd), 6) AS corr, """ + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {n}_p{round(q * 100)}" for c, n in (("rev", "reverse"), ("fwd", "forward"), ("ov", "overlap")) for q in (0.1, 0.5, 0.9)) + " FROM j")
-def e16(spark, sf):
-    from quern.operators import masked
+#: Positions of rollouts: sixteen pairs are a sequence; the target is an entry's number.
+_AT = f"""{PAIRS}, {_LSE}, spots AS (SELECT DISTINCT vec_id, vec_id // 16 AS seq_id, vec_id % 16 AS pos, vec_id % 10 <> 0 AS active, CASE WHEN (vec_id // 16) % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS seq_weight FROM pr)"""
+
+
+def _positions(spark, sf):
+    seq = F.floor(F.col("vec_id") / 16)
+    weight = F.when(seq % 3 == 0, 0.0).otherwise(1.0)
+    return pairs(spark, sf).select("vec_id", seq.alias("seq_id"), (F.col("vec_id") % 16).alias("pos"), (F.col("vec_id") % 10 != 0).alias("active"), weight.alias("seq_weight"), "s", "t")
+
+
+def _local(rank: str, a: str, b: str, name: str) -> str:
+    """Divergence of a from b and the entropy of a, normalised on the best of a."""
+    return f"""{name}0 AS (SELECT vec_id, {a} - ln(sum(exp({a})) OVER w) AS p, {b} - ln(sum(exp({b})) OVER w) AS q FROM pr WHERE {rank} <= {K} WINDOW w AS (PARTITION BY vec_id)),
+{name} AS (SELECT vec_id, sum(exp(p) * (p - q)) AS kl, -sum(exp(p) * ln(greatest(exp(p), 1e-12))) AS h FROM {name}0 GROUP BY vec_id)"""
 
-    p = pairs(spark, sf).select(D.reverse_kl(F.col("s"), F.col("t"), K).alias("reverse"), D.forward_kl(F.col("s"), F.col("t"), K).alias("forward"), D.overlap(F.col("s"), F.col("t"), K).alias("overlap"))
-    on = F.lit(True)
-    q = [c.alias(f"{n}_p{round(x * 100)}") for n in ("reverse", "forward", "overlap") for x, c in zip((0.1, 0.5, 0.9), masked.masked_quantiles(F.col(n), on, (0.1, 0.5, 0.9)), strict=True)]
-    return r6(p.agg(F.count("*").alias("n"), F.avg("reverse").alias("reverse_mean"), F.avg("forward").alias("forward_mean"), F.avg("overlap").alias("overlap_mean"), F.avg((F.col("overlap") < 0.65).cast("double")).alias("low_fraction"), masked.masked_correlation(F.col("reverse"), F.col("forward"), on).alias("corr"), *q))
 
+_NAMES = {"overlap": "overlap", "reverse": "rev", "forward": "fwd", "token": "token"}
+_MEANS = {"mean_reverse_loss": "rev", "mean_forward_loss": "fwd", "mean_token_loss": "token", "mean_overlap": "overlap", "low_overlap_fraction": "low::INT", "reverse_active_fraction": "(rc > 0)::INT", "forward_active_fraction": "(fc > 0)::INT", "reverse_plus_forward_fraction": "(rc > 0 AND fc > 0)::INT", "mean_reverse_coefficient": "rc", "mean_forward_coefficient": "fc", "mean_prune_weight": "weight", "mean_student_entropy": "hs", "mean_teacher_entropy": "ht", "mean_student_mass": "ms", "mean_teacher_mass": "mt", "top1_agreement": "same::INT"}
 
-@query("E27_eos_diagnostics", f"WITH {PAIRS}, {_LSE} SELECT round(avg(p), 6) AS mean_eos_probability, round(avg(inside::INT), 6) AS in_top_k, round(avg(is_eos::INT), 6) AS target_fraction FROM (SELECT vec_id, sum(exp(s - zs)) FILTER (i IN (3, 7)) AS p, bool_or(i IN (3, 7) AND rs <= {K}) AS inside, any_value(vec_id % 64 IN (3, 7)) AS is_eos FROM pr JOIN lse USING (vec_id) GROUP BY vec_id)")
+
+@query("E16_loss_report", f"""WITH {_AT}, {_local("rs", "s", "t", "a")}, {_local("rt", "t", "s", "b")},
+c AS (SELECT vec_id, count(*) FILTER (rs <= {K} AND rt <= {K}) / {K} AS overlap, sum(exp(s - zs)) FILTER (rs <= {K}) AS ms, sum(exp(t - zt)) FILTER (rt <= {K}) AS mt, count(*) FILTER (rs = 1 AND rt = 1) = 1 AS same FROM pr JOIN lse USING (vec_id) GROUP BY vec_id),
+j AS (SELECT spots.*, c.* EXCLUDE (vec_id), a.kl AS rev, a.h AS hs, b.kl AS fwd, b.h AS ht, active AND overlap < 0.65 AS low FROM spots JOIN a USING (vec_id) JOIN b USING (vec_id) JOIN c USING (vec_id)),
+w AS (SELECT *, CASE WHEN active THEN least(greatest(1.0 - 0.01::DOUBLE * sum(low::INT) OVER (PARTITION BY seq_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 0.5), 1.0) ELSE 0 END AS weight,
+  sum(active::INT) OVER (PARTITION BY seq_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS place, greatest(sum(active::INT) OVER (PARTITION BY seq_id), 1) AS n FROM j),
+x AS (SELECT *, weight AS rc, CASE WHEN low THEN 0.1 ELSE 0 END::DOUBLE AS fc, place::DOUBLE / n AS rel FROM w), y AS (SELECT *, rc * rev + fc * fwd AS token FROM x),
+per AS (SELECT seq_id, any_value(seq_weight) AS sw, coalesce(avg(token) FILTER (active), 0) AS m FROM y GROUP BY seq_id)
+SELECT (SELECT round(sum(m * sw) / greatest(sum(sw), 1.0), 6) FROM per) AS loss, (SELECT round(avg(m), 6) FROM per) AS mean_per_sequence_loss, (SELECT round(avg((sw > 0)::INT), 6) FROM per) AS effective_sequence_fraction,
+coalesce(min(place) FILTER (low), -1)::BIGINT AS first_low_overlap_position, 64 AS common_vocab_size, 64 AS student_vocab_size, 64 AS teacher_vocab_size, {K} AS reverse_top_k, {K} AS forward_top_k, {K} AS overlap_top_k,
+""" + ", ".join(
+    [f"round(avg({c}) FILTER (active), 6) AS {n}" for n, c in _MEANS.items()]
+    + [f"round(corr(overlap, {_NAMES[n]}) FILTER (active), 6) AS overlap_{n}_corr" for n in ("reverse", "forward", "token")]
+    + [f"round(quantile_cont({c}, {q}) FILTER (active), 6) AS {n}_p{round(q * 100)}" for n, c in _NAMES.items() for q in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)]
+    + [f"round(coalesce(avg({c}) FILTER (active AND {w}), 0), 6) AS {n}_{r}" for n, c in _NAMES.items() for r, w in (("early", "rel <= 1.0::DOUBLE / 3"), ("middle", "rel > 1.0::DOUBLE / 3 AND rel <= 2.0::DOUBLE / 3"), ("late", "rel > 2.0::DOUBLE / 3"))]
+) + " FROM y")
+def e16(spark, sf):
+    return r6(reports.loss_report(reports.scored_positions(_positions(spark, sf), K, "prune_plus_forward"), K))
+
+
+@query("E27_eos_diagnostics", f"""WITH {_AT}, p AS (SELECT vec_id, sum(exp(s - zs)) FILTER (i IN (3, 7)) AS sp, sum(exp(t - zt)) FILTER (i IN (3, 7)) AS tp, bool_or(i = vec_id % 8 AND rs <= {K}) AS si, bool_or(i = vec_id % 8 AND rt <= {K}) AS ti FROM pr JOIN lse USING (vec_id) GROUP BY vec_id),
+x AS (SELECT *, active AND vec_id % 8 IN (3, 7) AS fin, max(pos) OVER (PARTITION BY seq_id) AS last, CASE seq_id % 3 WHEN 1 THEN 'truncated' WHEN 2 THEN 'boxed' END AS kind, CASE WHEN seq_id % 6 = 2 THEN 1 ELSE 0 END AS app FROM spots JOIN p USING (vec_id)),
+y AS (SELECT *, CASE WHEN pos = last - app THEN kind END AS cut FROM x)
+SELECT round(count(*) FILTER (fin) / greatest(count(*) FILTER (active), 1), 6) AS eos_target_fraction, """ + ", ".join(
+    f"round(coalesce(avg({s}p) FILTER (fin), 0), 6) AS {n}_eos_target_probability, round(coalesce(avg({s}i::INT) FILTER (fin), 0), 6) AS eos_target_in_{n}_top_k, " + ", ".join(f"round(coalesce(avg({s}p) FILTER (cut = '{c}'), 0), 6) AS {c}_{n}_next_eos_probability" for c in ("truncated", "boxed"))
+    for s, n in (("s", "student"), ("t", "teacher"))
+) + " FROM y")
 def e27(spark, sf):
-    stops = F.array(F.lit(3), F.lit(7))
-    p = pairs(spark, sf).select(D.set_probability(F.col("s"), stops).alias("p"), F.arrays_overlap(array_top_k(F.col("s"), K), stops).alias("inside"), (F.col("vec_id") % 64).isin(3, 7).alias("eos"))
-    return r6(p.agg(F.avg("p").alias("mean_eos_probability"), F.avg(F.col("inside").cast("double")).alias("in_top_k"), F.avg(F.col("eos").cast("double")).alias("target_fraction")))
+    from pyspark.sql import Window
+
+    kind = F.when(F.col("seq_id") % 3 == 1, "truncated").when(F.col("seq_id") % 3 == 2, "boxed")
+    last = F.max("pos").over(Window.partitionBy("seq_id"))
+    cut = reports.next_position(kind, F.col("seq_id") % 6 == 2, F.col("pos"), last)
+    rows = _positions(spark, sf).withColumns({"target": (F.col("vec_id") % 8).cast("int"), "cut": cut})
+    return r6(reports.end_diagnostics(rows, [3, 7], K))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -10,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: list[str] = []
 
 
 def session(app: str = "quern", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +40,16 @@ def ship(spark: SparkSession) -> SparkSession:
             z.write(p, str(p.relative_to(top.parent)))
     spark.sparkContext.addPyFile(path)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one in local mode."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="quern-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], True)
+    return f"file://{_LOCAL[0]}"

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -33,11 +33,19 @@ def with_source(df: DataFrame) -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, line_number (from 1), line: whole files, so that lines can be counted."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
-    lines = files.select("source_file", F.posexplode(F.split("value", "\n", -1)).alias("n", "line"))
-    return lines.where(F.trim("line") != "").select("source_file", (F.col("n") + 1).alias("line_number"), "line")
+def numbered_lines(spark: SparkSession, path: str | list[str], **options: bool) -> DataFrame:
+    """source_file, line_number (from 1), line of all lines that are not blank.
+
+    Files are split as any text is: a line's number is its place in its split
+    plus the lines of the file's splits before, of which only counts are joined.
+    """
+    at = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "source_file"), ("file_block_start", "block"))]
+    lines = spark.read.options(**options).text(path).select(*at, F.monotonically_increasing_id().alias("m"), F.col("value").alias("line"))
+    counts = lines.groupBy("source_file", "block").agg(F.min("m").alias("first"), F.count("*").alias("lines"))
+    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("source_file", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("base"))
+    number = F.col("base") + F.col("m") - F.col("first") + 1
+    return lines.where(F.trim("line") != "").join(bases, ["source_file", "block"]).select("source_file", number.alias("line_number"), "line")
 
 
 def _is_sample(x: dict) -> bool:
@@ -68,24 +76,39 @@ def _parsed(line: str):
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """source_file, n, record (JSON text) of all samples below a path.
 
-    JSON-line files give every object that parses; JSON files are read in all
-    known layouts.  Order by (not samples_first, source_file, n) for the order
-    that puts files named after samples first.
+    JSON-line files are read by lines, in splits, and give every object that
+    parses, numbered by its line; JSON files are read whole, in all known
+    layouts, and their samples numbered from 0.  Order by (not samples_first,
+    source_file, n) for the order that puts files named after samples first.
     """
     ship(spark)
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("source_file"), "value").where(F.regexp_like("source_file", F.lit(r"\.jsonl?$")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if name.endswith(".jsonl"):
-                    got = [x for x in (_parsed(s) for s in (text or "").split("\n") if s.strip()) if isinstance(x, dict)]
-                else:
-                    got = _of_document(_parsed(text or ""))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(got), pa.string()), pa.array(range(len(got)), pa.int64()), pa.array([json.dumps(x, ensure_ascii=False) for x in got], pa.string()), pa.array(["samples" in name.rsplit("/", 1)[-1].lower()] * len(got), pa.bool_())], names=["source_file", "n", "record", "samples_first"])
-
-    return files.mapInArrow(run, "source_file string, n long, record string, samples_first boolean")
+    kind = "source_file string, n long, record string, samples_first boolean"
+
+    def run(objects):
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [
+                    (name, n, json.dumps(x, ensure_ascii=False), "samples" in name.rsplit("/", 1)[-1].lower())
+                    for name, number, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                    for n, x in objects(number, text)
+                ]
+                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+                types = [pa.string(), pa.int64(), pa.string(), pa.bool_()]
+                names = ["source_file", "n", "record", "samples_first"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        return each
+
+    def of_line(number: int, line: str) -> list[tuple[int, dict]]:
+        return [(number, x)] if isinstance(x := _parsed(line), dict) else []
+
+    def of_file(_: int, text: str) -> list[tuple[int, dict]]:
+        return list(enumerate(_of_document(_parsed(text or ""))))
+
+    lines = numbered_lines(spark, path, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    whole = whole.select(F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("long").alias("line_number"), "value")
+    return lines.mapInArrow(run(of_line), kind).unionByName(whole.mapInArrow(run(of_file), kind))
 
 
 def benchmark_samples(df: DataFrame, path: str, index: Column) -> DataFrame:

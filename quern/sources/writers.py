@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,17 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def renamed(spark: SparkSession, path: str, old: str, new: str, prefix: str = "part") -> None:
+    """Give the files that a writer left in a folder another ending, and ``prefix`` in place of ``part``."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for file in fs.listStatus(top):
+        name = file.getPath().getName()
+        if name.startswith("part-") and name.endswith(old):
+            own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{prefix}{name[4:].removesuffix(old)}{new}")
+            fs.rename(file.getPath(), own)
+
+
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     """CSV with a header and the given fields; missing ones are empty."""
     columns = [F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields]

@@ -13,7 +13,9 @@ fewer (9 to 11 words: 2, 5 to 8: 1, below: none) and keep such a stretch too,
 but for five words with the third substituted, for which there is a mask that
 leaves it out.  Items of one or two words must be equal.  Documents give the
 seeds of those masks that some item has.  Every hit names a diagonal (document
-position minus item position), along which the words of both are compared;
+position minus item position).  Of n equal words in k stretches at least
+n - 2k seeds of three words are left, so diagonals with fewer hits than that
+hold no leak; along the others the words of both are compared;
 words of the item that stick out of the document count as substituted.
 
 Null or empty
@@ -59,10 +61,14 @@ def _seeds(rows: DataFrame, h: str, n: str, mask: tuple[int, ...], keep: list[st
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, item_words, doc_word (where the item begins; may be negative), n_equal, best_run of every leak."""
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), _hashes(F.col(f"`{item_text_col}`")).alias("b")).withColumn("nb", F.size("b")).where("nb > 0")
+    # what a leak has on its diagonal at least: equal words leave out two seeds of three words in each stretch but the shortest
+    run = F.least(F.lit(RUN), F.col("nb"))
+    equal = F.ceil(F.lit(NEED) * run / RUN)
+    items = items.withColumn("need", F.greatest(F.lit(1), equal - 2 * (run - equal + 1)).cast("int"))
     flags = items.agg(*[F.coalesce(F.max(_has(F.col("nb"), least, most)), F.lit(False)) for _, least, most in MASKS]).first()
     # the first mask stays for tables without items, so that there is always a plan
     masks = [m for i, m in enumerate(MASKS) if flags[i] or i == 0]
-    parts = [_seeds(items.where(_has(F.col("nb"), least, most)), "b", "nb", mask, ["item_id"], "ip") for mask, least, most in masks]
+    parts = [_seeds(items.where(_has(F.col("nb"), least, most)), "b", "nb", mask, ["item_id", "need"], "ip") for mask, least, most in masks]
     seeds = reduce(DataFrame.unionByName, parts).distinct()
     few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     small = (items.agg(F.sum("nb")).first()[0] or 0) <= BROADCAST_SEEDS
@@ -70,8 +76,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     rows = read.select("doc_id", "t", _hashes(F.col("text")).alias("h")).withColumn("n", F.size("h"))
     spread = reduce(DataFrame.unionByName, [_seeds(rows, "h", "n", mask, ["doc_id", "t"], "dp") for mask, _, _ in masks])
-    found = spread.join(F.broadcast(seeds) if few else seeds, "s").select("doc_id", "t", "item_id", (F.col("dp") - F.col("ip")).alias("diagonal"))
-    hits = Scratch(docs.sparkSession).table(found.distinct().withColumnRenamed("doc_id", "id").withColumnRenamed("t", "u"), "hits")
+    found = spread.join(F.broadcast(seeds) if few else seeds, "s").select("doc_id", "t", "item_id", "need", (F.col("dp") - F.col("ip")).alias("diagonal"))
+    found = found.groupBy("doc_id", "t", "item_id", "diagonal").agg(F.count("*").alias("seeds"), F.min("need").alias("need"))
+    found = found.where("seeds >= need").select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "item_id", "diagonal")
+    hits = Scratch(docs.sparkSession).table(found, "hits")
     some = hits.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     asked = hits.select("id", "u").distinct()
     same = (F.col("t") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("id"))
@@ -83,10 +91,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     before = F.greatest(-F.col("diagonal"), F.lit(0))
     inside = F.slice("h", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.greatest(F.least(F.col("nb") - before, F.col("n") - F.greatest(F.col("diagonal"), F.lit(0))), F.lit(0)))
     beside = sized.select("doc_id", "item_id", "nb", "diagonal", "b", F.concat(F.array_repeat(F.lit(None).cast("long"), before), inside).alias("w")).dropDuplicates(["doc_id", "item_id", "diagonal", "w"])
-    equal = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.coalesce((F.get("w", i) == F.get("b", i)).cast("int"), F.lit(0)))
-    run = F.least(F.lit(RUN), F.col("nb"))
+    same_words = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.coalesce((F.get("w", i) == F.get("b", i)).cast("int"), F.lit(0)))
     sums = F.transform(F.sequence(F.lit(1), F.col("nb") - run + 1), lambda i: F.aggregate(F.slice("e", i, run), F.lit(0), lambda a, x: a + x))
-    judged = beside.withColumn("e", equal).withColumn("best_run", F.array_max(sums)).withColumn("n_equal", F.aggregate("e", F.lit(0), lambda a, x: a + x))
+    judged = beside.withColumn("e", same_words).withColumn("best_run", F.array_max(sums)).withColumn("n_equal", F.aggregate("e", F.lit(0), lambda a, x: a + x))
     bad = judged.where(F.col("best_run") * RUN >= F.lit(NEED) * run)
     best = bad.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("nb", "diagonal", "n_equal", "best_run"), F.struct("best_run", "n_equal", -F.col("diagonal"))).alias("r"))
     return best.select("doc_id", "item_id", F.col("r.nb").alias("item_words"), F.col("r.diagonal").alias("doc_word"), F.col("r.n_equal").alias("n_equal"), F.col("r.best_run").alias("best_run"))

@@ -41,7 +41,7 @@ from quern.session import ship
 
 #: Examples of a label, and distinct words of all of them, that the index may hold.
 EXAMPLES, POSTINGS = 2_000, 2_000_000
-K, BLOCK, NEAR, PRIOR, EVIDENCE = 15, 64, 0.05, 1.0, 3
+K, BLOCK, FIRST, NEAR, PRIOR, EVIDENCE = 15, 256, 2, 0.05, 1.0, 3
 FLOOR, DRAWN = 0.02, 8.0
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,35 +61,35 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Index:
     """Examples in an inverted index of blocks, with the largest weight of each term in each block."""
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], shares: tuple[float, float] = (1.0, 1.0)):
-        """``examples``: (id, label, counts of terms); ``shares``: what an example of label 0, and 1, counts."""
-        label = np.array([e[1] for e in examples], int)
-        worth = np.array(shares, float)[label] if len(label) else np.zeros(0)
+    def __init__(self, examples: pa.Table, shares: tuple[float, float] = (1.0, 1.0)):
+        """``examples``: id, label, term and n (lists of terms and counts); ``shares``: what an example of label 0, and 1, counts."""
+        ids, label = (examples[c].to_numpy().astype(np.int64) for c in ("id", "label"))
+        worth = np.array(shares, float)[label]
         total = float(worth.sum())
         self.rate = float(worth[label == 1].sum()) / total if total else 0.0
-        self.number = {t: i for i, t in enumerate(sorted({t for e in examples for t in e[2]}))}
-        size = np.array([len(e[2]) for e in examples], int)
-        row = np.repeat(np.arange(len(examples)), size)
-        term = np.array([self.number[t] for e in examples for t in e[2]], int)
-        n = np.array([x for e in examples for x in e[2].values()], float)
+        words = examples["term"].combine_chunks()
+        size = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        self.number = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+        row, term = np.repeat(np.arange(len(ids)), size), coded.indices.to_numpy().astype(np.int64)
+        n = examples["n"].combine_chunks().flatten().to_numpy().astype(float)
         have, toxic = (np.bincount(term, w, len(self.number)) for w in (worth[row], (worth * label)[row]))
         # the usual inverse frequency, and how much more often toxic examples have the term than their rate says
         excess = (toxic - have * self.rate) / np.sqrt(have * self.rate * (1 - self.rate) + DRAWN)
         self.weight = (np.log((1 + total) / (1 + have)) + 1) * (FLOOR + np.maximum(0, excess))
         w = (1 + np.log(n)) * self.weight[term]
-        norm = np.sqrt(np.bincount(row, w * w, len(examples)))
+        norm = np.sqrt(np.bincount(row, w * w, len(ids)))
         w = w / np.maximum(norm, 1e-300)[row]
         bare = size == 0
         self.bare = (float((worth * label)[bare].sum()) + self.rate) / (float(worth[bare].sum()) + 1)
         # examples with the same heaviest term stand in the same blocks
         o = np.lexsort((-w, row))
-        first = np.zeros(len(examples), int)
+        first = np.zeros(len(ids), int)
         heads = o[np.append(True, row[o][1:] != row[o][:-1])] if len(o) else o
         first[row[heads]] = term[heads]
-        ids = np.array([e[0] for e in examples], np.int64)
         order = np.lexsort((ids, first, label))
         order = order[~bare[order]]
-        place = np.zeros(len(examples), int)
+        place = np.zeros(len(ids), int)
         place[order] = np.arange(len(order))
         self.ids, self.label, self.worth = ids[order], label[order], worth[order]
         self.blocks = -(-len(order) // BLOCK)
@@ -107,11 +107,10 @@ class Index:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of a text's terms that the examples have, of length one."""
-        counts = Counter(terms(text))
-        known = [(i, n) for t, n in counts.items() if (i := self.number.get(t)) is not None]
-        if not known:
+        found = [i for i in map(self.number.get, terms(text)) if i is not None]
+        if not found:
             return np.zeros(0, int), np.zeros(0)
-        at, n = np.array(known).T
+        at, n = np.unique(np.array(found), return_counts=True)
         w = (1 + np.log(n)) * self.weight[at]
         return at, w / np.sqrt(w @ w)
 
@@ -122,19 +121,20 @@ class Index:
         block = self.block[rows]
         bound = np.bincount(block, weight * self.most[rows], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        score, kth, i, step = np.zeros(self.blocks * BLOCK), 0.0, 0, 4
-        if own is not None:
-            left = np.flatnonzero(self.ids == own)
+        left = np.flatnonzero(self.ids == own) if own is not None else None
+        score, kth, i, step = np.zeros(self.blocks * BLOCK), 0.0, 0, FIRST
         while i < len(order) and bound[order[i]] > 0 and bound[order[i]] >= kth - 1e-12:
+            end = min(i + step, int(np.searchsorted(-bound[order], -(kth - 1e-12), "right")))
             chosen = np.zeros(self.blocks, bool)
-            chosen[order[i : i + step]] = True
-            i, step = i + step, 2 * step
-            some = chosen[block]
-            a, b = self.start[rows[some]], self.end[rows[some]]
-            hit = _ranges(a, b)
-            score += np.bincount(self.entry[hit], np.repeat(weight[some], b - a) * self.w[hit], len(score))
-            if own is not None:
+            chosen[order[i:end]] = True
+            some = np.flatnonzero(chosen[block])
+            a = self.start[rows[some]]
+            size = self.end[rows[some]] - a
+            hit = _ranges(a, a + size)
+            score += np.bincount(self.entry[hit], np.repeat(weight[some], size) * self.w[hit], len(score))
+            if left is not None:
                 score[left] = 0
+            i, step = end, self.blocks
             kth = max(0.0, np.partition(score, -K)[-K]) if len(score) >= K else 0.0
         found = np.flatnonzero((score >= kth - 1e-12) & (score > 0))
         found = found[np.lexsort((self.ids[found], -score[found]))]
@@ -184,11 +184,11 @@ def fit(
         room = np.cumsum([n for _, n in rows]) <= POSTINGS // 2 if rows else []
         kept += [i for (i, _), fits in zip(rows, room, strict=True) if fits]
     wanted = docs.sparkSession.createDataFrame([(i,) for i in kept], "id long")
-    got = sample.join(F.broadcast(wanted), "id").select("id", "label", "term", "n").collect()
-    counts = Counter(r.label for r in got)
-    every, total = sum(known.get(x, 0) for x in counts), len(got)
-    shares = [known.get(x, 0) / every * total / counts[x] if counts[x] else 1.0 for x in (0, 1)]
-    return Index([(r.id, r.label, dict(zip(r.term, r.n, strict=True))) for r in sorted(got, key=lambda r: r.id)], tuple(shares))
+    got = sample.join(F.broadcast(wanted), "id").select("id", "label", "term", "n").toArrow().sort_by("id")
+    counts = Counter(got["label"].to_pylist())
+    every = sum(known.get(x, 0) for x in counts)
+    shares = [known.get(x, 0) / every * len(got) / counts[x] if counts[x] else 1.0 for x in (0, 1)]
+    return Index(got, tuple(shares))
 
 
 def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", leave_own: bool = False) -> DataFrame:

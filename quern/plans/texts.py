@@ -159,26 +159,34 @@ def x11(spark, sf):
     return read(spark, sf, "documents").select(
         "doc_id", G.plain_udf(F.concat((F.col("n_chars") * 1000).cast("string"), F.lit(".0"))).alias("plain"),
         G.commas_udf(F.concat(n, F.lit(",234,567"))).alias("no_commas"), G.is_int_udf(F.concat(n, F.lit(",000"))).alias("whole"),
-        G.is_fraction_udf(F.when(F.col("doc_id") % 2 == 0, F.concat(n, F.lit("/9"))).otherwise(n)).alias("fraction"))
+        G.is_fraction(F.when(F.col("doc_id") % 2 == 0, F.concat(n, F.lit("/9"))).otherwise(n)).alias("fraction"))
 
 
 @query("X13_X15_tuples", "SELECT doc_id, 'a|' || n_chars AS parts, doc_id % 2 = 0 AS allowed FROM documents")
 def x13(spark, sf):
     ship(spark)
     n = F.col("n_chars").cast("string")
-    return read(spark, sf, "documents").select("doc_id", F.array_join(G.elements_udf(F.concat(F.lit("(a, "), n, F.lit("]"))), "|").alias("parts"), G.may_evaluate_udf(F.when(F.col("doc_id") % 2 == 0, F.lit("sqrt(x)+y")).otherwise(F.lit("x^{2}"))).alias("allowed"))
+    return read(spark, sf, "documents").select("doc_id", F.array_join(G.elements_udf(F.concat(F.lit("(a, "), n, F.lit("]"))), "|").alias("parts"), G.evaluable(F.when(F.col("doc_id") % 2 == 0, F.lit("sqrt(x)+y")).otherwise(F.lit("x^{2}"))).alias("allowed"))
 
 
-@query("X16_X17_X19_grade", "SELECT doc_id, doc_id % 4 <> 3 AS ok, doc_id % 3 <> 2 AS plain_ok FROM documents")
+#: Pairs of plain answers with @ for a number that differs by row, and whether they are equal.
+_EQUAL = [
+    ("(@, 1/2)", "(@,1/2)", True), ("1/2+1/@", "(2+@)/(2*@)", True), ("2/4", "1/2", False), ("x+x+@", "2x+@", True),
+    ("(x+@)^2", "x^2+2*@*x+@*@", True), ("(x+@)^2", "x^2+@*@", False), ("(x^2-1)/(x-1)", "x+1", True), ("2(x+y)", "2x+2y", True),
+    ("sqrt(8)+@", "2sqrt(2)+@", True), ("1/sqrt(2)", "sqrt(2)/2", True), ("sqrt(2)sqrt(3)", "sqrt(6)", True), ("sqrt(5)+@", "sqrt(6)+@", False),
+    ("\\frac{x}{2}+@", "x/2+@", True), ("2\\pi+@", "@+2pi", True), ("[@,3)", "[@,3]", False), ("3.50", "7/2", True),
+    ("x^-1", "1/x", True), ("xy", "yx", True), ("@.0", "@", True), ("x+y+z", "z+y+x", False),
+]
+
+
+@query("X16_X17_X19_grade", "SELECT doc_id, doc_id % 4 <> 3 AS ok, (list_value(" + ", ".join(str(ok).lower() for *_, ok in _EQUAL) + f"))[1 + doc_id % {len(_EQUAL)}] AS plain_ok FROM documents")
 def x17(spark, sf):
     ship(spark)
     k, n = F.col("doc_id") % 4, F.col("n_chars").cast("string")
     given = F.when(k == 0, F.concat(F.lit("\\boxed{"), n, F.lit("}"))).when(k == 1, F.concat(F.lit("so \\boxed{2*"), n, F.lit("/2+0}"))).when(k == 2, F.concat(F.lit("\\boxed{"), n, F.lit(".0}"))).otherwise(F.concat(F.lit("\\boxed{"), n, F.lit("1}")))
     truth = F.when(k == 1, F.concat(F.lit("("), n, F.lit("*3)/3"))).otherwise(n)
-    j = F.col("doc_id") % 3
-    a = F.when(j == 0, F.concat(F.lit("("), n, F.lit(", 1/2)"))).when(j == 1, F.lit("1/2+1/3")).otherwise(F.lit("2/4"))
-    b = F.when(j == 0, F.concat(F.lit("("), n, F.lit(",1/2)"))).when(j == 1, F.lit("(2+3)/6")).otherwise(F.lit("1/2"))
-    return read(spark, sf, "documents").select("doc_id", G.grade_udf(given, truth).alias("ok"), G.grade_plain_udf(a, b).alias("plain_ok"))
+    sides = [F.replace(F.get(F.array(*[F.lit(case[i]) for case in _EQUAL]), F.col("doc_id") % len(_EQUAL)), F.lit("@"), n) for i in (0, 1)]
+    return read(spark, sf, "documents").select("doc_id", G.grade_udf(given, truth).alias("ok"), G.grade_plain_udf(*sides).alias("plain_ok"))
 
 
 @query("R5_boxed_trim", f"WITH {BOXED} SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN true ELSE false END AS cut, (length(text) - length(replace(text, '\\boxed{{', ''))) // 7 AS boxes FROM bx")

@@ -52,6 +52,22 @@ def test_plain(given, truth, ok):
     assert G.grade_plain(given, truth) is ok
 
 
+@pytest.mark.parametrize(("a", "b", "ok"), [("x+x", "2x", True), ("(x+1)^2", "x^2+2x+1", True), ("(x+1)^2", "x^2+1", False), ("(a^2-b^2)/(a-b)", "a+b", True), ("1/sqrt(3)", "sqrt(3)/3", True), ("sqrt(12)", "2sqrt(3)", True), ("sqrt(x)", "sqrt(x)", True), ("sqrt(x)", "sqrt(y)", False), ("1/0", "2/0", False), ("2^70", "2^70", False), ("x^9", "x^8*x", True), ("((x", "((x", True), ("pi+1", "1+pi", True), ("p+i", "i+p", True), ("-x^2", "(-x)^2", False)])
+def test_exact_arithmetic(a, b, ok):
+    assert G.equal_exactly(a, b) is ok
+
+
+@given(st.integers(-9, 9), st.integers(-9, 9), st.integers(1, 9))
+@settings(max_examples=100, deadline=None)
+def test_products_equal_their_expansion(a, b, c):
+    assert G.exact(f"(x+({a}))*({c}x+({b}))").same(G.exact(f"{c}x^2+({b})x+({a})*{c}x+({a})*({b})"))
+
+
+def test_latex_text():
+    cases = {"\\frac{1}{2}": "1/2", "\\sqrt{\\frac{x}{4}}": "sqrt( x/4)", "2\\pi r": "2pi r", "\\text{ab} \\cdot \\left(3\\right)": "ab * (3)", "1\\frac12": "1 1/2", "\\unknown{7}": "7"}
+    assert {k: G.latex_text(k) for k in cases} == cases
+
+
 def test_grade():
     assert G.grade("so \\boxed{7}", "7") and G.grade("\\boxed{7}", "\\boxed{7.0}") and not G.grade("7", "7") and not G.grade("\\boxed{7}", "") and not G.grade(None, "7")
 

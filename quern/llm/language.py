@@ -1,7 +1,8 @@
 """Language identification with bit-sliced Bloom filters of n-grams.
 
 The most frequent n-grams of each language (``TOP`` of each length, from a
-bounded sample of ``SAMPLE`` documents a language) go into one table of
+bounded sample of at most ``SAMPLE`` documents a language, those with the
+least hash of id and text, equal rows once) go into one table of
 ``CELLS`` cells whose bits stand for languages, eight to a slice: the bits that
 are set in all of an n-gram's cells are all languages that contain it.  A text
 gets, for each language, the count of its n-grams with that bit, less the part
@@ -118,16 +119,18 @@ class Filters:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
-    """Filters from at most ``sample`` documents of each language, those with the least hash of their id."""
+    """Filters from at most ``sample`` documents of each language, those with the least hash of their id and text."""
     ship(labelled.sparkSession)
     rows = labelled.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    hashed = rows.select("lang", F.xxhash64("id").alias("h"))
-    sizes = {r[0]: r[1] for r in hashed.groupBy("lang").count().collect()}
-    # a language's share of the hash range that holds about ``sample`` documents
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    # a part of the hash range that holds the least ones for certain, so that few rows are sorted
     share = F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == F.lit(lang), F.lit(min(1.0, sample / n))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < share * F.lit(float(1 << 40))).select("text", "lang")
+        share = F.when(F.col("lang") == F.lit(lang), F.lit(min(1.0, 2 * (sample + 100) / n))).otherwise(share)
+    near = rows.where(F.pmod(F.shiftright("h", 20), F.lit(1 << 40)) < share * F.lit(float(1 << 40))).dropDuplicates(["lang", "h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= sample).select("text", "lang")
     counted = chosen.mapInArrow(_counts, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("c"))
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
     got = counted.withColumn("r", rank).where(F.col("r") <= TOP).select("lang", "gram").collect()

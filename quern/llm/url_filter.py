@@ -56,4 +56,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
     hits = asked.join(keyed, "short").where("asked = digest")
     # longest first; of equals the least text
     best = hits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "verdict")).alias("r")).select("host", "path", "r.rule", "r.verdict")
-    return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict"))
+    out = ["page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict")]
+    # rows without a host meet no rule: they stay out of the join, where they would be one key
+    judged = rows.where("host <> ''").join(best, ["host", "path"], "left").select(*out)
+    bare = rows.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    return judged.unionByName(bare.select(*out))

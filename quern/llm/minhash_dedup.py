@@ -359,6 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         join = _Join(found, keep)
         join.trees(members)
         labels = join.components()
+    keep.drop("roots", *[f"{name}{i}" for name in ("nodes", "near", "edges") for i in range(join.step + 1)])
     if labels is None:
         labels = marks.select("id", F.col("id").alias("component")).limit(0)
     one = sets.where("n = 0 or id is null").select("id", "n", F.col("id").alias("rep"))

@@ -2,44 +2,33 @@
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and
 reading it again, so a lost executor costs a re-read and no recomputation of
-earlier passes.  Only where that setting is absent (local tests) a temporary
-folder of the driver is used and removed at exit.
+earlier passes.  Results are read from these tables when they are used, so a
+run's folder goes when the driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.session import ship
-
-_LOCAL: list[str] = []
-
-
-def _base(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="quern-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], True)
-    return f"file://{_LOCAL[0]}"
-
+from quern.session import shared_folder, ship
 
 class Scratch:
     """The tables of one run of an operator."""
 
     def __init__(self, spark: SparkSession):
         self.spark = ship(spark)
-        self.folder = f"{_base(spark)}/quern-{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}"
+        atexit.register(self.remove)
+
+    def remove(self) -> None:
+        """Delete all tables, if the session is still there to do it."""
+        with contextlib.suppress(Exception):
+            self.drop("")
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return what reads it back."""

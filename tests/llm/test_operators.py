@@ -498,6 +498,58 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == r.lang for r in lang) / len(lang) > 0.97
 
 
+def languages_brute(train, rows):
+    """Predictions by exact sets of the most frequent n-grams, from the definitions."""
+    from quern.llm import language as L
+
+    fold = lambda t: bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in t.encode())
+    grams = lambda t, n: [t[i : i + n] for i in range(len(t) - n + 1)]
+    top = {}
+    for lang in sorted({x for _, x in train}):
+        texts = [fold(t) + b" " for t, x in train if x == lang]
+        top[lang] = {n: {g for g, _ in Counter(g for t in texts for g in grams(t, n)).most_common(L.TOP)} for n in L.LENGTHS}
+    out = []
+    for t in rows:
+        text = fold(t)
+        hits = {x: sum(g in known for n, known in top[x].items() for g in grams(text, n)) for x in top}
+        out.append((max(hits, key=lambda x: (hits[x], x)), max(hits.values()) / max(1, sum(hits.values()))))
+    return out
+
+
+def test_languages_against_exact_sets(spark):
+    from conftest import SF
+
+    from quern.llm.language import fit, identified
+    from quern.llm.queries import held_out
+
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    train = [(r.text, r.lang) for r in table.where(~held_out(F.col("doc_id"))).collect() if r.lang is not None and r.text is not None]
+    rows = [r for r in table.collect() if r.text and any(c.isalpha() for c in r.text)]
+    got = {r.doc_id: r for r in identified(table, fit(table.where(~held_out(F.col("doc_id"))))).collect()}
+    want = languages_brute(train, [r.text for r in rows])
+    same = [got[r.doc_id].lang_pred == lang for r, (lang, _) in zip(rows, want, strict=True)]
+    assert sum(same) / len(same) >= 0.99
+    assert sum(abs(got[r.doc_id].score - score) < 0.03 for r, (_, score) in zip(rows, want, strict=True)) / len(rows) >= 0.97
+
+
+def test_language_sample_is_bounded(spark):
+    """Rows without an id, and rows that repeat, are sampled like all others."""
+    from quern.llm import language as L
+
+    rows = [(None, f"word{i} aaa", "en") for i in range(300)] + [(1, "same text", "en")] * 300 + [(i, f"wort{i} bbb", "de") for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(L.fit(table, sample=20).langs) == ["de", "en"]
+    seen = {}
+    real = L.Filters
+    try:
+        L.Filters = lambda grams, common: seen.update(grams) or real(grams, common)
+        L.fit(table, sample=20)
+    finally:
+        L.Filters = real
+    # twenty texts of twelve bytes at most have no more n-grams than this
+    assert len(seen["en"]) <= 20 * 13 * 3
+
+
 def test_language_edges(spark):
     from quern.llm.language import Filters, fit, identified
 

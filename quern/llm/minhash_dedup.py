@@ -355,11 +355,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = shared.groupBy("size", "s", "x").agg(F.min_by("key", F.struct("c", "key")).alias("key"))
     members = keep.table(roots.join(once.select("key"), "key").select("c", "key", "id", "n"), "roots")
     asked = marks.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi")
-    with keep.dealt(once_each(rows.join(asked, "id")), "id", "asked") as found:
-        join = _Join(found, keep)
-        join.trees(members)
-        labels = join.components()
-    keep.drop("roots", *[f"{name}{i}" for name in ("nodes", "near", "edges") for i in range(join.step + 1)])
+    join = _Join(keep.dealt(once_each(rows.join(asked, "id")), "id", "asked"), keep)
+    join.trees(members)
+    labels = join.components()
+    keep.drop("roots", "asked", *[f"{name}{i}" for name in ("nodes", "near", "edges") for i in range(join.step + 1)])
     if labels is None:
         labels = marks.select("id", F.col("id").alias("component")).limit(0)
     one = sets.where("n = 0 or id is null").select("id", "n", F.col("id").alias("rep"))

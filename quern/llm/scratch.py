@@ -11,7 +11,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,18 +42,19 @@ class Scratch:
         release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    @contextlib.contextmanager
-    def dealt(self, df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
-        """``df`` in buckets by ``key``, so that joins on it shuffle only their other side."""
+    def dealt(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """``df`` in buckets by ``key``, so that grouping and joining by it shuffle only the other side.
+
+        The catalog is told of the buckets and forgets them again; the files stay until they are dropped.
+        """
         n, as_table = parts(self.spark), f"quern_{name}_{uuid.uuid4().hex}"
         dealt = df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd")
         dealt.option("path", f"{self.folder}/{name}").saveAsTable(as_table)
         release(self.spark)
         try:
-            yield self.spark.table(as_table)
+            return self.spark.table(as_table)
         finally:
             self.spark.sql(f"DROP TABLE IF EXISTS {as_table}")
-            self.drop(name)
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""

@@ -404,10 +404,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark, keep = docs.sparkSession, Scratch(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     blocks, buckets = max(8, total // BLOCK_BYTES), max(8, int(total * 0.085 / BUCKET_ENTRIES))
-    row = F.struct(*[F.col(f"`{c}`") for c in (columns or docs.columns)]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)]).alias("row")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"))
     texts = rows.where("__id is not null").withColumn("__block", F.pmod(F.xxhash64("__id"), F.lit(blocks)))
+    # texts are shuffled once, into the buckets of their blocks; every step reads them there
+    texts = keep.dealt(texts, "__block", "blocked")
     small = texts.select("__block", "__id", "__th", "__text")
     once = small.groupBy("__block").applyInArrow(of_table(_first_digit, threshold=threshold, buckets=buckets), _MESSAGE_DDL)
     first = keep.table(once.groupBy("__bucket").applyInArrow(_settle_first, _MESSAGE_DDL), "first")
@@ -417,9 +419,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = asked.where("__kind = 1").groupBy("__bucket").applyInArrow(of_table(_settle_rest, threshold=threshold), _MESSAGE_DDL)
     said = keep.table(asked.where("__kind = 2").unionByName(rest), "said")
     keep.drop("asked")
-    out = texts.select("row").sparkSession.createDataFrame([], texts.select("row").schema).selectExpr("row", "0L n_bytes", "0L n_removed", "0L n_spans", "'' kept_sha256", "cast('' as string) kept_text").schema
+    counts = {name: F.lit(0).cast("long").alias(name) for name in ("n_bytes", "n_removed", "n_spans")}
+    out = rows.select("row", *counts.values(), F.lit("").alias("kept_sha256"), F.lit("").alias("kept_text")).schema
     for f in out:
         f.nullable = True
-    cut = texts.groupBy("__block").cogroup(said.groupBy("__block")).applyInArrow(of_tables(_cut, threshold=threshold, schema=to_arrow_schema(out), with_text=with_text), out)
-    whole = rows.where("__id is null").select("row", F.octet_length("__text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("__text", 256).alias("kept_sha256"), (F.col("__text") if with_text else F.lit(None).cast("string")).alias("kept_text"))
+    cutting = of_tables(_cut, threshold=threshold, schema=to_arrow_schema(out), with_text=with_text)
+    cut = texts.groupBy("__block").cogroup(said.groupBy("__block")).applyInArrow(cutting, out)
+    whole = rows.where("__id is null").select(
+        "row",
+        F.octet_length("__text").cast("long").alias("n_bytes"),
+        counts["n_removed"],
+        counts["n_spans"],
+        F.sha2("__text", 256).alias("kept_sha256"),
+        (F.col("__text") if with_text else F.lit(None).cast("string")).alias("kept_text"),
+    )
     return cut.unionByName(whole)

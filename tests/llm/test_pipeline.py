@@ -38,3 +38,19 @@ def test_near_dedup_of_ids_with_several_texts(spark):
         got = P.near_dedup(spark, docs, SF)
         assert got.columns == docs.columns
         assert sorted(((r.doc_id or -1), r.text or "", r.lang) for r in got.collect()) == [(-1, a, "en"), (1, a, "en"), (5, b, "en"), (5, c, "de"), (7, "", "en"), (7, "", "en")]
+
+
+def test_stages_with_clashing_names_and_long_texts(spark):
+    """Columns that operators use themselves, very long texts of one character, and repeated rows go through all stages."""
+    names = ["row", "text_", "id", "key", "component_id", "kept", "score", "predicted", "n", "h", "t", "u", "item_id", "__null", "__block", "__r", "label", "own"]
+    long = ["a" * 300_000, " " * 1_000_000, "word " * 60_000, "<|endoftext|>" * 2_000, "\u65e5" * 90_000]
+    rows = [(i, t, "en", "s", len(t), *["x"] * len(names)) for i, t in enumerate(long)] + [(1, long[1], "en", "s", 7, *["x"] * len(names)), (9, None, None, None, None, *[None] * len(names))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs, keep = spark.createDataFrame(rows, schema), Scratch(spark)
+    columns = docs.columns
+    for name, stage in P.STAGES[:-1]:
+        docs = keep.table(stage(spark, docs, SF), name)
+        assert docs.columns == columns
+    assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == [0, 1, 2, 3, 4, 9]
+    packed = P.STAGES[-1][1](spark, docs, SF).groupBy("doc_id").sum("length").collect()
+    assert {r[0] for r in packed} == {0, 1, 2, 3, 4, 9}

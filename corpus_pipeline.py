@@ -37,20 +37,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if several.limit(1).count():
         own = named.select("doc_id", "text", mark.alias("row"))
         found = near_duplicates(own.select("row", "text").distinct(), "row", "text").select(F.col("doc_id").alias("row"), "component_id")
-        kept = own.select("doc_id", "row").distinct().join(found, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least")).select("least.row")
-        one = named.withColumn("__row", mark).join(kept.withColumnRenamed("row", "__row"), "__row", "left_semi")
+        members = own.select("doc_id", "row").distinct().join(found, "row")
+        kept = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least")).select(F.col("least.row").alias("kept_"))
+        one = named.join(kept, mark == F.col("kept_"), "left_semi")
     else:
         kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
         one = named.join(kept, "doc_id", "left_semi")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    one = one.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__0"), *others)).alias("__r")).select(*[c if c in ("doc_id", "text") else F.col(f"__r.`{c}`") for c in docs.columns])
-    return one.unionByName(docs.where("doc_id is null"))
+    least = one.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__0"), *others)).alias("__r"))
+    columns = [F.col(c) if c in ("doc_id", "text") else F.col(f"__r.`{c}`").alias(c) for c in docs.columns]
+    return least.select(*columns).unionByName(docs.where("doc_id is null"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that a document of a smaller id has."""
-    cut = remove_repeats(docs)
-    text = F.when(F.col("row.text").isNull() | (F.col("n_removed") == 0), F.col("row.text")).otherwise(F.col("kept_text"))
+    """Texts without the byte strings that a document of a smaller id has.
+
+    A null text stays null.  Where a cut goes through a character, the rest of
+    its bytes go, too, since they are no text.
+    """
+    none = "__null"
+    while none in docs.columns:
+        none += "_"
+    others = [c for c in docs.columns if c != "text"]
+    cut = remove_repeats(docs.withColumn(none, F.col("text").isNull()), columns=[*others, none])
+    text = F.when(~F.col(f"row.`{none}`"), F.col("kept_text"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("kept_text").cast("long"))}
     return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
@@ -67,7 +77,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_sequences(docs.select("doc_id", "text"))
 
 
-STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("decontamination", decontamination), ("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: SQL can express neither the radix sort nor the set join nor the tokenizer.
 ORACLE_SQL = None

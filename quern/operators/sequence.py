@@ -85,6 +85,18 @@ def row_index(rows: DataFrame, order: str) -> DataFrame:
     return numbered.withColumn("row_index", F.col("base_") + F.col("in_")).drop("range_", "base_", "in_")
 
 
+def shuffled(rows: DataFrame, seed: int, key: str) -> DataFrame:
+    """``place`` of each row in an order that the seed and the key decide: by MD5, numbered in ranges of its first bits."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    marked = rows.withColumns({"digest_": digest, "range_": F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")})
+    counts = marked.groupBy("range_").count()  # 65,536 rows at most
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("range_", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base_"))
+    inside = F.row_number().over(Window.partitionBy("range_").orderBy("digest_", key)) - 1
+    placed = marked.withColumn("in_", inside).join(bases, "range_")
+    return placed.withColumn("place", F.col("base_") + F.col("in_")).drop("digest_", "range_", "base_", "in_")
+
+
 def chunks(ids: Column, size: int) -> Column:
     """Array of (id, start, end) of fixed-size chunks, zero-based with an exclusive end; empty for an empty array."""
     n = F.size(ids)

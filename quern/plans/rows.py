@@ -189,18 +189,23 @@ def r6_(spark, sf):
     return _final(spark, sf).select("seq_id", F.size("token_ids").alias("length"), "stop_reason", "appended_eos", "hit_horizon", "raw_boxed_count")
 
 
+def _repeats(ids: str) -> str:
+    grams = f"list_transform(generate_series(1, len({ids}) - 3), lambda i: array_to_string({ids}[i:i + 3], ' '))"
+    return f"CASE WHEN len({ids}) >= 4 THEN 1 - len(list_distinct({grams})) / len({grams}) ELSE 0 END"
+
+
 _REPORT = f"""WITH {TOKENS}, {_CUT}, f AS (SELECT *, seq_id % 3 = 0 AND stop_token_id IS NULL AND n > 3 AS boxed FROM cut),
-g AS (SELECT *, CASE WHEN boxed THEN 4 ELSE n END AS len, CASE WHEN boxed THEN 'boxed_answer' ELSE stop_reason END AS reason, hit_horizon AND NOT boxed AS hit, seq_id % 20 AS prompt FROM f)
+g AS (SELECT *, CASE WHEN boxed THEN raw[1:3] || [3] ELSE token_ids END AS done, CASE WHEN boxed THEN 4 ELSE n END AS len, CASE WHEN boxed THEN 'boxed_answer' ELSE stop_reason END AS reason, hit_horizon AND NOT boxed AS hit, seq_id % 20 AS prompt FROM f)
 SELECT 12 AS horizon, 16 AS requested_horizon, 40 AS total_length_limit, round(avg(len), 6) AS mean_generated_tokens, round(avg(raw_tensor_length), 6) AS raw_mean_generated_tokens, round(avg(greatest(raw_tensor_length - len, 0)), 6) AS mean_removed_tokens,
 round(avg(prompt), 6) AS mean_prompt_tokens, round(avg(prompt + len), 6) AS mean_total_effective_tokens, 1.0::DOUBLE AS context_limited_fraction, median(len)::DOUBLE AS median_generated_tokens, max(len) AS max_generated_tokens, min(len) AS min_generated_tokens,
 round(avg((stop_token_id IS NOT NULL)::INT), 6) AS eos_fraction, round(avg(hit::INT), 6) AS truncated_fraction, round(avg(hit_horizon::INT), 6) AS raw_truncated_fraction, round(avg((reason = 'boxed_answer')::INT), 6) AS boxed_answer_stop_fraction, round(avg(boxed::INT), 6) AS boxed_truncation_fraction, round(avg(boxed::INT), 6) AS appended_eos_fraction,
-round(avg((reason = 'student_eos')::INT), 6) AS student_eos_fraction, round(avg((reason = 'teacher_eos')::INT), 6) AS teacher_eos_fraction, round(avg((reason = 'configured_eos')::INT), 6) AS configured_eos_fraction, round(avg((stop_token_id IS NULL)::INT), 6) AS no_eos_fraction, 0.0::DOUBLE AS multi_boxed_fraction, round(avg(CASE WHEN hit THEN 0.25 ELSE 1 END), 6) AS mean_sequence_loss_weight FROM g"""
+round(avg((reason = 'student_eos')::INT), 6) AS student_eos_fraction, round(avg((reason = 'teacher_eos')::INT), 6) AS teacher_eos_fraction, round(avg((reason = 'configured_eos')::INT), 6) AS configured_eos_fraction, round(avg((stop_token_id IS NULL)::INT), 6) AS no_eos_fraction, round(avg({_repeats("token_ids")}), 6) AS repeated_4gram_ratio, round(avg({_repeats("done")}), 6) AS effective_repeated_4gram_ratio, 0.0::DOUBLE AS multi_boxed_fraction, round(avg(CASE WHEN hit THEN 0.25 ELSE 1 END), 6) AS mean_sequence_loss_weight FROM g"""
 
 
 @query("E13_E14_rollout_report", _REPORT)
 def e14(spark, sf):
     d = _final(spark, sf).withColumns({"horizon": F.lit(12), "requested_horizon": F.lit(16), "total_length_limit": F.lit(40), "prompt_tokens": F.col("seq_id") % 20, "seq_weight": rollouts.sequence_weight(F.col("hit_horizon"), 0.25)})
-    return r6(rollouts.report(d).drop("repeated_4gram_ratio", "effective_repeated_4gram_ratio"))
+    return r6(rollouts.report(d))
 
 
 @query("R7_R8_R9_limits", "SELECT conv_id, turn, least(16, least(40, 64) - (turn % 8)) AS horizon, CASE WHEN turn % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS weight, 24 AS scheduled FROM conversations")
@@ -342,7 +347,8 @@ def e26(spark, sf):
     return r.withColumn("sources", F.array_join("sources", ","))
 
 
-@query("H3_preferred_eos", "SELECT 18 AS token_id")
+@query("H3_preferred_eos", f"""WITH {_VOC}, a AS (SELECT id AS token_id, 'student' AS side FROM sv WHERE id IN (6, 12) UNION ALL SELECT sv.id, 'teacher' FROM tv JOIN sv USING (token) WHERE tv.id IN (7, 19) UNION ALL SELECT id, 'extra' FROM sv WHERE token = 'w24'),
+b AS (SELECT token_id, bool_or(side = 'teacher') AS t, bool_or(side = 'student') AS s FROM a GROUP BY 1) SELECT token_id FROM b ORDER BY CASE WHEN t AND NOT s THEN 0 WHEN t THEN 1 ELSE 2 END, token_id LIMIT 1""")
 def h3(spark, sf):
     return joins.preferred_teacher_eos(joins.resolved_eos(*_vocabularies(spark, sf), {"student_tokenizer": [6, 12]}, {"teacher_tokenizer": [7, 19]}, ["w24"]))
 
@@ -491,6 +497,11 @@ def b4(spark, sf):
     return writers.summary(read(spark, sf, "documents").agg(F.count("*").alias("documents"), F.max(F.lit(None).cast("int")).alias("nothing")))
 
 
+@query("B5_preview", "WITH c AS (SELECT (row_number() OVER (ORDER BY c_custkey) - 1)::INT AS row, * FROM customer) " + " UNION ALL ".join(f"SELECT row, '{f}' AS field, {f}::VARCHAR AS value FROM c WHERE row < 5" for f in ("c_custkey", "c_name", "c_mktsegment")))
+def b5(spark, sf):
+    return writers.preview_rows(read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", 5)
+
+
 @query("B6_shortened", "SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '... [' || (length(text) - 40) || ' more chars]' ELSE text END AS short FROM documents")
 def b6(spark, sf):
     return read(spark, sf, "documents").select("doc_id", writers.shortened(F.col("text"), 40).alias("short"))

@@ -120,23 +120,33 @@ def x21(spark, sf):
     return boxed_texts(spark, sf).select("doc_id", A.first_boxed_line_end(F.col("text")).alias("line_end"))
 
 
-@query("X24_verdict", "SELECT doc_id, doc_id % 3 = 0 AS ok FROM documents")
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(13)"
+
+
+@query("X24_verdict", f"SELECT doc_id, trim(CASE doc_id % 3 WHEN 0 THEN ' ' || upper(left(lang, 1)) || chr(10) WHEN 1 THEN 'A' || left(text, (doc_id % 2)::INT) ELSE source END, {_WHITE}) = 'A' AS ok FROM documents")
 def x24(spark, sf):
     k = F.col("doc_id") % 3
-    return read(spark, sf, "documents").select("doc_id", A.verdict(F.when(k == 0, " A\n").when(k == 1, "CORRECT").otherwise("a")).alias("ok"))
+    first = F.concat(F.lit(" "), F.upper(F.left("lang", F.lit(1))), F.lit("\n"))
+    said = F.when(k == 0, first).when(k == 1, F.concat(F.lit("A"), F.left("text", (F.col("doc_id") % 2).cast("int")))).otherwise(F.col("source"))
+    return read(spark, sf, "documents").select("doc_id", A.verdict(said).alias("ok"))
 
 
-@query("X27_strip_thinking", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'after ' || doc_id WHEN 1 THEN '' ELSE 'plain' END AS rest FROM documents")
+@query("X27_strip_thinking", f"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<think>' || text || '</think> ' || lang || ' </think>' WHEN 1 THEN ' <think>' || text WHEN 2 THEN text || '</think><think>' || lang ELSE ' ' || text || chr(10) END AS t FROM documents),
+r AS (SELECT doc_id, trim(CASE WHEN contains(t, '</think>') THEN substr(t, instr(t, '</think>') + 8) ELSE t END, {_WHITE}) AS r FROM t) SELECT doc_id, CASE WHEN starts_with(r, '<think>') THEN '' ELSE r END AS rest FROM r""")
 def x27(spark, sf):
-    k, i = F.col("doc_id") % 3, F.col("doc_id").cast("string")
-    t = F.when(k == 0, F.concat(F.lit("<think>a b</think> after "), i)).when(k == 1, F.lit(" <think> open")).otherwise(F.lit(" plain\n"))
+    k = F.col("doc_id") % 4
+    cases = [("<think>", "text", "</think> ", "lang", " </think>"), (" <think>", "text"), ("", "text", "</think><think>", "lang"), (" ", "text", "\n")]
+    each = [F.concat(*[F.col(x) if x in ("text", "lang") else F.lit(x) for x in case]) for case in cases]
+    t = F.when(k == 0, each[0]).when(k == 1, each[1]).when(k == 2, each[2]).otherwise(each[3])
     return read(spark, sf, "documents").select("doc_id", A.strip_thinking(t).alias("rest"))
 
 
-@query("X28_code_fence", "SELECT doc_id, '{\"a\": ' || doc_id || '}' AS body FROM documents")
+@query("X28_code_fence", f"SELECT doc_id, trim(CASE WHEN doc_id % 3 = 2 THEN substr(text, 4) ELSE text END, {_WHITE}) AS body FROM documents WHERE NOT starts_with(text, '`') AND NOT ends_with(trim(text, {_WHITE}), '```')")
 def x28(spark, sf):
-    t = F.concat(F.lit("```json\n{\"a\": "), F.col("doc_id").cast("string"), F.lit("}\n```"))
-    return read(spark, sf, "documents").select("doc_id", A.strip_fence(t).alias("body"))
+    k = F.col("doc_id") % 3
+    t = F.when(k == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```"))).when(k == 1, F.concat(F.lit("```"), "text")).otherwise(F.substring("text", 4, 1 << 30))
+    rows = read(spark, sf, "documents").where(~F.startswith("text", F.lit("`")) & ~F.endswith(A.strip(F.col("text")), F.lit("```")))
+    return rows.select("doc_id", A.strip_fence(t).alias("body"))
 
 
 @query("X29_C8_prompts", "SELECT item_id, 'Solve {it}: ' || text || chr(10) || 'End' AS prompt FROM benchmark")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,14 @@ def write_summary(df: DataFrame, path: str) -> None:
     summary(df).coalesce(1).write.mode("overwrite").text(path)
 
 
+def preview_rows(df: DataFrame, order: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows in an order as (row, field, value), a row for each field that is not null."""
+    first = df.orderBy(order).limit(n)
+    place = F.row_number().over(Window.orderBy(order)) - 1  # n rows
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in df.columns])
+    return first.withColumn("row", place).select("row", F.explode(fields).alias("f")).select("row", "f.*").where("value is not null")
+
+
 def preview(df: DataFrame, n: int = 5) -> None:
     df.show(n, truncate=False, vertical=True)
 

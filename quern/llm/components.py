@@ -52,7 +52,9 @@ def components(edges: DataFrame, keep: Scratch, tag: str = "cc") -> DataFrame:
         if said[0] <= ONE_TASK:
             return keep.table(now.coalesce(1).mapInArrow(_solved, "id long, component long"), f"{tag}_solved")
         if said == before:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+                now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            )
         before = said
         # large star: neighbours above u move to the least neighbour of u
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -54,13 +54,26 @@ def _has(n: Column, least: int, most: int | None) -> Column:
 def _seeds(rows: DataFrame, h: str, n: str, mask: tuple[int, ...], keep: list[str], place: str) -> DataFrame:
     """The columns to keep, the place and hash ``s`` of a mask's seeds at every position."""
     span = mask[-1] + 1
-    every = F.transform(F.sequence(F.lit(0), F.col(n) - span), lambda i: F.xxhash64(F.lit(len(mask) + span), *[F.get(h, i + k) for k in mask]))
+    every = F.transform(
+        F.sequence(F.lit(0), F.col(n) - span),
+        lambda i: F.xxhash64(F.lit(len(mask) + span), *[F.get(h, i + k) for k in mask]),
+    )
     return rows.where(F.col(n) >= span).select(*keep, F.posexplode(F.when(F.col(n) >= span, every)).alias(place, "s"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
     """doc_id, item_id, item_words, doc_word (where the item begins; may be negative), n_equal, best_run of every leak."""
-    items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), _hashes(F.col(f"`{item_text_col}`")).alias("b")).withColumn("nb", F.size("b")).where("nb > 0")
+    items = benchmark.select(
+        F.col(f"`{item_col}`").alias("item_id"),
+        _hashes(F.col(f"`{item_text_col}`")).alias("b"),
+    ).withColumn("nb", F.size("b")).where("nb > 0")
     # what a leak has on its diagonal at least: equal words leave out two seeds of three words in each stretch but the shortest
     run = F.least(F.lit(RUN), F.col("nb"))
     equal = F.ceil(F.lit(NEED) * run / RUN)
@@ -73,10 +86,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     small = (items.agg(F.sum("nb")).first()[0] or 0) <= BROADCAST_SEEDS
     # a row is its id and the hash of its text: seeds carry these alone, and texts are read again for hits only
-    read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    read = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{text_col}`").cast("string").alias("text"),
+    ).withColumn("t", F.xxhash64("text"))
     rows = read.select("doc_id", "t", _hashes(F.col("text")).alias("h")).withColumn("n", F.size("h"))
     spread = reduce(DataFrame.unionByName, [_seeds(rows, "h", "n", mask, ["doc_id", "t"], "dp") for mask, _, _ in masks])
-    found = spread.join(F.broadcast(seeds) if few else seeds, "s").select("doc_id", "t", "item_id", "need", (F.col("dp") - F.col("ip")).alias("diagonal"))
+    found = spread.join(F.broadcast(seeds) if few else seeds, "s").select(
+        "doc_id",
+        "t",
+        "item_id",
+        "need",
+        (F.col("dp") - F.col("ip")).alias("diagonal"),
+    )
     found = found.groupBy("doc_id", "t", "item_id", "diagonal").agg(F.count("*").alias("seeds"), F.min("need").alias("need"))
     found = found.where("seeds >= need").select(F.col("doc_id").alias("id"), F.col("t").alias("u"), "item_id", "diagonal")
     hits = Scratch(docs.sparkSession).table(found, "hits")
@@ -89,11 +111,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     sized = worded.join(F.broadcast(items) if small else items, "item_id")
     # the document's words along the diagonal, padded where the item sticks out of the document
     before = F.greatest(-F.col("diagonal"), F.lit(0))
-    inside = F.slice("h", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.greatest(F.least(F.col("nb") - before, F.col("n") - F.greatest(F.col("diagonal"), F.lit(0))), F.lit(0)))
-    beside = sized.select("doc_id", "item_id", "nb", "diagonal", "b", F.concat(F.array_repeat(F.lit(None).cast("long"), before), inside).alias("w")).dropDuplicates(["doc_id", "item_id", "diagonal", "w"])
-    same_words = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.coalesce((F.get("w", i) == F.get("b", i)).cast("int"), F.lit(0)))
-    sums = F.transform(F.sequence(F.lit(1), F.col("nb") - run + 1), lambda i: F.aggregate(F.slice("e", i, run), F.lit(0), lambda a, x: a + x))
-    judged = beside.withColumn("e", same_words).withColumn("best_run", F.array_max(sums)).withColumn("n_equal", F.aggregate("e", F.lit(0), lambda a, x: a + x))
+    inside = F.slice(
+        "h",
+        F.greatest(F.col("diagonal"), F.lit(0)) + 1,
+        F.greatest(F.least(F.col("nb") - before, F.col("n") - F.greatest(F.col("diagonal"), F.lit(0))), F.lit(0)),
+    )
+    beside = sized.select(
+        "doc_id",
+        "item_id",
+        "nb",
+        "diagonal",
+        "b",
+        F.concat(F.array_repeat(F.lit(None).cast("long"), before), inside).alias("w"),
+    ).dropDuplicates(["doc_id", "item_id", "diagonal", "w"])
+    same_words = F.transform(
+        F.sequence(F.lit(0), F.col("nb") - 1),
+        lambda i: F.coalesce((F.get("w", i) == F.get("b", i)).cast("int"), F.lit(0)),
+    )
+    sums = F.transform(
+        F.sequence(F.lit(1), F.col("nb") - run + 1),
+        lambda i: F.aggregate(F.slice("e", i, run), F.lit(0), lambda a, x: a + x),
+    )
+    judged = beside.withColumn("e", same_words).withColumn("best_run", F.array_max(sums)).withColumn(
+        "n_equal",
+        F.aggregate("e", F.lit(0), lambda a, x: a + x),
+    )
     bad = judged.where(F.col("best_run") * RUN >= F.lit(NEED) * run)
-    best = bad.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("nb", "diagonal", "n_equal", "best_run"), F.struct("best_run", "n_equal", -F.col("diagonal"))).alias("r"))
-    return best.select("doc_id", "item_id", F.col("r.nb").alias("item_words"), F.col("r.diagonal").alias("doc_word"), F.col("r.n_equal").alias("n_equal"), F.col("r.best_run").alias("best_run"))
+    best = bad.groupBy("doc_id", "item_id").agg(
+        F.max_by(F.struct("nb", "diagonal", "n_equal", "best_run"), F.struct("best_run", "n_equal", -F.col("diagonal"))).alias("r")
+    )
+    return best.select(
+        "doc_id",
+        "item_id",
+        F.col("r.nb").alias("item_words"),
+        F.col("r.diagonal").alias("doc_word"),
+        F.col("r.n_equal").alias("n_equal"),
+        F.col("r.best_run").alias("best_run"),
+    )

@@ -156,12 +156,22 @@ def _linked(table: pa.Table, limit: float) -> pa.Table:
     return pa.table({"kind": kind, "a": a.astype(np.int64), "b": b.astype(np.int64)})
 
 
-def near_vectors(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(
+    vectors: DataFrame,
+    limit: float = LIMIT,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    label_col: str = "label",
+) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark, keep = vectors.sparkSession, Scratch(vectors.sparkSession)
     eps = math.sqrt(2 - 2 * limit)
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"), F.col(f"`{label_col}`").cast("string").alias("label"))
+    rows = vectors.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"),
+        v.alias("v"),
+        F.col(f"`{label_col}`").cast("string").alias("label"),
+    )
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite, F.lit(False))
     rows = keep.table(rows.withColumn("good", good).withColumn("d", F.xxhash64("v", "label")), "rows")
@@ -174,11 +184,17 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id
         sample = same.where(F.size("v") == size).orderBy(h, "id").limit(FIT).select("v").collect()
         fitted[size] = _directions([r[0] for r in sample], DIRECTIONS)
     group = F.concat_ws(":", F.size("v").cast("string"), "label")
-    named = same.select("id", "d", "copies", "v", group.alias("g")).mapInArrow(_cells(fitted, eps), "id long, d long, copies long, v array<double>, g string, cell array<long>")
+    named = same.select("id", "d", "copies", "v", group.alias("g")).mapInArrow(
+        _cells(fitted, eps),
+        "id long, d long, copies long, v array<double>, g string, cell array<long>",
+    )
     # the sequence in grid order, numbered within each group across range partitions and cut into blocks
     longest = max(fitted, default=1)
     ranges = max(1, -(-same.count() * longest * 8 // TILE))
-    placed = named.repartitionByRange(ranges, "g", "cell", "id").sortWithinPartitions("g", "cell", "id").withColumn("m", F.monotonically_increasing_id())
+    placed = named.repartitionByRange(ranges, "g", "cell", "id").sortWithinPartitions("g", "cell", "id").withColumn(
+        "m",
+        F.monotonically_increasing_id(),
+    )
     placed = keep.table(placed, "placed")
     part = F.shiftright("m", 33)
     counts = placed.groupBy("g", part.alias("part")).agg(F.min("m").alias("first"), F.count("*").alias("n"))
@@ -194,18 +210,36 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id
     sides = [f(c).alias(f"{n}{k}") for k, c in enumerate(at) for n, f in (("lo", F.min), ("hi", F.max))]
     boxes = keep.table(blocked.groupBy("block").agg(F.first("g").alias("g"), *sides), "boxes")
     left = boxes.select("g", F.explode(F.sequence("lo0", "hi0")).alias("s"), *[F.col(c).alias(f"p_{c}") for c in boxes.columns if c != "g"])
-    right = boxes.select("g", F.explode(F.sequence(F.col("lo0") - 1, F.col("hi0") + 1)).alias("s"), *[F.col(c).alias(f"q_{c}") for c in boxes.columns if c != "g"])
+    right = boxes.select(
+        "g",
+        F.explode(F.sequence(F.col("lo0") - 1, F.col("hi0") + 1)).alias("s"),
+        *[F.col(c).alias(f"q_{c}") for c in boxes.columns if c != "g"],
+    )
     near = F.col("p_block") <= F.col("q_block")
     for k in range(1, DIRECTIONS):
         near &= F.coalesce((F.col(f"p_lo{k}") <= F.col(f"q_hi{k}") + 1) & (F.col(f"q_lo{k}") <= F.col(f"p_hi{k}") + 1), F.lit(True))
-    pairs = keep.table(left.join(right, ["g", "s"]).where(near).select(F.col("p_block").alias("p"), F.col("q_block").alias("q")).distinct(), "pairs")
+    pairs = keep.table(
+        left.join(right, ["g", "s"]).where(near).select(F.col("p_block").alias("p"), F.col("q_block").alias("q")).distinct(),
+        "pairs",
+    )
     sides = pairs.select("p", "q", F.col("p").alias("block")).unionByName(pairs.where("p <> q").select("p", "q", F.col("q").alias("block")))
     tasks = sides.join(blocked.select("block", "id", "d", "copies", "v", "cell"), "block")
     found = keep.table(tasks.groupBy("p", "q").applyInArrow(of_table(_linked, limit=limit), "kind int, a long, b long"), "found")
     labels = components(found.where("kind = 1").select("a", "b"), keep)
     links = found.where("kind = 0").groupBy(F.col("a").alias("d")).agg(F.sum("b").alias("more"))
-    vertex = same.join(links, "d", "left").join(labels, "id", "left").select("label", "v", "d", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("component"))
+    vertex = same.join(links, "d", "left").join(labels, "id", "left").select(
+        "label",
+        "v",
+        "d",
+        (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n"),
+        F.coalesce("component", "id").alias("component"),
+    )
     alone = rows.where("not good").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
     joined = rows.where("good").join(vertex, ["label", "v", "d"]).select("id", "n", "component").unionByName(alone)
     component = F.coalesce("component", "id")
-    return joined.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return joined.select(
+        F.col("id").alias("vec_id"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+    )

@@ -47,10 +47,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array(batch.column(1).to_pylist(), object)
         at, raw = flat(batch.column(0))
         for lang in sorted(set(langs)):
-            own = np.concatenate([np.append(raw[at[i] : at[i + 1]], 32) for i in np.flatnonzero(langs == lang)] or [raw[:0]]).astype(np.uint8)
+            own = np.concatenate(
+                [np.append(raw[at[i] : at[i + 1]], 32) for i in np.flatnonzero(langs == lang)] or [raw[:0]]
+            ).astype(np.uint8)
             for n, h in zip(LENGTHS, _grams(own), strict=True):
                 gram, count = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), n, np.int32)), pa.array(gram.view(np.int64)), pa.array(count)], names=["lang", "n", "gram", "count"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(gram), pa.string()),
+                        pa.array(np.full(len(gram), n, np.int32)),
+                        pa.array(gram.view(np.int64)),
+                        pa.array(count),
+                    ],
+                    names=["lang", "n", "gram", "count"],
+                )
 
 
 class Filters:
@@ -105,7 +115,9 @@ class Filters:
             plain = np.append(0, np.cumsum((_FOLD[part] > 32) & (part < 128)))
             lettered = plain[where[1:]] > plain[where[:-1]]
             for k in range(j - i):
-                if not self.langs or not (lettered[k] or any(c.isalpha() for c in part[where[k] : where[k + 1]].tobytes().decode("utf-8", "ignore"))):
+                if not self.langs or not (
+                    lettered[k] or any(c.isalpha() for c in part[where[k] : where[k + 1]].tobytes().decode("utf-8", "ignore"))
+                ):
                     langs.append("und")
                     scores.append(0.0)
                 elif every[k] > 0:
@@ -121,7 +133,11 @@ class Filters:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
     """Filters from at most ``sample`` documents of each language, those with the least hash of their id and text."""
     ship(labelled.sparkSession)
-    rows = labelled.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    rows = labelled.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{text_col}`").cast("string").alias("text"),
+        F.col(f"`{lang_col}`").cast("string").alias("lang"),
+    )
     rows = rows.withColumn("h", F.xxhash64("id", "text"))
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     # a part of the hash range that holds the least ones for certain, so that few rows are sorted
@@ -131,7 +147,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     near = rows.where(F.pmod(F.shiftright("h", 20), F.lit(1 << 40)) < share * F.lit(float(1 << 40))).dropDuplicates(["lang", "h"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = near.withColumn("place", place).where(F.col("place") <= sample).select("text", "lang")
-    counted = chosen.mapInArrow(_counts, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("c"))
+    counted = chosen.mapInArrow(
+        _counts,
+        "lang string, n int, gram long, count long",
+    ).groupBy("lang", "n", "gram").agg(F.sum("count").alias("c"))
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
     got = counted.withColumn("r", rank).where(F.col("r") <= TOP).select("lang", "gram").collect()
     grams: dict[str, list[int]] = {}
@@ -150,6 +169,9 @@ def identified(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = held.value.decide(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                names=["doc_id", "lang_pred", "score"],
+            )
 
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("lang_pred", "string").add("score", "double"))

@@ -140,7 +140,14 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketch = (mix(least) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             offsets = lambda w: pa.array(np.arange(j - i + 1, dtype=np.int32) * w)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(n), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(offsets(ROOTS), pa.array(keys.reshape(-1))), pa.ListArray.from_arrays(offsets(SKETCH), pa.array(sketch.reshape(-1)))],
+                [
+                    batch.column(0).slice(i, j - i),
+                    pa.array(n),
+                    pa.array(digest[:, 0]),
+                    pa.array(digest[:, 1]),
+                    pa.ListArray.from_arrays(offsets(ROOTS), pa.array(keys.reshape(-1))),
+                    pa.ListArray.from_arrays(offsets(SKETCH), pa.array(sketch.reshape(-1))),
+                ],
                 names=["id", "n", "d1", "d2", "keys", "sketch"],
             )
 
@@ -276,7 +283,10 @@ class _Join:
 
     def children(self, nodes: DataFrame) -> DataFrame:
         """Members of the two nodes below each, by coordinates that the node's path chooses."""
-        spread = nodes.hint("shuffle_hash").join(self.docs.select("id", "sketch"), "id").withColumn("b", F.explode(F.array(F.lit(0), F.lit(1))))
+        spread = nodes.hint("shuffle_hash").join(self.docs.select("id", "sketch"), "id").withColumn(
+            "b",
+            F.explode(F.array(F.lit(0), F.lit(1))),
+        )
         at = F.pmod(F.xxhash64("key", "b"), F.lit(SKETCH)).cast("int")
         return spread.select(F.xxhash64("key", "b", at, F.get("sketch", at)).alias("key"), "id", "n")
 
@@ -335,7 +345,10 @@ def _signature(*more: str) -> list[Column]:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept (see the module's text)."""
     keep = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"),
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+    )
     all_marks = keep.table(rows.mapInArrow(_sketches, "id long, n long, d1 long, d2 long, keys array<long>, sketch array<int>"), "marks")
     some = all_marks.where("n > 0 and id is not null")
     by_id = some.groupBy("id").agg((F.min(F.struct("d1", "d2")) != F.max(F.struct("d1", "d2"))).alias("more"), F.count("*").alias("n"))
@@ -373,14 +386,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _by_row(rows: DataFrame, keep: Scratch) -> DataFrame:
     """Ids that repeat with different texts: link rows under ids of their own, then tie equal ids."""
     own = rows.withColumn("row", F.xxhash64("id", "text"))
-    found = keep.table(near_duplicates(own.where("id is not null").select("row", "text").distinct(), "row", "text").toDF("row", "n", "component", "kept"), "by_row")
+    found = keep.table(
+        near_duplicates(own.where("id is not null").select("row", "text").distinct(), "row", "text").toDF("row", "n", "component", "kept"),
+        "by_row",
+    )
     named = keep.table(own.where("id is not null").select("row", "id").join(found, "row").select("row", "id", "n", "component"), "named")
     first = named.groupBy("id").agg(F.min("component").alias("a"))
     ties = named.join(first, "id").select("a", F.col("component").alias("b"))
     tied = components(ties, keep, "ties")
-    whole = named.join(tied.withColumnRenamed("id", "c").withColumnRenamed("component", "t"), F.col("component") == F.col("c"), "left").select("id", "n", F.coalesce("t", "component").alias("t"))
+    whole = named.join(
+        tied.withColumnRenamed("id", "c").withColumnRenamed("component", "t"),
+        F.col("component") == F.col("c"),
+        "left",
+    ).select("id", "n", F.coalesce("t", "component").alias("t"))
     least = whole.groupBy("t").agg(F.min("id").alias("least"))
-    some = whole.join(least, "t").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), (F.col("id") == F.col("least")).alias("kept"))
+    some = whole.join(least, "t").select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.col("least").alias("component_id"),
+        (F.col("id") == F.col("least")).alias("kept"),
+    )
     null = own.where("id is null").mapInArrow(_null_rows, "doc_id long, n_shingles long")
     return some.unionByName(null.withColumns({"component_id": F.lit(None).cast("long"), "kept": F.lit(True)}))
 
@@ -388,4 +413,7 @@ def _by_row(rows: DataFrame, keep: Scratch) -> DataFrame:
 def _null_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, raw = flat(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in shingles(at, raw)], pa.int64())], names=["doc_id", "n_shingles"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(s) for s in shingles(at, raw)], pa.int64())],
+            names=["doc_id", "n_shingles"],
+        )

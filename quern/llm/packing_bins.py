@@ -46,7 +46,16 @@ def _pieces(name: str, capacity: int):
                     length.append(end - at)
                     crc.append(zlib.crc32(all_ids[at:end].tobytes()))
                     at = end
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    keys.take(pa.array(row, pa.int64())),
+                    pa.array(piece, pa.int32()),
+                    pa.array(start, pa.int64()),
+                    pa.array(length, pa.int64()),
+                    pa.array(crc, pa.int64()),
+                ],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return run
 
@@ -110,7 +119,13 @@ def _places(found: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int
     return out
 
 
-def pack_sequences(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_sequences(
+    docs: DataFrame,
+    capacity: int = CAPACITY,
+    tokenizer: str = VOCABULARY,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark, keep = docs.sparkSession, Scratch(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -118,15 +133,30 @@ def pack_sequences(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = V
     pieces = rows.mapInArrow(_pieces(tokenizer, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     pieces = keep.table(pieces.withColumn("u", F.monotonically_increasing_id()), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    places = spark.createDataFrame(_places(patterns(counts, capacity)), "length long, lo long, hi long, per long, k long, bins long, offset long")
+    places = spark.createDataFrame(
+        _places(patterns(counts, capacity)),
+        "length long, lo long, hi long, per long, k long, bins long, offset long",
+    )
     cells = max(1, -(-sum(counts.values()) // CELL_ROWS))
     celled = pieces.withColumn("cell", F.pmod(F.xxhash64("u"), F.lit(cells)))
     before = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    base = celled.groupBy("length", "cell").count().select("length", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    base = celled.groupBy("length", "cell").count().select(
+        "length",
+        "cell",
+        F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"),
+    )
     inside = celled.withColumn("r", F.row_number().over(Window.partitionBy("length", "cell").orderBy("u")) - 1)
     numbered = inside.join(base, ["length", "cell"]).withColumn("n", F.col("base") + F.col("r"))
     # the runs of a length, in order, as one array: a few entries for each length
     runs = places.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "per", "k", "bins", "offset"))).alias("runs"))
     chosen = F.filter("runs", lambda x: (x.lo <= F.col("n")) & (F.col("n") < x.hi) & (F.pmod(F.col("n") - x.lo, x.per) == x.k))[0]
     placed = numbered.join(F.broadcast(runs), "length").withColumn("x", chosen)
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("x.bins") + F.floor((F.col("n") - F.col("x.lo")) / F.col("x.per"))).cast("long").alias("sequence_id"), F.col("x.offset").alias("offset"))
+    return placed.select(
+        "doc_id",
+        "piece",
+        "start",
+        "length",
+        "ids_crc32",
+        (F.col("x.bins") + F.floor((F.col("n") - F.col("x.lo")) / F.col("x.per"))).cast("long").alias("sequence_id"),
+        F.col("x.offset").alias("offset"),
+    )

@@ -91,13 +91,22 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rollup = Rollup(spark, Scratch(spark).folder)
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    labels = _read(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    labels = _read(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"),
+        F.min("quality").alias("quality"),
+    )
     if labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
         labels = F.broadcast(labels)
     marked = docs.join(labels, "doc_id")
     toxic = marked.where("toxic = 1").select(F.lit("delete").alias("op"), "source", "lang", "text")
     old = [F.col(c).alias(f"old_{c}") for c in ("source", "lang", "text")]
-    low = marked.where("quality = 0 and coalesce(toxic, 0) <> 1").select(F.lit("revise").alias("op"), F.lit("low").alias("source"), "lang", F.trim("text").alias("text"), *old)
+    low = marked.where("quality = 0 and coalesce(toxic, 0) <> 1").select(
+        F.lit("revise").alias("op"),
+        F.lit("low").alias("source"),
+        "lang",
+        F.trim("text").alias("text"),
+        *old,
+    )
     rollup.commit("arrivals", deltas(signed(docs.select(F.lit("insert").alias("op"), "source", "lang", "text"))))
     rollup.commit("toxic", deltas(signed(toxic)))
     rollup.commit("low", deltas(signed(low)))
@@ -125,7 +134,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_minhash_dedup": op2_minhash_dedup, "op3_decontamination": op3_decontamination, "op4_url_filters": op4_url_filters, "op5_token_counts": op5_token_counts, "op6_toxicity": op6_toxicity, "op7_language_id": op7_language_id, "op8_embedding_dedup": op8_embedding_dedup, "op9_sharding": op9_sharding, "op10_packing": op10_packing}
+    return {
+        "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_minhash_dedup": op2_minhash_dedup,
+        "op3_decontamination": op3_decontamination,
+        "op4_url_filters": op4_url_filters,
+        "op5_token_counts": op5_token_counts,
+        "op6_toxicity": op6_toxicity,
+        "op7_language_id": op7_language_id,
+        "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_sharding": op9_sharding,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

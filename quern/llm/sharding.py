@@ -105,7 +105,11 @@ def cuts_of(groups: DataFrame, shards: int) -> list[int]:
     """Least hash of every shard but the first; ``groups`` has key (long) and bytes (long), a row for each key."""
 
     def totals(of: DataFrame, bits: int) -> list[Unit]:
-        got = of.groupBy(F.shiftright("key", 64 - bits).alias("bin")).agg(F.sum("bytes").alias("total"), F.count("*").alias("n"), F.max("bytes").alias("most"))
+        got = of.groupBy(F.shiftright("key", 64 - bits).alias("bin")).agg(
+            F.sum("bytes").alias("total"),
+            F.count("*").alias("n"),
+            F.max("bytes").alias("most"),
+        )
         return sorted((Unit(r.bin, bits, r.total, r.n == 1, r.most) for r in got.collect()), key=lambda u: u.start)
 
     bits = FIRST_BITS
@@ -132,14 +136,39 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     keep = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("u"))
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"),
+        (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("key"),
+        F.monotonically_increasing_id().alias("u"),
+    )
     rows = keep.table(rows, "rows")
     groups = keep.table(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
     cuts = cuts_of(groups, shards)
     number = sum((F.when(F.col("key") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
     cells = max(1, -(-rows.count() // (shards * CELL_ROWS)))
-    placed = rows.select("doc_id", "size", "text_crc32", number.cast("int").alias("shard"), F.pmod(F.xxhash64("u"), F.lit(cells)).alias("cell"), "u")
+    placed = rows.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        number.cast("int").alias("shard"),
+        F.pmod(F.xxhash64("u"), F.lit(cells)).alias("cell"),
+        "u",
+    )
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("shard", "cell").count().select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    offsets = placed.groupBy("shard", "cell").count().select(
+        "shard",
+        "cell",
+        F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"),
+    )
     inside = placed.withColumn("r", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("u")))
-    return inside.join(offsets, ["shard", "cell"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("r") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return inside.join(offsets, ["shard", "cell"]).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        (F.col("base") + F.col("r") - 1).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

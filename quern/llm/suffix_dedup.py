@@ -191,7 +191,9 @@ def _settle_first(table: pa.Table) -> pa.Table:
     starts = np.flatnonzero(group)
     counts = np.diff(np.append(starts, len(g)))
     contexts = np.add.reduceat(new.astype(np.int64), starts) if len(starts) else starts
-    least, most = (f.reduceat(np.where(new, doc, doc[np.repeat(starts, counts)]), starts) if len(starts) else starts for f in (np.minimum, np.maximum))
+    least, most = (
+        f.reduceat(np.where(new, doc, doc[np.repeat(starts, counts)]), starts) if len(starts) else starts for f in (np.minimum, np.maximum)
+    )
     ask = np.where((contexts > 1) & (least < most), np.where(contexts > COMMON, 3, 2), 0).astype(np.uint8)
     flag = np.where(new, np.repeat(ask, counts), flag)
     back = np.empty(len(o), np.uint8)
@@ -388,10 +390,27 @@ def _cut(texts: pa.Table, said: pa.Table, threshold: int, schema: pa.Schema, wit
     long = np.diff(b.at)
     r = b.of_row
     pick = lambda x, kind: pa.array([x[i] for i in r.tolist()], kind)
-    return pa.Table.from_arrays([texts["row"].combine_chunks(), pa.array(long[r]), pick(taken, pa.int64()), pick(spans, pa.int64()), pick(sha, pa.string()), pick(text, pa.string())], schema=schema)
+    return pa.Table.from_arrays(
+        [
+            texts["row"].combine_chunks(),
+            pa.array(long[r]),
+            pick(taken, pa.int64()),
+            pick(spans, pa.int64()),
+            pick(sha, pa.string()),
+            pick(text, pa.string()),
+        ],
+        schema=schema,
+    )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50, columns: list[str] | None = None, with_text: bool = True) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: int = 50,
+    columns: list[str] | None = None,
+    with_text: bool = True,
+) -> DataFrame:
     """Cut repeated strings; see the module's text for the rule and for nulls, ties and empty input.
 
     Returns ``row`` (a struct of ``columns``, by default all of the input, so

@@ -54,7 +54,12 @@ def signed(changes: DataFrame) -> DataFrame:
     now = F.struct(F.when(F.col("op") == "delete", -1).otherwise(1).alias("sign"), "source", "lang", "text")
     parts = F.array(now.cast(f"struct<{kind.replace(' ', ':').replace(',:', ',')}>"))
     if "old_text" in changes.columns:
-        old = F.struct(F.lit(-1).alias("sign"), F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), F.col("old_text").alias("text"))
+        old = F.struct(
+            F.lit(-1).alias("sign"),
+            F.col("old_source").alias("source"),
+            F.col("old_lang").alias("lang"),
+            F.col("old_text").alias("text"),
+        )
         parts = F.when(F.col("op") == "revise", F.concat(parts, F.array(old))).otherwise(parts)
     return changes.where("op in ('insert', 'revise', 'delete')").select(F.explode(parts).alias("c")).select("c.*")
 
@@ -76,9 +81,19 @@ def deltas(contributions: DataFrame, versions: tuple[str, ...] = (VOCABULARY, "w
                     s[0] += signs[i]
                     s[1] += signs[i] * f(text)
                     s[2] += signs[i] * size
-            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in sums], pa.string()) for j in range(3)] + [pa.array([s[j] for s in sums.values()], pa.int64()) for j in range(3)], names=KEYS + MEASURES)
-
-    typed = contributions.select(F.col("sign").cast("int"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[j] for k in sums], pa.string()) for j in range(3)] + [
+                    pa.array([s[j] for s in sums.values()], pa.int64()) for j in range(3)
+                ],
+                names=KEYS + MEASURES,
+            )
+
+    typed = contributions.select(
+        F.col("sign").cast("int"),
+        F.col("source").cast("string"),
+        F.col("lang").cast("string"),
+        F.col("text").cast("string"),
+    )
     return typed.mapInArrow(run, _DDL).groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
 
 

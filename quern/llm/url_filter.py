@@ -38,10 +38,18 @@ def _digest(host: Column, path: Column) -> Column:
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule, verdict of every row; ``rules`` has host, path, verdict."""
-    rules = rules.where("host is not null").select(F.translate("host", _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+    rules = rules.where("host is not null").select(
+        F.translate("host", _UPPER, _LOWER).alias("host"),
+        F.coalesce("path", F.lit("")).alias("path"),
+        "verdict",
+    )
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     known = rules.agg(F.count("*"), F.collect_set(F.length("path"))).first()
-    keyed = rules.select(_digest(F.col("host"), F.col("path")).alias("digest"), F.concat("host", "path").alias("rule"), "verdict").withColumn("short", F.substring("digest", 1, 8))
+    keyed = rules.select(
+        _digest(F.col("host"), F.col("path")).alias("digest"),
+        F.concat("host", "path").alias("rule"),
+        "verdict",
+    ).withColumn("short", F.substring("digest", 1, 8))
     if known[0] <= BROADCAST_RULES:
         keyed = F.broadcast(keyed)
     url = F.col(f"`{url_col}`").cast("string")
@@ -51,13 +59,30 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", ur
     lengths = F.array(*[F.lit(x) for x in sorted(known[1])]) if known[1] else F.array().cast("array<int>")
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
     urls = rows.where("host <> ''").select("host", "path").distinct()
-    spread = urls.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
-    asked = spread.select("host", "path", _digest(F.col("suffix"), F.col("prefix")).alias("asked")).withColumn("short", F.substring("asked", 1, 8))
+    spread = urls.select(
+        "host",
+        "path",
+        F.explode(suffixes).alias("suffix"),
+        prefixes.alias("prefixes"),
+    ).select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
+    asked = spread.select(
+        "host",
+        "path",
+        _digest(F.col("suffix"), F.col("prefix")).alias("asked"),
+    ).withColumn("short", F.substring("asked", 1, 8))
     hits = asked.join(keyed, "short").where("asked = digest")
     # longest first; of equals the least text
-    best = hits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("n"), "rule", "verdict")).alias("r")).select("host", "path", "r.rule", "r.verdict")
+    best = hits.groupBy("host", "path").agg(
+        F.min(F.struct((-F.length("rule")).alias("n"), "rule", "verdict")).alias("r")
+    ).select("host", "path", "r.rule", "r.verdict")
     out = ["page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict")]
     # rows without a host meet no rule: they stay out of the join, where they would be one key
     judged = rows.where("host <> ''").join(best, ["host", "path"], "left").select(*out)
-    bare = rows.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    bare = rows.where("host = ''").select(
+        "page_id",
+        "host",
+        "path",
+        F.lit(None).cast("string").alias("rule"),
+        F.lit(None).cast("string").alias("verdict"),
+    )
     return judged.unionByName(bare.select(*out))

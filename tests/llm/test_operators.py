@@ -41,7 +41,18 @@ def corpus(seed=1, n=60):
             if kind < 0.5:
                 text += " " + passage + " " + word()
         out.append((i * 3 - 20, text))
-    return out + [(500, None), (501, ""), (502, "  "), (None, passage), (None, None), (7000, passage), (7000, passage), (503, "a b"), (504, "a b"), (505, "x " * 3000 + passage)]
+    return out + [
+        (500, None),
+        (501, ""),
+        (502, "  "),
+        (None, passage),
+        (None, None),
+        (7000, passage),
+        (7000, passage),
+        (503, "a b"),
+        (504, "a b"),
+        (505, "x " * 3000 + passage),
+    ]
 
 
 def cut_brute(pairs, t=50):
@@ -165,7 +176,20 @@ def test_decontamination(spark):
     sub = a[:]
     sub[4] = sub[11] = sub[20] = "zz"
     broken = [x if k % 2 else "q" for k, x in enumerate(a)]
-    rows = [(10, " ".join(w(7) + a + w(5))), (11, " ".join(w(3) + sub)), (12, ", ".join(b).upper()), (13, " ".join(w(50))), (14, " ".join(broken)), (15, None), (16, ""), (17, "x one TWO three"), (18, " ".join(a[:12])), (19, " ".join(a[:13] + w(9))), (20, " ".join(["k"] * 200 + a)), (10, " ".join(w(7) + a))]
+    rows = [
+        (10, " ".join(w(7) + a + w(5))),
+        (11, " ".join(w(3) + sub)),
+        (12, ", ".join(b).upper()),
+        (13, " ".join(w(50))),
+        (14, " ".join(broken)),
+        (15, None),
+        (16, ""),
+        (17, "x one TWO three"),
+        (18, " ".join(a[:12])),
+        (19, " ".join(a[:13] + w(9))),
+        (20, " ".join(["k"] * 200 + a)),
+        (10, " ".join(w(7) + a)),
+    ]
     got = {(x.doc_id, x.item_id) for x in leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(10, 1), (11, 1), (12, 2), (17, 3), (18, 1), (19, 1), (20, 1)}
     assert leaks(docs(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
@@ -217,7 +241,9 @@ def test_decontamination_recall(spark):
         rows.append((len(rows), "k " + " ".join("zz" if k in bad else x for k, x in enumerate(b))))
     want = leaks_brute(rows, items)
     assert len(want) > 350
-    assert {(x.doc_id, x.item_id) for x in leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()} == want
+    assert {
+        (x.doc_id, x.item_id) for x in leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    } == want
 
 
 def test_decontamination_of_short_items(spark):
@@ -244,14 +270,28 @@ def test_url_rules(spark):
     from quern.llm.queries import RULES
     from quern.llm.url_filter import url_verdicts
 
-    cases = {"http://A.B.NET/x?q": ("a.b.net", "/x", "net/", "block"), "https://example.net/en/1#t": ("example.net", "/en/1", "example.net/en/", "allow"), "https://example.net/enx": ("example.net", "/enx", "net/", "block"), "x://www.example.com/de/": ("www.example.com", "/de/", "example.com/de/", "block"), "x://badexample.com/de/": ("badexample.com", "/de/", None, "allow"), "x://a.org/fr/?": ("a.org", "/fr/", "org/fr/", "allow"), "x://net": ("net", "", None, "allow"), "no scheme.net/": ("", "", None, "allow"), None: ("", "", None, "allow"), "://": ("", "", None, "allow"), "a://b.net/c://d.org/fr/": ("b.net", "/c://d.org/fr/", "net/", "block")}
+    cases = {
+        "http://A.B.NET/x?q": ("a.b.net", "/x", "net/", "block"),
+        "https://example.net/en/1#t": ("example.net", "/en/1", "example.net/en/", "allow"),
+        "https://example.net/enx": ("example.net", "/enx", "net/", "block"),
+        "x://www.example.com/de/": ("www.example.com", "/de/", "example.com/de/", "block"),
+        "x://badexample.com/de/": ("badexample.com", "/de/", None, "allow"),
+        "x://a.org/fr/?": ("a.org", "/fr/", "org/fr/", "allow"),
+        "x://net": ("net", "", None, "allow"),
+        "no scheme.net/": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+        "://": ("", "", None, "allow"),
+        "a://b.net/c://d.org/fr/": ("b.net", "/c://d.org/fr/", "net/", "block"),
+    }
     rows = [(i, u, "x") for i, u in enumerate(cases)] + [(0, next(iter(cases)), "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = url_verdicts(pages, rules).collect()
     assert len(got) == len(rows)
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == dict(enumerate(cases.values()))
-    assert url_verdicts(pages.limit(0), rules).count() == 0 and {r.verdict for r in url_verdicts(pages, rules.limit(0)).collect()} == {"allow"}
+    assert url_verdicts(pages.limit(0), rules).count() == 0 and {
+        r.verdict for r in url_verdicts(pages, rules.limit(0)).collect()
+    } == {"allow"}
 
 
 def test_token_rollup(spark, tmp_path):
@@ -261,9 +301,18 @@ def test_token_rollup(spark, tmp_path):
     batch = lambda rows: deltas(signed(spark.createDataFrame([(*r, 5) for r in rows], schema)), ("words-1",))
     rollup = Rollup(spark, str(tmp_path))
     assert rollup.totals().count() == 0
-    first = batch([("insert", "a", "en", "one two", None, None, None), ("insert", "a", "en", None, None, None, None), ("insert", None, "de", "x", None, None, None)])
+    first = batch(
+        [
+            ("insert", "a", "en", "one two", None, None, None),
+            ("insert", "a", "en", None, None, None, None),
+            ("insert", None, "de", "x", None, None, None),
+        ]
+    )
     assert rollup.commit("b1", first) and not rollup.commit("b1", first)
-    rollup.commit("b2", batch([("revise", "a", "en", "one two three", "a", "en", "one two"), ("delete", None, "de", "x", None, None, None)]))
+    rollup.commit(
+        "b2",
+        batch([("revise", "a", "en", "one two three", "a", "en", "one two"), ("delete", None, "de", "x", None, None, None)]),
+    )
     want = [("a", "en", "words-1", 2, 3, 13)]
     assert [tuple(r) for r in rollup.totals().collect()] == want
     for _ in range(3):
@@ -350,7 +399,10 @@ def test_token_counts_of_documents(spark):
             continue
         if label and label.quality == 0:
             text, source = text.strip(" "), "low"
-        for version, n in (("byte_bpe_50k.tiktoken", len(model.encode(text, add_special_tokens=False).ids)), ("words-1", len(WORD.findall(text)))):
+        for version, n in (
+            ("byte_bpe_50k.tiktoken", len(model.encode(text, add_special_tokens=False).ids)),
+            ("words-1", len(WORD.findall(text))),
+        ):
             x = want.setdefault((source, r.lang, version), [0, 0, 0])
             x[0] += 1
             x[1] += n
@@ -365,7 +417,22 @@ def test_ids_equal_those_of_the_named_tokenizer(monkeypatch):
     from quern.llm import tokens
 
     model, r = named_model(), random.Random(1)
-    texts = ["", " ", "  a  b\n\n c", "don't 's  'll", "<|endoftext|> x", "a <|endoftext|> b", "a  <|endoftext|><|endoftext|>", "<|endoftext", "\u3000\u00a0\u00e9\u0301 \u00df\u65e5\u672c", "\t\r\n", "a" * 5000, "0123456789" * 50, "\x00\x1f\U0001f642", "A,B;c--!!?"]
+    texts = [
+        "",
+        " ",
+        "  a  b\n\n c",
+        "don't 's  'll",
+        "<|endoftext|> x",
+        "a <|endoftext|> b",
+        "a  <|endoftext|><|endoftext|>",
+        "<|endoftext",
+        "\u3000\u00a0\u00e9\u0301 \u00df\u65e5\u672c",
+        "\t\r\n",
+        "a" * 5000,
+        "0123456789" * 50,
+        "\x00\x1f\U0001f642",
+        "A,B;c--!!?",
+    ]
     letters = list(SPACES * 2 + "abcXYZ'stremlvd0123.,!?<|>\u00e9\u65e5\u00df\U0001f642\u00bd")
     for _ in range(500):
         texts.append("".join(r.choice(letters) for _ in range(r.randint(0, 80))))
@@ -400,8 +467,13 @@ def test_very_long_texts(spark):
     counts = {i: len(model.encode(t, add_special_tokens=False).ids) for i, t in rows}
     batch = table.select(F.lit("insert").alias("op"), F.col("doc_id").cast("string").alias("source"), F.lit("en").alias("lang"), "text")
     assert {int(r.source): r.tokens for r in deltas(signed(batch), ("byte_bpe_50k.tiktoken",)).collect()} == counts
-    assert {r[0]: r[1] for r in pack_sequences(table).groupBy("doc_id").agg(F.sum("length")).collect()} == {i: n + 1 for i, n in counts.items()}
-    train = spark.createDataFrame([(i, "you scum" if i % 2 else "fine words", "en", i % 2) for i in range(40)], "doc_id long, text string, lang string, toxic int")
+    assert {
+        r[0]: r[1] for r in pack_sequences(table).groupBy("doc_id").agg(F.sum("length")).collect()
+    } == {i: n + 1 for i, n in counts.items()}
+    train = spark.createDataFrame(
+        [(i, "you scum" if i % 2 else "fine words", "en", i % 2) for i in range(40)],
+        "doc_id long, text string, lang string, toxic int",
+    )
     assert {r.row.doc_id: r.predicted for r in scored(table, learn(train, train)).collect()}[3] == 1
     assert {r.doc_id: r.lang_pred for r in identified(table, fit(train)).collect()} == {1: "und", 2: "en", 3: "en", 4: "en"}
 
@@ -453,7 +525,9 @@ def test_toxicity_is_exact(spark, monkeypatch, block, own):
     word = lambda bad: r.choice(["scum", "trash", "Idiot"]) if bad and r.random() < 0.4 else f"t{chr(97 + int(r.random() ** 2 * 26))}{r.choice('xy')}"
     examples = [(i, y := r.randrange(4) // 3, " ".join(word(y) for _ in range(r.randint(0, 9)))) for i in range(250)]
     examples += [(i, 0, None if i % 2 else "1 2 3") for i in range(300, 306)]
-    rows = [(i, t) for i, _, t in examples[::3]] + [(1000 + i, " ".join(word(i % 3 == 0) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(None, "scum tax"), (7, None), (8, ""), (9, "zzz")]
+    rows = [(i, t) for i, _, t in examples[::3]] + [
+        (1000 + i, " ".join(word(i % 3 == 0) for _ in range(r.randint(0, 12)))) for i in range(60)
+    ] + [(None, "scum tax"), (7, None), (8, ""), (9, "zzz")]
     table = spark.createDataFrame([(i, t, y) for i, y, t in examples], "doc_id long, text string, toxic int").repartition(3)
     got = {(x.row.doc_id, x.row.text): x.score for x in T.scored(docs(spark, rows), T.fit(table, table), leave_own=own).collect()}
     want = dict(zip(rows, toxicity_brute(rows, examples, own), strict=True))
@@ -481,7 +555,10 @@ def test_toxicity_edges(spark):
 
     rows = [(i, "fine words here" if i % 3 else "you scum there", i % 3 == 0) for i in range(90)]
     labelled = spark.createDataFrame([(i, t, int(x)) for i, t, x in rows] + [(900, "scum", None)], "doc_id long, text string, toxic int")
-    out = scored(docs(spark, [(1, "SCUM!"), (2, "nice"), (3, None), (4, ""), (1, "SCUM!"), (None, "scum " * 4000)]), fit(labelled, labelled))
+    out = scored(
+        docs(spark, [(1, "SCUM!"), (2, "nice"), (3, None), (4, ""), (1, "SCUM!"), (None, "scum " * 4000)]),
+        fit(labelled, labelled),
+    )
     got = Counter((r.row.doc_id, r.predicted) for r in out.collect())
     assert got == {(1, 1): 2, (2, 0): 1, (3, 0): 1, (4, 0): 1, (None, 1): 1}
     assert all(r.score == 0 for r in scored(docs(spark, [(1, "a"), (2, None)]), fit(labelled, labelled.limit(0))).collect())
@@ -494,7 +571,10 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
     tox = op6_toxicity(spark, sf).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in tox) / len(tox) > 0.9
-    lang = op7_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    lang = op7_language_id(spark, sf).join(
+        spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"),
+        "doc_id",
+    ).where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in lang) / len(lang) > 0.97
 
 
@@ -536,7 +616,9 @@ def test_language_sample_is_bounded(spark):
     """Rows without an id, and rows that repeat, are sampled like all others."""
     from quern.llm import language as L
 
-    rows = [(None, f"word{i} aaa", "en") for i in range(300)] + [(1, "same text", "en")] * 300 + [(i, f"wort{i} bbb", "de") for i in range(5)]
+    rows = [
+        (None, f"word{i} aaa", "en") for i in range(300)
+    ] + [(1, "same text", "en")] * 300 + [(i, f"wort{i} bbb", "de") for i in range(5)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(L.fit(table, sample=20).langs) == ["de", "en"]
     seen = {}
@@ -553,7 +635,12 @@ def test_language_sample_is_bounded(spark):
 def test_language_edges(spark):
     from quern.llm.language import Filters, fit, identified
 
-    train = spark.createDataFrame([(i, "the weather and the rivers", "en") if i % 2 else (i, "der die das und über", "de") for i in range(40)] + [(99, None, "fr"), (98, "x", None)], "doc_id long, text string, lang string")
+    train = spark.createDataFrame(
+        [
+            (i, "the weather and the rivers", "en") if i % 2 else (i, "der die das und über", "de") for i in range(40)
+        ] + [(99, None, "fr"), (98, "x", None)],
+        "doc_id long, text string, lang string",
+    )
     filters = fit(train)
     rows = [(1, "The rivers"), (2, "über das"), (3, None), (4, ""), (5, "123 !?"), (6, "日本"), (None, "the the"), (1, "The rivers")]
     got = [(r.doc_id, r.lang_pred) for r in identified(docs(spark, rows), filters).collect()]
@@ -586,7 +673,13 @@ def vectors_brute(rows):
     groups = {}
     for i in range(n):
         groups.setdefault(find(i), []).append(rows[i][0])
-    return sorted((rows[i][0] if rows[i][0] is not None else -9, links[i], min((x for x in groups[find(i)] if x is not None), default=-9)) for i in range(n))
+    return sorted(
+        (
+            rows[i][0] if rows[i][0] is not None else -9,
+            links[i],
+            min((x for x in groups[find(i)] if x is not None), default=-9),
+        ) for i in range(n)
+    )
 
 
 @pytest.mark.parametrize("tile", [16 << 20, 320])
@@ -599,11 +692,30 @@ def test_embeddings(spark, monkeypatch, tile):
     base = r.randn(12, 8)
     rows = [(int(i), (base[r.randint(12)] + r.randn(8) * 0.12).tolist(), int(r.randint(3))) for i in r.permutation(120)]
     rows += [(200 + k, rows[0][1], rows[0][2]) for k in range(4)]
-    rows += [(300, None, 1), (301, [0.0] * 8, 1), (302, [float("nan")] * 8, 1), (303, [None] + [1.0] * 7, 1), (304, rows[1][1], None), (305, [], 1), (306, rows[2][1][:4], rows[2][2]), (307, [2 * x for x in rows[3][1]], rows[3][2]), (None, rows[0][1], rows[0][2])]
+    rows += [
+        (300, None, 1),
+        (301, [0.0] * 8, 1),
+        (302, [float("nan")] * 8, 1),
+        (303, [None] + [1.0] * 7, 1),
+        (304, rows[1][1], None),
+        (305, [], 1),
+        (306, rows[2][1][:4], rows[2][2]),
+        (307, [2 * x for x in rows[3][1]], rows[3][2]),
+        (None, rows[0][1], rows[0][2]),
+    ]
     rows += [(400 + k, [x * 10.0 ** (200 - 100 * k) for x in rows[4][1]], rows[4][2]) for k in range(5)]
     rows += [(410, [1e308] * 8, 1), (411, [5e-324] * 8, 1), (412, [1.0] * 8, 1), (413, [-1.0] * 8, 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit("clash")).withColumn("d", F.lit(1))
-    got = sorted((x.vec_id if x.vec_id is not None else -9, x.n_links, x.component_id if x.component_id is not None else -9) for x in E.near_vectors(df).collect())
+    df = spark.createDataFrame(
+        rows,
+        "vec_id long, embedding array<double>, label int",
+    ).withColumn("id", F.lit("clash")).withColumn("d", F.lit(1))
+    got = sorted(
+        (
+            x.vec_id if x.vec_id is not None else -9,
+            x.n_links,
+            x.component_id if x.component_id is not None else -9,
+        ) for x in E.near_vectors(df).collect()
+    )
     assert got == vectors_brute(rows)
     assert E.near_vectors(df.limit(0)).count() == 0
 
@@ -614,14 +726,19 @@ def test_sharding_is_minimal(spark, monkeypatch):
     monkeypatch.setattr(H, "FIRST_BITS", 3)
     monkeypatch.setattr(H, "CELL_ROWS", 5)
     r = random.Random(1)
-    rows = [(i, "x" * r.randrange(200) + str(r.randrange(40))) for i in range(300)] + [(1, None), (2, None), (None, "q"), (1, "z" * 3000), (1, "z" * 3000)]
+    rows = [
+        (i, "x" * r.randrange(200) + str(r.randrange(40))) for i in range(300)
+    ] + [(1, None), (2, None), (None, "q"), (1, "z" * 3000), (1, "z" * 3000)]
     out = H.shard(docs(spark, rows), 7).collect()
     assert len(out) == len(rows) and {x.law for x in out} == {"bytes"}
     for k in {x.shard for x in out}:
         slots = sorted(x.slot for x in out if x.shard == k)
         assert slots == list(range(len(slots))) and 0 <= k < 7
     assert Counter((x.doc_id, x.size, x.text_crc32) for x in out) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
-    keyed = docs(spark, rows).select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), (F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
+    keyed = docs(spark, rows).select(
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"),
+        (F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("n"),
+    ).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
     sizes = [x.n for x in keyed]
 
     def shards_at(c):
@@ -642,7 +759,9 @@ def test_packing(spark):
     from quern.llm.tokens import ids_of
 
     r = random.Random(3)
-    rows = [(i, " ".join(f"w{r.randrange(999)}" for _ in range(r.randrange(60)))) for i in range(80)] + [(80, None), (81, ""), (None, "x y"), (5, "dup"), (5, "dup"), (82, "long word " * 90)]
+    rows = [
+        (i, " ".join(f"w{r.randrange(999)}" for _ in range(r.randrange(60)))) for i in range(80)
+    ] + [(80, None), (81, ""), (None, "x y"), (5, "dup"), (5, "dup"), (82, "long word " * 90)]
     out = P.pack_sequences(docs(spark, rows), 64).collect()
     bins = {}
     for x in out:

@@ -19,7 +19,14 @@ def test_stages(spark):
 
 
 def test_stages_on_odd_rows(spark):
-    rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, "a b c d e f", None, None, None), (None, "a b c d e f", "en", "s", 11), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    rows = [
+        (1, "a b c d e f", "en", "s", 11),
+        (1, "a b c d e f", "en", "s", 11),
+        (2, "a b c d e f", None, None, None),
+        (None, "a b c d e f", "en", "s", 11),
+        (3, None, "en", "s", 0),
+        (4, "", "en", "s", 0),
+    ]
     docs, keep = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), Scratch(spark)
     for name, stage in P.STAGES:
         docs = keep.table(stage(spark, docs, SF), name)
@@ -32,19 +39,58 @@ def test_stages_on_odd_rows(spark):
 def test_near_dedup_of_ids_with_several_texts(spark):
     a, b, c = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
     # 5 has a copy of 1's text, two texts of its own, and one of these twice with other columns
-    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, c, "de", "s", 1), (5, c, "en", "s", 1), (6, b, "en", "s", 1), (7, None, "en", "s", 0), (7, "", "en", "s", 0), (None, a, "en", "s", 1)]
+    rows = [
+        (1, a, "en", "s", 1),
+        (5, a, "en", "s", 1),
+        (5, b, "en", "s", 1),
+        (5, c, "de", "s", 1),
+        (5, c, "en", "s", 1),
+        (6, b, "en", "s", 1),
+        (7, None, "en", "s", 0),
+        (7, "", "en", "s", 0),
+        (None, a, "en", "s", 1),
+    ]
     for order in (rows, rows[::-1]):
         docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
         got = P.near_dedup(spark, docs, SF)
         assert got.columns == docs.columns
-        assert sorted(((r.doc_id or -1), r.text or "", r.lang) for r in got.collect()) == [(-1, a, "en"), (1, a, "en"), (5, b, "en"), (5, c, "de"), (7, "", "en"), (7, "", "en")]
+        assert sorted(((r.doc_id or -1), r.text or "", r.lang) for r in got.collect()) == [
+            (-1, a, "en"),
+            (1, a, "en"),
+            (5, b, "en"),
+            (5, c, "de"),
+            (7, "", "en"),
+            (7, "", "en"),
+        ]
 
 
 def test_stages_with_clashing_names_and_long_texts(spark):
     """Columns that operators use themselves, very long texts of one character, and repeated rows go through all stages."""
-    names = ["row", "text_", "id", "key", "component_id", "kept", "score", "predicted", "n", "h", "t", "u", "item_id", "__null", "__block", "__r", "label", "own"]
+    names = [
+        "row",
+        "text_",
+        "id",
+        "key",
+        "component_id",
+        "kept",
+        "score",
+        "predicted",
+        "n",
+        "h",
+        "t",
+        "u",
+        "item_id",
+        "__null",
+        "__block",
+        "__r",
+        "label",
+        "own",
+    ]
     long = ["a" * 300_000, " " * 1_000_000, "word " * 60_000, "<|endoftext|>" * 2_000, "\u65e5" * 90_000]
-    rows = [(i, t, "en", "s", len(t), *["x"] * len(names)) for i, t in enumerate(long)] + [(1, long[1], "en", "s", 7, *["x"] * len(names)), (9, None, None, None, None, *[None] * len(names))]
+    rows = [(i, t, "en", "s", len(t), *["x"] * len(names)) for i, t in enumerate(long)] + [
+        (1, long[1], "en", "s", 7, *["x"] * len(names)),
+        (9, None, None, None, None, *[None] * len(names)),
+    ]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
     docs, keep = spark.createDataFrame(rows, schema), Scratch(spark)
     columns = docs.columns

@@ -38,7 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         own = named.select("doc_id", "text", mark.alias("row"))
         found = near_duplicates(own.select("row", "text").distinct(), "row", "text").select(F.col("doc_id").alias("row"), "component_id")
         members = own.select("doc_id", "row").distinct().join(found, "row")
-        kept = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least")).select(F.col("least.row").alias("kept_"))
+        kept = members.groupBy("component_id").agg(
+            F.min(F.struct("doc_id", "row")).alias("least")
+        ).select(F.col("least.row").alias("kept_"))
         one = named.join(kept, mark == F.col("kept_"), "left_semi")
     else:
         kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()

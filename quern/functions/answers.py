@@ -158,7 +158,13 @@ def first_boxed_line_end(text: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
         lambda i: F.struct(i.alias("i"), (F.length(F.array_join(F.slice(parts, F.lit(1), i), "\\boxed{")) + 6).alias("brace")),
     )
-    ends = F.transform(openings, lambda o: F.struct((o["brace"] + F.length(balanced(F.substr(text, o["brace"] + 1, F.length(text)))) + 2).alias("close"), balanced(F.substr(text, o["brace"] + 1, F.length(text))).alias("inside")))
+    ends = F.transform(
+        openings,
+        lambda o: F.struct(
+            (o["brace"] + F.length(balanced(F.substr(text, o["brace"] + 1, F.length(text)))) + 2).alias("close"),
+            balanced(F.substr(text, o["brace"] + 1, F.length(text))).alias("inside"),
+        ),
+    )
     good = F.get(F.filter(ends, lambda e: e["inside"].isNotNull() & (strip(e["inside"]) != "")), F.lit(0))["close"]
     newline = F.instr(F.substr(text, good + 1, F.length(text)), "\n")
     return F.when(F.size(parts) > 1, F.when(newline > 0, good + newline).otherwise(good)).cast("int")

@@ -107,7 +107,15 @@ def route_name(code: Column) -> Column:
     return F.coalesce(F.try_element_at(names, code), F.concat(F.lit("unknown_"), code.cast("string")))
 
 
-def routing(mode: str, active: Column, overlap_: Column, weight: Column, threshold: float = 0.65, alpha: float = 0.5, forward_lambda: float | None = None) -> tuple[Column, Column, Column]:
+def routing(
+    mode: str,
+    active: Column,
+    overlap_: Column,
+    weight: Column,
+    threshold: float = 0.65,
+    alpha: float = 0.5,
+    forward_lambda: float | None = None,
+) -> tuple[Column, Column, Column]:
     """(reverse coefficient, forward coefficient, route code) of a mode; inactive rows get 0, 0, 0."""
     low = active & (overlap_ < threshold)
     one, none = F.lit(1.0), F.lit(0.0)

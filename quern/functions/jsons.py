@@ -18,7 +18,10 @@ PROBLEM = ["problem", "question", "query", "prompt", "input"]
 REFERENCE = ["solution", "answer", "target", "reference", "gold", "gold_answer"]
 CORRECT = ["exact_match", "acc", "accuracy", "correct", "is_correct", "score"]
 SAMPLE_KEYS = ["doc", "arguments", "resps", "filtered_resps", "target", "problem", "question", "prompt", "exact_match", "acc", "correct"]
-DECISION = T.StructType().add("has_error", T.BooleanType()).add("earliest_error_chunk_id", T.IntegerType()).add("earliest_error_span", T.StringType()).add("error_type", T.StringType()).add("explanation", T.StringType()).add("parse_failed", T.BooleanType())
+DECISION = T.StructType().add("has_error", T.BooleanType()).add(
+    "earliest_error_chunk_id",
+    T.IntegerType(),
+).add("earliest_error_span", T.StringType()).add("error_type", T.StringType()).add("explanation", T.StringType()).add("parse_failed", T.BooleanType())
 MESSAGES = T.ArrayType(T.StructType().add("role", T.StringType()).add("content", T.StringType()))
 
 
@@ -61,10 +64,22 @@ def decision(text: pd.Series) -> pd.DataFrame:
         got = first_object(t)
         if isinstance(got, dict):
             error = got.get("has_error")
-            rows.append((error if isinstance(error, bool) else None, _chunk(got.get("earliest_error_chunk_id")), str(got.get("earliest_error_span") or ""), str(got.get("error_type") or ""), str(got.get("explanation") or ""), False))
+            rows.append(
+                (
+                    error if isinstance(error, bool) else None,
+                    _chunk(got.get("earliest_error_chunk_id")),
+                    str(got.get("earliest_error_span") or ""),
+                    str(got.get("error_type") or ""),
+                    str(got.get("explanation") or ""),
+                    False,
+                )
+            )
         else:
             rows.append((None, None, "", "parse_failed", f"Could not parse judge output: {(t or '')[:800]}", True))
-    return pd.DataFrame(rows, columns=["has_error", "earliest_error_chunk_id", "earliest_error_span", "error_type", "explanation", "parse_failed"]).astype({"earliest_error_chunk_id": "Int32", "has_error": "boolean"})
+    return pd.DataFrame(
+        rows,
+        columns=["has_error", "earliest_error_chunk_id", "earliest_error_span", "error_type", "explanation", "parse_failed"],
+    ).astype({"earliest_error_chunk_id": "Int32", "has_error": "boolean"})
 
 
 @F.pandas_udf(T.StringType())
@@ -105,14 +120,20 @@ def messages(text: pd.Series) -> pd.Series:
 
 def plain_prompt(msgs: Column, generation: bool = False) -> Column:
     """Non-blank contents with a blank line between them."""
-    contents = F.filter(F.transform(msgs, lambda m: F.regexp_replace(F.coalesce(m["content"], F.lit("")), r"(?U)^\s+|\s+$", "")), lambda c: c != "")
+    contents = F.filter(
+        F.transform(msgs, lambda m: F.regexp_replace(F.coalesce(m["content"], F.lit("")), r"(?U)^\s+|\s+$", "")),
+        lambda c: c != "",
+    )
     return F.concat(F.array_join(contents, "\n\n"), F.lit("\n\n" if generation else ""))
 
 
 def chat_prompt(msgs: Column, before: str = "<|{role}|>\n", after: str = "\n", generation: str = "") -> Column:
     """A template of the form before-role, content, after; ``{role}`` stands for the role."""
     left, _, right = before.partition("{role}")
-    return F.concat(F.array_join(F.transform(msgs, lambda m: F.concat(F.lit(left), m["role"], F.lit(right), m["content"], F.lit(after))), ""), F.lit(generation))
+    return F.concat(
+        F.array_join(F.transform(msgs, lambda m: F.concat(F.lit(left), m["role"], F.lit(right), m["content"], F.lit(after))), ""),
+        F.lit(generation),
+    )
 
 
 def variant(text: Column) -> Column:
@@ -158,7 +179,13 @@ def generation(v: Column) -> Column:
 def problem(v: Column) -> Column:
     below = [f"$.{d}.{k}" for d in ("doc", "arguments") for k in PROBLEM]
     args = F.try_variant_get(v, "$.arguments", "array<variant>")
-    long = F.get(F.filter(F.transform(args, lambda a: F.coalesce(*[F.when(F.schema_of_variant(a) == "STRING", F.try_variant_get(a, "$", "string"))])), lambda s: F.length(s) > 20), F.lit(0))
+    long = F.get(
+        F.filter(
+            F.transform(args, lambda a: F.coalesce(*[F.when(F.schema_of_variant(a) == "STRING", F.try_variant_get(a, "$", "string"))])),
+            lambda s: F.length(s) > 20,
+        ),
+        F.lit(0),
+    )
     field = [_string(v, f"$.arguments[0].{k}") for k in PROBLEM]
     return F.coalesce(_at(v, PROBLEM, ["", *[f".{k}" for k in PROBLEM]]), *[_string(v, p) for p in below], long, *field, F.lit(""))
 

@@ -40,10 +40,24 @@ def built_messages(user: Column, system: str = "") -> Column:
 
 
 def _layout(messages: Column, target: Column, problem: Column, truth: Column, kind: str) -> list[Column]:
-    return [messages.alias("prompt_messages"), target.alias("target_text"), problem.alias("problem"), target.alias("reference_solution"), truth.alias("ground_truth"), F.lit(kind).alias("task_type")]
-
-
-def map_math(df: DataFrame, template_text: str = "{problem}", problem: str | None = None, solution: str | None = None, truth: str | None = None, system: str = "") -> DataFrame:
+    return [
+        messages.alias("prompt_messages"),
+        target.alias("target_text"),
+        problem.alias("problem"),
+        target.alias("reference_solution"),
+        truth.alias("ground_truth"),
+        F.lit(kind).alias("task_type"),
+    ]
+
+
+def map_math(
+    df: DataFrame,
+    template_text: str = "{problem}",
+    problem: str | None = None,
+    solution: str | None = None,
+    truth: str | None = None,
+    system: str = "",
+) -> DataFrame:
     """The truth falls back to the answer that the solution gives."""
     p, s = _field(df, problem, PROBLEM), _field(df, solution, SOLUTION)
     t = _field(df, truth, TRUTH)

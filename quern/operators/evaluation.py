@@ -33,7 +33,14 @@ def scores(graded: DataFrame, key: str = "example_id") -> DataFrame:
     """avg@n, pass@n, shares solved never and always, and responses without a box; rows have ok and format_error."""
     per = graded.groupBy(key).agg(F.count("*").alias("n"), F.count_if("ok").alias("right"), F.count_if("format_error").alias("bad"))
     share = lambda c: F.avg(c.cast("double"))
-    return per.agg(F.avg(F.col("right") / F.col("n")).alias("avg_at_n"), share(F.col("right") > 0).alias("pass_at_n"), share(F.col("right") == 0).alias("solve_none"), share(F.col("right") == F.col("n")).alias("solve_all"), F.sum("bad").alias("format_errors"), F.sum("n").alias("responses"))
+    return per.agg(
+        F.avg(F.col("right") / F.col("n")).alias("avg_at_n"),
+        share(F.col("right") > 0).alias("pass_at_n"),
+        share(F.col("right") == 0).alias("solve_none"),
+        share(F.col("right") == F.col("n")).alias("solve_all"),
+        F.sum("bad").alias("format_errors"),
+        F.sum("n").alias("responses"),
+    )
 
 
 def judge_summary(cases: DataFrame, judge_all: bool = False) -> DataFrame:
@@ -75,7 +82,11 @@ def judge_summary(cases: DataFrame, judge_all: bool = False) -> DataFrame:
 
 def aligned_loss(terms: DataFrame, clip: float | None = None) -> DataFrame:
     """Summed log-probabilities of alignment groups, their clipped difference, mean per sequence, weighted mean."""
-    group = terms.groupBy("seq_id", "group_id").agg(F.sum("student_logp").alias("s"), F.sum("teacher_logp").alias("t"), F.first("seq_weight").alias("w"))
+    group = terms.groupBy("seq_id", "group_id").agg(
+        F.sum("student_logp").alias("s"),
+        F.sum("teacher_logp").alias("t"),
+        F.first("seq_weight").alias("w"),
+    )
     raw = F.col("s") - F.col("t")
     term: Column = raw if clip is None else F.greatest(F.least(raw, F.lit(clip)), F.lit(-clip))
     per = group.groupBy("seq_id").agg(F.avg(term).alias("m"), F.first("w").alias("w"))

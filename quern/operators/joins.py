@@ -23,10 +23,17 @@ def vocabulary_alignment(student: DataFrame, teacher: DataFrame) -> DataFrame:
 
 def alignment_stats(student: DataFrame, teacher: DataFrame) -> DataFrame:
     """shared, student_only, teacher_only and shared / max(sizes), in one pass over both."""
-    both = student.select("token", F.lit(1).alias("s"), F.lit(0).alias("t")).unionByName(teacher.select("token", F.lit(0).alias("s"), F.lit(1).alias("t")))
+    both = student.select("token", F.lit(1).alias("s"), F.lit(0).alias("t")).unionByName(
+        teacher.select("token", F.lit(0).alias("s"), F.lit(1).alias("t"))
+    )
     per = both.groupBy("token").agg(F.max("s").alias("s"), F.max("t").alias("t"))
     shared, ns, nt = F.sum(F.col("s") * F.col("t")), F.sum("s"), F.sum("t")
-    return per.agg(shared.alias("shared"), (ns - shared).alias("student_only"), (nt - shared).alias("teacher_only"), (shared / F.greatest(ns, nt, F.lit(1))).alias("shared_ratio"))
+    return per.agg(
+        shared.alias("shared"),
+        (ns - shared).alias("student_only"),
+        (nt - shared).alias("teacher_only"),
+        (shared / F.greatest(ns, nt, F.lit(1))).alias("shared_ratio"),
+    )
 
 
 def mapped_ids(rows: DataFrame, alignment: DataFrame, ids: str = "ids", key: str = "row_id") -> DataFrame:
@@ -46,12 +53,24 @@ def span_alignment(student: DataFrame, teacher: DataFrame, minimum: int = 1, wid
     """
 
     def bucketed(df: DataFrame, p: str) -> DataFrame:
-        spans = df.where("end_char > start_char").select("seq_id", F.col("pos").alias(f"{p}_pos"), F.col("start_char").alias(f"{p}s"), F.col("end_char").alias(f"{p}e"))
+        spans = df.where("end_char > start_char").select(
+            "seq_id",
+            F.col("pos").alias(f"{p}_pos"),
+            F.col("start_char").alias(f"{p}s"),
+            F.col("end_char").alias(f"{p}e"),
+        )
         return spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(f"{p}s") / width), F.floor((F.col(f"{p}e") - 1) / width))))
 
     shared = F.least("se", "te") - F.greatest("ss", "ts")
-    pairs = bucketed(student, "s").join(bucketed(teacher, "t"), ["seq_id", "bucket"]).where((shared >= minimum) & (F.col("bucket") == F.floor(F.greatest("ss", "ts") / width)))
-    return pairs.groupBy("seq_id", "s_pos", F.col("ss").alias("start_char"), F.col("se").alias("end_char")).agg(F.array_sort(F.collect_list("t_pos")).alias("t_pos"))
+    pairs = bucketed(student, "s").join(bucketed(teacher, "t"), ["seq_id", "bucket"]).where(
+        (shared >= minimum) & (F.col("bucket") == F.floor(F.greatest("ss", "ts") / width))
+    )
+    return pairs.groupBy(
+        "seq_id",
+        "s_pos",
+        F.col("ss").alias("start_char"),
+        F.col("se").alias("end_char"),
+    ).agg(F.array_sort(F.collect_list("t_pos")).alias("t_pos"))
 
 
 def expanded(samples: DataFrame, seeds: list[int]) -> DataFrame:
@@ -80,7 +99,10 @@ def compatible(student: DataFrame, teacher: DataFrame) -> DataFrame:
     s, t = student.select("token", "id").distinct(), teacher.select("token", "id").distinct()
     both = s.withColumn("s", F.lit(1)).withColumn("t", F.lit(0)).unionByName(t.withColumn("s", F.lit(0)).withColumn("t", F.lit(1)))
     per = both.groupBy("token", "id").agg(F.max("s").alias("s"), F.max("t").alias("t"))
-    return per.agg(F.coalesce(F.bool_and((F.col("s") == 1) & (F.col("t") == 1)), F.lit(True)).alias("identical"), F.coalesce(F.bool_and((F.col("s") == 0) | (F.col("t") == 1)), F.lit(True)).alias("prefix_compatible"))
+    return per.agg(
+        F.coalesce(F.bool_and((F.col("s") == 1) & (F.col("t") == 1)), F.lit(True)).alias("identical"),
+        F.coalesce(F.bool_and((F.col("s") == 0) | (F.col("t") == 1)), F.lit(True)).alias("prefix_compatible"),
+    )
 
 
 def zipped(rows: DataFrame, a: str, b: str, name: str = "zipped") -> DataFrame:
@@ -89,7 +111,13 @@ def zipped(rows: DataFrame, a: str, b: str, name: str = "zipped") -> DataFrame:
     return rows.withColumn(name, F.when(same.isNull(), F.arrays_zip(a, b)))
 
 
-def resolved_eos(student: DataFrame, teacher: DataFrame, student_ids: dict[str, list[int]], teacher_ids: dict[str, list[int]], extra: list[str]) -> DataFrame:
+def resolved_eos(
+    student: DataFrame,
+    teacher: DataFrame,
+    student_ids: dict[str, list[int]],
+    teacher_ids: dict[str, list[int]],
+    extra: list[str],
+) -> DataFrame:
     """Student-side ids of all stop tokens with their sources: token_id, token, sources, native.
 
     Teacher ids go by token string, never by number.
@@ -97,9 +125,14 @@ def resolved_eos(student: DataFrame, teacher: DataFrame, student_ids: dict[str,
     spark = student.sparkSession
     asked = lambda ids: spark.createDataFrame([(s, i) for s, x in ids.items() for i in x], "source string, id int")
     own = asked(student_ids).join(student, "id").select(F.col("id").alias("token_id"), "token", "source", F.lit(True).alias("native"))
-    by_name = asked(teacher_ids).join(teacher, "id").select("token", "source").unionByName(spark.createDataFrame([(t, "configured_extra") for t in extra], "token string, source string"))
+    by_name = asked(teacher_ids).join(teacher, "id").select("token", "source").unionByName(
+        spark.createDataFrame([(t, "configured_extra") for t in extra], "token string, source string")
+    )
     other = by_name.join(student, "token").select(F.col("id").alias("token_id"), "token", "source", F.lit(False).alias("native"))
-    return own.unionByName(other).groupBy("token_id", "token").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.bool_or("native").alias("native"))
+    return own.unionByName(other).groupBy("token_id", "token").agg(
+        F.array_sort(F.collect_set("source")).alias("sources"),
+        F.bool_or("native").alias("native"),
+    )
 
 
 def preferred_teacher_eos(resolved: DataFrame) -> DataFrame:

@@ -48,10 +48,18 @@ def region(relative: Column) -> Column:
 def region_means(positioned: DataFrame, values: list[str]) -> DataFrame:
     """Means of ``values`` by third of the response, as one row; 0 where a third is empty."""
     r = region(F.col("relative_pos"))
-    return positioned.agg(*[masked_mean(F.col(v), F.col("active") & (r == name)).alias(f"{v}_{name}") for v in values for name in ("early", "middle", "late")])
-
-
-def cut_means(facts: DataFrame, value: str, position: str = "response_pos", cuts: tuple[int, ...] = (0, 256, 768), points: tuple[int, ...] = (0, 100, 300)) -> DataFrame:
+    return positioned.agg(
+        *[masked_mean(F.col(v), F.col("active") & (r == name)).alias(f"{v}_{name}") for v in values for name in ("early", "middle", "late")]
+    )
+
+
+def cut_means(
+    facts: DataFrame,
+    value: str,
+    position: str = "response_pos",
+    cuts: tuple[int, ...] = (0, 256, 768),
+    points: tuple[int, ...] = (0, 100, 300),
+) -> DataFrame:
     """Means between absolute cuts and at single positions."""
     out = []
     for lo, hi in zip(cuts, [*cuts[1:], None], strict=True):

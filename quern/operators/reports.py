@@ -19,7 +19,9 @@ def scored_positions(pairs: DataFrame, k: int, mode: str, threshold: float = 0.6
     """
     s, t = D.cropped(F.col("s"), F.col("t")), D.cropped(F.col("t"), F.col("s"))
     sizes = {"student_size": F.size("s"), "teacher_size": F.size("t")}
-    rows = pairs.withColumns(sizes | {"s": s, "t": t}).withColumns({"ids": array_top_k(F.col("s"), k), "teacher_ids": array_top_k(F.col("t"), k)})
+    rows = pairs.withColumns(sizes | {"s": s, "t": t}).withColumns(
+        {"ids": array_top_k(F.col("s"), k), "teacher_ids": array_top_k(F.col("t"), k)}
+    )
     s, t = F.col("s"), F.col("t")
     rows = rows.withColumns({
         "overlap": F.size(F.array_intersect("ids", "teacher_ids")) / F.size("ids"),

@@ -38,14 +38,29 @@ def truncate(ids: Column, stop_ids: list[int], pad_id: int | None, horizon: Colu
     length = F.when(stopped, stop_at).otherwise(F.least(pad_at - 1, F.size(raw))).cast("int")
     stop_id = F.when(stopped, F.get(raw, (stop_at - 1).cast("int")))
     hit = ~stopped & (length >= horizon)
-    return {"token_ids": F.slice(raw, F.lit(1), length), "raw_tensor_length": F.size(raw), "stop_token_id": stop_id, "hit_horizon": hit, "padded": ~stopped & ~hit & (length < F.size(raw))}
-
-
-def truncated(rows: DataFrame, stop_sources: dict[int, list[str]], pad_id: int | None, horizon: Column | int, ids: str = "ids") -> DataFrame:
+    return {
+        "token_ids": F.slice(raw, F.lit(1), length),
+        "raw_tensor_length": F.size(raw),
+        "stop_token_id": stop_id,
+        "hit_horizon": hit,
+        "padded": ~stopped & ~hit & (length < F.size(raw)),
+    }
+
+
+def truncated(
+    rows: DataFrame,
+    stop_sources: dict[int, list[str]],
+    pad_id: int | None,
+    horizon: Column | int,
+    ids: str = "ids",
+) -> DataFrame:
     """Rows with the cut, its reason and flags."""
     cut = truncate(F.col(ids), list(stop_sources), pad_id, horizon)
     out = rows.withColumns(cut)
-    reason = F.when(F.col("stop_token_id").isNotNull(), stop_reason(F.col("stop_token_id"), stop_sources)).when(F.col("hit_horizon"), "max_length").when(F.col("padded"), "padding").otherwise("sequence_end")
+    reason = F.when(
+        F.col("stop_token_id").isNotNull(),
+        stop_reason(F.col("stop_token_id"), stop_sources),
+    ).when(F.col("hit_horizon"), "max_length").when(F.col("padded"), "padding").otherwise("sequence_end")
     return out.withColumn("stop_reason", reason).withColumn("emitted_eos", F.col("stop_token_id").isNotNull()).drop("padded")
 
 
@@ -72,11 +87,21 @@ def boxed_trim(pieces: Column) -> tuple[Column, Column, Column]:
     return kept, kept < F.size(pieces), boxed_count(text)
 
 
-def finalized(rows: DataFrame, n: int = 4, cut: bool = True, append_eos: bool = True, eos_id: int = 0, stopped_online: Column | None = None, horizon: Column | None = None) -> DataFrame:
+def finalized(
+    rows: DataFrame,
+    n: int = 4,
+    cut: bool = True,
+    append_eos: bool = True,
+    eos_id: int = 0,
+    stopped_online: Column | None = None,
+    horizon: Column | None = None,
+) -> DataFrame:
     """The boxed-answer boundary on rows of :func:`truncated` with ``pieces``: an appended end is never an emitted one."""
     kept, less, boxes = boxed_trim(F.col("pieces"))
     online = stopped_online if stopped_online is not None else F.lit(False)
-    rows = rows.withColumns({"kept_": kept, "less_": less, "raw_boxed_count": boxes, "raw_repeated_ngram_ratio": repeated_ratio(F.col("token_ids"), n)})
+    rows = rows.withColumns(
+        {"kept_": kept, "less_": less, "raw_boxed_count": boxes, "raw_repeated_ngram_ratio": repeated_ratio(F.col("token_ids"), n)}
+    )
     apply = F.lit(cut) & ~F.col("emitted_eos") & (F.col("less_") | online)
     room = F.lit(True) if horizon is None else F.col("kept_") < horizon
     append = F.lit(append_eos) & room

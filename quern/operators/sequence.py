@@ -106,7 +106,10 @@ def chunks(ids: Column, size: int) -> Column:
 
 def one_based_chunks(ids: Column, size: int) -> Column:
     """The same chunks with one-based inclusive positions."""
-    return F.transform(chunks(ids, size), lambda c: F.struct(c["id"].alias("id"), (c["start_token"] + 1).alias("start_token_pos"), c["end_token"].alias("end_token_pos")))
+    return F.transform(
+        chunks(ids, size),
+        lambda c: F.struct(c["id"].alias("id"), (c["start_token"] + 1).alias("start_token_pos"), c["end_token"].alias("end_token_pos")),
+    )
 
 
 def ngrams(tokens: Column, n: int, of: Callable[[list[Column]], Column] | None = None) -> Column:

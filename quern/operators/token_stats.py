@@ -12,7 +12,13 @@ LOGPS = {"mean_student_target_logp": "student_logp", "mean_teacher_target_logp":
 def overlap_bin(overlap: Column) -> Column:
     """Decile label such as ``[0.3,0.4]``; values are clamped and 1.0 falls in the last bin."""
     k = F.least(F.floor(F.greatest(F.least(overlap, F.lit(1.0)), F.lit(0.0)) * 10), F.lit(9))
-    return F.concat(F.lit("[0."), k.cast("string"), F.lit(","), F.when(k == 9, "1.0").otherwise(F.concat(F.lit("0."), (k + 1).cast("string"))), F.lit("]"))
+    return F.concat(
+        F.lit("[0."),
+        k.cast("string"),
+        F.lit(","),
+        F.when(k == 9, "1.0").otherwise(F.concat(F.lit("0."), (k + 1).cast("string"))),
+        F.lit("]"),
+    )
 
 
 def position_bin(position: Column, width: int = 50) -> tuple[Column, Column]:
@@ -30,7 +36,14 @@ def _means() -> list[Column]:
 
 def route_json(entries: Column) -> Column:
     """A histogram as JSON with sorted keys, from an array of (route, n)."""
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(F.lit('"'), e["route"], F.lit('": '), e["n"].cast("string"))), ", "), F.lit("}"))
+    return F.concat(
+        F.lit("{"),
+        F.array_join(
+            F.transform(F.array_sort(entries), lambda e: F.concat(F.lit('"'), e["route"], F.lit('": '), e["n"].cast("string"))),
+            ", ",
+        ),
+        F.lit("}"),
+    )
 
 
 def group_stats(tokens: DataFrame, *keys: str) -> DataFrame:
@@ -55,12 +68,28 @@ def all_groupings(tokens: DataFrame) -> DataFrame:
     t = binned(tokens)
     sets = [["token_id", "token"], ["route"], ["overlap_bin"], ["position_bin"]]
     grouped = t.groupingSets([[F.col(c) for c in s] for s in sets], "token_id", "token", "route", "overlap_bin", "position_bin")
-    kind = F.when(F.grouping("token_id") == 0, "token").when(F.grouping("route") == 0, "route").when(F.grouping("overlap_bin") == 0, "overlap").otherwise("position")
-    return grouped.agg(kind.alias("grouping"), *_means()).select("grouping", F.coalesce(F.concat_ws(":", F.col("token_id").cast("string"), "token"), F.lit("")).alias("token_key"), "route", "overlap_bin", "position_bin", "count", *MEANS, *LOGPS)
+    kind = F.when(F.grouping("token_id") == 0, "token").when(F.grouping("route") == 0, "route").when(
+        F.grouping("overlap_bin") == 0,
+        "overlap",
+    ).otherwise("position")
+    return grouped.agg(kind.alias("grouping"), *_means()).select(
+        "grouping",
+        F.coalesce(F.concat_ws(":", F.col("token_id").cast("string"), "token"), F.lit("")).alias("token_key"),
+        "route",
+        "overlap_bin",
+        "position_bin",
+        "count",
+        *MEANS,
+        *LOGPS,
+    )
 
 
 def counters(tokens: DataFrame) -> DataFrame:
-    return tokens.agg(F.countDistinct("seq_id").alias("samples"), F.count("*").alias("tokens"), F.countDistinct("token_id", "token").alias("unique_tokens"))
+    return tokens.agg(
+        F.countDistinct("seq_id").alias("samples"),
+        F.count("*").alias("tokens"),
+        F.countDistinct("token_id", "token").alias("unique_tokens"),
+    )
 
 
 def highest_loss(tokens: DataFrame, n: int = 500) -> DataFrame:

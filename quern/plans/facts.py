@@ -21,8 +21,13 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("seq_id"), "event_id", "ts", pos.alias("pos"),
         (F.col("event_id") % 97).alias("token_id"), F.concat(F.lit("t"), (F.col("event_id") % 97).cast("string")).alias("token"),
         F.col("event_type").alias("route"), ((F.col("event_id") * 37 % 101) / 100.0).alias("overlap"),
-        F.abs("value").alias("reverse_kl"), (F.abs("value") * 0.5 + (F.col("event_id") % 7)).alias("forward_kl"), F.col("value").alias("final_loss"),
-        F.when(F.col("event_id") % 4 != 0, -F.abs("value") / 10).alias("student_logp"), F.when(F.col("event_id") % 4 != 0, -F.abs("value") / 8).alias("teacher_logp"),
+        F.abs("value").alias("reverse_kl"), (
+            F.abs("value") * 0.5 + (F.col("event_id") % 7)
+        ).alias("forward_kl"), F.col("value").alias("final_loss"),
+        F.when(
+            F.col("event_id") % 4 != 0,
+            -F.abs("value") / 10,
+        ).alias("student_logp"), F.when(F.col("event_id") % 4 != 0, -F.abs("value") / 8).alias("teacher_logp"),
         (F.col("event_id") % 10 != 0).alias("active"), F.col("event_id").alias("row_id"), (pos + 1).alias("position"),
         F.when(F.col("user_id") % 5 == 0, 0.5).otherwise(1.0).alias("seq_weight"),
     )
@@ -65,7 +70,9 @@ WORDS = "wd AS (SELECT doc_id, text, n_chars, list_filter(string_split(text, ' '
 def id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of a user's events in order: ids of 0 to 39, of which 3 and 7 end and 5 pads."""
     t = tokens(spark, sf_dir)
-    grouped = t.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", ((F.col("event_id") * 7 + F.col("seq_id")) % 40).cast("int").alias("id")))).alias("x"))
+    grouped = t.groupBy("seq_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", ((F.col("event_id") * 7 + F.col("seq_id")) % 40).cast("int").alias("id")))).alias("x")
+    )
     return grouped.select("seq_id", F.transform("x", lambda e: e["id"]).alias("ids"))
 
 
@@ -76,7 +83,10 @@ def boxed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an answer put behind the text, in forms that differ by id."""
     d = read(spark, sf_dir, "documents")
     k, n = F.col("doc_id") % 6, F.col("n_chars").cast("string")
-    tail = F.when(k == 0, F.concat(F.lit("\n\\boxed{\\frac{1}{"), n, F.lit("}} done"))).when(k == 1, F.concat(F.lit("\nAnswer: "), n, F.lit(".\n"))).when(k == 2, F.concat(F.lit("\n#### "), n, F.lit("$"))).when(k == 3, F.concat(F.lit(" -"), n, F.lit(".5 end"))).when(k == 4, F.concat(F.lit("\\boxed{"), n)).otherwise(F.concat(F.lit("\n\\boxed { "), n, F.lit(" }\n\\boxed{}")))
+    tail = F.when(
+        k == 0,
+        F.concat(F.lit("\n\\boxed{\\frac{1}{"), n, F.lit("}} done")),
+    ).when(k == 1, F.concat(F.lit("\nAnswer: "), n, F.lit(".\n"))).when(k == 2, F.concat(F.lit("\n#### "), n, F.lit("$"))).when(k == 3, F.concat(F.lit(" -"), n, F.lit(".5 end"))).when(k == 4, F.concat(F.lit("\\boxed{"), n)).otherwise(F.concat(F.lit("\n\\boxed { "), n, F.lit(" }\n\\boxed{}")))
     return d.select("doc_id", F.concat("text", tail).alias("text"), n.alias("gold"), "n_chars")
 
 

@@ -23,26 +23,51 @@ def _id() -> Column:
     return F.col("doc_id").cast("string")
 
 
-@query("C1_C2_first_of", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS nonblank, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '  ' END AS nonnull FROM documents")
+@query(
+    "C1_C2_first_of",
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS nonblank, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '  ' END AS nonnull FROM documents",
+)
 def c1(spark, sf):
     even = F.col("doc_id") % 2 == 0
     first = F.when(even, F.col("lang")).otherwise(F.lit("  "))
-    return read(spark, sf, "documents").select("doc_id", C.first_nonblank(first, F.col("source")).alias("nonblank"), C.first_nonnull(F.lit(None).cast("string"), first).alias("nonnull"))
+    return read(spark, sf, "documents").select(
+        "doc_id",
+        C.first_nonblank(first, F.col("source")).alias("nonblank"),
+        C.first_nonnull(F.lit(None).cast("string"), first).alias("nonnull"),
+    )
 
 
-@query("C3_map_math", f"WITH {BOXED} SELECT gold AS problem, gold AS ground_truth, 'Solve ' || gold || '.' AS prompt, 'math' AS task_type, count(*) AS n FROM bx GROUP BY gold")
+@query(
+    "C3_map_math",
+    f"WITH {BOXED} SELECT gold AS problem, gold AS ground_truth, 'Solve ' || gold || '.' AS prompt, 'math' AS task_type, count(*) AS n FROM bx GROUP BY gold",
+)
 def c3(spark, sf):
-    d = boxed_texts(spark, sf).select(F.col("gold").alias("question"), F.concat(F.lit("so \\boxed{"), "gold", F.lit("}")).alias("answer_text"), F.lit(" ").alias("problem"))
+    d = boxed_texts(spark, sf).select(
+        F.col("gold").alias("question"),
+        F.concat(F.lit("so \\boxed{"), "gold", F.lit("}")).alias("answer_text"),
+        F.lit(" ").alias("problem"),
+    )
     m = C.map_math(d, "Solve {problem}.", problem="problem", solution="answer_text", system="Be brief")
-    return m.groupBy("problem", "ground_truth", F.col("prompt_messages")[1]["content"].alias("prompt"), "task_type").agg(F.count("*").alias("n"))
+    return m.groupBy(
+        "problem",
+        "ground_truth",
+        F.col("prompt_messages")[1]["content"].alias("prompt"),
+        "task_type",
+    ).agg(F.count("*").alias("n"))
 
 
 def _chats(spark, sf):
     c = read(spark, sf, "conversations")
-    return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m")).select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    return c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m")).select(
+        "conv_id",
+        F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"),
+    )
 
 
-@query("C4_map_code", "SELECT coalesce(first(text ORDER BY turn, text) FILTER (role = 'assistant'), '') AS target_text, '' AS ground_truth, 'code' AS task_type FROM conversations GROUP BY conv_id")
+@query(
+    "C4_map_code",
+    "SELECT coalesce(first(text ORDER BY turn, text) FILTER (role = 'assistant'), '') AS target_text, '' AS ground_truth, 'code' AS task_type FROM conversations GROUP BY conv_id",
+)
 def c4(spark, sf):
     return C.map_code(_chats(spark, sf)).select("target_text", "ground_truth", "task_type")
 
@@ -61,12 +86,18 @@ def c6(spark, sf):
     return read(spark, sf, "documents").select("doc_id", task.alias("task_type"))
 
 
-@query("C7_X25_messages", "SELECT conv_id, string_agg(trim(text, chr(32) || chr(10) || chr(9) || chr(13)), chr(10) || chr(10) ORDER BY turn, role, text) FILTER (trim(text, chr(32) || chr(10) || chr(9) || chr(13)) <> '') AS prompt FROM conversations GROUP BY conv_id")
+@query(
+    "C7_X25_messages",
+    "SELECT conv_id, string_agg(trim(text, chr(32) || chr(10) || chr(9) || chr(13)), chr(10) || chr(10) ORDER BY turn, role, text) FILTER (trim(text, chr(32) || chr(10) || chr(9) || chr(13)) <> '') AS prompt FROM conversations GROUP BY conv_id",
+)
 def c7(spark, sf):
     return _chats(spark, sf).select("conv_id", Y.plain_prompt(F.col("messages")).alias("prompt"))
 
 
-@query("X26_chat_template", "SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn, role, text) || '<|assistant|>' || chr(10) AS prompt FROM conversations GROUP BY conv_id")
+@query(
+    "X26_chat_template",
+    "SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn, role, text) || '<|assistant|>' || chr(10) AS prompt FROM conversations GROUP BY conv_id",
+)
 def x26(spark, sf):
     return _chats(spark, sf).select("conv_id", Y.chat_prompt(F.col("messages"), generation="<|assistant|>\n").alias("prompt"))
 
@@ -76,9 +107,16 @@ def c9(spark, sf):
     return read(spark, sf, "documents").drop("text", "source", "n_chars")
 
 
-@query("C10_C11_filters", "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS DISTINCT FROM 1 AND n_chars > 100")
+@query(
+    "C10_C11_filters",
+    "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS DISTINCT FROM 1 AND n_chars > 100",
+)
 def c10(spark, sf):
-    d = read(spark, sf, "documents").join(read(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("correct")), "doc_id", "left")
+    d = read(spark, sf, "documents").join(
+        read(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("correct")),
+        "doc_id",
+        "left",
+    )
     return d.where(~F.col("correct").eqNullSafe(F.lit(True)) & (F.col("n_chars") > 100)).select("doc_id")
 
 
@@ -96,12 +134,18 @@ def j1(spark, sf):
     return joins.vocabulary_alignment(*_vocabularies(spark, sf))
 
 
-@query("J1_alignment_stats", f"WITH {_VOC}, j AS (SELECT count(*) AS n FROM sv JOIN tv USING (token)), c AS (SELECT (SELECT count(*) FROM sv) AS ns, (SELECT count(*) FROM tv) AS nt) SELECT n AS shared, ns - n AS student_only, nt - n AS teacher_only, round(n / greatest(ns, nt), 6) AS shared_ratio FROM j, c")
+@query(
+    "J1_alignment_stats",
+    f"WITH {_VOC}, j AS (SELECT count(*) AS n FROM sv JOIN tv USING (token)), c AS (SELECT (SELECT count(*) FROM sv) AS ns, (SELECT count(*) FROM tv) AS nt) SELECT n AS shared, ns - n AS student_only, nt - n AS teacher_only, round(n / greatest(ns, nt), 6) AS shared_ratio FROM j, c",
+)
 def j1b(spark, sf):
     return r6(joins.alignment_stats(*_vocabularies(spark, sf)))
 
 
-@query("J2_mapped_ids", f"WITH {TOKENS}, {IDS}, {_VOC}, e AS (SELECT seq_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM idl) SELECT e.seq_id, string_agg(coalesce(sv.id, -1)::VARCHAR, ',' ORDER BY i) AS mapped FROM e LEFT JOIN tv ON tv.id = e.id LEFT JOIN sv ON sv.token = tv.token GROUP BY e.seq_id")
+@query(
+    "J2_mapped_ids",
+    f"WITH {TOKENS}, {IDS}, {_VOC}, e AS (SELECT seq_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM idl) SELECT e.seq_id, string_agg(coalesce(sv.id, -1)::VARCHAR, ',' ORDER BY i) AS mapped FROM e LEFT JOIN tv ON tv.id = e.id LEFT JOIN sv ON sv.token = tv.token GROUP BY e.seq_id",
+)
 def j2(spark, sf):
     m = joins.mapped_ids(id_lists(spark, sf), joins.vocabulary_alignment(*_vocabularies(spark, sf)), "ids", "seq_id")
     return m.select("seq_id", F.array_join(F.transform("mapped", lambda x: x.cast("string")), ",").alias("mapped"))
@@ -125,19 +169,37 @@ def j4(spark, sf):
 
 @query("G8_random_seeds", "SELECT 500 AS n, 500 AS distinct_n, true AS inside, true AS repeatable")
 def g8(spark, sf):
-    rows = spark.createDataFrame([(x, x == y) for x, y in zip(joins.random_seeds(500, 7), joins.random_seeds(500, 7), strict=True)], "seed long, same boolean")
-    return rows.agg(F.count("*").alias("n"), F.count_distinct("seed").alias("distinct_n"), F.every((F.col("seed") >= 0) & (F.col("seed") < (1 << 31) - 1)).alias("inside"), F.every("same").alias("repeatable"))
-
-
-@query("J5_R13_two_stage", "SELECT d.doc_id, coalesce(l.quality = 1, false) OR d.doc_id % 7 = 0 AS ok FROM documents d LEFT JOIN labels l USING (doc_id)")
+    rows = spark.createDataFrame(
+        [(x, x == y) for x, y in zip(joins.random_seeds(500, 7), joins.random_seeds(500, 7), strict=True)],
+        "seed long, same boolean",
+    )
+    return rows.agg(
+        F.count("*").alias("n"),
+        F.count_distinct("seed").alias("distinct_n"),
+        F.every((F.col("seed") >= 0) & (F.col("seed") < (1 << 31) - 1)).alias("inside"),
+        F.every("same").alias("repeatable"),
+    )
+
+
+@query(
+    "J5_R13_two_stage",
+    "SELECT d.doc_id, coalesce(l.quality = 1, false) OR d.doc_id % 7 = 0 AS ok FROM documents d LEFT JOIN labels l USING (doc_id)",
+)
 def j5(spark, sf):
     d = read(spark, sf, "documents").select("doc_id")
-    rule = d.join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("ok"))
+    rule = d.join(
+        read(spark, sf, "labels").select("doc_id", "quality"),
+        "doc_id",
+        "left",
+    ).select("doc_id", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("ok"))
     model = rule.where("not ok").select("doc_id", (F.col("doc_id") % 7 == 0).alias("ok"))
     return joins.two_stage(rule, model, ["doc_id"])
 
 
-@query("J9_compatible", f"WITH {_VOC} SELECT false AS identical, (SELECT count(*) FROM sv ANTI JOIN (SELECT token, id - 1 AS id FROM tv) USING (token, id)) = 0 AS prefix_compatible")
+@query(
+    "J9_compatible",
+    f"WITH {_VOC} SELECT false AS identical, (SELECT count(*) FROM sv ANTI JOIN (SELECT token, id - 1 AS id FROM tv) USING (token, id)) = 0 AS prefix_compatible",
+)
 def j9(spark, sf):
     s, t = _vocabularies(spark, sf)
     return joins.compatible(s, t.withColumn("id", (F.col("id") - 1).cast("int")))
@@ -161,9 +223,19 @@ def _cut(spark, sf):
     return rollouts.truncated(id_lists(spark, sf), _STOPS, 5, 12)
 
 
-@query("R2_R3_truncate", f"WITH {TOKENS}, {_CUT} SELECT seq_id, n AS length, raw_tensor_length, stop_token_id, hit_horizon, stop_reason FROM cut")
+@query(
+    "R2_R3_truncate",
+    f"WITH {TOKENS}, {_CUT} SELECT seq_id, n AS length, raw_tensor_length, stop_token_id, hit_horizon, stop_reason FROM cut",
+)
 def r3(spark, sf):
-    return _cut(spark, sf).select("seq_id", F.size("token_ids").alias("length"), "raw_tensor_length", "stop_token_id", "hit_horizon", "stop_reason")
+    return _cut(spark, sf).select(
+        "seq_id",
+        F.size("token_ids").alias("length"),
+        "raw_tensor_length",
+        "stop_token_id",
+        "hit_horizon",
+        "stop_reason",
+    )
 
 
 @query("J8_stop_set", f"WITH {TOKENS}, {IDS} SELECT seq_id, list_has_any(ids, [3, 7, 11]) AS any_stop FROM idl")
@@ -171,7 +243,10 @@ def j8(spark, sf):
     return id_lists(spark, sf).select("seq_id", F.arrays_overlap("ids", F.array(*[F.lit(i) for i in _STOPS])).alias("any_stop"))
 
 
-@query("R10_pad_first", f"WITH {TOKENS}, {IDS}, p AS (SELECT seq_id, ids[1:12] AS raw FROM idl), q AS (SELECT *, coalesce(nullif(list_position(raw, 5), 0), 999) AS pd FROM p) SELECT seq_id, CASE WHEN pd < 999 THEN pd - 1 ELSE len(raw) END AS length FROM q")
+@query(
+    "R10_pad_first",
+    f"WITH {TOKENS}, {IDS}, p AS (SELECT seq_id, ids[1:12] AS raw FROM idl), q AS (SELECT *, coalesce(nullif(list_position(raw, 5), 0), 999) AS pd FROM p) SELECT seq_id, CASE WHEN pd < 999 THEN pd - 1 ELSE len(raw) END AS length FROM q",
+)
 def r10(spark, sf):
     c = rollouts.truncate(F.col("ids"), [5], 5, 12, pad_first=True)
     return id_lists(spark, sf).withColumns(c).select("seq_id", F.size("token_ids").alias("length"))
@@ -184,9 +259,19 @@ def _final(spark, sf):
     return rollouts.finalized(d.withColumn("pieces", pieces), eos_id=3, horizon=F.lit(12))
 
 
-@query("R6_finalize", f"WITH {TOKENS}, {_CUT}, f AS (SELECT *, seq_id % 3 = 0 AND stop_token_id IS NULL AND n > 3 AS boxed FROM cut) SELECT seq_id, CASE WHEN boxed THEN 4 ELSE n END AS length, CASE WHEN boxed THEN 'boxed_answer' ELSE stop_reason END AS stop_reason, boxed AS appended_eos, hit_horizon AND NOT boxed AS hit_horizon, CASE WHEN seq_id % 3 = 0 AND n >= 3 THEN 1 ELSE 0 END AS raw_boxed_count FROM f")
+@query(
+    "R6_finalize",
+    f"WITH {TOKENS}, {_CUT}, f AS (SELECT *, seq_id % 3 = 0 AND stop_token_id IS NULL AND n > 3 AS boxed FROM cut) SELECT seq_id, CASE WHEN boxed THEN 4 ELSE n END AS length, CASE WHEN boxed THEN 'boxed_answer' ELSE stop_reason END AS stop_reason, boxed AS appended_eos, hit_horizon AND NOT boxed AS hit_horizon, CASE WHEN seq_id % 3 = 0 AND n >= 3 THEN 1 ELSE 0 END AS raw_boxed_count FROM f",
+)
 def r6_(spark, sf):
-    return _final(spark, sf).select("seq_id", F.size("token_ids").alias("length"), "stop_reason", "appended_eos", "hit_horizon", "raw_boxed_count")
+    return _final(spark, sf).select(
+        "seq_id",
+        F.size("token_ids").alias("length"),
+        "stop_reason",
+        "appended_eos",
+        "hit_horizon",
+        "raw_boxed_count",
+    )
 
 
 def _repeats(ids: str) -> str:
@@ -204,48 +289,93 @@ round(avg((reason = 'student_eos')::INT), 6) AS student_eos_fraction, round(avg(
 
 @query("E13_E14_rollout_report", _REPORT)
 def e14(spark, sf):
-    d = _final(spark, sf).withColumns({"horizon": F.lit(12), "requested_horizon": F.lit(16), "total_length_limit": F.lit(40), "prompt_tokens": F.col("seq_id") % 20, "seq_weight": rollouts.sequence_weight(F.col("hit_horizon"), 0.25)})
+    d = _final(spark, sf).withColumns(
+        {
+            "horizon": F.lit(12),
+            "requested_horizon": F.lit(16),
+            "total_length_limit": F.lit(40),
+            "prompt_tokens": F.col("seq_id") % 20,
+            "seq_weight": rollouts.sequence_weight(F.col("hit_horizon"), 0.25),
+        }
+    )
     return r6(rollouts.report(d))
 
 
-@query("R7_R8_R9_limits", "SELECT conv_id, turn, least(16, least(40, 64) - (turn % 8)) AS horizon, CASE WHEN turn % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS weight, 24 AS scheduled FROM conversations")
+@query(
+    "R7_R8_R9_limits",
+    "SELECT conv_id, turn, least(16, least(40, 64) - (turn % 8)) AS horizon, CASE WHEN turn % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS weight, 24 AS scheduled FROM conversations",
+)
 def r7(spark, sf):
     c = read(spark, sf, "conversations")
-    return c.select("conv_id", "turn", rollouts.effective_horizon(F.lit(16).cast("long"), F.lit(40), F.lit(64), F.col("turn") % 8).alias("horizon"), rollouts.sequence_weight(F.col("turn") % 2 == 0).alias("weight"), F.lit(rollouts.scheduled_horizon("esr", 100, 24)).alias("scheduled"))
+    return c.select(
+        "conv_id",
+        "turn",
+        rollouts.effective_horizon(F.lit(16).cast("long"), F.lit(40), F.lit(64), F.col("turn") % 8).alias("horizon"),
+        rollouts.sequence_weight(F.col("turn") % 2 == 0).alias("weight"),
+        F.lit(rollouts.scheduled_horizon("esr", 100, 24)).alias("scheduled"),
+    )
 
 
 _CHUNKED = f"WITH {TOKENS}, {IDS}, k AS (SELECT seq_id, len(ids) AS n, (seq_id % 4)::INT AS chunk, (len(ids) - 1) // 8 AS last FROM idl)"
 
 
 def _chunked(spark, sf):
-    return id_lists(spark, sf).select("seq_id", F.size("ids").alias("n"), (F.col("seq_id") % 4).cast("int").alias("chunk"), sequence.chunks(F.col("ids"), 8).alias("zero"), sequence.one_based_chunks(F.col("ids"), 8).alias("one"))
-
-
-@query("R11_cut_length", f"{_CHUNKED} SELECT seq_id, CASE WHEN seq_id % 5 = 0 THEN least(n, 6) WHEN seq_id % 5 = 1 THEN n WHEN chunk <= last THEN chunk * 8 ELSE least(n, 6) END AS keep FROM k")
+    return id_lists(spark, sf).select(
+        "seq_id",
+        F.size("ids").alias("n"),
+        (F.col("seq_id") % 4).cast("int").alias("chunk"),
+        sequence.chunks(F.col("ids"), 8).alias("zero"),
+        sequence.one_based_chunks(F.col("ids"), 8).alias("one"),
+    )
+
+
+@query(
+    "R11_cut_length",
+    f"{_CHUNKED} SELECT seq_id, CASE WHEN seq_id % 5 = 0 THEN least(n, 6) WHEN seq_id % 5 = 1 THEN n WHEN chunk <= last THEN chunk * 8 ELSE least(n, 6) END AS keep FROM k",
+)
 def r11(spark, sf):
     error = F.when(F.col("seq_id") % 5 == 0, F.lit(None)).otherwise(F.col("seq_id") % 5 != 1)
     return _chunked(spark, sf).select("seq_id", rollouts.cut_length(F.col("chunk"), error, F.col("zero"), F.col("n"), 6).alias("keep"))
 
 
-@query("R12_error_position", f"{_CHUNKED} SELECT seq_id, CASE WHEN chunk <= last THEN chunk * 8 + 1 END AS error_pos, coalesce(chunk <= last AND chunk * 8 + 1 <= 10, false) AS within FROM k")
+@query(
+    "R12_error_position",
+    f"{_CHUNKED} SELECT seq_id, CASE WHEN chunk <= last THEN chunk * 8 + 1 END AS error_pos, coalesce(chunk <= last AND chunk * 8 + 1 <= 10, false) AS within FROM k",
+)
 def r12(spark, sf):
     at, within = rollouts.error_position(F.col("chunk"), F.col("one"), 10)
     return _chunked(spark, sf).select("seq_id", at.alias("error_pos"), within.alias("within"))
 
 
-@query("Y9_padding", f"WITH {TOKENS}, {IDS}, m AS (SELECT max(len(ids)) AS w FROM idl) SELECT seq_id, w AS width, list_sum(list_transform(ids, lambda x, i: x * (i + w - len(ids))))::BIGINT AS left_dot, list_sum(list_transform(ids, lambda x, i: x * i))::BIGINT - (w - len(ids)) * (w + len(ids) + 1) // 2 AS right_dot FROM idl, m")
+@query(
+    "Y9_padding",
+    f"WITH {TOKENS}, {IDS}, m AS (SELECT max(len(ids)) AS w FROM idl) SELECT seq_id, w AS width, list_sum(list_transform(ids, lambda x, i: x * (i + w - len(ids))))::BIGINT AS left_dot, list_sum(list_transform(ids, lambda x, i: x * i))::BIGINT - (w - len(ids)) * (w + len(ids) + 1) // 2 AS right_dot FROM idl, m",
+)
 def y9(spark, sf):
     d = id_lists(spark, sf)
     d = d.crossJoin(F.broadcast(d.agg(F.max(F.size("ids")).alias("w"))))  # one row
     dot = lambda a: F.aggregate(F.transform(a, lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return d.select("seq_id", F.col("w").alias("width"), dot(C.padded(F.col("ids"), F.col("w"), 0, True)).alias("left_dot"), dot(C.padded(F.col("ids"), F.col("w"), -1, False)).alias("right_dot"))
-
-
-@query("Y10_Y11_labels", f"WITH {TOKENS}, {IDS}, p AS (SELECT seq_id, ids, least(len(ids), 4) AS np, least(len(ids), greatest(10 - least(len(ids), 4), 0)) AS nt FROM idl) SELECT seq_id, np + nt AS length, np AS masked, list_sum(ids[-np:] || ids[1:nt])::BIGINT AS total FROM p")
+    return d.select(
+        "seq_id",
+        F.col("w").alias("width"),
+        dot(C.padded(F.col("ids"), F.col("w"), 0, True)).alias("left_dot"),
+        dot(C.padded(F.col("ids"), F.col("w"), -1, False)).alias("right_dot"),
+    )
+
+
+@query(
+    "Y10_Y11_labels",
+    f"WITH {TOKENS}, {IDS}, p AS (SELECT seq_id, ids, least(len(ids), 4) AS np, least(len(ids), greatest(10 - least(len(ids), 4), 0)) AS nt FROM idl) SELECT seq_id, np + nt AS length, np AS masked, list_sum(ids[-np:] || ids[1:nt])::BIGINT AS total FROM p",
+)
 def y10(spark, sf):
     ids, labels = C.assembled(F.col("ids"), F.col("ids"), 10, 4)
     total = F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x)
-    return id_lists(spark, sf).select("seq_id", F.size(ids).alias("length"), F.size(F.filter(labels, lambda x: x == -100)).alias("masked"), total.alias("total"))
+    return id_lists(spark, sf).select(
+        "seq_id",
+        F.size(ids).alias("length"),
+        F.size(F.filter(labels, lambda x: x == -100)).alias("masked"),
+        total.alias("total"),
+    )
 
 
 @query("Y12_id_lists", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 1 ELSE 2 END AS n FROM events")
@@ -266,11 +396,17 @@ def y1(spark, sf):
 def _judged(spark, sf):
     ship(spark)
     k = F.col("doc_id") % 4
-    t = F.when(k == 0, F.concat(F.lit('ok {"has_error": true, "earliest_error_chunk_id": "'), (F.col("doc_id") % 7).cast("string"), F.lit('"} end'))).when(k == 1, '```json\n{"has_error": false}\n```').when(k == 2, '{"has_error": "yes", "earliest_error_chunk_id": "x"}').otherwise("nothing here")
+    t = F.when(
+        k == 0,
+        F.concat(F.lit('ok {"has_error": true, "earliest_error_chunk_id": "'), (F.col("doc_id") % 7).cast("string"), F.lit('"} end')),
+    ).when(k == 1, '```json\n{"has_error": false}\n```').when(k == 2, '{"has_error": "yes", "earliest_error_chunk_id": "x"}').otherwise("nothing here")
     return read(spark, sf, "documents").select("doc_id", Y.decision(t).alias("d")).select("doc_id", "d.*")
 
 
-@query("Y2_Y3_decisions", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS has_error, CASE WHEN doc_id % 4 = 0 THEN doc_id % 7 END AS chunk, doc_id % 4 = 3 AS parse_failed FROM documents")
+@query(
+    "Y2_Y3_decisions",
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS has_error, CASE WHEN doc_id % 4 = 0 THEN doc_id % 7 END AS chunk, doc_id % 4 = 3 AS parse_failed FROM documents",
+)
 def y2(spark, sf):
     return _judged(spark, sf).select("doc_id", "has_error", F.col("earliest_error_chunk_id").alias("chunk"), "parse_failed")
 
@@ -285,7 +421,9 @@ def e24(spark, sf):
     chunks = sequence.one_based_chunks(F.sequence(F.lit(1), F.lit(80)), 16)
     k = F.col("doc_id") % 5
     pos, within = rollouts.error_position(F.col("earliest_error_chunk_id"), chunks, 40)
-    cases = _judged(spark, sf).withColumns({"correct": F.when(k == 0, True).when(k < 3, False), "complete": F.col("doc_id") % 11 != 0, "error_pos": pos, "within": within})
+    cases = _judged(spark, sf).withColumns(
+        {"correct": F.when(k == 0, True).when(k < 3, False), "complete": F.col("doc_id") % 11 != 0, "error_pos": pos, "within": within}
+    )
     return r6(evaluation.judge_summary(cases))
 
 
@@ -297,10 +435,19 @@ def _samples(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.alias("j")).withColumn("v", Y.variant(F.col("j")))
 
 
-@query("Y4_Y5_Y6_Y7_samples", "SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN 'gen ' || doc_id ELSE '' END AS generation, CASE WHEN doc_id % 5 < 4 THEN 'p' ELSE '' END AS problem, CASE WHEN doc_id % 5 < 4 THEN 'a' ELSE '' END AS reference, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS correct FROM documents")
+@query(
+    "Y4_Y5_Y6_Y7_samples",
+    "SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN 'gen ' || doc_id ELSE '' END AS generation, CASE WHEN doc_id % 5 < 4 THEN 'p' ELSE '' END AS problem, CASE WHEN doc_id % 5 < 4 THEN 'a' ELSE '' END AS reference, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS correct FROM documents",
+)
 def y4(spark, sf):
     v = F.col("v")
-    return _samples(spark, sf).select("doc_id", Y.generation(v).alias("generation"), Y.problem(v).alias("problem"), Y.reference(v).alias("reference"), Y.correctness(v).alias("correct"))
+    return _samples(spark, sf).select(
+        "doc_id",
+        Y.generation(v).alias("generation"),
+        Y.problem(v).alias("problem"),
+        Y.reference(v).alias("reference"),
+        Y.correctness(v).alias("correct"),
+    )
 
 
 @query("A7_H5_looks_like_sample", "SELECT doc_id, doc_id % 5 <> 4 AND doc_id % 5 <> 9 AS sample FROM documents")
@@ -308,33 +455,60 @@ def a7(spark, sf):
     return _samples(spark, sf).select("doc_id", Y.looks_like_sample(F.col("j")).alias("sample"))
 
 
-@query("Y8_messages", "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 2 ELSE 1 END AS n, CASE doc_id % 4 WHEN 0 THEN 'hi' WHEN 1 THEN 'a' WHEN 2 THEN 'lit' ELSE 'plain' END AS content FROM documents")
+@query(
+    "Y8_messages",
+    "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 2 ELSE 1 END AS n, CASE doc_id % 4 WHEN 0 THEN 'hi' WHEN 1 THEN 'a' WHEN 2 THEN 'lit' ELSE 'plain' END AS content FROM documents",
+)
 def y8(spark, sf):
     ship(spark)
     k = F.col("doc_id") % 4
-    t = F.when(k == 0, '{"role": "user", "text": "hi"}').when(k == 1, '[{"content": "a"}, "b", " "]').when(k == 2, "[{'role': 'user', 'value': 'lit'}]").otherwise(" plain ")
+    t = F.when(k == 0, '{"role": "user", "text": "hi"}').when(k == 1, '[{"content": "a"}, "b", " "]').when(
+        k == 2,
+        "[{'role': 'user', 'value': 'lit'}]",
+    ).otherwise(" plain ")
     m = Y.messages(t)
-    return read(spark, sf, "documents").select("doc_id", m.alias("m")).select("doc_id", F.size("m").alias("n"), F.col("m")[0]["content"].alias("content"))
+    return read(spark, sf, "documents").select("doc_id", m.alias("m")).select(
+        "doc_id",
+        F.size("m").alias("n"),
+        F.col("m")[0]["content"].alias("content"),
+    )
 
 
 _GRADED = "gr AS (SELECT doc_id // 4 AS example_id, doc_id % 3 = 0 AS ok, doc_id % 6 NOT IN (0, 4, 5) AS bad FROM documents)"
 
 
-@query("E23_scores", f"WITH {_GRADED}, p AS (SELECT example_id, count(*) AS n, count(*) FILTER (ok) AS r, count(*) FILTER (bad) AS b FROM gr GROUP BY 1) SELECT round(avg(r / n), 6) AS avg_at_n, round(avg((r > 0)::INT), 6) AS pass_at_n, round(avg((r = 0)::INT), 6) AS solve_none, round(avg((r = n)::INT), 6) AS solve_all, sum(b)::BIGINT AS format_errors, sum(n)::BIGINT AS responses FROM p")
+@query(
+    "E23_scores",
+    f"WITH {_GRADED}, p AS (SELECT example_id, count(*) AS n, count(*) FILTER (ok) AS r, count(*) FILTER (bad) AS b FROM gr GROUP BY 1) SELECT round(avg(r / n), 6) AS avg_at_n, round(avg((r > 0)::INT), 6) AS pass_at_n, round(avg((r = 0)::INT), 6) AS solve_none, round(avg((r = n)::INT), 6) AS solve_all, sum(b)::BIGINT AS format_errors, sum(n)::BIGINT AS responses FROM p",
+)
 def e23(spark, sf):
     from quern.functions.answers import format_error
 
-    g = boxed_texts(spark, sf).select(F.floor(F.col("doc_id") / 4).alias("example_id"), (F.col("doc_id") % 3 == 0).alias("ok"), format_error(F.col("text")).alias("format_error"))
+    g = boxed_texts(spark, sf).select(
+        F.floor(F.col("doc_id") / 4).alias("example_id"),
+        (F.col("doc_id") % 3 == 0).alias("ok"),
+        format_error(F.col("text")).alias("format_error"),
+    )
     return r6(evaluation.scores(g))
 
 
-@query("A11_D20_gaps", "WITH r AS (SELECT 2 * (doc_id // 4) AS k, text AS response FROM documents) SELECT g.id AS example_id, count(response) AS n, coalesce(string_agg(response, ',' ORDER BY response), '') AS responses FROM (SELECT unnest(range(0, (SELECT max(k) FROM r) + 1)) AS id) g LEFT JOIN r ON r.k = g.id GROUP BY 1")
+@query(
+    "A11_D20_gaps",
+    "WITH r AS (SELECT 2 * (doc_id // 4) AS k, text AS response FROM documents) SELECT g.id AS example_id, count(response) AS n, coalesce(string_agg(response, ',' ORDER BY response), '') AS responses FROM (SELECT unnest(range(0, (SELECT max(k) FROM r) + 1)) AS id) g LEFT JOIN r ON r.k = g.id GROUP BY 1",
+)
 def a11(spark, sf):
     d = read(spark, sf, "documents").select((2 * F.floor(F.col("doc_id") / 4)).alias("example_id"), F.col("text").alias("response"))
-    return evaluation.with_gaps(d).select("example_id", F.size("responses").cast("long").alias("n"), F.array_join("responses", ",").alias("responses"))
+    return evaluation.with_gaps(d).select(
+        "example_id",
+        F.size("responses").cast("long").alias("n"),
+        F.array_join("responses", ",").alias("responses"),
+    )
 
 
-@query("E25_aligned_loss", f"WITH {TOKENS}, g AS (SELECT seq_id, pos // 3 AS gid, sum(student_logp) AS s, sum(teacher_logp) AS t, first(seq_weight) AS w FROM tok WHERE student_logp IS NOT NULL GROUP BY 1, 2), q AS (SELECT seq_id, avg(greatest(least(s - t, 0.5), -0.5)) AS m, first(w) AS w FROM g GROUP BY 1) SELECT round(sum(m * w) / greatest(sum(w), 1.0), 6) AS loss FROM q")
+@query(
+    "E25_aligned_loss",
+    f"WITH {TOKENS}, g AS (SELECT seq_id, pos // 3 AS gid, sum(student_logp) AS s, sum(teacher_logp) AS t, first(seq_weight) AS w FROM tok WHERE student_logp IS NOT NULL GROUP BY 1, 2), q AS (SELECT seq_id, avg(greatest(least(s - t, 0.5), -0.5)) AS m, first(w) AS w FROM g GROUP BY 1) SELECT round(sum(m * w) / greatest(sum(w), 1.0), 6) AS loss FROM q",
+)
 def e25(spark, sf):
     t = tokens(spark, sf).where("student_logp is not null").withColumn("group_id", F.floor(F.col("pos") / 3))
     return r6(evaluation.aligned_loss(t, 0.5))
@@ -350,7 +524,9 @@ def e26(spark, sf):
 @query("H3_preferred_eos", f"""WITH {_VOC}, a AS (SELECT id AS token_id, 'student' AS side FROM sv WHERE id IN (6, 12) UNION ALL SELECT sv.id, 'teacher' FROM tv JOIN sv USING (token) WHERE tv.id IN (7, 19) UNION ALL SELECT id, 'extra' FROM sv WHERE token = 'w24'),
 b AS (SELECT token_id, bool_or(side = 'teacher') AS t, bool_or(side = 'student') AS s FROM a GROUP BY 1) SELECT token_id FROM b ORDER BY CASE WHEN t AND NOT s THEN 0 WHEN t THEN 1 ELSE 2 END, token_id LIMIT 1""")
 def h3(spark, sf):
-    return joins.preferred_teacher_eos(joins.resolved_eos(*_vocabularies(spark, sf), {"student_tokenizer": [6, 12]}, {"teacher_tokenizer": [7, 19]}, ["w24"]))
+    return joins.preferred_teacher_eos(
+        joins.resolved_eos(*_vocabularies(spark, sf), {"student_tokenizer": [6, 12]}, {"teacher_tokenizer": [7, 19]}, ["w24"])
+    )
 
 
 @query("H6_concatenated", "SELECT 'events' AS t, event_id AS id FROM events UNION ALL SELECT 'docs', doc_id FROM documents")
@@ -377,7 +553,11 @@ def a9(spark, sf):
 
 @query("A10_benchmark_samples", "SELECT item_id AS example_id, text AS prompt, item_id::VARCHAR AS answer FROM benchmark")
 def a10(spark, sf):
-    b = read(spark, sf, "benchmark").select("item_id", F.array(F.struct(F.col("text").alias("content"))).alias("prompt"), F.struct(F.col("item_id").alias("ground_truth")).alias("reward_model"))
+    b = read(spark, sf, "benchmark").select(
+        "item_id",
+        F.array(F.struct(F.col("text").alias("content"))).alias("prompt"),
+        F.struct(F.col("item_id").alias("ground_truth")).alias("reward_model"),
+    )
     return readers.benchmark_samples(b, "aime24.parquet", F.col("item_id"))
 
 
@@ -392,7 +572,10 @@ def a13b(spark, sf):
     return readers.latest_checkpoint(read(spark, sf, "documents").select(F.concat(F.lit("checkpoint-"), _id()).alias("name")))
 
 
-@query("X23_file_names", "SELECT doc_id, 'aime' || doc_id AS task, 0.7::DOUBLE AS temperature, 0.9::DOUBLE AS top_p, (doc_id % 16)::INT AS n, 1024 AS max_new_tokens FROM documents")
+@query(
+    "X23_file_names",
+    "SELECT doc_id, 'aime' || doc_id AS task, 0.7::DOUBLE AS temperature, 0.9::DOUBLE AS top_p, (doc_id % 16)::INT AS n, 1024 AS max_new_tokens FROM documents",
+)
 def x23(spark, sf):
     name = F.concat(F.lit("aime"), _id(), F.lit("_t0.7_p0.9_n"), (F.col("doc_id") % 16).cast("string"), F.lit("-MNT1024.jsonl"))
     d = read(spark, sf, "documents").select("doc_id", name.alias("name"))
@@ -413,10 +596,17 @@ def a3(spark, sf):
     return readers.jsonl(spark, path, "doc_id long, text string, lang string, source string")
 
 
-@query("B1_append_jsonl", "SELECT event_id % 4 AS rank, event_type AS kind, count(*) AS n, sum(event_id)::BIGINT AS total FROM events GROUP BY ALL")
+@query(
+    "B1_append_jsonl",
+    "SELECT event_id % 4 AS rank, event_type AS kind, count(*) AS n, sum(event_id)::BIGINT AS total FROM events GROUP BY ALL",
+)
 def b1(spark, sf):
     """Two appends, a folder for each rank."""
-    e, path = read(spark, sf, "events").select("event_id", F.col("event_type").alias("kind"), (F.col("event_id") % 4).alias("rank")), _fresh(spark, "append")
+    e, path = read(spark, sf, "events").select(
+        "event_id",
+        F.col("event_type").alias("kind"),
+        (F.col("event_id") % 4).alias("rank"),
+    ), _fresh(spark, "append")
     for part in (0, 1):
         writers.append_jsonl(e.where(F.col("event_id") % 2 == part), path, "rank")
     back = readers.jsonl(spark, path, "event_id long, kind string, rank long")
@@ -427,7 +617,10 @@ def _lines(spark, sf):
     """A log of objects, broken lines, lists and blank lines, by id."""
     k = F.col("doc_id") % 5
     obj = F.to_json(F.struct("doc_id", "text"))
-    line = F.when(k == 0, obj).when(k == 1, F.lit('{"doc_id": 1, "te')).when(k == 2, F.concat(F.lit("["), obj, F.lit("]"))).when(k == 3, F.lit("  ")).otherwise(obj)
+    line = F.when(k == 0, obj).when(k == 1, F.lit('{"doc_id": 1, "te')).when(
+        k == 2,
+        F.concat(F.lit("["), obj, F.lit("]")),
+    ).when(k == 3, F.lit("  ")).otherwise(obj)
     return read(spark, sf, "documents").select(line.alias("value"))
 
 
@@ -440,28 +633,47 @@ def a4(spark, sf):
     return got.select("r.*")
 
 
-@query("A8_line_numbers", "SELECT (row_number() OVER (ORDER BY doc_id))::BIGINT AS line_number, doc_id, text FROM documents QUALIFY doc_id % 3 <> 0")
+@query(
+    "A8_line_numbers",
+    "SELECT (row_number() OVER (ORDER BY doc_id))::BIGINT AS line_number, doc_id, text FROM documents QUALIFY doc_id % 3 <> 0",
+)
 def a8b(spark, sf):
     """Lines of one file that is read in several splits, blank ones counted but left out."""
     path = _fresh(spark, "numbered")
-    d = read(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.to_json(F.struct("doc_id", "text"))).alias("value"))
+    d = read(spark, sf, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.to_json(F.struct("doc_id", "text"))).alias("value"),
+    )
     d.orderBy("doc_id").select("value").coalesce(1).write.text(path)
     got = readers.numbered_lines(spark, path)
     return got.select("line_number", F.from_json("line", "doc_id long, text string").alias("r")).select("line_number", "r.*")
 
 
-@query("A5_A6_json_documents", "WITH l(layout, first_) AS (VALUES ('list', true), ('object', true), ('values', false)) SELECT layout, first_, item_id, text FROM l, benchmark UNION ALL SELECT 'single', false, min(item_id), arg_min(text, item_id) FROM benchmark")
+@query(
+    "A5_A6_json_documents",
+    "WITH l(layout, first_) AS (VALUES ('list', true), ('object', true), ('values', false)) SELECT layout, first_, item_id, text FROM l, benchmark UNION ALL SELECT 'single', false, min(item_id), arg_min(text, item_id) FROM benchmark",
+)
 def a5(spark, sf):
     """Documents of every layout, and one that holds no sample, found below one folder."""
     b = read(spark, sf, "benchmark").select("item_id", F.col("text").alias("target"))
     items = F.array_sort(F.collect_list(F.struct("item_id", "target")))
     path = _fresh(spark, "layouts")
     text = b.agg(F.to_json(items).alias("j"), F.to_json(F.min(F.struct("item_id", "target"))).alias("one"))
-    layouts = {"samples_list": F.concat(F.lit('{"samples": '), "j", F.lit("}")), "samples_object": F.concat(F.lit('{"samples": {"a": '), "j", F.lit(', "b": 3}}')), "values": F.concat(F.lit('{"x": '), "j", F.lit(', "y": [1]}')), "single": F.col("one"), "none": F.lit('{"z": [{"q": 1}]}')}
+    layouts = {
+        "samples_list": F.concat(F.lit('{"samples": '), "j", F.lit("}")),
+        "samples_object": F.concat(F.lit('{"samples": {"a": '), "j", F.lit(', "b": 3}}')),
+        "values": F.concat(F.lit('{"x": '), "j", F.lit(', "y": [1]}')),
+        "single": F.col("one"),
+        "none": F.lit('{"z": [{"q": 1}]}'),
+    }
     for name, value in layouts.items():
         text.select(value.alias("value")).coalesce(1).write.text(f"{path}/deep/{name}")
         renamed(spark, f"{path}/deep/{name}", ".txt", ".json", name)
-    got = readers.samples(spark, path).select(F.regexp_extract("source_file", r"([a-z]+)-[^/]*$", 1).alias("layout"), F.col("samples_first").alias("first_"), F.from_json("record", "item_id long, target string").alias("r"))
+    got = readers.samples(spark, path).select(
+        F.regexp_extract("source_file", r"([a-z]+)-[^/]*$", 1).alias("layout"),
+        F.col("samples_first").alias("first_"),
+        F.from_json("record", "item_id long, target string").alias("r"),
+    )
     return got.select("layout", "first_", "r.item_id", F.col("r.target").alias("text"))
 
 
@@ -477,31 +689,59 @@ SELECT k::BIGINT AS nation, CASE WHEN k % 2 = 0 THEN 'prefix_length' ELSE 'full_
 n_name AS name, 3 AS kept, k::BIGINT AS changed, (CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END)::BIGINT AS problems FROM n""")
 def a12(spark, sf):
     """For every nation: a file over a base file, dotted overrides, derived lengths, validation, and the dump read again."""
-    base = {"loss_backend": "adaptive_opd", "strategy": "full", "opd_loss_mode": "prune_opd", "reverse_top_k": 16, "forward_top_k": 16, "overlap_top_k": 16, "full_max_new_tokens": 900, "prefix_length": 1, "max_length": 2000, "max_prompt_length": 512, "auto_shrink_max_length": True, "inner": {"kept": 3, "changed": -1}}
+    base = {
+        "loss_backend": "adaptive_opd",
+        "strategy": "full",
+        "opd_loss_mode": "prune_opd",
+        "reverse_top_k": 16,
+        "forward_top_k": 16,
+        "overlap_top_k": 16,
+        "full_max_new_tokens": 900,
+        "prefix_length": 1,
+        "max_length": 2000,
+        "max_prompt_length": 512,
+        "auto_shrink_max_length": True,
+        "inner": {"kept": 3, "changed": -1},
+    }
     out = []
     with tempfile.TemporaryDirectory() as top:  # settings are files of the driver
         folder = Path(top)
         config.dump(base, folder / "base.json")
         for k, name in read(spark, sf, "nation").select("n_nationkey", "n_name").collect():
-            own = {"base_config": "base.json", "name": name} | ({"strategy": "esr"} if k % 2 == 0 else {}) | ({"beta": 1, "prune_w_base": 2} if k % 5 == 0 else {})
+            own = {"base_config": "base.json", "name": name} | ({"strategy": "esr"} if k % 2 == 0 else {}) | (
+                {"beta": 1, "prune_w_base": 2} if k % 5 == 0 else {}
+            )
             config.dump(own, folder / "own.json")
             cfg = config.with_lengths(config.load(folder / "own.json", [f"inner.changed={k}", f"prefix_length={64 + k}"]))
             config.dump(cfg, folder / "all.json")
             cfg = config.load(folder / "all.json")
             out.append((k, cfg["effective_max_new_tokens_source"], cfg["effective_max_new_tokens"], cfg["effective_max_length"], cfg["name"], cfg["inner"]["kept"], cfg["inner"]["changed"], len(config.problems(cfg))))
-    return spark.createDataFrame(out, "nation long, length_from string, tokens long, longest long, name string, kept int, changed long, problems long")
+    return spark.createDataFrame(
+        out,
+        "nation long, length_from string, tokens long, longest long, name string, kept int, changed long, problems long",
+    )
 
 
 @query("B4_summary", "SELECT '{\"documents\":' || count(*) || ',\"nothing\":null}' AS json FROM documents")
 def b4(spark, sf):
-    return writers.summary(read(spark, sf, "documents").agg(F.count("*").alias("documents"), F.max(F.lit(None).cast("int")).alias("nothing")))
+    return writers.summary(
+        read(spark, sf, "documents").agg(F.count("*").alias("documents"), F.max(F.lit(None).cast("int")).alias("nothing"))
+    )
 
 
-@query("B5_preview", "WITH c AS (SELECT (row_number() OVER (ORDER BY c_custkey) - 1)::INT AS row, * FROM customer) " + " UNION ALL ".join(f"SELECT row, '{f}' AS field, {f}::VARCHAR AS value FROM c WHERE row < 5" for f in ("c_custkey", "c_name", "c_mktsegment")))
+@query(
+    "B5_preview",
+    "WITH c AS (SELECT (row_number() OVER (ORDER BY c_custkey) - 1)::INT AS row, * FROM customer) " + " UNION ALL ".join(
+        f"SELECT row, '{f}' AS field, {f}::VARCHAR AS value FROM c WHERE row < 5" for f in ("c_custkey", "c_name", "c_mktsegment")
+    ),
+)
 def b5(spark, sf):
     return writers.preview_rows(read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", 5)
 
 
-@query("B6_shortened", "SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '... [' || (length(text) - 40) || ' more chars]' ELSE text END AS short FROM documents")
+@query(
+    "B6_shortened",
+    "SELECT doc_id, CASE WHEN length(text) > 40 THEN left(text, 40) || '... [' || (length(text) - 40) || ' more chars]' ELSE text END AS short FROM documents",
+)
 def b6(spark, sf):
     return read(spark, sf, "documents").select("doc_id", writers.shortened(F.col("text"), 40).alias("short"))

@@ -31,33 +31,51 @@ def z2(spark, sf):
     return r6(pairs(spark, sf).select("vec_id", D.forward_kl(F.col("s"), F.col("t"), K).alias("kl")))
 
 
-@query("Z3_J6_overlap", f"WITH {PAIRS} SELECT vec_id, round(count(*) FILTER (rs <= {K} AND rt <= {K}) / {K}, 6) AS overlap FROM pr GROUP BY vec_id")
+@query(
+    "Z3_J6_overlap",
+    f"WITH {PAIRS} SELECT vec_id, round(count(*) FILTER (rs <= {K} AND rt <= {K}) / {K}, 6) AS overlap FROM pr GROUP BY vec_id",
+)
 def z3(spark, sf):
     return r6(pairs(spark, sf).select("vec_id", D.overlap(F.col("s"), F.col("t"), K).alias("overlap")))
 
 
-@query("Z4_entropy", f"WITH {PAIRS}, k AS (SELECT *, s - ln(sum(exp(s)) OVER (PARTITION BY vec_id)) AS lp FROM pr WHERE rs <= {K}) SELECT vec_id, round(-sum(exp(lp) * ln(greatest(exp(lp), 1e-12))), 6) AS h FROM k GROUP BY vec_id")
+@query(
+    "Z4_entropy",
+    f"WITH {PAIRS}, k AS (SELECT *, s - ln(sum(exp(s)) OVER (PARTITION BY vec_id)) AS lp FROM pr WHERE rs <= {K}) SELECT vec_id, round(-sum(exp(lp) * ln(greatest(exp(lp), 1e-12))), 6) AS h FROM k GROUP BY vec_id",
+)
 def z4(spark, sf):
     return r6(pairs(spark, sf).select("vec_id", D.entropy(F.col("s"), K).alias("h")))
 
 
-@query("Z5_set_probability", f"WITH {PAIRS}, {_LSE} SELECT vec_id, round(sum(exp(s - zs)) FILTER (i IN (3, 7, 63)), 6) AS p FROM pr JOIN lse USING (vec_id) GROUP BY vec_id")
+@query(
+    "Z5_set_probability",
+    f"WITH {PAIRS}, {_LSE} SELECT vec_id, round(sum(exp(s - zs)) FILTER (i IN (3, 7, 63)), 6) AS p FROM pr JOIN lse USING (vec_id) GROUP BY vec_id",
+)
 def z5(spark, sf):
     return r6(pairs(spark, sf).select("vec_id", D.set_probability(F.col("s"), F.array(*[F.lit(i) for i in (3, 7, 63, 64, -1)])).alias("p")))
 
 
-@query("Z6_full_distribution", f"WITH {PAIRS}, {_LSE} SELECT vec_id, round(sum(exp(s - zs)) FILTER (rs <= {K}), 6) AS student_mass, round(sum(exp(t - zt)) FILTER (rt <= {K}), 6) AS teacher_mass, round(sum(s - zs) FILTER (i = vec_id % 64), 6) AS student_logp, round(sum(t - zt) FILTER (i = vec_id % 64), 6) AS teacher_logp FROM pr JOIN lse USING (vec_id) GROUP BY vec_id")
+@query(
+    "Z6_full_distribution",
+    f"WITH {PAIRS}, {_LSE} SELECT vec_id, round(sum(exp(s - zs)) FILTER (rs <= {K}), 6) AS student_mass, round(sum(exp(t - zt)) FILTER (rt <= {K}), 6) AS teacher_mass, round(sum(s - zs) FILTER (i = vec_id % 64), 6) AS student_logp, round(sum(t - zt) FILTER (i = vec_id % 64), 6) AS teacher_logp FROM pr JOIN lse USING (vec_id) GROUP BY vec_id",
+)
 def z6(spark, sf):
     y = (F.col("vec_id") % 64).cast("int")
     return r6(pairs(spark, sf).select("vec_id", D.top_mass(F.col("s"), K).alias("student_mass"), D.top_mass(F.col("t"), K).alias("teacher_mass"), D.target_logp(F.col("s"), y).alias("student_logp"), D.target_logp(F.col("t"), y).alias("teacher_logp")))
 
 
-@query("Z7_target_logp", f"WITH {PAIRS}, {_LSE} SELECT vec_id, round(sum(s - zs) FILTER (i = 5), 6) AS logp FROM pr JOIN lse USING (vec_id) GROUP BY vec_id")
+@query(
+    "Z7_target_logp",
+    f"WITH {PAIRS}, {_LSE} SELECT vec_id, round(sum(s - zs) FILTER (i = 5), 6) AS logp FROM pr JOIN lse USING (vec_id) GROUP BY vec_id",
+)
 def z7(spark, sf):
     return r6(pairs(spark, sf).select("vec_id", D.target_logp(F.col("s"), F.lit(5)).alias("logp")))
 
 
-@query("Z8_advantage", f"WITH {TOKENS} SELECT event_id, round(student_logp - teacher_logp, 6) AS raw, round(greatest(least(student_logp - teacher_logp, 0.2), -0.2), 6) AS clipped FROM tok WHERE student_logp IS NOT NULL")
+@query(
+    "Z8_advantage",
+    f"WITH {TOKENS} SELECT event_id, round(student_logp - teacher_logp, 6) AS raw, round(greatest(least(student_logp - teacher_logp, 0.2), -0.2), 6) AS clipped FROM tok WHERE student_logp IS NOT NULL",
+)
 def z8(spark, sf):
     s, t = F.col("student_logp"), F.col("teacher_logp")
     return r6(tokens(spark, sf).where(s.isNotNull()).select("event_id", D.advantage(s, t, None).alias("raw"), D.advantage(s, t, 0.2).alias("clipped")))
@@ -90,24 +108,54 @@ def z10(spark, sf):
     plans = []
     for mode in _ROUTES:
         rc, fc, code = D.routing(mode, F.col("active"), F.col("overlap"), F.col("weight"))
-        plans.append(F.struct(F.lit(mode).alias("mode"), rc.cast("double").alias("rc"), fc.cast("double").alias("fc"), code.cast("int").alias("code")))
-    m = w.select("reverse_kl", "forward_kl", F.explode(F.array(*plans)).alias("m")).select("m.*", (F.col("m.rc") * F.col("reverse_kl") + F.col("m.fc") * F.col("forward_kl")).alias("loss"))
-    out = m.groupBy("mode", "code").agg(F.count("*").alias("n"), F.sum("rc").alias("reverse_coef"), F.sum("fc").alias("forward_coef"), F.avg("loss").alias("mean_loss"))
+        plans.append(
+            F.struct(
+                F.lit(mode).alias("mode"),
+                rc.cast("double").alias("rc"),
+                fc.cast("double").alias("fc"),
+                code.cast("int").alias("code"),
+            )
+        )
+    m = w.select("reverse_kl", "forward_kl", F.explode(F.array(*plans)).alias("m")).select(
+        "m.*",
+        (F.col("m.rc") * F.col("reverse_kl") + F.col("m.fc") * F.col("forward_kl")).alias("loss"),
+    )
+    out = m.groupBy("mode", "code").agg(
+        F.count("*").alias("n"),
+        F.sum("rc").alias("reverse_coef"),
+        F.sum("fc").alias("forward_coef"),
+        F.avg("loss").alias("mean_loss"),
+    )
     return r6(out.withColumn("name", D.route_name(F.col("code"))))
 
 
-@query("J7_target_rank", f"WITH {PAIRS} SELECT vec_id, max(CASE WHEN rs <= {K} THEN 1 ELSE 0 END) FILTER (i = vec_id % 64) = 1 AS inside, max(CASE WHEN rs <= {K} THEN rs END) FILTER (i = vec_id % 64) AS rank FROM pr GROUP BY vec_id")
+@query(
+    "J7_target_rank",
+    f"WITH {PAIRS} SELECT vec_id, max(CASE WHEN rs <= {K} THEN 1 ELSE 0 END) FILTER (i = vec_id % 64) = 1 AS inside, max(CASE WHEN rs <= {K} THEN rs END) FILTER (i = vec_id % 64) AS rank FROM pr GROUP BY vec_id",
+)
 def j7(spark, sf):
     ids, y = array_top_k(F.col("s"), K), (F.col("vec_id") % 64).cast("int")
     return pairs(spark, sf).select("vec_id", F.array_contains(ids, y).alias("inside"), joins.rank_in(ids, y).alias("rank"))
 
 
-@query("H1_ordered_intersection", f"WITH {PAIRS} SELECT vec_id, coalesce(string_agg(i::VARCHAR, ',' ORDER BY rs) FILTER (rs <= {K} AND rt <= {K}), '') AS ids FROM pr GROUP BY vec_id")
+@query(
+    "H1_ordered_intersection",
+    f"WITH {PAIRS} SELECT vec_id, coalesce(string_agg(i::VARCHAR, ',' ORDER BY rs) FILTER (rs <= {K} AND rt <= {K}), '') AS ids FROM pr GROUP BY vec_id",
+)
 def h1(spark, sf):
-    return pairs(spark, sf).select("vec_id", F.array_join(F.transform(F.array_intersect(array_top_k(F.col("s"), K), array_top_k(F.col("t"), K)), lambda i: i.cast("string")), ",").alias("ids"))
-
-
-@query("C14_common_vocabulary", f"WITH {PAIRS} SELECT vec_id, round(sum(s), 6) AS s, round(sum(t), 6) AS t FROM pr WHERE i < 50 GROUP BY vec_id")
+    return pairs(spark, sf).select(
+        "vec_id",
+        F.array_join(
+            F.transform(F.array_intersect(array_top_k(F.col("s"), K), array_top_k(F.col("t"), K)), lambda i: i.cast("string")),
+            ",",
+        ).alias("ids"),
+    )
+
+
+@query(
+    "C14_common_vocabulary",
+    f"WITH {PAIRS} SELECT vec_id, round(sum(s), 6) AS s, round(sum(t), 6) AS t FROM pr WHERE i < 50 GROUP BY vec_id",
+)
 def c14(spark, sf):
     short = F.slice(F.col("t"), 1, 50)
     return r6(pairs(spark, sf).select("vec_id", D.total(D.cropped(F.col("s"), short)).alias("s"), D.total(short).alias("t")))
@@ -120,7 +168,15 @@ _AT = f"""{PAIRS}, {_LSE}, spots AS (SELECT DISTINCT vec_id, vec_id // 16 AS seq
 def _positions(spark, sf):
     seq = F.floor(F.col("vec_id") / 16)
     weight = F.when(seq % 3 == 0, 0.0).otherwise(1.0)
-    return pairs(spark, sf).select("vec_id", seq.alias("seq_id"), (F.col("vec_id") % 16).alias("pos"), (F.col("vec_id") % 10 != 0).alias("active"), weight.alias("seq_weight"), "s", "t")
+    return pairs(spark, sf).select(
+        "vec_id",
+        seq.alias("seq_id"),
+        (F.col("vec_id") % 16).alias("pos"),
+        (F.col("vec_id") % 10 != 0).alias("active"),
+        weight.alias("seq_weight"),
+        "s",
+        "t",
+    )
 
 
 def _local(rank: str, a: str, b: str, name: str) -> str:
@@ -130,7 +186,24 @@ def _local(rank: str, a: str, b: str, name: str) -> str:
 
 
 _NAMES = {"overlap": "overlap", "reverse": "rev", "forward": "fwd", "token": "token"}
-_MEANS = {"mean_reverse_loss": "rev", "mean_forward_loss": "fwd", "mean_token_loss": "token", "mean_overlap": "overlap", "low_overlap_fraction": "low::INT", "reverse_active_fraction": "(rc > 0)::INT", "forward_active_fraction": "(fc > 0)::INT", "reverse_plus_forward_fraction": "(rc > 0 AND fc > 0)::INT", "mean_reverse_coefficient": "rc", "mean_forward_coefficient": "fc", "mean_prune_weight": "weight", "mean_student_entropy": "hs", "mean_teacher_entropy": "ht", "mean_student_mass": "ms", "mean_teacher_mass": "mt", "top1_agreement": "same::INT"}
+_MEANS = {
+    "mean_reverse_loss": "rev",
+    "mean_forward_loss": "fwd",
+    "mean_token_loss": "token",
+    "mean_overlap": "overlap",
+    "low_overlap_fraction": "low::INT",
+    "reverse_active_fraction": "(rc > 0)::INT",
+    "forward_active_fraction": "(fc > 0)::INT",
+    "reverse_plus_forward_fraction": "(rc > 0 AND fc > 0)::INT",
+    "mean_reverse_coefficient": "rc",
+    "mean_forward_coefficient": "fc",
+    "mean_prune_weight": "weight",
+    "mean_student_entropy": "hs",
+    "mean_teacher_entropy": "ht",
+    "mean_student_mass": "ms",
+    "mean_teacher_mass": "mt",
+    "top1_agreement": "same::INT",
+}
 
 
 @query("E16_loss_report", f"""WITH {_AT}, {_local("rs", "s", "t", "a")}, {_local("rt", "t", "s", "b")},
@@ -156,7 +229,9 @@ def e16(spark, sf):
 x AS (SELECT *, active AND vec_id % 8 IN (3, 7) AS fin, max(pos) OVER (PARTITION BY seq_id) AS last, CASE seq_id % 3 WHEN 1 THEN 'truncated' WHEN 2 THEN 'boxed' END AS kind, CASE WHEN seq_id % 6 = 2 THEN 1 ELSE 0 END AS app FROM spots JOIN p USING (vec_id)),
 y AS (SELECT *, CASE WHEN pos = last - app THEN kind END AS cut FROM x)
 SELECT round(count(*) FILTER (fin) / greatest(count(*) FILTER (active), 1), 6) AS eos_target_fraction, """ + ", ".join(
-    f"round(coalesce(avg({s}p) FILTER (fin), 0), 6) AS {n}_eos_target_probability, round(coalesce(avg({s}i::INT) FILTER (fin), 0), 6) AS eos_target_in_{n}_top_k, " + ", ".join(f"round(coalesce(avg({s}p) FILTER (cut = '{c}'), 0), 6) AS {c}_{n}_next_eos_probability" for c in ("truncated", "boxed"))
+    f"round(coalesce(avg({s}p) FILTER (fin), 0), 6) AS {n}_eos_target_probability, round(coalesce(avg({s}i::INT) FILTER (fin), 0), 6) AS eos_target_in_{n}_top_k, " + ", ".join(
+        f"round(coalesce(avg({s}p) FILTER (cut = '{c}'), 0), 6) AS {c}_{n}_next_eos_probability" for c in ("truncated", "boxed")
+    )
     for s, n in (("s", "student"), ("t", "teacher"))
 ) + " FROM y")
 def e27(spark, sf):

@@ -14,31 +14,52 @@ from quern.session import ship
 _GRAMS = "g AS (SELECT doc_id, len(w) AS n, list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], chr(31))) AS g FROM wd)"
 
 
-@query("R4_repeated_ratio", f"WITH {WORDS}, {_GRAMS} SELECT doc_id, round(CASE WHEN n >= 4 THEN 1 - len(list_distinct(g)) / len(g) ELSE 0 END, 6) AS ratio FROM g")
+@query(
+    "R4_repeated_ratio",
+    f"WITH {WORDS}, {_GRAMS} SELECT doc_id, round(CASE WHEN n >= 4 THEN 1 - len(list_distinct(g)) / len(g) ELSE 0 END, 6) AS ratio FROM g",
+)
 def r4(spark, sf):
     return r6(words(spark, sf).select("doc_id", sequence.repeated_ratio(F.col("w"), 4).alias("ratio")))
 
 
-@query("F10_H4_ngrams", f"WITH {WORDS}, {_GRAMS} SELECT doc_id, CASE WHEN n >= 4 THEN len(g) ELSE 0 END AS total, CASE WHEN n >= 4 THEN len(list_distinct(g)) ELSE 0 END AS distinct_n FROM g")
+@query(
+    "F10_H4_ngrams",
+    f"WITH {WORDS}, {_GRAMS} SELECT doc_id, CASE WHEN n >= 4 THEN len(g) ELSE 0 END AS total, CASE WHEN n >= 4 THEN len(list_distinct(g)) ELSE 0 END AS distinct_n FROM g",
+)
 def f10(spark, sf):
     grams = F.transform(sequence.ngrams(F.col("w"), 4), lambda g: F.xxhash64(g))
     return words(spark, sf).select("doc_id", F.size(grams).alias("total"), F.size(F.array_distinct(grams)).alias("distinct_n"))
 
 
-@query("F8_chunks", f"WITH {WORDS}, c AS (SELECT doc_id, len(w) AS n, unnest(generate_series(0, len(w) - 1, 32)) AS s FROM wd) SELECT doc_id, s // 32 AS id, s AS start_token, least(s + 32, n) AS end_token FROM c WHERE n > 0")
+@query(
+    "F8_chunks",
+    f"WITH {WORDS}, c AS (SELECT doc_id, len(w) AS n, unnest(generate_series(0, len(w) - 1, 32)) AS s FROM wd) SELECT doc_id, s // 32 AS id, s AS start_token, least(s + 32, n) AS end_token FROM c WHERE n > 0",
+)
 def f8(spark, sf):
     return words(spark, sf).select("doc_id", F.explode(sequence.chunks(F.col("w"), 32)).alias("c")).select("doc_id", "c.*")
 
 
-@query("F8_chunks_one_based", f"WITH {WORDS}, c AS (SELECT doc_id, len(w) AS n, unnest(generate_series(0, len(w) - 1, 32)) AS s FROM wd) SELECT doc_id, s // 32 AS id, s + 1 AS start_token_pos, least(s + 32, n) AS end_token_pos FROM c WHERE n > 0")
+@query(
+    "F8_chunks_one_based",
+    f"WITH {WORDS}, c AS (SELECT doc_id, len(w) AS n, unnest(generate_series(0, len(w) - 1, 32)) AS s FROM wd) SELECT doc_id, s // 32 AS id, s + 1 AS start_token_pos, least(s + 32, n) AS end_token_pos FROM c WHERE n > 0",
+)
 def f8b(spark, sf):
     return words(spark, sf).select("doc_id", F.explode(sequence.one_based_chunks(F.col("w"), 32)).alias("c")).select("doc_id", "c.*")
 
 
-@query("C16_slices", f"WITH {WORDS} SELECT doc_id, array_to_string(CASE WHEN len(w) > 5 THEN w[-5:] ELSE w END, ' ') AS last_ids, array_to_string(w[1:3], ' ') AS first_ids, right(text, 300) AS tail, left(text, 300) AS head FROM wd")
+@query(
+    "C16_slices",
+    f"WITH {WORDS} SELECT doc_id, array_to_string(CASE WHEN len(w) > 5 THEN w[-5:] ELSE w END, ' ') AS last_ids, array_to_string(w[1:3], ' ') AS first_ids, right(text, 300) AS tail, left(text, 300) AS head FROM wd",
+)
 def c16(spark, sf):
     w = F.col("w")
-    return words(spark, sf).select("doc_id", F.array_join(sequence.last_n(w, 5), " ").alias("last_ids"), F.array_join(sequence.first_n(w, 3), " ").alias("first_ids"), F.right("text", F.lit(300)).alias("tail"), F.left("text", F.lit(300)).alias("head"))
+    return words(spark, sf).select(
+        "doc_id",
+        F.array_join(sequence.last_n(w, 5), " ").alias("last_ids"),
+        F.array_join(sequence.first_n(w, 3), " ").alias("first_ids"),
+        F.right("text", F.lit(300)).alias("tail"),
+        F.left("text", F.lit(300)).alias("head"),
+    )
 
 
 @query("E22_distinct_n", """WITH r AS (SELECT doc_id // 4 AS example_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
@@ -50,15 +71,29 @@ def e22(spark, sf):
 
 
 _STRIP = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
-_MARK = "regexp_replace(" + _STRIP.format("coalesce(" + ", ".join(f"nullif(regexp_extract_all(t, '(?i){p}', 1)[-1], '')" for p in ("The answer is\\s*([^\\n\\.]+)", "Final answer\\s*:?\\s*([^\\n]+)", "Answer\\s*:\\s*([^\\n]+)", "####\\s*([^\\n]+)")) + ")") + ", '^[.$]+|[.$]+$', '', 'g')"
+_MARK = "regexp_replace(" + _STRIP.format(
+    "coalesce(" + ", ".join(
+        f"nullif(regexp_extract_all(t, '(?i){p}', 1)[-1], '')" for p in (
+            "The answer is\\s*([^\\n\\.]+)",
+            "Final answer\\s*:?\\s*([^\\n]+)",
+            "Answer\\s*:\\s*([^\\n]+)",
+            "####\\s*([^\\n]+)",
+        )
+    ) + ")"
+) + ", '^[.$]+|[.$]+$', '', 'g')"
 #: Boxes in these texts have one level of braces inside at most.
 _LAST = "regexp_extract(t, '(?s)^.*\\\\boxed\\s*(\\{.*)$', 1)"
-_BOX = f"CASE WHEN regexp_matches(t, '\\\\boxed\\s*\\{{') AND regexp_matches({_LAST}, '^\\{{([^{{}}]|\\{{([^{{}}]|\\{{[^{{}}]*\\}})*\\}})*\\}}') THEN " + _STRIP.format(f"regexp_extract({_LAST}, '^\\{{(([^{{}}]|\\{{([^{{}}]|\\{{[^{{}}]*\\}})*\\}})*)\\}}', 1)") + " END"
+_BOX = f"CASE WHEN regexp_matches(t, '\\\\boxed\\s*\\{{') AND regexp_matches({_LAST}, '^\\{{([^{{}}]|\\{{([^{{}}]|\\{{[^{{}}]*\\}})*\\}})*\\}}') THEN " + _STRIP.format(
+    f"regexp_extract({_LAST}, '^\\{{(([^{{}}]|\\{{([^{{}}]|\\{{[^{{}}]*\\}})*\\}})*)\\}}', 1)"
+) + " END"
 _NUM = "regexp_extract_all(t, '[-+]?\\d+(?:\\.\\d+)?(?:/\\d+)?')[-1]"
 _BT = f"{BOXED}, st AS (SELECT doc_id, n_chars, gold, text, {_STRIP.format('text')} AS t FROM bx)"
 
 
-@query("X1_extract_answer", f"WITH {_BT} SELECT doc_id, coalesce({_BOX}, {_MARK}, {_NUM}) AS answer FROM st WHERE coalesce({_BOX}, {_MARK}, {_NUM}) IS NOT NULL")
+@query(
+    "X1_extract_answer",
+    f"WITH {_BT} SELECT doc_id, coalesce({_BOX}, {_MARK}, {_NUM}) AS answer FROM st WHERE coalesce({_BOX}, {_MARK}, {_NUM}) IS NOT NULL",
+)
 def x1(spark, sf):
     return boxed_texts(spark, sf).select("doc_id", A.extract_answer(F.col("text")).alias("answer"))
 
@@ -83,11 +118,22 @@ _X5 = "SELECT doc_id, ' $\\dfrac{' || n_chars || '}{1,000}\\,$ . ' AS raw, CASE
 
 def _x5(spark, sf):
     n = F.col("n_chars").cast("string")
-    other = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("\\boxed{ \\left( "), n, F.lit("\\pi \\right) }"))).otherwise(F.concat(n, F.lit(".0 ")))
-    return read(spark, sf, "documents").select("doc_id", F.concat(F.lit(" $\\dfrac{"), n, F.lit("}{1,000}\\,$ . ")).alias("raw"), other.alias("other"), "n_chars")
+    other = F.when(
+        F.col("n_chars") % 2 == 0,
+        F.concat(F.lit("\\boxed{ \\left( "), n, F.lit("\\pi \\right) }")),
+    ).otherwise(F.concat(n, F.lit(".0 ")))
+    return read(spark, sf, "documents").select(
+        "doc_id",
+        F.concat(F.lit(" $\\dfrac{"), n, F.lit("}{1,000}\\,$ . ")).alias("raw"),
+        other.alias("other"),
+        "n_chars",
+    )
 
 
-@query("X5_normalize", f"WITH x AS ({_X5}) SELECT doc_id, '\\frac{{' || regexp_extract(raw, '\\d+') || '}}{{1000}}' AS a, CASE WHEN starts_with(other, '\\boxed') THEN '(' || regexp_extract(other, '\\d+') || 'pi)' ELSE trim(other) END AS b FROM x")
+@query(
+    "X5_normalize",
+    f"WITH x AS ({_X5}) SELECT doc_id, '\\frac{{' || regexp_extract(raw, '\\d+') || '}}{{1000}}' AS a, CASE WHEN starts_with(other, '\\boxed') THEN '(' || regexp_extract(other, '\\d+') || 'pi)' ELSE trim(other) END AS b FROM x",
+)
 def x5(spark, sf):
     return _x5(spark, sf).select("doc_id", A.normalize(F.col("raw")).alias("a"), A.normalize(F.col("other")).alias("b"))
 
@@ -96,23 +142,44 @@ def x5(spark, sf):
 def x6(spark, sf):
     d = _x5(spark, sf)
     n = F.col("n_chars").cast("string")
-    return d.select("doc_id", A.answers_match(F.concat(F.lit("$"), n, F.lit("$")), F.when(F.col("n_chars") % 3 == 0, n).otherwise(F.concat(n, F.lit("x")))).alias("equal"), A.answers_match(F.col("other"), n).alias("numeric"), A.answers_match(F.lit(" "), F.lit("")).alias("blank"))
-
-
-@query("X7_judge", f"WITH {_BT}, a AS (SELECT doc_id, gold, coalesce({_BOX}, {_MARK}, {_NUM}) AS ans FROM st) SELECT doc_id, ans AS student_answer, gold AS ground_truth_answer, ans = gold AS is_correct FROM a")
+    return d.select(
+        "doc_id",
+        A.answers_match(
+            F.concat(F.lit("$"), n, F.lit("$")),
+            F.when(F.col("n_chars") % 3 == 0, n).otherwise(F.concat(n, F.lit("x"))),
+        ).alias("equal"),
+        A.answers_match(F.col("other"), n).alias("numeric"),
+        A.answers_match(F.lit(" "), F.lit("")).alias("blank"),
+    )
+
+
+@query(
+    "X7_judge",
+    f"WITH {_BT}, a AS (SELECT doc_id, gold, coalesce({_BOX}, {_MARK}, {_NUM}) AS ans FROM st) SELECT doc_id, ans AS student_answer, gold AS ground_truth_answer, ans = gold AS is_correct FROM a",
+)
 def x7(spark, sf):
     return boxed_texts(spark, sf).select("doc_id", A.judge(F.col("text"), F.col("gold"), F.lit("")).alias("j")).select("doc_id", "j.*")
 
 
-@query("X8_X9_boxed_only", f"WITH {BOXED} SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '\\boxed{{\\frac{{1}}{{' || n_chars || '}}}}' WHEN 5 THEN '\\boxed{{}}' END AS boxed, CASE doc_id % 6 WHEN 0 THEN '\\frac{{1}}{{' || n_chars || '}}' WHEN 5 THEN '' END AS answer FROM bx")
+@query(
+    "X8_X9_boxed_only",
+    f"WITH {BOXED} SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '\\boxed{{\\frac{{1}}{{' || n_chars || '}}}}' WHEN 5 THEN '\\boxed{{}}' END AS boxed, CASE doc_id % 6 WHEN 0 THEN '\\frac{{1}}{{' || n_chars || '}}' WHEN 5 THEN '' END AS answer FROM bx",
+)
 def x8(spark, sf):
     t = F.col("text")
     return boxed_texts(spark, sf).select("doc_id", A.last_boxed_only(t).alias("boxed"), A.eval_answer(t).alias("answer"))
 
 
-@query("X20_X22_boxes", f"WITH {BOXED} SELECT doc_id, (length(text) - length(replace(text, '\\boxed{{', ''))) // 7 AS boxes, NOT contains(text, 'boxed') AS format_error FROM bx")
+@query(
+    "X20_X22_boxes",
+    f"WITH {BOXED} SELECT doc_id, (length(text) - length(replace(text, '\\boxed{{', ''))) // 7 AS boxes, NOT contains(text, 'boxed') AS format_error FROM bx",
+)
 def x20(spark, sf):
-    return boxed_texts(spark, sf).select("doc_id", A.boxed_count(F.col("text")).alias("boxes"), A.format_error(F.col("text")).alias("format_error"))
+    return boxed_texts(spark, sf).select(
+        "doc_id",
+        A.boxed_count(F.col("text")).alias("boxes"),
+        A.format_error(F.col("text")).alias("format_error"),
+    )
 
 
 @query("X21_boxed_line_end", f"WITH {BOXED} SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN length(text) - 5 END AS line_end FROM bx")
@@ -123,11 +190,17 @@ def x21(spark, sf):
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(13)"
 
 
-@query("X24_verdict", f"SELECT doc_id, trim(CASE doc_id % 3 WHEN 0 THEN ' ' || upper(left(lang, 1)) || chr(10) WHEN 1 THEN 'A' || left(text, (doc_id % 2)::INT) ELSE source END, {_WHITE}) = 'A' AS ok FROM documents")
+@query(
+    "X24_verdict",
+    f"SELECT doc_id, trim(CASE doc_id % 3 WHEN 0 THEN ' ' || upper(left(lang, 1)) || chr(10) WHEN 1 THEN 'A' || left(text, (doc_id % 2)::INT) ELSE source END, {_WHITE}) = 'A' AS ok FROM documents",
+)
 def x24(spark, sf):
     k = F.col("doc_id") % 3
     first = F.concat(F.lit(" "), F.upper(F.left("lang", F.lit(1))), F.lit("\n"))
-    said = F.when(k == 0, first).when(k == 1, F.concat(F.lit("A"), F.left("text", (F.col("doc_id") % 2).cast("int")))).otherwise(F.col("source"))
+    said = F.when(k == 0, first).when(
+        k == 1,
+        F.concat(F.lit("A"), F.left("text", (F.col("doc_id") % 2).cast("int"))),
+    ).otherwise(F.col("source"))
     return read(spark, sf, "documents").select("doc_id", A.verdict(said).alias("ok"))
 
 
@@ -135,16 +208,27 @@ def x24(spark, sf):
 r AS (SELECT doc_id, trim(CASE WHEN contains(t, '</think>') THEN substr(t, instr(t, '</think>') + 8) ELSE t END, {_WHITE}) AS r FROM t) SELECT doc_id, CASE WHEN starts_with(r, '<think>') THEN '' ELSE r END AS rest FROM r""")
 def x27(spark, sf):
     k = F.col("doc_id") % 4
-    cases = [("<think>", "text", "</think> ", "lang", " </think>"), (" <think>", "text"), ("", "text", "</think><think>", "lang"), (" ", "text", "\n")]
+    cases = [
+        ("<think>", "text", "</think> ", "lang", " </think>"),
+        (" <think>", "text"),
+        ("", "text", "</think><think>", "lang"),
+        (" ", "text", "\n"),
+    ]
     each = [F.concat(*[F.col(x) if x in ("text", "lang") else F.lit(x) for x in case]) for case in cases]
     t = F.when(k == 0, each[0]).when(k == 1, each[1]).when(k == 2, each[2]).otherwise(each[3])
     return read(spark, sf, "documents").select("doc_id", A.strip_thinking(t).alias("rest"))
 
 
-@query("X28_code_fence", f"SELECT doc_id, trim(CASE WHEN doc_id % 3 = 2 THEN substr(text, 4) ELSE text END, {_WHITE}) AS body FROM documents WHERE NOT starts_with(text, '`') AND NOT ends_with(trim(text, {_WHITE}), '```')")
+@query(
+    "X28_code_fence",
+    f"SELECT doc_id, trim(CASE WHEN doc_id % 3 = 2 THEN substr(text, 4) ELSE text END, {_WHITE}) AS body FROM documents WHERE NOT starts_with(text, '`') AND NOT ends_with(trim(text, {_WHITE}), '```')",
+)
 def x28(spark, sf):
     k = F.col("doc_id") % 3
-    t = F.when(k == 0, F.concat(F.lit("```json\n"), "text", F.lit("\n```"))).when(k == 1, F.concat(F.lit("```"), "text")).otherwise(F.substring("text", 4, 1 << 30))
+    t = F.when(
+        k == 0,
+        F.concat(F.lit("```json\n"), "text", F.lit("\n```")),
+    ).when(k == 1, F.concat(F.lit("```"), "text")).otherwise(F.substring("text", 4, 1 << 30))
     rows = read(spark, sf, "documents").where(~F.startswith("text", F.lit("`")) & ~F.endswith(A.strip(F.col("text")), F.lit("```")))
     return rows.select("doc_id", A.strip_fence(t).alias("body"))
 
@@ -154,15 +238,24 @@ def x29(spark, sf):
     return read(spark, sf, "benchmark").select("item_id", A.template("Solve {{it}}: {problem}\nEnd", F.col("text")).alias("prompt"))
 
 
-@query("X10_X18_mathd", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '\\frac{' || n_chars || '}{7}' WHEN 1 THEN '\\frac{1}{2}' WHEN 2 THEN '\\sqrt{3}+' || n_chars ELSE n_chars::VARCHAR END AS form FROM documents")
+@query(
+    "X10_X18_mathd",
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '\\frac{' || n_chars || '}{7}' WHEN 1 THEN '\\frac{1}{2}' WHEN 2 THEN '\\sqrt{3}+' || n_chars ELSE n_chars::VARCHAR END AS form FROM documents",
+)
 def x10(spark, sf):
     ship(spark)
     k, n = F.col("doc_id") % 4, F.col("n_chars").cast("string")
-    t = F.when(k == 0, F.concat(n, F.lit("/7"))).when(k == 1, F.lit("x = .5")).when(k == 2, F.concat(F.lit("\\left\\sqrt3 + \\right "), n)).otherwise(F.concat(n, F.lit("\\text{ cm}")))
+    t = F.when(k == 0, F.concat(n, F.lit("/7"))).when(k == 1, F.lit("x = .5")).when(
+        k == 2,
+        F.concat(F.lit("\\left\\sqrt3 + \\right "), n),
+    ).otherwise(F.concat(n, F.lit("\\text{ cm}")))
     return read(spark, sf, "documents").select("doc_id", G.mathd_udf(t).alias("form"))
 
 
-@query("X11_X12_X14_plain", "SELECT doc_id, (n_chars * 1000)::VARCHAR AS plain, n_chars || '234567' AS no_commas, true AS whole, doc_id % 2 = 0 AS fraction FROM documents")
+@query(
+    "X11_X12_X14_plain",
+    "SELECT doc_id, (n_chars * 1000)::VARCHAR AS plain, n_chars || '234567' AS no_commas, true AS whole, doc_id % 2 = 0 AS fraction FROM documents",
+)
 def x11(spark, sf):
     ship(spark)
     n = F.col("n_chars").cast("string")
@@ -176,30 +269,47 @@ def x11(spark, sf):
 def x13(spark, sf):
     ship(spark)
     n = F.col("n_chars").cast("string")
-    return read(spark, sf, "documents").select("doc_id", F.array_join(G.elements_udf(F.concat(F.lit("(a, "), n, F.lit("]"))), "|").alias("parts"), G.evaluable(F.when(F.col("doc_id") % 2 == 0, F.lit("sqrt(x)+y")).otherwise(F.lit("x^{2}"))).alias("allowed"))
+    return read(spark, sf, "documents").select(
+        "doc_id",
+        F.array_join(G.elements_udf(F.concat(F.lit("(a, "), n, F.lit("]"))), "|").alias("parts"),
+        G.evaluable(F.when(F.col("doc_id") % 2 == 0, F.lit("sqrt(x)+y")).otherwise(F.lit("x^{2}"))).alias("allowed"),
+    )
 
 
 #: Pairs of plain answers with @ for a number that differs by row, and whether they are equal.
 _EQUAL = [
     ("(@, 1/2)", "(@,1/2)", True), ("1/2+1/@", "(2+@)/(2*@)", True), ("2/4", "1/2", False), ("x+x+@", "2x+@", True),
     ("(x+@)^2", "x^2+2*@*x+@*@", True), ("(x+@)^2", "x^2+@*@", False), ("(x^2-1)/(x-1)", "x+1", True), ("2(x+y)", "2x+2y", True),
-    ("sqrt(8)+@", "2sqrt(2)+@", True), ("1/sqrt(2)", "sqrt(2)/2", True), ("sqrt(2)sqrt(3)", "sqrt(6)", True), ("sqrt(5)+@", "sqrt(6)+@", False),
+    ("sqrt(8)+@", "2sqrt(2)+@", True), ("1/sqrt(2)", "sqrt(2)/2", True), (
+        "sqrt(2)sqrt(3)",
+        "sqrt(6)",
+        True,
+    ), ("sqrt(5)+@", "sqrt(6)+@", False),
     ("\\frac{x}{2}+@", "x/2+@", True), ("2\\pi+@", "@+2pi", True), ("[@,3)", "[@,3]", False), ("3.50", "7/2", True),
     ("x^-1", "1/x", True), ("xy", "yx", True), ("@.0", "@", True), ("x+y+z", "z+y+x", False),
 ]
 
 
-@query("X16_X17_X19_grade", "SELECT doc_id, doc_id % 4 <> 3 AS ok, (list_value(" + ", ".join(str(ok).lower() for *_, ok in _EQUAL) + f"))[1 + doc_id % {len(_EQUAL)}] AS plain_ok FROM documents")
+@query(
+    "X16_X17_X19_grade",
+    "SELECT doc_id, doc_id % 4 <> 3 AS ok, (list_value(" + ", ".join(str(ok).lower() for *_, ok in _EQUAL) + f"))[1 + doc_id % {len(_EQUAL)}] AS plain_ok FROM documents",
+)
 def x17(spark, sf):
     ship(spark)
     k, n = F.col("doc_id") % 4, F.col("n_chars").cast("string")
-    given = F.when(k == 0, F.concat(F.lit("\\boxed{"), n, F.lit("}"))).when(k == 1, F.concat(F.lit("so \\boxed{2*"), n, F.lit("/2+0}"))).when(k == 2, F.concat(F.lit("\\boxed{"), n, F.lit(".0}"))).otherwise(F.concat(F.lit("\\boxed{"), n, F.lit("1}")))
+    given = F.when(k == 0, F.concat(F.lit("\\boxed{"), n, F.lit("}"))).when(
+        k == 1,
+        F.concat(F.lit("so \\boxed{2*"), n, F.lit("/2+0}")),
+    ).when(k == 2, F.concat(F.lit("\\boxed{"), n, F.lit(".0}"))).otherwise(F.concat(F.lit("\\boxed{"), n, F.lit("1}")))
     truth = F.when(k == 1, F.concat(F.lit("("), n, F.lit("*3)/3"))).otherwise(n)
     sides = [F.replace(F.get(F.array(*[F.lit(case[i]) for case in _EQUAL]), F.col("doc_id") % len(_EQUAL)), F.lit("@"), n) for i in (0, 1)]
     return read(spark, sf, "documents").select("doc_id", G.grade_udf(given, truth).alias("ok"), G.grade_plain_udf(*sides).alias("plain_ok"))
 
 
-@query("R5_boxed_trim", f"WITH {BOXED} SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN true ELSE false END AS cut, (length(text) - length(replace(text, '\\boxed{{', ''))) // 7 AS boxes FROM bx")
+@query(
+    "R5_boxed_trim",
+    f"WITH {BOXED} SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN true ELSE false END AS cut, (length(text) - length(replace(text, '\\boxed{{', ''))) // 7 AS boxes FROM bx",
+)
 def r5(spark, sf):
     t = boxed_texts(spark, sf).select("doc_id", F.split(F.concat("text", F.lit("\nmore of it")), r"(?=[ \n])", -1).alias("pieces"))
     _, cut, boxes = rollouts.boxed_trim(F.col("pieces"))

@@ -8,7 +8,17 @@ from typing import Any
 
 BACKENDS, STRATEGIES = {"adaptive_opd", "sampled_rkl"}, {"full", "esr"}
 MODES = {"reverse_kl", "forward_kl", "fixed_mixture", "prune_opd", "adaptive_v1", "adaptive_v2", "prune_plus_forward"}
-OBSOLETE = {"kd_top_k", "kl_renorm_topk", "curriculum_lengths", "curriculum_boundaries", "reflection_rollout_max_tokens", "reflection_chunk_size", "beta", "seq_kd", "lmbda"}
+OBSOLETE = {
+    "kd_top_k",
+    "kl_renorm_topk",
+    "curriculum_lengths",
+    "curriculum_boundaries",
+    "reflection_rollout_max_tokens",
+    "reflection_chunk_size",
+    "beta",
+    "seq_kd",
+    "lmbda",
+}
 
 
 def parsed(text: str) -> Any:

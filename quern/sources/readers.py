@@ -45,7 +45,11 @@ def numbered_lines(spark: SparkSession, path: str | list[str], **options: bool)
     before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("source_file", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("base"))
     number = F.col("base") + F.col("m") - F.col("first") + 1
-    return lines.where(F.trim("line") != "").join(bases, ["source_file", "block"]).select("source_file", number.alias("line_number"), "line")
+    return lines.where(F.trim("line") != "").join(bases, ["source_file", "block"]).select(
+        "source_file",
+        number.alias("line_number"),
+        "line",
+    )
 
 
 def _is_sample(x: dict) -> bool:
@@ -123,7 +127,13 @@ def benchmark_samples(df: DataFrame, path: str, index: Column) -> DataFrame:
 def file_parameters(name: Column) -> dict[str, Column]:
     """Task, temperature, top-p, samples and length from a file name such as ``aime_t0.7_p0.9_n16-MNT1024.jsonl``."""
     get = lambda pattern, kind: F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).cast(kind)
-    return {"task": F.split_part(name, F.lit("_"), F.lit(1)), "temperature": get(r"_t([0-9.]+)", "double"), "top_p": get(r"_p([0-9.]+)", "double"), "n": get(r"_n([0-9]+)", "int"), "max_new_tokens": get(r"MNT([0-9]+)", "int")}
+    return {
+        "task": F.split_part(name, F.lit("_"), F.lit(1)),
+        "temperature": get(r"_t([0-9.]+)", "double"),
+        "top_p": get(r"_p([0-9.]+)", "double"),
+        "n": get(r"_n([0-9]+)", "int"),
+        "max_new_tokens": get(r"MNT([0-9]+)", "int"),
+    }
 
 
 def checkpoints(names: DataFrame, minimum: int = 0, column: str = "name") -> DataFrame:

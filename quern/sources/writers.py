@@ -56,4 +56,7 @@ def preview(df: DataFrame, n: int = 5) -> None:
 
 def shortened(text: Column, n: int) -> Column:
     """The first ``n`` characters and a note of how many are left out."""
-    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("... ["), (F.length(text) - n).cast("string"), F.lit(" more chars]"))).otherwise(text)
+    return F.when(
+        F.length(text) > n,
+        F.concat(F.left(text, F.lit(n)), F.lit("... ["), (F.length(text) - n).cast("string"), F.lit(" more chars]")),
+    ).otherwise(text)

@@ -17,7 +17,10 @@ def tail(spark: SparkSession, path: str, schema: str, kind: str = "json", files_
 def windowed_routes(tokens: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts and mean loss by event-time window and route; ``tokens`` has ts, route, final_loss."""
     grouped = tokens.withWatermark("ts", late).groupBy(F.window("ts", width), "route")
-    return grouped.agg(F.count("*").alias("n"), F.avg("final_loss").alias("mean_loss")).select(F.col("window.start").alias("start"), "route", "n", "mean_loss")
+    return grouped.agg(
+        F.count("*").alias("n"),
+        F.avg("final_loss").alias("mean_loss"),
+    ).select(F.col("window.start").alias("start"), "route", "n", "mean_loss")
 
 
 def _stop(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -38,4 +41,10 @@ def _stop(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
 
 def boxed_stops(tokens: DataFrame) -> DataFrame:
     """Per sequence, as its pieces arrive, the count so far and where its first boxed line ended."""
-    return tokens.groupBy("seq_id").applyInPandasWithState(_stop, "seq_id long, tokens long, stop_at long", "text string, n long, done long", "update", "NoTimeout")
+    return tokens.groupBy("seq_id").applyInPandasWithState(
+        _stop,
+        "seq_id long, tokens long, stop_at long",
+        "text string, n long, done long",
+        "update",
+        "NoTimeout",
+    )

@@ -13,7 +13,14 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from quern.session import session
 
-    s = session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g", spark__ui__showConsoleProgress="false")
+    s = session(
+        "tests",
+        "local[4]",
+        spark__sql__shuffle__partitions="4",
+        spark__ui__enabled="false",
+        spark__driver__memory="4g",
+        spark__ui__showConsoleProgress="false",
+    )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -18,18 +18,41 @@ def column(spark, f, *texts):
 
 
 def test_last_boxed(spark):
-    cases = {"\\boxed{a}": "a", "x \\boxed{ {b}{c} } y": "{b}{c}", "\\boxed{a} \\boxed{b": None, "none": None, "\\boxed  {q}": "q", "\\boxed{}": "", "\\boxed{a}\n\\boxed{{z}}": "{z}"}
+    cases = {
+        "\\boxed{a}": "a",
+        "x \\boxed{ {b}{c} } y": "{b}{c}",
+        "\\boxed{a} \\boxed{b": None,
+        "none": None,
+        "\\boxed  {q}": "q",
+        "\\boxed{}": "",
+        "\\boxed{a}\n\\boxed{{z}}": "{z}",
+    }
     assert column(spark, A.last_boxed, *cases) == list(cases.values())
 
 
 def test_extract_answer(spark):
-    cases = {None: "", "  ": "", "so 3/4 and -2.5": "-2.5", "Answer: 7. \nFinal answer: 9": "9", "The answer is x. more": "x", "#### $5$.": "5", "no digits\nlast line ": "last line", "answer : 1\nanswer: 2": "2", "Final answer 3\nAnswer: 4": "3"}
+    cases = {
+        None: "",
+        "  ": "",
+        "so 3/4 and -2.5": "-2.5",
+        "Answer: 7. \nFinal answer: 9": "9",
+        "The answer is x. more": "x",
+        "#### $5$.": "5",
+        "no digits\nlast line ": "last line",
+        "answer : 1\nanswer: 2": "2",
+        "Final answer 3\nAnswer: 4": "3",
+    }
     assert column(spark, A.extract_answer, *cases) == list(cases.values())
 
 
 def test_answers_match(spark):
-    rows = spark.createDataFrame([("1,000", "1000.0"), ("", ""), ("\\dfrac12", "\\frac12"), ("1d", "1.0"), ("inf", "inf"), ("1_0", "10"), ("a", "b"), (None, "1")], "a string, b string")
-    assert [r[0] for r in rows.select(A.answers_match(F.col("a"), F.col("b"))).collect()] == [True, False, True, False, True, True, False, False]
+    rows = spark.createDataFrame(
+        [("1,000", "1000.0"), ("", ""), ("\\dfrac12", "\\frac12"), ("1d", "1.0"), ("inf", "inf"), ("1_0", "10"), ("a", "b"), (None, "1")],
+        "a string, b string",
+    )
+    assert [
+        r[0] for r in rows.select(A.answers_match(F.col("a"), F.col("b"))).collect()
+    ] == [True, False, True, False, True, True, False, False]
 
 
 def test_first_boxed_line_end(spark):
@@ -42,17 +65,63 @@ def test_strip_thinking(spark):
     assert column(spark, A.strip_thinking, *cases) == list(cases.values())
 
 
-@pytest.mark.parametrize(("given", "truth", "ok"), [("\\frac12", "\\frac{1}{2}", True), ("0.5", "1/2", True), (".5", "0.5", True), ("x=3", "3", True), ("3\\text{ cm}", "3", True), ("\\sqrt2", "\\sqrt{2}", True), ("1\\%", "1", True), ("2/4", "1/2", False)])
+@pytest.mark.parametrize(
+    ("given", "truth", "ok"),
+    [
+        ("\\frac12", "\\frac{1}{2}", True),
+        ("0.5", "1/2", True),
+        (".5", "0.5", True),
+        ("x=3", "3", True),
+        ("3\\text{ cm}", "3", True),
+        ("\\sqrt2", "\\sqrt{2}", True),
+        ("1\\%", "1", True),
+        ("2/4", "1/2", False),
+    ],
+)
 def test_mathd(given, truth, ok):
     assert (G.mathd(given) == G.mathd(truth)) is ok
 
 
-@pytest.mark.parametrize(("given", "truth", "ok"), [("1,234", "1234", True), ("(1, 2)", "(1,2)", True), ("[1,2)", "(1,2)", False), ("2+3", "5", False), ("2*x", "2*x", True), ("1/2+1/3", "(2+3)/6", True), ("2/4", "1/2", False), ("5 days", "5", True), ("3 million", "3*10^6", True), ("", "1", False), ("sqrt(4)+1/2", "5/2", True)])
+@pytest.mark.parametrize(
+    ("given", "truth", "ok"),
+    [
+        ("1,234", "1234", True),
+        ("(1, 2)", "(1,2)", True),
+        ("[1,2)", "(1,2)", False),
+        ("2+3", "5", False),
+        ("2*x", "2*x", True),
+        ("1/2+1/3", "(2+3)/6", True),
+        ("2/4", "1/2", False),
+        ("5 days", "5", True),
+        ("3 million", "3*10^6", True),
+        ("", "1", False),
+        ("sqrt(4)+1/2", "5/2", True),
+    ],
+)
 def test_plain(given, truth, ok):
     assert G.grade_plain(given, truth) is ok
 
 
-@pytest.mark.parametrize(("a", "b", "ok"), [("x+x", "2x", True), ("(x+1)^2", "x^2+2x+1", True), ("(x+1)^2", "x^2+1", False), ("(a^2-b^2)/(a-b)", "a+b", True), ("1/sqrt(3)", "sqrt(3)/3", True), ("sqrt(12)", "2sqrt(3)", True), ("sqrt(x)", "sqrt(x)", True), ("sqrt(x)", "sqrt(y)", False), ("1/0", "2/0", False), ("2^70", "2^70", False), ("x^9", "x^8*x", True), ("((x", "((x", True), ("pi+1", "1+pi", True), ("p+i", "i+p", True), ("-x^2", "(-x)^2", False)])
+@pytest.mark.parametrize(
+    ("a", "b", "ok"),
+    [
+        ("x+x", "2x", True),
+        ("(x+1)^2", "x^2+2x+1", True),
+        ("(x+1)^2", "x^2+1", False),
+        ("(a^2-b^2)/(a-b)", "a+b", True),
+        ("1/sqrt(3)", "sqrt(3)/3", True),
+        ("sqrt(12)", "2sqrt(3)", True),
+        ("sqrt(x)", "sqrt(x)", True),
+        ("sqrt(x)", "sqrt(y)", False),
+        ("1/0", "2/0", False),
+        ("2^70", "2^70", False),
+        ("x^9", "x^8*x", True),
+        ("((x", "((x", True),
+        ("pi+1", "1+pi", True),
+        ("p+i", "i+p", True),
+        ("-x^2", "(-x)^2", False),
+    ],
+)
 def test_exact_arithmetic(a, b, ok):
     assert G.equal_exactly(a, b) is ok
 
@@ -64,7 +133,14 @@ def test_products_equal_their_expansion(a, b, c):
 
 
 def test_latex_text():
-    cases = {"\\frac{1}{2}": "1/2", "\\sqrt{\\frac{x}{4}}": "sqrt( x/4)", "2\\pi r": "2pi r", "\\text{ab} \\cdot \\left(3\\right)": "ab * (3)", "1\\frac12": "1 1/2", "\\unknown{7}": "7"}
+    cases = {
+        "\\frac{1}{2}": "1/2",
+        "\\sqrt{\\frac{x}{4}}": "sqrt( x/4)",
+        "2\\pi r": "2pi r",
+        "\\text{ab} \\cdot \\left(3\\right)": "ab * (3)",
+        "1\\frac12": "1 1/2",
+        "\\unknown{7}": "7",
+    }
     assert {k: G.latex_text(k) for k in cases} == cases
 
 
@@ -83,7 +159,17 @@ def test_boxed_is_balanced(text):
     assert got is None or got.count("{") >= 0 and ("\\boxed{" + got + "}") in "\\boxed{" + text
 
 
-@pytest.mark.parametrize(("text", "got"), [('{"a": 1}', {"a": 1}), ('x {"a": {"b": "}"}} y', {"a": {"b": "}"}}), ("```json\n[1]\n```", [1]), ("{bad} {\"c\": 2}", {"c": 2}), ("none", None), (None, None)])
+@pytest.mark.parametrize(
+    ("text", "got"),
+    [
+        ('{"a": 1}', {"a": 1}),
+        ('x {"a": {"b": "}"}} y', {"a": {"b": "}"}}),
+        ("```json\n[1]\n```", [1]),
+        ("{bad} {\"c\": 2}", {"c": 2}),
+        ("none", None),
+        (None, None),
+    ],
+)
 def test_first_object(text, got):
     assert Y.first_object(text) == got
 

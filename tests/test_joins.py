@@ -54,4 +54,6 @@ def test_gaps_query_groups_every_document(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     assert sum(r.n for r in got) == len(docs) and {r.example_id for r in got} == set(range(max(r.example_id for r in got) + 1))
     assert {r.example_id for r in got if r.n == 0} == set(range(1, len(got), 2))
-    assert "".join(sorted("".join(r.responses for r in got).replace(",", ""))) == "".join(sorted("".join(d.text for d in docs).replace(",", "")))
+    assert "".join(
+        sorted("".join(r.responses for r in got).replace(",", ""))
+    ) == "".join(sorted("".join(d.text for d in docs).replace(",", "")))

@@ -5,7 +5,14 @@ import re
 from quern.plans import registry
 from quern.plans.facts import boxed_texts
 
-PLACES = ["\nso \\boxed{9} mid\n", "\nFinal answer: 31\n", " 17/4 x ", "\\boxed{ } \\boxed{\\frac{2}{3}} y\n", "\n#### 8\nThe answer is 12.\n", " "]
+PLACES = [
+    "\nso \\boxed{9} mid\n",
+    "\nFinal answer: 31\n",
+    " 17/4 x ",
+    "\\boxed{ } \\boxed{\\frac{2}{3}} y\n",
+    "\n#### 8\nThe answer is 12.\n",
+    " ",
+]
 MARKERS = [r"The answer is\s*([^\n\.]+)", r"Final answer\s*:?\s*([^\n]+)", r"Answer\s*:\s*([^\n]+)", r"####\s*([^\n]+)"]
 
 
@@ -66,7 +73,10 @@ def boxed_only(t):
 def test_answers_behind_the_beginning(spark, tmp_path):
     rows = [(i, "word " * 60 + place + "more " * 40) for i, place in enumerate(p for p in PLACES for _ in range(6))]
     sf = str(tmp_path)
-    spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").coalesce(1).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(
+        [(i, t, len(t)) for i, t in rows],
+        "doc_id long, text string, n_chars long",
+    ).coalesce(1).write.parquet(f"{sf}/documents.parquet")
     whole = {r.doc_id: r.text for r in boxed_texts(spark, sf).collect()}
     assert all(whole[i].startswith(t) for i, t in rows)
     got = {q: {r.doc_id: r for r in registry.queries()[q](spark, sf).collect()} for q in ("X1_extract_answer", "X2_last_boxed", "X3_markers", "X4_last_number", "X7_judge", "X8_X9_boxed_only", "X20_X22_boxes", "X21_boxed_line_end", "R5_boxed_trim")}

@@ -54,7 +54,13 @@ def final(spark, pieces, horizon=None, **more):
 
 def test_boxed_tail_goes_and_an_end_is_appended(spark):
     r = final(spark, ["so ", "\\boxed{", "3}", "\n", "again ", "\\boxed{3}"])
-    assert (r.token_ids, r.stop_reason, r.appended_eos, r.emitted_eos, r.raw_boxed_count) == ([10, 11, 12, 13, 1], "boxed_answer", True, False, 2)
+    assert (
+        r.token_ids,
+        r.stop_reason,
+        r.appended_eos,
+        r.emitted_eos,
+        r.raw_boxed_count,
+    ) == ([10, 11, 12, 13, 1], "boxed_answer", True, False, 2)
 
 
 def test_no_room_for_an_end(spark):
@@ -67,7 +73,10 @@ def test_empty_box_is_passed_over(spark):
 
 
 def test_sequence_mean_and_zero_weights(spark):
-    df = spark.createDataFrame([(1, True, 2.0, 1.0), (1, True, 4.0, 1.0), (2, True, 10.0, 0.5), (3, False, 99.0, 1.0)], "seq_id int, active boolean, v double, seq_weight double")
+    df = spark.createDataFrame(
+        [(1, True, 2.0, 1.0), (1, True, 4.0, 1.0), (2, True, 10.0, 0.5), (3, False, 99.0, 1.0)],
+        "seq_id int, active boolean, v double, seq_weight double",
+    )
     assert masked.sequence_mean(df, "v").first()[0] == (3 + 5) / 1.5
     assert masked.sequence_mean(df.withColumn("seq_weight", F.lit(0.0)), "v").first()[0] == 0.0
     half = df.where("seq_id = 2")
@@ -77,5 +86,9 @@ def test_sequence_mean_and_zero_weights(spark):
 def test_empty_masks_are_zero(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
     none = F.col("x") > 5
-    r = df.agg(masked.masked_mean(F.col("x"), none).alias("m"), *masked.masked_quantiles(F.col("x"), none, (0.5,)), masked.masked_correlation(F.col("x"), F.col("y"), ~none).alias("r")).first()
+    r = df.agg(
+        masked.masked_mean(F.col("x"), none).alias("m"),
+        *masked.masked_quantiles(F.col("x"), none, (0.5,)),
+        masked.masked_correlation(F.col("x"), F.col("y"), ~none).alias("r"),
+    ).first()
     assert tuple(r) == (0.0, 0.0, 0.0)

@@ -31,7 +31,9 @@ def test_strict_lines_fail(spark, tmp_path):
 
 def test_line_numbers(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text("a\n\nb\n")
-    assert [(r.line_number, r.line) for r in readers.numbered_lines(spark, str(tmp_path)).orderBy("line_number").collect()] == [(1, "a"), (3, "b")]
+    assert [
+        (r.line_number, r.line) for r in readers.numbered_lines(spark, str(tmp_path)).orderBy("line_number").collect()
+    ] == [(1, "a"), (3, "b")]
 
 
 def test_writers(spark, tmp_path):
@@ -56,11 +58,22 @@ def test_config(tmp_path):
 
 
 def test_validation():
-    good = {"loss_backend": "adaptive_opd", "strategy": "full", "opd_loss_mode": "prune_opd", "reverse_top_k": 16, "forward_top_k": 16, "overlap_top_k": 16}
+    good = {
+        "loss_backend": "adaptive_opd",
+        "strategy": "full",
+        "opd_loss_mode": "prune_opd",
+        "reverse_top_k": 16,
+        "forward_top_k": 16,
+        "overlap_top_k": 16,
+    }
     assert config.problems(good) == []
-    assert config.problems(good | {"opd_loss_mode": "overlap_aux_kl"}) and config.problems(good | {"beta": 1}) and config.problems(good | {"reverse_top_k": 0})
+    assert config.problems(
+        good | {"opd_loss_mode": "overlap_aux_kl"}
+    ) and config.problems(good | {"beta": 1}) and config.problems(good | {"reverse_top_k": 0})
     assert config.problems(good | {"loss_backend": "sampled_rkl"}) and config.problems(good | {"strategy": "esr"})
-    assert config.with_lengths({"strategy": "esr", "prefix_length": 50, "max_length": 4096, "max_prompt_length": 100, "auto_shrink_max_length": True})["effective_max_length"] == 150
+    assert config.with_lengths(
+        {"strategy": "esr", "prefix_length": 50, "max_length": 4096, "max_prompt_length": 100, "auto_shrink_max_length": True}
+    )["effective_max_length"] == 150
 
 
 def test_checkpoints(spark, tmp_path):
@@ -73,7 +86,9 @@ def test_checkpoints(spark, tmp_path):
 
 def test_log_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"ts": "2024-01-01T00:10:00Z", "route": "r", "final_loss": 1.0}\n{"ts": "2024-01-01T00:20:00Z", "route": "r", "final_loss": 3.0}\n')
+    (tmp_path / "in" / "a.json").write_text(
+        '{"ts": "2024-01-01T00:10:00Z", "route": "r", "final_loss": 1.0}\n{"ts": "2024-01-01T00:20:00Z", "route": "r", "final_loss": 3.0}\n'
+    )
     stream = logs.windowed_routes(logs.tail(spark, str(tmp_path / "in"), "ts timestamp, route string, final_loss double"))
     q = stream.writeStream.outputMode("complete").format("memory").queryName("routes").start()
     q.processAllAvailable()
@@ -82,8 +97,13 @@ def test_log_as_a_stream(spark, tmp_path):
 
 
 def test_stops_with_state(spark, tmp_path):
-    spark.createDataFrame([(1, 0, "a \\boxed{"), (1, 1, "2}"), (1, 2, "\n"), (1, 3, "z"), (2, 0, "b")], "seq_id long, pos long, piece string").write.parquet(str(tmp_path / "in"))
-    q = logs.boxed_stops(logs.tail(spark, str(tmp_path / "in"), "seq_id long, pos long, piece string", "parquet")).writeStream.outputMode("update").format("memory").queryName("stops").start()
+    spark.createDataFrame(
+        [(1, 0, "a \\boxed{"), (1, 1, "2}"), (1, 2, "\n"), (1, 3, "z"), (2, 0, "b")],
+        "seq_id long, pos long, piece string",
+    ).write.parquet(str(tmp_path / "in"))
+    q = logs.boxed_stops(
+        logs.tail(spark, str(tmp_path / "in"), "seq_id long, pos long, piece string", "parquet")
+    ).writeStream.outputMode("update").format("memory").queryName("stops").start()
     q.processAllAvailable()
     q.stop()
     assert {(r.seq_id, r.tokens, r.stop_at) for r in spark.table("stops").collect()} == {(1, 4, 2), (2, 1, None)}

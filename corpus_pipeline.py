@@ -24,6 +24,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored(docs, index, leave_own=True).where("predicted = 0").select("row.*")
 
 
+#: Ids of rows to drop that are broadcast at most; more of them meet the documents in a shuffle.
+FEW = 1_000_000
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for those with an id of ``gone``."""
+    gone = Scratch(docs.sparkSession).table(gone.where("doc_id is not null").select("doc_id").distinct(), "gone")
+    few = gone.limit(FEW + 1).count() <= FEW
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates.
 
@@ -31,24 +42,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     linked ones with the same id that of the least hash stays.  Of rows with
     equal id and text the least in the order of the other columns stays.
     """
-    named = docs.where("doc_id is not null")
     mark = F.xxhash64("doc_id", "text")
-    several = named.groupBy("doc_id").agg((F.min(mark) != F.max(mark)).alias("more")).where("more")
-    if several.limit(1).count():
-        own = named.select("doc_id", "text", mark.alias("row"))
-        found = near_duplicates(own.select("row", "text").distinct(), "row", "text").select(F.col("doc_id").alias("row"), "component_id")
-        members = own.select("doc_id", "row").distinct().join(found, "row")
-        kept = members.groupBy("component_id").agg(
-            F.min(F.struct("doc_id", "row")).alias("least")
-        ).select(F.col("least.row").alias("kept_"))
-        one = named.join(kept, mark == F.col("kept_"), "left_semi")
+    by_id = docs.where("doc_id is not null").groupBy("doc_id").agg((F.min(mark) != F.max(mark)).alias("more"), F.count("*").alias("n"))
+    several, repeated = by_id.agg(F.max("more"), F.max("n") > 1).first()
+    if several:
+        own = docs.where("doc_id is not null").select("doc_id", "text", mark.alias("row"))
+        found = near_duplicates(own.select("row", "text").distinct(), "row", "text")
+        members = own.select("doc_id", "row").distinct().join(found.select(F.col("doc_id").alias("row"), "component_id"), "row")
+        least = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+        kept = docs.join(least.select(F.col("least.row").alias("kept_")), mark == F.col("kept_"), "left_semi")
+        kept = kept.where("doc_id is not null").unionByName(docs.where("doc_id is null"))
     else:
-        kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
-        one = named.join(kept, "doc_id", "left_semi")
+        kept = _without(docs, near_duplicates(docs.select("doc_id", "text")).where("not kept"))
+    if not repeated:
+        return kept
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    least = one.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__0"), *others)).alias("__r"))
+    first = F.min(F.struct(F.lit(0).alias("__0"), *others)).alias("__r")
+    one = kept.where("doc_id is not null").groupBy("doc_id", "text").agg(first)
     columns = [F.col(c) if c in ("doc_id", "text") else F.col(f"__r.`{c}`").alias(c) for c in docs.columns]
-    return least.select(*columns).unionByName(docs.where("doc_id is null"))
+    return one.select(*columns).unionByName(docs.where("doc_id is null"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +82,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    bad = leaks(docs.select("doc_id", "text"), benchmark).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, leaks(docs.select("doc_id", "text"), benchmark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,7 +187,8 @@ def _settle_first(table: pa.Table) -> pa.Table:
     group[1:] = g[1:] != g[:-1]
     new = group.copy()
     new[1:] |= c[1:] != c[:-1]
-    flag = np.where(new, 0, 1).astype(np.uint8)
+    # entries of the least document, of which several blocks may hold rows, are no repeats
+    later = doc > doc[new][np.cumsum(new) - 1] if len(g) else new
     starts = np.flatnonzero(group)
     counts = np.diff(np.append(starts, len(g)))
     contexts = np.add.reduceat(new.astype(np.int64), starts) if len(starts) else starts
@@ -195,7 +196,7 @@ def _settle_first(table: pa.Table) -> pa.Table:
         f.reduceat(np.where(new, doc, doc[np.repeat(starts, counts)]), starts) if len(starts) else starts for f in (np.minimum, np.maximum)
     )
     ask = np.where((contexts > 1) & (least < most), np.where(contexts > COMMON, 3, 2), 0).astype(np.uint8)
-    flag = np.where(new, np.repeat(ask, counts), flag)
+    flag = np.where(later, 1, np.repeat(ask, counts)).astype(np.uint8)
     back = np.empty(len(o), np.uint8)
     back[o] = flag
     out, at = [], 0
@@ -426,7 +427,9 @@ def remove_repeats(
     row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)]).alias("row")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"))
-    texts = rows.where("__id is not null").withColumn("__block", F.pmod(F.xxhash64("__id"), F.lit(blocks)))
+    # rows of one id, and copies of one row, are dealt to many blocks; the table fixes the deal
+    dealt = F.pmod(F.xxhash64("__id", "__th", F.spark_partition_id()), F.lit(blocks))
+    texts = rows.where("__id is not null").withColumn("__block", dealt)
     # texts are shuffled once, into the buckets of their blocks; every step reads them there
     texts = keep.dealt(texts, "__block", "blocked")
     small = texts.select("__block", "__id", "__th", "__text")

@@ -86,6 +86,17 @@ def test_suffix_dedup(spark, monkeypatch, common):
     assert S.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_one_id_in_many_blocks(spark):
+    """Rows that share an id, equal or not, lie in several blocks and still do not cut each other."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdef ") for _ in range(n))
+    shared, own = text(120), text(90)
+    pairs = [(5, text(r.randint(0, 40)) + shared + text(9)) for _ in range(30)] + [(5, own)] * 20 + [(9, own), (9, text(20) + shared), (2, own[:60])]
+    table = docs(spark, pairs).repartition(7)
+    got = S.remove_repeats(table, with_text=False).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert Counter(tuple(x) for x in got) == cut_brute(pairs)
+
+
 def sets_brute(pairs):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     out = {}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.answers import boxed_count, first_boxed_line_end
-from quern.operators.sequence import first_n, repeated_ratio
+from quern.operators.sequence import bound, first_n, repeated_ratio
 
 
 def normalised_ids(value: Column, kind: str) -> Column:
@@ -68,23 +68,24 @@ def boxed_trim(pieces: Column) -> tuple[Column, Column, Column]:
     """(tokens kept, whether any went, boxes in the text) of additive text pieces.
 
     Keeps the fewest pieces whose text reaches the end of the line with the first complete box.
+    The text is joined once, and one fold finds the first piece whose end reaches the line's.
     """
-    text = F.array_join(pieces, "")
-    end = first_boxed_line_end(text)
-    # one fold with the end in its state: a lambda would evaluate it anew for every piece
-    reach = F.aggregate(
-        F.transform(pieces, lambda p: F.length(p)),
-        F.struct(end.alias("end"), F.lit(0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("reach")),
-        lambda a, x: F.struct(
-            a["end"].alias("end"),
-            (a["sum"] + x).alias("sum"),
-            (a["n"] + 1).alias("n"),
-            F.when((a["reach"] == 0) & (a["sum"] + x >= a["end"]), a["n"] + 1).otherwise(a["reach"]).alias("reach"),
-        ),
-        lambda a: a["reach"],
-    )
-    kept = F.when(end.isNull() | (F.size(pieces) == 0), F.size(pieces)).otherwise(F.when(reach > 0, reach).otherwise(F.size(pieces)))
-    return kept, kept < F.size(pieces), boxed_count(text)
+
+    def of(p: Column, text: Column) -> Column:
+        def reach(end: Column) -> Column:
+            start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("reach"))
+            step = lambda a, x: F.struct(
+                (a["sum"] + F.length(x)).alias("sum"),
+                (a["n"] + 1).alias("n"),
+                F.when((a["reach"] == 0) & (a["sum"] + F.length(x) >= end), a["n"] + 1).otherwise(a["reach"]).alias("reach"),
+            )
+            return F.nullif(F.aggregate(p, start, step, lambda a: a["reach"]), F.lit(0))
+
+        kept = bound(first_boxed_line_end(text), lambda end: F.when(end.isNotNull(), reach(end)))
+        return F.struct(F.coalesce(kept, F.size(p)).alias("kept"), F.size(p).alias("size"), boxed_count(text).alias("boxes"))
+
+    found = bound(pieces, lambda p: bound(F.array_join(p, ""), lambda text: of(p, text)))
+    return found["kept"], found["kept"] < found["size"], found["boxes"]
 
 
 def finalized(

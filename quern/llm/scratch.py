@@ -47,7 +47,8 @@ class Scratch:
 
         The catalog is told of the buckets and forgets them again; the files stay until they are dropped.
         """
-        n, as_table = parts(self.spark), f"quern_{name}_{uuid.uuid4().hex}"
+        most = int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+        n, as_table = min(parts(self.spark), most), f"quern_{name}_{uuid.uuid4().hex}"
         dealt = df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd")
         dealt.option("path", f"{self.folder}/{name}").saveAsTable(as_table)
         release(self.spark)

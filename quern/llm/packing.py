@@ -32,15 +32,21 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw
 
 
+#: Arrays of up to so many values are packed as they are: planes would cost more than they save.
+FEW = 48
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of any integer type as one cell; small values cost little."""
-    out = [struct.pack("<I", len(arrays))]
+    """Arrays of any integer type as one cell; small values cost little, and short arrays little more than their bytes."""
+    out = [struct.pack("<B", len(arrays))]
     for a in arrays:
         a = np.ascontiguousarray(a)
-        planes = a.view(np.uint8).reshape(len(a), a.itemsize).T if len(a) else np.zeros((0, 0), np.uint8)
-        code = a.dtype.str.encode()
-        out.append(struct.pack("<B", len(code)) + code + struct.pack("<Q", len(a)))
-        for plane in planes:
+        code, few = a.dtype.str.encode(), len(a) <= FEW
+        out.append(struct.pack("<B", len(code) + 128 * few) + code + struct.pack("<B" if few else "<Q", len(a)))
+        if few:
+            out.append(a.tobytes())
+            continue
+        for plane in a.view(np.uint8).reshape(len(a), a.itemsize).T:
             plane = np.ascontiguousarray(plane)
             raw = plane.tobytes()
             # random planes stay as they are; others are mostly zero or repetitive
@@ -52,16 +58,20 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 
 def unpack(cell: bytes) -> list[np.ndarray]:
-    (n,) = struct.unpack_from("<I", cell)
-    at, out = 4, []
+    n, at, out = cell[0], 1, []
     for _ in range(n):
-        code = cell[at + 1 : at + 1 + cell[at]].decode()
-        at += 1 + cell[at]
+        few, letters = cell[at] >= 128, cell[at] % 128
+        kind = np.dtype(cell[at + 1 : at + 1 + letters].decode())
+        at += 1 + letters
+        if few:
+            size = cell[at]
+            out.append(np.frombuffer(cell, kind, size, at + 1).copy())
+            at += 1 + size * kind.itemsize
+            continue
         (size,) = struct.unpack_from("<Q", cell, at)
         at += 8
-        kind = np.dtype(code)
         planes = np.empty((kind.itemsize, size), np.uint8)
-        for i in range(kind.itemsize if size else 0):
+        for i in range(kind.itemsize):
             (length,) = struct.unpack_from("<Q", cell, at)
             raw = cell[at + 8 : at + 8 + length]
             planes[i] = np.frombuffer(raw if length == size else zlib.decompress(raw), np.uint8)

@@ -86,6 +86,16 @@ def test_suffix_dedup(spark, monkeypatch, common):
     assert S.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_packed_arrays_come_back():
+    from quern.llm.packing import pack, unpack
+
+    r = np.random.RandomState(0)
+    for n in (0, 1, 47, 48, 49, 5000):
+        arrays = [r.randint(0, 9, n).astype(k) for k in (np.uint8, np.int32, np.uint64)] + [r.randint(-(2**62), 2**62, n)]
+        got = unpack(pack(*arrays))
+        assert [x.dtype for x in got] == [x.dtype for x in arrays] and all(map(np.array_equal, got, arrays))
+
+
 def test_suffix_dedup_of_one_id_in_many_blocks(spark):
     """Rows that share an id, equal or not, lie in several blocks and still do not cut each other."""
     r = random.Random(8)

@@ -146,12 +146,17 @@ class _Block:
         new[1:] = (self.g[1:] != self.g[:-1]) | (self.c[1:] != self.c[:-1])
         self.first = np.flatnonzero(new)
         self.unique_of = np.cumsum(new) - 1
-        bucket = _bucket(self.g[self.first], buckets)
+        bucket = _bucket(self.g[self.first], buckets, z.w)
         self.cuts = np.searchsorted(bucket, np.arange(buckets + 1))
 
 
-def _bucket(g: np.ndarray, buckets: int) -> np.ndarray:
-    return ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _bucket(g: np.ndarray, buckets: int, of: int = 1) -> np.ndarray:
+    """Buckets in the order of hashes that are the least ``of`` so many, about equally full.
+
+    Least hashes crowd near 0; their distribution function spreads them evenly.
+    """
+    share = -np.expm1(of * np.log1p(-np.minimum(g.astype(np.float64) * 2.0**-64, 1 - 2.0**-53)))
+    return np.minimum((share * buckets).astype(np.int64), buckets - 1)
 
 
 def _rows(out: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -238,7 +243,7 @@ def _ask(texts: pa.Table, answers: pa.Table, threshold: int, buckets: int) -> pa
     # surroundings
     two = np.flatnonzero((mine == 2) & ~done)
     u, number = np.unique(b.unique_of[two], return_inverse=True)
-    k = _bucket(b.g[b.first[u]], buckets)
+    k = _bucket(b.g[b.first[u]], buckets, z.w)
     asked.append((k[number], _numbers(k)[number], b.d[two], b.p[two]))
     for key in np.unique(k).tolist():
         f = b.first[u[k == key]]

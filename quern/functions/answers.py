@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.operators.sequence import bound
+
 #: Markers in the order in which their matches are appended. Fixed values.
 MARKERS = [r"####\s*([^\n]+)", r"Answer\s*:\s*([^\n]+)", r"Final answer\s*:?\s*([^\n]+)", r"The answer is\s*([^\n\.]+)"]
 NUMBER = r"[-+]?\d+(?:\.\d+)?(?:/\d+)?"
@@ -57,17 +59,20 @@ def last_line(text: Column) -> Column:
 
 def extract_answer(text: Column, mode: str = "auto") -> Column:
     """Boxed content, else a marker's answer, else the last number, else the last line; '' for blank text."""
-    t = strip(F.coalesce(text, F.lit("")))
-    steps = []
-    if mode in ("auto", "boxed"):
-        steps.append(last_boxed(t))
-    if mode in ("auto", "answer_marker"):
-        steps.append(marked(t))
-    if mode in ("boxed", "answer_marker"):
-        steps.append(F.lit(""))
-    else:
-        steps += [last_number(t), last_line(t)]
-    return F.when(t == "", F.lit("")).otherwise(F.coalesce(*steps))
+
+    def of(t: Column) -> Column:
+        steps = []
+        if mode in ("auto", "boxed"):
+            steps.append(last_boxed(t))
+        if mode in ("auto", "answer_marker"):
+            steps.append(marked(t))
+        if mode in ("boxed", "answer_marker"):
+            steps.append(F.lit(""))
+        else:
+            steps += [last_number(t), last_line(t)]
+        return F.when(t == "", F.lit("")).otherwise(F.coalesce(*steps))
+
+    return bound(strip(F.coalesce(text, F.lit(""))), of)
 
 
 def normalize(answer: Column) -> Column:

@@ -35,8 +35,13 @@ def test_gaps_and_empty(spark):
 
 
 def test_judge_ratios_are_null_over_zero(spark):
-    df = spark.createDataFrame([], "has_error boolean, within boolean, parse_failed boolean")
-    assert evaluation.judge_summary(df).select("within_of_judged", "judged").first() == (None, 0)
+    schema = "correct boolean, complete boolean, has_error boolean, error_pos int, within boolean"
+    ratios = ["within_of_located", "without_error_of_judged", "parse_failed_of_judged"]
+    for rows in ([], [(True, True, None, None, None), (None, False, None, None, None)]):  # none is judged
+        got = evaluation.judge_summary(spark.createDataFrame(rows, schema)).first()
+        assert got.total_seen == len(rows) and got.judged == 0 and [got[c] for c in ratios] == [None] * 3
+    one = spark.createDataFrame([(True, True, False, None, None)], schema)
+    assert evaluation.judge_summary(one).first().judged == 0 and evaluation.judge_summary(one, judge_all=True).first().without_error == 1
 
 
 def test_two_stage_keeps_the_rule(spark):

@@ -427,7 +427,7 @@ def e24(spark, sf):
     return r6(evaluation.judge_summary(cases))
 
 
-_SAMPLES = "CASE doc_id % 5 WHEN 0 THEN '{\"resps\": [[\"gen ' || doc_id || '\"]], \"doc\": {\"problem\": \"p\", \"answer\": \"a\"}, \"exact_match\": 1.0}' WHEN 1 THEN '{\"response\": \"gen ' || doc_id || '\", \"question\": \"p\", \"target\": \"a\", \"metrics\": {\"acc\": false}}' WHEN 2 THEN '{\"filtered_resps\": [{\"text\": \"gen ' || doc_id || '\"}], \"arguments\": {\"query\": \"p\"}, \"gold\": \"a\", \"correct\": true}' WHEN 3 THEN '{\"arguments\": {\"output\": \"gen ' || doc_id || '\", \"input\": \"p\"}, \"solution\": {\"answer\": \"a\"}}' ELSE '{\"other\": 1}' END"
+_SAMPLES = "CASE doc_id % 5 WHEN 0 THEN '{\"resps\": [[\"gen ' || doc_id || '\"]], \"doc\": {\"problem\": \"p' || n_chars || '\", \"answer\": \"a' || n_chars % 13 || '\"}, \"exact_match\": ' || doc_id % 2 || '.0}' WHEN 1 THEN '{\"response\": \"gen ' || doc_id || '\", \"question\": \"p' || n_chars || '\", \"target\": \"a' || n_chars % 13 || '\", \"metrics\": {\"acc\": ' || CASE WHEN n_chars % 2 = 0 THEN 'true' ELSE 'false' END || '}}' WHEN 2 THEN '{\"filtered_resps\": [{\"text\": \"gen ' || doc_id || '\"}], \"arguments\": {\"query\": \"p' || n_chars || '\"}, \"gold\": \"a' || n_chars % 13 || '\", \"correct\": ' || n_chars % 2 || '}' WHEN 3 THEN '{\"arguments\": {\"output\": \"gen ' || doc_id || '\", \"input\": \"p' || n_chars || '\"}, \"solution\": {\"answer\": \"a' || n_chars % 13 || '\"}}' ELSE '{\"other\": 1}' END"
 
 
 def _samples(spark, sf):
@@ -435,9 +435,17 @@ def _samples(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.alias("j")).withColumn("v", Y.variant(F.col("j")))
 
 
+def _first_path(*paths: str) -> str:
+    return "coalesce(" + ", ".join(f"j ->> '$.{p}'" for p in paths) + ", '')"
+
+
+_RIGHT = "CASE WHEN json_exists(j, '$.exact_match') THEN (j ->> '$.exact_match')::DOUBLE > 0 WHEN json_exists(j, '$.correct') THEN (j ->> '$.correct')::INT > 0 WHEN json_exists(j, '$.metrics.acc') THEN (j ->> '$.metrics.acc')::BOOLEAN END"
+
+
 @query(
     "Y4_Y5_Y6_Y7_samples",
-    "SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN 'gen ' || doc_id ELSE '' END AS generation, CASE WHEN doc_id % 5 < 4 THEN 'p' ELSE '' END AS problem, CASE WHEN doc_id % 5 < 4 THEN 'a' ELSE '' END AS reference, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS correct FROM documents",
+    f"WITH s AS (SELECT doc_id, ({_SAMPLES})::JSON AS j FROM documents) SELECT doc_id, {_first_path('resps[0][0]', 'filtered_resps[0].text', 'response', 'arguments.output')} AS generation, "
+    f"{_first_path('doc.problem', 'question', 'arguments.query', 'arguments.input')} AS problem, {_first_path('doc.answer', 'target', 'gold', 'solution.answer')} AS reference, {_RIGHT} AS correct FROM s",
 )
 def y4(spark, sf):
     v = F.col("v")
@@ -450,7 +458,7 @@ def y4(spark, sf):
     )
 
 
-@query("A7_H5_looks_like_sample", "SELECT doc_id, doc_id % 5 <> 4 AND doc_id % 5 <> 9 AS sample FROM documents")
+@query("A7_H5_looks_like_sample", f"SELECT doc_id, list_has_any(json_keys({_SAMPLES}), {Y.SAMPLE_KEYS}) AS sample FROM documents")
 def a7(spark, sf):
     return _samples(spark, sf).select("doc_id", Y.looks_like_sample(F.col("j")).alias("sample"))
 
@@ -572,12 +580,28 @@ def a13b(spark, sf):
     return readers.latest_checkpoint(read(spark, sf, "documents").select(F.concat(F.lit("checkpoint-"), _id()).alias("name")))
 
 
+_NAMES = "lang || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '_t' || (doc_id % 10 / 10.0) END || '_p0.' || (doc_id % 10) || '_n' || n_chars || CASE WHEN doc_id % 2 = 0 THEN '-MNT' || (doc_id * 8) ELSE '' END || '.jsonl'"
+
+
 @query(
     "X23_file_names",
-    "SELECT doc_id, 'aime' || doc_id AS task, 0.7::DOUBLE AS temperature, 0.9::DOUBLE AS top_p, (doc_id % 16)::INT AS n, 1024 AS max_new_tokens FROM documents",
+    f"""WITH f AS (SELECT doc_id, {_NAMES} AS f FROM documents) SELECT doc_id, string_split(f, '_')[1] AS task, nullif(regexp_extract(f, '_t([0-9.]+)', 1), '')::DOUBLE AS temperature,
+    nullif(regexp_extract(f, '_p([0-9.]+)', 1), '')::DOUBLE AS top_p, nullif(regexp_extract(f, '_n([0-9]+)', 1), '')::INT AS n, nullif(regexp_extract(f, 'MNT([0-9]+)', 1), '')::INT AS max_new_tokens FROM f""",
 )
 def x23(spark, sf):
-    name = F.concat(F.lit("aime"), _id(), F.lit("_t0.7_p0.9_n"), (F.col("doc_id") % 16).cast("string"), F.lit("-MNT1024.jsonl"))
+    i = F.col("doc_id")
+    heat = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("_t"), (i % 10 / 10.0).cast("string")))
+    long = F.when(i % 2 == 0, F.concat(F.lit("-MNT"), (i * 8).cast("string"))).otherwise("")
+    name = F.concat(
+        "lang",
+        heat,
+        F.lit("_p0."),
+        (i % 10).cast("string"),
+        F.lit("_n"),
+        F.col("n_chars").cast("string"),
+        long,
+        F.lit(".jsonl"),
+    )
     d = read(spark, sf, "documents").select("doc_id", name.alias("name"))
     return d.select("doc_id", *[c.alias(k) for k, c in readers.file_parameters(F.col("name")).items()])
 

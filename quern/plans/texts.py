@@ -252,27 +252,55 @@ def x10(spark, sf):
     return read(spark, sf, "documents").select("doc_id", G.mathd_udf(t).alias("form"))
 
 
+_NUMBERS = """WITH n AS (SELECT doc_id, n_chars, CASE doc_id % 5 WHEN 0 THEN n_chars || ',000' WHEN 1 THEN n_chars || ',234,567' WHEN 2 THEN n_chars || '/' || (doc_id % 12) WHEN 3 THEN (n_chars / 8.0)::VARCHAR ELSE '-' || n_chars || '/0' || (doc_id % 3) END AS t FROM documents),
+c AS (SELECT *, regexp_replace(regexp_replace(t, '(\\d),(\\d\\d\\d)($|\\D)', '\\1\\2\\3', 'g'), '(\\d),(\\d\\d\\d)($|\\D)', '\\1\\2\\3', 'g') AS bare FROM n)"""
+
+
 @query(
     "X11_X12_X14_plain",
-    "SELECT doc_id, (n_chars * 1000)::VARCHAR AS plain, n_chars || '234567' AS no_commas, true AS whole, doc_id % 2 = 0 AS fraction FROM documents",
+    _NUMBERS + r""" SELECT doc_id, (n_chars * 1000)::VARCHAR AS plain, bare AS no_commas, coalesce(abs(try_cast(bare AS DOUBLE) - round(try_cast(bare AS DOUBLE))) <= 1e-7, false) AS whole,
+    regexp_matches(t, '^-?[0-9]+.?/0*[1-9][0-9]*.?$') AS fraction FROM c""".replace("\\\\", "\\"),
 )
 def x11(spark, sf):
     ship(spark)
-    n = F.col("n_chars").cast("string")
-    return read(spark, sf, "documents").select(
-        "doc_id", G.plain_udf(F.concat((F.col("n_chars") * 1000).cast("string"), F.lit(".0"))).alias("plain"),
-        G.commas_udf(F.concat(n, F.lit(",234,567"))).alias("no_commas"), G.is_int_udf(F.concat(n, F.lit(",000"))).alias("whole"),
-        G.is_fraction(F.when(F.col("doc_id") % 2 == 0, F.concat(n, F.lit("/9"))).otherwise(n)).alias("fraction"))
+    n, k = F.col("n_chars").cast("string"), F.col("doc_id") % 5
+    eighth = (F.col("n_chars") / 8.0).cast("string")
+    t = F.when(k == 0, F.concat(n, F.lit(",000"))).when(k == 1, F.concat(n, F.lit(",234,567")))
+    t = t.when(k == 2, F.concat(n, F.lit("/"), (F.col("doc_id") % 12).cast("string"))).when(k == 3, eighth)
+    t = t.otherwise(F.concat(F.lit("-"), n, F.lit("/0"), (F.col("doc_id") % 3).cast("string")))
+    return read(spark, sf, "documents").select("doc_id", "n_chars", t.alias("t")).select(
+        "doc_id",
+        G.plain_udf(F.concat((F.col("n_chars") * 1000).cast("string"), F.lit(".0"))).alias("plain"),
+        G.commas_udf(F.col("t")).alias("no_commas"),
+        G.is_int_udf(F.col("t")).alias("whole"),
+        G.is_fraction(F.col("t")).alias("fraction"),
+    )
 
 
-@query("X13_X15_tuples", "SELECT doc_id, 'a|' || n_chars AS parts, doc_id % 2 = 0 AS allowed FROM documents")
+#: Texts of tuples and others, and expressions with several letters, from the row's own columns.
+_TUPLES = """WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '(' || lang || ', ' || n_chars || ']' WHEN 1 THEN '[' || lang || ',' || source || ' ,' || n_chars || ')' WHEN 2 THEN lang || ', ' || source ELSE '((' || lang || '))' END AS t,
+CASE doc_id % 4 WHEN 0 THEN 'sqrt(' || left(lang, 1) || ')+' || left(source, 1) WHEN 1 THEN left(source, (doc_id % 5)::INT) || '+x^2' WHEN 2 THEN left(lang, 1) || '^' || (n_chars % 30) ELSE lang || '^{2}' END AS e FROM documents)"""
+
+
+@query(
+    "X13_X15_tuples",
+    _TUPLES + r""" SELECT doc_id, CASE WHEN regexp_matches(t, '^[()\[\]][^()\[\]]+[()\[\]]$') THEN array_to_string(list_transform(string_split(t[2:-2], ','), lambda x: trim(x)), '|') ELSE t END AS parts,
+    len(list_distinct(regexp_extract_all(regexp_replace(e, 'sqrt|frac', '', 'g'), '\p{L}'))) <= 2 AND NOT regexp_matches(e, '\^[{(]|\^[0-9]+\^|\^[0-9][0-9]+') AS allowed FROM t""",
+)
 def x13(spark, sf):
     ship(spark)
-    n = F.col("n_chars").cast("string")
+    k, n, c = F.col("doc_id") % 4, F.col("n_chars").cast("string"), F.concat
+    t = F.when(k == 0, c(F.lit("("), "lang", F.lit(", "), n, F.lit("]")))
+    t = t.when(k == 1, c(F.lit("["), "lang", F.lit(","), "source", F.lit(" ,"), n, F.lit(")")))
+    t = t.when(k == 2, c("lang", F.lit(", "), "source")).otherwise(c(F.lit("(("), "lang", F.lit("))")))
+    first = lambda name, m=F.lit(1): F.left(name, m)
+    e = F.when(k == 0, c(F.lit("sqrt("), first("lang"), F.lit(")+"), first("source")))
+    e = e.when(k == 1, c(first("source", (F.col("doc_id") % 5).cast("int")), F.lit("+x^2")))
+    e = e.when(k == 2, c(first("lang"), F.lit("^"), (F.col("n_chars") % 30).cast("string"))).otherwise(c("lang", F.lit("^{2}")))
     return read(spark, sf, "documents").select(
         "doc_id",
-        F.array_join(G.elements_udf(F.concat(F.lit("(a, "), n, F.lit("]"))), "|").alias("parts"),
-        G.evaluable(F.when(F.col("doc_id") % 2 == 0, F.lit("sqrt(x)+y")).otherwise(F.lit("x^{2}"))).alias("allowed"),
+        F.array_join(G.elements_udf(t), "|").alias("parts"),
+        G.evaluable(e).alias("allowed"),
     )
 
 

@@ -386,29 +386,50 @@ def y12(spark, sf):
     return read(spark, sf, "events").select("event_id", F.size(F.when(k == 2, many).otherwise(one)).alias("n"))
 
 
-@query("Y1_repaired_json", "SELECT doc_id, '{\"a\": ' || doc_id || '}' AS body FROM documents")
+#: Answers of a judge: prose around an object, a fenced one, one of odd values, and none.
+_VERDICTS = """CASE doc_id % 4 WHEN 0 THEN 'ok {"has_error": true, "explanation": "' || source || '", "earliest_error_chunk_id": "' || (doc_id % 7) || '"} end' WHEN 1 THEN '```json' || chr(10) || '{"has_error": ' || CASE WHEN n_chars % 2 = 0 THEN 'true, "earliest_error_chunk_id": ' || (n_chars % 9) ELSE 'false' END || '}' || chr(10) || '```'
+WHEN 2 THEN '{"has_error": "' || lang || '", "earliest_error_chunk_id": "' || lang || '"}' ELSE 'nothing in ' || source END"""
+_ESCAPED = "'<think>no {</think> it is ```json {x \\{\"a\": ' || doc_id || ', \"b\": \"' || source || ' ' || n_chars || '\"\\} rest'"
+
+
+@query("Y1_repaired_json", f"SELECT doc_id, regexp_extract(replace(replace({_ESCAPED}, '\\{{', '{{'), '\\}}', '}}'), '\\{{[^{{}}]*\\}}') AS body FROM documents")
 def y1(spark, sf):
     ship(spark)
-    t = F.concat(F.lit("<think>no {</think> it is ```json {x \\{\"a\": "), _id(), F.lit("\\} rest"))
-    return read(spark, sf, "documents").select("doc_id", Y.repaired(t).alias("body"))
+    text = F.concat(
+        F.lit('<think>no {</think> it is ```json {x \\{"a": '),
+        _id(),
+        F.lit(', "b": "'),
+        "source",
+        F.lit(" "),
+        F.col("n_chars").cast("string"),
+        F.lit('"\\} rest'),
+    )
+    return read(spark, sf, "documents").select("doc_id", Y.repaired(text).alias("body"))
 
 
-def _judged(spark, sf):
+def _decided(spark, sf):
     ship(spark)
-    k = F.col("doc_id") % 4
-    t = F.when(
-        k == 0,
-        F.concat(F.lit('ok {"has_error": true, "earliest_error_chunk_id": "'), (F.col("doc_id") % 7).cast("string"), F.lit('"} end')),
-    ).when(k == 1, '```json\n{"has_error": false}\n```').when(k == 2, '{"has_error": "yes", "earliest_error_chunk_id": "x"}').otherwise("nothing here")
-    return read(spark, sf, "documents").select("doc_id", Y.decision(t).alias("d")).select("doc_id", "d.*")
+    d = read(spark, sf, "documents").select("doc_id", F.expr(_VERDICTS.replace("chr(10)", "char(10)")).alias("t"))
+    return d.select("doc_id", Y.decision(F.col("t")).alias("d")).select("doc_id", "d.*")
 
 
 @query(
     "Y2_Y3_decisions",
-    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS has_error, CASE WHEN doc_id % 4 = 0 THEN doc_id % 7 END AS chunk, doc_id % 4 = 3 AS parse_failed FROM documents",
+    f"""WITH t AS (SELECT doc_id, {_VERDICTS} AS t FROM documents) SELECT doc_id, nullif(regexp_extract(t, '"has_error": (true|false)', 1), '')::BOOLEAN AS has_error,
+    nullif(regexp_extract(t, '"earliest_error_chunk_id": "?([0-9]+)', 1), '')::INT AS chunk, NOT contains(t, '{{') AS parse_failed, CASE WHEN contains(t, '{{') THEN regexp_extract(t, '"explanation": "([^"]*)"', 1) ELSE 'Could not parse judge output: ' || t END AS said FROM t""",
 )
 def y2(spark, sf):
-    return _judged(spark, sf).select("doc_id", "has_error", F.col("earliest_error_chunk_id").alias("chunk"), "parse_failed")
+    return _decided(spark, sf).select(
+        "doc_id", "has_error", F.col("earliest_error_chunk_id").alias("chunk"), "parse_failed", F.col("explanation").alias("said")
+    )
+
+
+def _judged(spark, sf):
+    ship(spark)
+    k = F.col("doc_id") % 4
+    error = F.concat(F.lit('ok {"has_error": true, "earliest_error_chunk_id": "'), (F.col("doc_id") % 7).cast("string"), F.lit('"} end'))
+    t = F.when(k == 0, error).when(k == 1, '```json\n{"has_error": false}\n```').when(k == 2, '{"has_error": "yes"}').otherwise("nothing here")
+    return read(spark, sf, "documents").select("doc_id", Y.decision(t).alias("d")).select("doc_id", "d.*")
 
 
 @query("E24_judge_summary", """WITH j AS (SELECT CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS c, doc_id % 11 <> 0 AS full_, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS e, CASE WHEN doc_id % 4 = 0 AND doc_id % 7 < 5 THEN doc_id % 7 * 16 + 1 END AS pos FROM documents),
@@ -463,23 +484,23 @@ def a7(spark, sf):
     return _samples(spark, sf).select("doc_id", Y.looks_like_sample(F.col("j")).alias("sample"))
 
 
+#: A message, a list of messages and bare texts, a Python literal, and plain text.
+_QUOTE = "' || chr(39) || '"
+_MESSAGES = f"""CASE doc_id % 4 WHEN 0 THEN '{{"role": "user", "text": "' || source || '"}}' WHEN 1 THEN '[{{"content": "' || lang || '"}}, "b' || n_chars || '", " "]'
+WHEN 2 THEN '[{{{_QUOTE}role{_QUOTE}: {_QUOTE}user{_QUOTE}, {_QUOTE}value{_QUOTE}: {_QUOTE}' || source || ' ' || n_chars || '{_QUOTE}}}]' ELSE ' ' || lang || ' ' || source || ' ' END"""
+
+
 @query(
     "Y8_messages",
-    "SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 2 ELSE 1 END AS n, CASE doc_id % 4 WHEN 0 THEN 'hi' WHEN 1 THEN 'a' WHEN 2 THEN 'lit' ELSE 'plain' END AS content FROM documents",
+    f"""WITH m AS (SELECT doc_id, {_MESSAGES} AS t FROM documents), x AS (SELECT doc_id, t, replace(t, chr(39), '"') AS j FROM m)
+    SELECT doc_id, CASE WHEN starts_with(j, '[') THEN len(list_filter(from_json(j, '["JSON"]'), lambda e: trim(e::VARCHAR, '" ') <> '')) ELSE 1 END::INT AS n,
+    CASE WHEN starts_with(j, '[') THEN coalesce(j ->> '$[0].content', j ->> '$[0].value') WHEN starts_with(j, '{{') THEN j ->> '$.text' ELSE trim(t) END AS content FROM x""",
 )
 def y8(spark, sf):
     ship(spark)
-    k = F.col("doc_id") % 4
-    t = F.when(k == 0, '{"role": "user", "text": "hi"}').when(k == 1, '[{"content": "a"}, "b", " "]').when(
-        k == 2,
-        "[{'role': 'user', 'value': 'lit'}]",
-    ).otherwise(" plain ")
-    m = Y.messages(t)
-    return read(spark, sf, "documents").select("doc_id", m.alias("m")).select(
-        "doc_id",
-        F.size("m").alias("n"),
-        F.col("m")[0]["content"].alias("content"),
-    )
+    text = F.expr(_MESSAGES.replace("chr(39)", "char(39)"))
+    rows = read(spark, sf, "documents").select("doc_id", text.alias("t"))
+    return rows.select("doc_id", Y.messages(F.col("t")).alias("m")).select("doc_id", F.size("m").alias("n"), F.col("m")[0]["content"].alias("content"))
 
 
 _GRADED = "gr AS (SELECT doc_id // 4 AS example_id, doc_id % 3 = 0 AS ok, doc_id % 6 NOT IN (0, 4, 5) AS bad FROM documents)"

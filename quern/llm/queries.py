@@ -63,7 +63,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
-    out = scored(docs, fit(docs, labels))
+    out = scored(docs, fit(docs, labels), columns=["doc_id"])
     return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 

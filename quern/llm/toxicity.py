@@ -191,21 +191,33 @@ def fit(
     return Index(got, tuple(shares))
 
 
-def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", leave_own: bool = False) -> DataFrame:
-    """``row`` (a struct of all of the input's columns), score, predicted, evidence.
+def scored(
+    docs: DataFrame,
+    index: Index,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    leave_own: bool = False,
+    columns: list[str] | None = None,
+) -> DataFrame:
+    """``row`` (a struct of ``columns``, by default all of the input's), score, predicted, evidence.
 
     With ``leave_own`` a document that is an example itself does not vote on itself.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the parameters above
+    carried = docs.columns if columns is None else columns
+    # the text goes to Python once: inside the row where that has it
+    inside = carried.index(text_col) if text_col in carried and dict(docs.dtypes)[text_col] == "string" else None
     own = F.col(f"`{id_col}`").cast("long") if leave_own else F.lit(None).cast("long")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), own.alias("own"))
+    row = F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")
+    text = [] if inside is not None else [F.col(f"`{text_col}`").cast("string").alias("text")]
+    rows = docs.select(row, own.alias("own"), *text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            got = [known.score(x.as_py(), i) for x, i in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
+            texts = batch.column(0).field(inside) if inside is not None else batch.column(2)
+            got = [known.score(x.as_py(), i) for x, i in zip(texts, batch.column(1).to_pylist(), strict=True)]
             score = np.array([g[0] for g in got], float)
             evidence = pa.array([g[1] for g in got], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(

@@ -133,6 +133,42 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"))
 
 
+def op12_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest lines of other items for each item, and sums over all near ones."""
+    from quern.llm.band_join import near_items
+
+    return near_items(_read(spark, sf_dir, "sale_lines"), _read(spark, sf_dir, "items"))
+
+
+#: CRC-32 of short ASCII texts: a table of 256 entries by its rule, then a fold over the bytes.
+_CRC_SQL = """
+tab(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
+crc(t) AS (SELECT list(c ORDER BY i) FROM tab WHERE k = 8)"""
+
+
+def _crc_sql(text: str) -> str:
+    bytes_ = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+_OP12_SQL = f"""
+WITH RECURSIVE {_CRC_SQL},
+c AS (SELECT sale_id, line_no, item_id AS line_item_id, quantity::BIGINT AS q, floor(100 * amount + 0.5)::BIGINT AS a FROM sale_lines
+  WHERE sale_id IS NOT NULL AND item_id IS NOT NULL AND quantity IS NOT NULL AND amount IS NOT NULL),
+l AS (SELECT sale_id, line_no::BIGINT AS line_no, line_item_id, ((2 * a + q) - ((2 * a + q) % (2 * q) + 2 * q) % (2 * q)) // (2 * q) AS u,
+  {_crc_sql("sale_id || ',' || line_no || ',' || line_item_id")} AS crc FROM c, crc),
+i AS (SELECT row_number() OVER () AS k, item_id, floor(100 * price + 0.5)::BIGINT AS p FROM items),
+w AS (SELECT *, p - greatest(10, p // 500) AS low, p + greatest(10, p // 500) AS high FROM i),
+pairs AS (SELECT k, item_id, abs(u - p) AS gap, u, sale_id, line_no, line_item_id, crc FROM w JOIN l ON u BETWEEN low AND high WHERE line_item_id <> item_id),
+sums AS (SELECT k, count(*) AS n, sum(gap)::BIGINT AS gaps, sum(crc)::BIGINT AS crcs FROM pairs GROUP BY k),
+first AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gap, u, sale_id, line_no, line_item_id) AS rank FROM pairs)
+SELECT i.item_id, coalesce(rank, 0)::INTEGER AS rank, gap, u, sale_id, line_no, line_item_id,
+  coalesce(n, 0) AS n_pairs, coalesce(gaps, 0) AS gap_sum, coalesce(crcs, 0) AS lines_crc
+FROM i LEFT JOIN sums USING (k) LEFT JOIN (SELECT * FROM first WHERE rank <= 5) f USING (k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -145,8 +181,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
+        "op12_band_join": op12_band_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": _OP4_SQL}
+    return {"op4_url_filters": _OP4_SQL, "op12_band_join": _OP12_SQL}

@@ -169,6 +169,58 @@ FROM i LEFT JOIN sums USING (k) LEFT JOIN (SELECT * FROM first WHERE rank <= 5)
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for each document; of a third of them the text is held against the manifest in lower case."""
+    from quern.llm.merkle import manifest
+
+    docs, columns = _read(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    claimed = {"text": F.when(third, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))}
+    return manifest(docs, columns, "lang", "doc_id", claimed).withColumnRenamed("key", "doc_id")
+
+
+def _op13_sql(levels: int = 8) -> str:
+    """Levels of both trees one by one; a group that is down to one node goes through unchanged."""
+
+    def leaf(text: str) -> str:
+        sized = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(sized)})"
+
+    low = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    out = [
+        f"WITH RECURSIVE {_CRC_SQL}",
+        f"l AS (SELECT *, coalesce('=' || lang, '') AS g, {leaf('text')} AS leaf, "
+        f"CASE WHEN {_crc_sql('doc_id::VARCHAR')} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS claim FROM documents, crc)",
+        "d0 AS (SELECT doc_id, leaf, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, claim AS fold, '' AS proof FROM l)",
+        "n0 AS (SELECT g, i, leaf AS node, count(*) OVER (PARTITION BY g) AS n FROM d0)",
+    ]
+
+    def up(k: int, n: str, d: str) -> list[str]:
+        """Nodes and documents of the next level, from those of level k."""
+        left, right = "array_to_string(run[1:(i % 8)::INT], '')", "array_to_string(run[(i % 8 + 2)::INT:8], '')"
+        return [
+            f"r{n}{k} AS (SELECT g, i // 8 AS j, any_value(n) AS n, list(node ORDER BY i) AS run FROM {n}{k} GROUP BY g, i // 8)",
+            f"{n}{k + 1} AS (SELECT g, j AS i, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS node, (n + 7) // 8 AS n FROM r{n}{k})",
+            f"{d}{k + 1} AS (SELECT x.* REPLACE (i // 8 AS i, CASE WHEN n > 1 THEN sha256({left} || fold || {right}) ELSE fold END AS fold, "
+            f"CASE WHEN n > 1 THEN proof || {left} || {right} ELSE proof END AS proof) FROM {d}{k} x JOIN r{n}{k} r ON r.g = x.g AND r.j = x.i // 8)",
+        ]
+
+    for k in range(levels):
+        out += up(k, "n", "d")
+    subroots = f"(SELECT g AS name, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS i FROM n{levels})"
+    out += [
+        f"m0 AS (SELECT '' AS g, i, subroot AS node, count(*) OVER () AS n FROM {subroots})",
+        f"e0 AS (SELECT doc_id, leaf, subroot, '' AS g, s.i, fold, proof FROM d{levels} JOIN {subroots} s ON s.name = d{levels}.g)",
+    ]
+    for k in range(levels):
+        out += up(k, "m", "e")
+    return ",\n".join(out) + f"""
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = node AS verified FROM e{levels}, m{levels}"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -182,8 +234,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
         "op12_band_join": op12_band_join,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": _OP4_SQL, "op12_band_join": _OP12_SQL}
+    return {"op4_url_filters": _OP4_SQL, "op12_band_join": _OP12_SQL, "op13_merkle": _op13_sql()}

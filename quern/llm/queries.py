@@ -133,6 +133,38 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_read(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures of each document, and whether the base and the cascade of rules keep it."""
+    from quern.llm.quality_rules import FIGURES, judged, learned_order
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(docs, ["doc_id"], learned_order(docs)).select("row.doc_id", *FIGURES, "base_failed", "kept")
+
+
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, {_WORDS}) AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORDS})) AS l FROM d),
+p AS (SELECT k, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS i FROM w),
+q AS (SELECT k, i, a, lead(a, 1) OVER s AS b, lead(a, 2) OVER s AS c FROM p WINDOW s AS (PARTITION BY k ORDER BY i)),
+r AS (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) AS n FROM q WHERE c IS NOT NULL),
+x AS (SELECT DISTINCT k, i + j AS i FROM r, (VALUES (0), (1), (2)) v(j) WHERE n > 1),
+reps AS (SELECT k, count(*) AS n_repeat_words FROM x GROUP BY k),
+top AS (SELECT k, max(n) AS top FROM (SELECT k, a, count(*) AS n FROM p GROUP BY k, a) GROUP BY k),
+f AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(top, 0) AS top,
+  len(regexp_extract_all(t, '[^\x20\x09-\x0D]*\p{{L}}[^\x20\x09-\x0D]*')) AS lettered, length(regexp_replace(t, '\P{{L}}', '', 'g')) AS letters,
+  length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS capitals, length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits
+  FROM w LEFT JOIN reps USING (k) LEFT JOIN top USING (k)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (10 * n_symbols > n_words OR 5 * lettered < 4 * n_words OR 2 * n_dup_lines > n_lines OR 2 * capitals > letters
+    OR 2 * digits > word_chars OR 10 * top > 3 * n_words OR NOT word_chars BETWEEN 2 * n_words AND 15 * n_words) AS kept
+FROM b
+"""
+
+
 def op12_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest lines of other items for each item, and sums over all near ones."""
     from quern.llm.band_join import near_items
@@ -233,10 +265,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_sharding": op9_sharding,
         "op10_packing": op10_packing,
+        "op11_quality_rules": op11_quality_rules,
         "op12_band_join": op12_band_join,
         "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": _OP4_SQL, "op12_band_join": _OP12_SQL, "op13_merkle": _op13_sql()}
+    return {"op4_url_filters": _OP4_SQL, "op11_quality_rules": _OP11_SQL, "op12_band_join": _OP12_SQL, "op13_merkle": _op13_sql()}

@@ -64,15 +64,10 @@ def cents(x: Column) -> Column:
     return F.floor(F.when(F.abs(scaled) < float(2**63), scaled))
 
 
-def unit_cents(amount: Column, quantity: Column) -> Column:
-    """floor((2 a + q) / (2 q)) for a in cents, exactly; null for a quantity of 0."""
-    a, q = cents(amount), F.nullif(quantity.cast("bigint"), F.lit(0))
-    a, q = F.when(q < 0, -a).otherwise(a), F.abs(q)
-    wide = a.cast("decimal(38,0)") * 2 + q
-    narrow = 2 * a + q
-    small = (F.abs(a) < 2**61) & (q < 2**61)
-    floor = F.floor((wide - F.pmod(wide, (q * F.lit(2).cast("decimal(20,0)")))) / (q * F.lit(2).cast("decimal(20,0)")))
-    return F.when(small, F.call_function("div", narrow - F.pmod(narrow, 2 * q), 2 * q)).otherwise(floor.cast("bigint"))
+def _floor_units(a: Column, q: Column) -> Column:
+    """floor((2 a + q) / (2 q)) for q > 0: what a leaves by q is rounded half up, so nothing exceeds 64 bits."""
+    rest = F.pmod(a, q)
+    return F.call_function("div", a - rest, q) + F.when(rest >= q - rest, 1).otherwise(0)
 
 
 def reach(p: int) -> int:
@@ -82,20 +77,20 @@ def reach(p: int) -> int:
 
 def _near_lines(lines: DataFrame) -> DataFrame:
     """u, item and place of the lines that can pair, with the checksum of each."""
-    got = lines.select(
-        F.col("sale_id").cast("bigint").alias("sale_id"),
-        F.col("line_no").cast("bigint").alias("line_no"),
-        F.col("item_id").cast("bigint").alias("item_id"),
-        unit_cents(F.col("amount"), F.col("quantity")).alias("u"),
-    )
+    ids = [F.col(c).cast("bigint").alias(c) for c in ("sale_id", "line_no", "item_id")]
+    got = lines.where("quantity <> 0 and sale_id is not null and item_id is not null")
+    got = got.select(*ids, cents(F.col("amount")).alias("a"), F.col("quantity").cast("bigint").alias("q")).where("a is not null")
+    below = F.col("q") < 0
+    u = F.when(below, _floor_units(-F.col("a"), -F.col("q"))).otherwise(_floor_units(F.col("a"), F.col("q")))
     text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "line_no", "item_id")])
-    return got.where("sale_id is not null and item_id is not null and u is not null").withColumn("crc", F.crc32(text))
+    return got.select("sale_id", "line_no", "item_id", u.alias("u"), F.crc32(text).alias("crc"))
 
 
 def _first(lines: DataFrame, by: list[str], most: int) -> DataFrame:
     """The first lines of each group; Spark's limit of window groups cuts before the shuffle, too."""
     names = ", ".join(by)
-    rank = F.expr(f"row_number() over (partition by {names} order by sale_id, line_no, item_id)")
+    order = ", ".join(c for c in ("sale_id", "line_no", "item_id") if c not in by)
+    rank = F.expr(f"row_number() over (partition by {names} order by {order})")
     return lines.withColumn("k", rank).where(F.col("k") <= most).drop("k")
 
 

@@ -12,7 +12,10 @@ all of them is the score.
 
 Null texts and texts without a letter are ``und`` with score 0; a text whose
 letters hit no filter gets the language with most documents in the sample and
-score 0.  Repeated rows are alike; without training rows all is ``und``.
+score 0.  Repeated rows are alike; without training rows all is ``und``.  Of more
+than ``LANGS`` values of the language those with most documents are learned, of
+equally many the first by name; so the filters take ``CELLS * LANGS / 8`` bytes at
+most, whatever the column holds.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from quern.llm.packing import flat, mix, rolling
 from quern.session import ship
 
 LENGTHS, TOP, SAMPLE, CELLS, HASHES = (3, 4, 5), 1_500, 1_500, 1 << 18, 3
+#: Languages that are learned at most.
+LANGS = 1_024
 _FOLD = np.full(256, 32, np.uint8)  # all but letters counts as a space
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
@@ -139,12 +144,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         F.col(f"`{lang_col}`").cast("string").alias("lang"),
     )
     rows = rows.withColumn("h", F.xxhash64("id", "text"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
     # a part of the hash range that holds the least ones for certain, so that few rows are sorted
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == F.lit(lang), F.lit(min(1.0, 2 * (sample + 100) / n))).otherwise(share)
-    near = rows.where(F.pmod(F.shiftright("h", 20), F.lit(1 << 40)) < share * F.lit(float(1 << 40))).dropDuplicates(["lang", "h"])
+    parts = [(r["lang"], min(1.0, 2 * (sample + 100) / r["count"])) for r in sizes]
+    shares = labelled.sparkSession.createDataFrame(parts, "lang string, share double")
+    part = F.pmod(F.shiftright("h", 20), F.lit(1 << 40)) < F.col("share") * F.lit(float(1 << 40))
+    near = rows.join(F.broadcast(shares), "lang").where(part).dropDuplicates(["lang", "h"])
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = near.withColumn("place", place).where(F.col("place") <= sample).select("text", "lang")
     counted = chosen.mapInArrow(
@@ -152,12 +157,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         "lang string, n int, gram long, count long",
     ).groupBy("lang", "n", "gram").agg(F.sum("count").alias("c"))
     rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))
-    got = counted.withColumn("r", rank).where(F.col("r") <= TOP).select("lang", "gram").collect()
-    grams: dict[str, list[int]] = {}
-    for r in got:
-        grams.setdefault(r.lang, []).append(r.gram)
-    common = min(sizes, key=lambda x: (-sizes[x], x)) if sizes else None
-    return Filters({k: np.array(v, np.int64).view(np.uint64) for k, v in grams.items()}, common)
+    got = counted.withColumn("r", rank).where(F.col("r") <= TOP).select("lang", "gram").toArrow().sort_by("lang")
+    langs, at = np.unique(got.column("lang").to_numpy().astype(str), return_index=True)
+    grams = np.split(got.column("gram").to_numpy().view(np.uint64), at[1:])
+    return Filters(dict(zip(langs.tolist(), grams, strict=False)), sizes[0]["lang"] if sizes else None)
 
 
 def identified(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

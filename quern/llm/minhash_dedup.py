@@ -22,6 +22,9 @@ full sets of both texts confirm every link.  Equal sets are one vertex from
 the start, nodes with equal members are compared once, and a node's answer is
 a spanning forest of its links, so no group emits all of its pairs.
 
+Sets hold 64-bit hashes of the shingles, of texts of any size; two different
+shingles are equal with probability 2 ** -64.
+
 Null or empty texts have no shingles and link with nothing; with fewer than
 five words the whole sequence is the one shingle.  Rows with a null id form
 their own component (null) and are kept.  Rows that share an id are one vertex.
@@ -48,7 +51,6 @@ TREES, SKETCH, AGREE, LEVELS, PIVOTS = 8, 64, 30, 16, 8
 BLOCK, WEIGHT = 2_048, 4_000_000
 ROOTS = 2 * TREES
 _ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64))
@@ -56,24 +58,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _STEP = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(6)]
 _SEEDS = mix(np.arange(1001, 1001 + SKETCH, dtype=np.uint64))
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        out = []
-        for base in (_ODD, _INVERSE):
-            x = np.ones(1, np.uint64)
-            while len(x) < size:
-                x = np.concatenate([x, x * np.uint64(pow(base, len(x), 1 << 64))])
-            out.append(x)
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
-
 
 def shingles(at: np.ndarray, raw: np.ndarray, size: int = 5) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each document of a flat text column."""
+    """The sorted distinct shingle hashes of each document of a flat text column.
+
+    A word's hash sums a random number for each of its bytes at its place, so no
+    pattern of letters makes words equal as it can with powers of one base.
+    """
     n = len(at) - 1
     none = np.zeros(0, np.uint64)
     if not len(raw):
@@ -83,10 +74,12 @@ def shingles(at: np.ndarray, raw: np.ndarray, size: int = 5) -> list[np.ndarray]
     edge[at] = True
     before = np.append(True, space[:-1]) | edge[:-1]
     after = np.append(space[1:], True) | edge[1:]
-    starts, ends = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    up, down = _powers(len(raw) + 1)
-    sums = np.append(np.uint64(0), np.cumsum(_SYMBOL[_LOWER[raw]] * up[: len(raw)]))
-    word = mix((sums[ends] - sums[starts]) * down[starts])
+    first = ~space & before
+    starts, ends = np.flatnonzero(first), np.flatnonzero(~space & after) + 1
+    at_byte = np.arange(len(raw))
+    place = (at_byte - np.maximum.accumulate(np.where(first, at_byte, 0))).astype(np.uint64)
+    sums = np.append(np.uint64(0), np.cumsum(mix(_SYMBOL[_LOWER[raw]] + place * np.uint64(_ODD))))
+    word = mix(sums[ends] - sums[starts])
     cuts = np.searchsorted(starts, at)
     if len(word) >= size:
         m = len(word) - size + 1
@@ -385,12 +378,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _by_row(rows: DataFrame, keep: Scratch) -> DataFrame:
     """Ids that repeat with different texts: link rows under ids of their own, then tie equal ids."""
-    own = rows.withColumn("row", F.xxhash64("id", "text"))
-    found = keep.table(
-        near_duplicates(own.where("id is not null").select("row", "text").distinct(), "row", "text").toDF("row", "n", "component", "kept"),
-        "by_row",
-    )
-    named = keep.table(own.where("id is not null").select("row", "id").join(found, "row").select("row", "id", "n", "component"), "named")
+    each = rows.where("id is not null").groupBy("id", "text").agg(F.count("*").alias("copies"))
+    each = keep.table(each.withColumn("row", F.monotonically_increasing_id()), "each")
+    found = near_duplicates(each.select("row", "text"), "row", "text").toDF("row", "n", "component", "kept")
+    named = keep.table(each.select("row", "id", "copies").join(found.drop("kept"), "row"), "named")
     first = named.groupBy("id").agg(F.min("component").alias("a"))
     ties = named.join(first, "id").select("a", F.col("component").alias("b"))
     tied = components(ties, keep, "ties")
@@ -398,7 +389,7 @@ def _by_row(rows: DataFrame, keep: Scratch) -> DataFrame:
         tied.withColumnRenamed("id", "c").withColumnRenamed("component", "t"),
         F.col("component") == F.col("c"),
         "left",
-    ).select("id", "n", F.coalesce("t", "component").alias("t"))
+    ).select("id", "n", F.coalesce("t", "component").alias("t"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     least = whole.groupBy("t").agg(F.min("id").alias("least"))
     some = whole.join(least, "t").select(
         F.col("id").alias("doc_id"),
@@ -406,7 +397,7 @@ def _by_row(rows: DataFrame, keep: Scratch) -> DataFrame:
         F.col("least").alias("component_id"),
         (F.col("id") == F.col("least")).alias("kept"),
     )
-    null = own.where("id is null").mapInArrow(_null_rows, "doc_id long, n_shingles long")
+    null = rows.where("id is null").mapInArrow(_null_rows, "doc_id long, n_shingles long")
     return some.unionByName(null.withColumns({"component_id": F.lit(None).cast("long"), "kept": F.lit(True)}))
 
 

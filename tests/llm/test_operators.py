@@ -653,6 +653,19 @@ def test_language_sample_is_bounded(spark):
     assert len(seen["en"]) <= 20 * 13 * 3
 
 
+@pytest.mark.parametrize("n", [1_500, 20_000])
+def test_any_number_of_languages(spark, n):
+    """Values of the language column cost bounded memory; those with most documents are learned."""
+    from quern.llm import language as L
+
+    rows = [(k, f"t{k % 7} words of {chr(97 + k % 26) * 4}", f"l{k:05d}") for k in range(n)]
+    rows += [(n + k, "der die und das nicht", "de") for k in range(5)] + [(n + 9 + k, "the and of that with", "en") for k in range(9)]
+    filters = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(filters.langs) == L.LANGS and filters.common == "en" and {"de", "en"} <= set(filters.langs)
+    asked = spark.createDataFrame([(1, "the and of that"), (2, "und das nicht"), (3, None)], "doc_id long, text string")
+    assert [r.lang_pred for r in L.identified(asked, filters).orderBy("doc_id").collect()] == ["en", "de", "und"]
+
+
 def test_language_edges(spark):
     from quern.llm.language import Filters, fit, identified
 
@@ -816,3 +829,12 @@ def test_fullest_by_brute_force():
         best = max(s for s in (sum(n * x for n, x in zip(ns, counts, strict=True)) for ns in product(*[range(c + 1) for c in counts.values()])) if s <= room)
         got = fullest(counts, room)
         assert sum(got) == best and all(got.count(x) <= counts[x] for x in set(got))
+
+
+def test_patterned_words_are_not_alike(spark):
+    """Thue-Morse words, which collide in every polynomial hash modulo a power of two, stay apart."""
+    bits = [bin(k).count("1") % 2 for k in range(1 << 12)]
+    for size in (1 << 10, 1 << 11, 1 << 12):
+        one, two = ("".join("xy"[b ^ flip] for b in bits[:size]) for flip in (0, 1))
+        got = M.near_duplicates(docs(spark, [(1, one), (2, two), (3, one.upper()), (4, f"a {one} b c d e"), (5, f"a {two} b c d e")])).collect()
+        assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 2, True), (3, 1, False), (4, 4, True), (5, 5, True)}

@@ -46,11 +46,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     by_id = docs.where("doc_id is not null").groupBy("doc_id").agg((F.min(mark) != F.max(mark)).alias("more"), F.count("*").alias("n"))
     several, repeated = by_id.agg(F.max("more"), F.max("n") > 1).first()
     if several:
-        own = docs.where("doc_id is not null").select("doc_id", "text", mark.alias("row"))
-        found = near_duplicates(own.select("row", "text").distinct(), "row", "text")
-        members = own.select("doc_id", "row").distinct().join(found.select(F.col("doc_id").alias("row"), "component_id"), "row")
-        least = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("least"))
-        kept = docs.join(least.select(F.col("least.row").alias("kept_")), mark == F.col("kept_"), "left_semi")
+        marks = (mark, F.xxhash64("text", "doc_id", F.lit(7)))
+        own = docs.where("doc_id is not null").select("doc_id", "text").distinct()
+        own = own.select("*", marks[0].alias("one"), marks[1].alias("two"), F.monotonically_increasing_id().alias("row"))
+        own = Scratch(spark).table(own, "own")
+        found = near_duplicates(own.select("row", "text"), "row", "text").select(F.col("doc_id").alias("row"), "component_id")
+        members = own.select("doc_id", "one", "two", "row").join(found, "row")
+        least = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "one", "two")).alias("least"))
+        same = (marks[0] == F.col("least.one")) & (marks[1] == F.col("least.two"))
+        kept = docs.join(least.select("least"), same, "left_semi")
         kept = kept.where("doc_id is not null").unionByName(docs.where("doc_id is null"))
     else:
         kept = _without(docs, near_duplicates(docs.select("doc_id", "text")).where("not kept"))

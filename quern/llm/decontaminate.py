@@ -1,22 +1,25 @@
-"""Benchmark decontamination by word-triple hashing.
+"""Benchmark decontamination by spaced-seed hashing.
 
 Texts are sequences of words (runs of letters and digits, lower case).  The
 document leaks the item if some run of ``RUN`` item words (or the whole item,
 if shorter) has at least ``NEED`` of ``RUN`` of its words equal in place.
 
-A seed is the hash of the words that a mask picks out of neighbours; items and
-documents give the seeds of every position and meet in an equi-join.  No leak
-is lost by this.  Items of three words and more have the mask of three words in
-a row: a run of 13 words has 3 substitutions at most, which leave 10 equal
-words in 4 stretches, so that one stretch has 3 words; shorter items tolerate
-fewer (9 to 11 words: 2, 5 to 8: 1, below: none) and keep such a stretch too,
-but for five words with the third substituted, for which there is a mask that
-leaves it out.  Items of one or two words must be equal.  Documents give the
-seeds of those masks that some item has.  Every hit names a diagonal (document
-position minus item position).  Of n equal words in k stretches at least
-n - 2k seeds of three words are left, so diagonals with fewer hits than that
-hold no leak; along the others the words of both are compared;
-words of the item that stick out of the document count as substituted.
+A seed is the hash of the words that a mask keeps of neighbours, with others
+between them ignored; items and documents give the seeds of every position and
+meet in an equi-join.  No leak is lost by this: masks are taken from
+``FAMILIES``, heaviest first, such that whatever words of a run the rule lets
+differ, some mask at some place keeps none of them.  This is found by trying all
+sets of differing words (at most 286), as is the least number of seeds that
+remain, which the diagonal (document position minus item position) of a leak has
+at least.  Runs of 13, 12, 11, 8 and 7 words have two masks of four words, others
+of four words and more have masks of three, those of three words keep the first
+and the last, and items of one or two words must be equal.  Documents give the
+seeds of those masks that some item has.  Along diagonals with enough seeds the
+words of both are compared; words of the item that stick out of the document
+count as substituted.
+
+Seeds of items are broadcast behind a count.  Beyond it they are shuffled, in
+``SALTS`` copies each, so that a seed that is frequent in documents is many tasks.
 
 Null or empty
 texts match nothing; null ids are carried.  Empty tables give empty results;
@@ -26,6 +29,7 @@ repeated rows give their rows once.  DataFrame functions only.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +37,29 @@ from pyspark.sql import functions as F
 from quern.llm.scratch import Scratch
 
 RUN, NEED = 13, 10
-#: Places that each mask keeps, and the least and largest number of words of its items; fixed by RUN and NEED, see above.
-MASKS = [((0, 1, 2), 3, None), ((0, 1, 3), 5, 5), ((0, 1), 2, 2), ((0,), 1, 1)]
+#: Places that masks keep: sets of masks, the most selective first.
+FAMILIES = [((0, 1, 2, 4), (0, 1, 3, 4)), ((0, 1, 3),), ((0, 1, 3), (0, 2, 3)), ((0, 2),), ((0, 1),), ((0,),)]
 #: Seeds, words of items, and hits that are broadcast at most; beyond these the joins shuffle.
 BROADCAST_SEEDS = 1_000_000
+#: Copies of each item's seed in a shuffle.
+SALTS = 32
+
+
+def least_seeds(n: int, family: tuple[tuple[int, ...], ...]) -> int:
+    """Seeds that a run of ``n`` words keeps at least when as many words differ as the rule allows."""
+    places = [{p + m for m in mask} for mask in family for p in range(n - mask[-1])]
+    differ = n - -(-NEED * n // RUN)
+    return min(sum(not kept.intersection(gone) for kept in places) for gone in combinations(range(n), differ))
+
+
+def family_of(n: int) -> tuple[tuple[tuple[int, ...], ...], int]:
+    """The masks of runs of ``n`` words and the seeds that are left of a leak at least."""
+    return next((family, least) for family in FAMILIES if (least := least_seeds(n, family)) > 0)
+
+
+#: For each length of a run its masks and the least number of seeds.
+MASKS_OF = {n: family_of(n) for n in range(1, RUN + 1)}
+MASKS = sorted({mask for family, _ in MASKS_OF.values() for mask in family}, key=lambda m: (-len(m), m))
 
 
 def words(text: Column) -> Column:
@@ -47,16 +70,12 @@ def _hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _has(n: Column, least: int, most: int | None) -> Column:
-    return (n >= least) if most is None else n.between(least, most)
-
-
 def _seeds(rows: DataFrame, h: str, n: str, mask: tuple[int, ...], keep: list[str], place: str) -> DataFrame:
     """The columns to keep, the place and hash ``s`` of a mask's seeds at every position."""
     span = mask[-1] + 1
     every = F.transform(
         F.sequence(F.lit(0), F.col(n) - span),
-        lambda i: F.xxhash64(F.lit(len(mask) + span), *[F.get(h, i + k) for k in mask]),
+        lambda i: F.xxhash64(F.lit(sum(1 << k for k in mask)), *[F.get(h, i + k) for k in mask]),
     )
     return rows.where(F.col(n) >= span).select(*keep, F.posexplode(F.when(F.col(n) >= span, every)).alias(place, "s"))
 
@@ -74,14 +93,16 @@ def leaks(
         F.col(f"`{item_col}`").alias("item_id"),
         _hashes(F.col(f"`{item_text_col}`")).alias("b"),
     ).withColumn("nb", F.size("b")).where("nb > 0")
-    # what a leak has on its diagonal at least: equal words leave out two seeds of three words in each stretch but the shortest
     run = F.least(F.lit(RUN), F.col("nb"))
-    equal = F.ceil(F.lit(NEED) * run / RUN)
-    items = items.withColumn("need", F.greatest(F.lit(1), equal - 2 * (run - equal + 1)).cast("int"))
-    flags = items.agg(*[F.coalesce(F.max(_has(F.col("nb"), least, most)), F.lit(False)) for _, least, most in MASKS]).first()
+    least = F.element_at(F.array(*[F.lit(MASKS_OF[n][1]) for n in range(1, RUN + 1)]), run)
+    items = items.withColumn("need", least)
+    lengths = {r[0] for r in items.select(run.alias("run")).distinct().collect()}  # RUN at most
     # the first mask stays for tables without items, so that there is always a plan
-    masks = [m for i, m in enumerate(MASKS) if flags[i] or i == 0]
-    parts = [_seeds(items.where(_has(F.col("nb"), least, most)), "b", "nb", mask, ["item_id", "need"], "ip") for mask, least, most in masks]
+    masks = [m for m in MASKS if any(m in MASKS_OF[n][0] for n in lengths)] or MASKS[:1]
+    parts = [
+        _seeds(items.where(run.isin([n for n in MASKS_OF if mask in MASKS_OF[n][0]])), "b", "nb", mask, ["item_id", "need"], "ip")
+        for mask in masks
+    ]
     seeds = reduce(DataFrame.unionByName, parts).distinct()
     few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     small = (items.agg(F.sum("nb")).first()[0] or 0) <= BROADCAST_SEEDS
@@ -91,8 +112,13 @@ def leaks(
         F.col(f"`{text_col}`").cast("string").alias("text"),
     ).withColumn("t", F.xxhash64("text"))
     rows = read.select("doc_id", "t", _hashes(F.col("text")).alias("h")).withColumn("n", F.size("h"))
-    spread = reduce(DataFrame.unionByName, [_seeds(rows, "h", "n", mask, ["doc_id", "t"], "dp") for mask, _, _ in masks])
-    found = spread.join(F.broadcast(seeds) if few else seeds, "s").select(
+    spread = reduce(DataFrame.unionByName, [_seeds(rows, "h", "n", mask, ["doc_id", "t"], "dp") for mask in masks])
+    if few:
+        met = spread.join(F.broadcast(seeds), "s")
+    else:
+        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = spread.withColumn("salt", F.pmod(F.xxhash64("doc_id", "t", "dp"), F.lit(SALTS)).cast("int")).join(salted, ["s", "salt"])
+    found = met.select(
         "doc_id",
         "t",
         "item_id",

@@ -8,18 +8,21 @@ that share their digit with no other document are settled:
 1. *First digit.*  In every window of ``threshold`` bytes the least hash of its
    ``gram``-byte strings is the window's anchor; equal windows have equal
    anchors, so only anchors (about 8 % of the positions) are exchanged.  Each
-   block of documents sends one entry per distinct anchor with the digest of
-   all bytes that its windows can touch.  Entries equal in both are settled:
-   all windows at the later document are repeats.
+   block of documents sends one entry per distinct anchor and digest of all
+   bytes that its windows can touch.  Entries equal in both are settled: all
+   windows at the later document are repeats.  An anchor that a block has with
+   more than ``LOCAL`` digests sends one entry in place of them all, with the
+   least and greatest document.
 2. *Remaining digits.*  Anchors seen with different surroundings send these
    surroundings as bytes, and the windows inside are radix sorted by eight-byte
    digits.  Equal groups after the last digit are exactly the repeated windows.
-   An anchor with very many surroundings sends single windows dealt out by
-   their own hash, so no task holds all of a common phrase.
+   An anchor with very many surroundings, in one block or in all, sends single
+   windows dealt out by their own hash, so no task holds all of a common phrase.
 3. Blocks turn the answers into byte intervals and cut.
 
-Every block sends an anchor once, however often it occurs, which bounds what a
-hot passage brings into one task by the number of blocks.
+So a block sends at most ``LOCAL`` entries of an anchor, and a window once,
+however often they occur: what a hot passage brings into one task grows with the
+number of blocks, not of documents.
 
 Nulls: a null text is empty; a row with a null id is left whole and takes part
 in nothing.  Rows with the same id never remove each other's bytes.  Repeated
@@ -41,6 +44,8 @@ from quern.llm.scratch import Scratch
 #: Bytes of text in a block, entries in a bucket of anchors, surroundings of
 #: one anchor that are compared in one task.
 BLOCK_BYTES, BUCKET_ENTRIES, COMMON = 4 << 20, 300_000, 20_000
+#: Surroundings of one anchor that a block names one by one.
+LOCAL = 16
 _SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -146,8 +151,26 @@ class _Block:
         new[1:] = (self.g[1:] != self.g[:-1]) | (self.c[1:] != self.c[:-1])
         self.first = np.flatnonzero(new)
         self.unique_of = np.cumsum(new) - 1
-        bucket = _bucket(self.g[self.first], buckets, z.w)
-        self.cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        # what is sent: an item for each of these, or for all those of an anchor with many
+        g = self.g[self.first]
+        anchor = np.ones(len(g), bool)
+        anchor[1:] = g[1:] != g[:-1]
+        starts = np.flatnonzero(anchor)
+        many = np.diff(np.append(starts, len(g))) > LOCAL
+        lead = anchor | ~many[np.cumsum(anchor) - 1]
+        self.item_of = np.cumsum(lead) - 1
+        self.items = self.first[lead]
+        self.common = self.item_of[starts[many]]
+        docs = self.ids[self.d[self.first]]
+        self.least, self.most = (f.reduceat(docs, starts)[many] if len(starts) else docs for f in (np.minimum, np.maximum))
+        bucket = _bucket(self.g[self.items], buckets, z.w)
+        self.keys, self.starts = np.unique(bucket, return_index=True)
+
+
+def _pieces(k: np.ndarray):
+    """Each value of a sorted array with the range of its places."""
+    keys, starts = np.unique(k, return_index=True)
+    return zip(keys.tolist(), starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True)
 
 
 def _bucket(g: np.ndarray, buckets: int, of: int = 1) -> np.ndarray:
@@ -171,20 +194,23 @@ def _first_digit(table: pa.Table, threshold: int, buckets: int) -> pa.Table:
     b = _Block(table, _Depth(threshold), buckets)
     block = table["__block"][0].as_py()
     out = []
-    for k in range(buckets):
-        u = b.first[b.cuts[k] : b.cuts[k + 1]]
-        if len(u):
-            out.append((0, k, block, pack(b.g[u], b.c[u], b.ids[b.d[u]])))
+    plain = np.ones(len(b.items), bool)
+    plain[b.common] = False
+    for k, x, y in zip(b.keys.tolist(), b.starts.tolist(), [*b.starts[1:].tolist(), len(b.items)], strict=True):
+        u = b.items[x:y][plain[x:y]]
+        i, j = np.searchsorted(b.common, (x, y))
+        w = (b.common[i:j] - x).astype(np.uint32)
+        out.append((0, k, block, pack(b.g[u], b.c[u], b.ids[b.d[u]], w, b.g[b.items[b.common[i:j]]], b.least[i:j], b.most[i:j])))
     return _rows(out, _MESSAGE)
 
 
 def _settle_first(table: pa.Table) -> pa.Table:
-    """Per entry: 1 all its windows are repeats, 2 compare surroundings, 3 compare single windows."""
+    """Per item: 1 all its windows are repeats, 2 compare surroundings, 3 compare single windows."""
     order = np.argsort(table["__block"].to_numpy(), kind="stable")
     cells, blocks = table["__cell"], table["__block"].to_numpy()[order]
     got = [unpack(cells[int(i)].as_py()) for i in order]
-    sizes = [len(x[0]) for x in got]
-    g, c, doc = (np.concatenate([x[i] for x in got]) for i in range(3))
+    places = [(len(x[0]), x[3].astype(np.int64)) for x in got]
+    g, c, doc, common, lo, hi = (np.concatenate([x[i] for x in got]) for i in (0, 1, 2, 4, 5, 6))
     del got
     o = np.lexsort((doc, c, g))
     g, c, doc = g[o], c[o], doc[o]
@@ -200,14 +226,30 @@ def _settle_first(table: pa.Table) -> pa.Table:
     least, most = (
         f.reduceat(np.where(new, doc, doc[np.repeat(starts, counts)]), starts) if len(starts) else starts for f in (np.minimum, np.maximum)
     )
-    ask = np.where((contexts > 1) & (least < most), np.where(contexts > COMMON, 3, 2), 0).astype(np.uint8)
+    # anchors that are common in some block are so in all
+    names, of = np.unique(common, return_inverse=True)
+    low, high = np.full(len(names), np.iinfo(np.int64).max), np.full(len(names), np.iinfo(np.int64).min)
+    np.minimum.at(low, of, lo)
+    np.maximum.at(high, of, hi)
+    at = np.searchsorted(names, g[starts])
+    also = at < len(names)
+    also[also] = names[at[also]] == g[starts][also]
+    low[at[also]] = np.minimum(low[at[also]], least[also])
+    high[at[also]] = np.maximum(high[at[also]], most[also])
+    least[also], most[also] = low[at[also]], high[at[also]]
+    single = also | (contexts > COMMON)
+    ask = np.where((also | (contexts > 1)) & (least < most), np.where(single, 3, 2), 0).astype(np.uint8)
     flag = np.where(later, 1, np.repeat(ask, counts)).astype(np.uint8)
     back = np.empty(len(o), np.uint8)
     back[o] = flag
-    out, at = [], 0
-    for block, size in zip(blocks.tolist(), sizes, strict=True):
-        own = back[at : at + size]
-        at += size
+    of_common = np.where(low < high, 3, 0).astype(np.uint8)[of]
+    out, at, past = [], 0, 0
+    for block, (size, w) in zip(blocks.tolist(), places, strict=True):
+        own = np.zeros(size + len(w), np.uint8)
+        plain = np.ones(len(own), bool)
+        plain[w] = False
+        own[plain], own[w] = back[at : at + size], of_common[past : past + len(w)]
+        at, past = at + size, past + len(w)
         some = np.flatnonzero(own).astype(np.uint32)
         if len(some):
             out.append((0, table["__bucket"][0].as_py(), block, pack(np.diff(some, prepend=np.uint32(0)), own[some])))
@@ -229,11 +271,11 @@ def _ask(texts: pa.Table, answers: pa.Table, threshold: int, buckets: int) -> pa
     z = _Depth(threshold)
     b = _Block(texts, z, buckets)
     block = texts["__block"][0].as_py()
-    flag = np.zeros(len(b.first), np.uint8)
+    flag = np.zeros(len(b.items), np.uint8)
     for k, cell in zip(answers["__bucket"].to_pylist(), answers["__cell"].to_pylist(), strict=True):
         some, said = unpack(cell)
-        flag[b.cuts[k] + np.cumsum(some.astype(np.int64))] = said
-    mine = flag[b.unique_of]
+        flag[b.starts[np.searchsorted(b.keys, k)] + np.cumsum(some.astype(np.int64))] = said
+    mine = flag[b.item_of][b.unique_of]
     later = b.ids[b.d] > b.ids[b.d[b.first]][b.unique_of]
     done = (mine == 1) | later
     lo = np.maximum(b.at[b.d], b.p - z.left)[done]
@@ -245,8 +287,8 @@ def _ask(texts: pa.Table, answers: pa.Table, threshold: int, buckets: int) -> pa
     u, number = np.unique(b.unique_of[two], return_inverse=True)
     k = _bucket(b.g[b.first[u]], buckets, z.w)
     asked.append((k[number], _numbers(k)[number], b.d[two], b.p[two]))
-    for key in np.unique(k).tolist():
-        f = b.first[u[k == key]]
+    for key, x, y in _pieces(k):
+        f = b.first[u[x:y]]
         m, left, right = _around(b, b.d[f], b.p[f], z)
         out.append((1, key, block, pack(b.g[f], b.ids[b.d[f]], left, right, m.reshape(-1))))
     # single windows, whose hash is their own anchor
@@ -269,8 +311,8 @@ def _ask(texts: pa.Table, answers: pa.Table, threshold: int, buckets: int) -> pa
         lo, hi = _merged(np.concatenate([lo, s[known]]), np.concatenate([hi, s[known] + z.t]))
         k = _bucket(h[f], buckets) + buckets
         asked.append((k[of][~known], _numbers(k)[of][~known], d[~known], s[~known]))
-        for key in np.unique(k).tolist():
-            x = f[k == key]
+        for key, i, j in _pieces(k):
+            x = f[i:j]
             wide = np.zeros((len(x), z.around), np.uint8)
             wide[:, z.left :] = m[x]
             none = np.zeros(len(x), np.uint8)

@@ -77,15 +77,41 @@ def cut_brute(pairs, t=50):
     return Counter(out)
 
 
-@pytest.mark.parametrize("common", [20_000, 1])
-def test_suffix_dedup(spark, monkeypatch, common):
+@pytest.mark.parametrize(("common", "local"), [(20_000, 16), (1, 16), (20_000, 1)])
+def test_suffix_dedup(spark, monkeypatch, common, local):
     monkeypatch.setattr(S, "COMMON", common)
+    monkeypatch.setattr(S, "LOCAL", local)
     pairs = corpus()
     got = S.remove_repeats(docs(spark, pairs)).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert Counter(tuple(r) for r in got) == cut_brute(pairs)
     assert S.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_a_common_sentence_sends_few_entries(monkeypatch):
+    """A sentence among different text in 4,000 documents of a block is one entry for each anchor, in occupied buckets only."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    sentence = text(60)
+    texts = [text(80) + sentence + text(80) for _ in range(4000)]
+    ids = np.arange(4000)
+    table = pa.table({"__id": ids, "__th": ids, "__text": texts, "__block": np.zeros(4000, np.int64)})
+    sent = S._first_digit(table, 50, 1 << 40)
+    most = Counter()
+    for cell in sent["__cell"].to_pylist():
+        g, _, _, _, common, low, high = S.unpack(cell)
+        most.update(g.tolist())
+        most.update(common.tolist())
+        assert all(low < high)
+    assert max(most.values()) <= S.LOCAL and sent.num_rows <= len(most)
+    answers = S._settle_first(pa.concat_tables([sent.set_column(1, "__bucket", pa.array(np.zeros(len(sent), np.int64)))]))
+    assert answers.num_rows > 0
+    # of two windows at most anchors of the sentence are common, and they are asked about one by one
+    block = S._Block(table, S._Depth(50), 8)
+    assert len(block.common) and (block.most > block.least).all()
+
+
 def test_packed_arrays_come_back():
     from quern.llm.packing import pack, unpack
 
@@ -251,8 +277,10 @@ def leak_cases(lengths, seed):
     return rows, items
 
 
-def test_decontamination_recall(spark):
-    """Any substitution pattern that the rule accepts is found, at both parities."""
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_decontamination_recall(spark, monkeypatch, shuffled):
+    """Any substitution pattern that the rule accepts is found, at both parities, with seeds broadcast or shuffled."""
+    from quern.llm import decontaminate as D
     from quern.llm.decontaminate import leaks
 
     rows, items = leak_cases([9, 10, 11, 12, 13, 13, 14, 15, 18, 30], 3)
@@ -262,11 +290,23 @@ def test_decontamination_recall(spark):
         rows.append((len(rows), "k " + " ".join("zz" if k in bad else x for k, x in enumerate(b))))
     want = leaks_brute(rows, items)
     assert len(want) > 350
+    if shuffled:
+        monkeypatch.setattr(D, "BROADCAST_SEEDS", 0)
     assert {
         (x.doc_id, x.item_id) for x in leaks(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     } == want
 
 
+def test_masks_leave_places_out():
+    from quern.llm import decontaminate as D
+
+    for n, (family, least) in D.MASKS_OF.items():
+        assert least > 0
+        for mask in family:
+            assert len(mask) < mask[-1] + 1 or n < 3
+    assert all(len(mask) == 4 for mask in D.MASKS_OF[13][0])
+
+
 def test_decontamination_of_short_items(spark):
     """Items and documents of few words: any word that the rule tolerates may be substituted or cut off."""
     from quern.llm.decontaminate import leaks

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.quantiles import quantiles
+
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 
 
@@ -12,10 +14,11 @@ def masked_mean(value: Column, mask: Column) -> Column:
     return F.coalesce(F.avg(F.when(mask, value)), F.lit(0.0))
 
 
-def masked_quantiles(value: Column, mask: Column, at: tuple[float, ...] = QUANTILES) -> list[Column]:
-    """Exact quantiles with linear interpolation, one column ``p10`` and so on for each."""
-    got = F.percentile(F.when(mask, value), F.array(*[F.lit(q) for q in at]))
-    return [F.coalesce(got[i], F.lit(0.0)).alias(f"p{round(q * 100)}") for i, q in enumerate(at)]
+def masked_quantiles(
+    rows: DataFrame, keys: list[str], values: dict[str, Column], mask: Column, at: tuple[float, ...] = QUANTILES
+) -> DataFrame:
+    """Exact quantiles over active rows with linear interpolation: ``<name>_p10`` and so on for each group."""
+    return quantiles(rows, keys, {n: F.when(mask, v) for n, v in values.items()}, at)
 
 
 def masked_correlation(x: Column, y: Column, mask: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import distribution as D
 from quern.operators import masked
 from quern.operators.sequence import array_top_k, prune_weights, response_positions
+from quern.sources.tables import stored
 
 LOSSES = ("overlap", "reverse", "forward", "token")
 
@@ -44,7 +45,7 @@ def loss_report(scored: DataFrame, k: int, threshold: float = 0.65) -> DataFrame
     """24 scalars, six quantiles and three regions of overlap and losses, two entropies and three full-distribution means."""
     on = F.col("active")
     own = Window.partitionBy("seq_id")
-    rows = scored.withColumns({
+    rows = stored(scored, "scored").withColumns({
         "seq_loss": F.coalesce(F.avg(F.when(on, F.col("token"))).over(own), F.lit(0.0)),
         "head": F.col("pos") == F.min("pos").over(own),
     })
@@ -84,12 +85,9 @@ def loss_report(scored: DataFrame, k: int, threshold: float = 0.65) -> DataFrame
     regions = [
         masked.masked_mean(F.col(n), on & (third == name)).alias(f"{n}_{name}") for n in LOSSES for name in ("early", "middle", "late")
     ]
-    quantiles = [
-        c.alias(f"{n}_p{round(q * 100)}")
-        for n in LOSSES
-        for q, c in zip(masked.QUANTILES, masked.masked_quantiles(F.col(n), on), strict=True)
-    ]
-    return rows.agg(*[c.alias(n) for n, c in scalars.items()], *quantiles, *regions)
+    report = rows.agg(*[c.alias(n) for n, c in scalars.items()], *regions).withColumn("__one", F.lit(1))
+    quantiles = masked.masked_quantiles(rows, [], {n: F.col(n) for n in LOSSES}, on).withColumn("__one", F.lit(1))
+    return report.join(quantiles, "__one").drop("__one")
 
 
 def end_diagnostics(positions: DataFrame, stops: list[int], k: int) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.answers import boxed_count, first_boxed_line_end
+from quern.operators.quantiles import quantiles
 from quern.operators.sequence import bound, first_n, repeated_ratio
+from quern.sources.tables import stored
 
 
 def normalised_ids(value: Column, kind: str) -> Column:
@@ -151,11 +153,13 @@ def _share(condition: Column) -> Column:
 
 
 def report(rollouts: DataFrame, n: int = 4) -> DataFrame:
-    """The rollout metrics in one aggregation; columns as made by the operators of this module."""
+    """The rollout metrics, one aggregation but for the median; columns as made by the operators of this module."""
+    rollouts = stored(rollouts, "rollouts")
     length, raw = F.size("token_ids"), F.col("raw_tensor_length")
     reason = F.col("stop_reason")
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    return rollouts.agg(
+    median = quantiles(rollouts, [], {"n": length}, (0.5,)).select(F.lit(1).alias("__one"), F.col("n_p50").alias("median_generated_tokens"))
+    means = rollouts.agg(
         F.coalesce(F.max("horizon"), F.lit(0)).alias("horizon"),
         F.coalesce(F.max("requested_horizon"), F.lit(0)).alias("requested_horizon"),
         F.coalesce(F.max("total_length_limit"), F.lit(0)).alias("total_length_limit"),
@@ -165,7 +169,6 @@ def report(rollouts: DataFrame, n: int = 4) -> DataFrame:
         mean("prompt_tokens").alias("mean_prompt_tokens"),
         mean(F.col("prompt_tokens") + length).alias("mean_total_effective_tokens"),
         _share(F.col("horizon") < F.col("requested_horizon")).alias("context_limited_fraction"),
-        F.coalesce(F.median(length), F.lit(0.0)).alias("median_generated_tokens"),
         F.coalesce(F.max(length), F.lit(0)).alias("max_generated_tokens"),
         F.coalesce(F.min(length), F.lit(0)).alias("min_generated_tokens"),
         _share(F.col("emitted_eos")).alias("eos_fraction"),
@@ -181,3 +184,4 @@ def report(rollouts: DataFrame, n: int = 4) -> DataFrame:
         _share(F.col("raw_boxed_count") > 1).alias("multi_boxed_fraction"),
         mean("seq_weight").alias("mean_sequence_loss_weight"),
     )
+    return means.withColumn("__one", F.lit(1)).join(median, "__one").drop("__one")

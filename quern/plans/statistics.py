@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import masked, sequence, token_stats
+from quern.operators.quantiles import quantiles
 from quern.plans.facts import POSITIONS, TOKENS, r6, read, tokens
 from quern.plans.registry import query
+from quern.sources.tables import stored
 
 _M = "round(avg(overlap), 6) AS mean_overlap, round(avg(reverse_kl), 6) AS mean_reverse_kl, round(avg(forward_kl), 6) AS mean_forward_kl, round(avg(final_loss), 6) AS mean_final_loss, round(coalesce(avg(student_logp), 0), 6) AS mean_student_target_logp, round(coalesce(avg(teacher_logp), 0), 6) AS mean_teacher_target_logp"
 
@@ -99,7 +101,8 @@ _Q = ", ".join(f"round(coalesce(quantile_cont(overlap, {q}) FILTER (active), 0),
 
 @query("E11_masked_quantiles", f"WITH {TOKENS} SELECT route, {_Q} FROM tok GROUP BY route")
 def e11(spark, sf):
-    return r6(tokens(spark, sf).groupBy("route").agg(*masked.masked_quantiles(F.col("overlap"), F.col("active"))))
+    got = masked.masked_quantiles(tokens(spark, sf), ["route"], {"overlap": F.col("overlap")}, F.col("active"))
+    return r6(got.toDF(*[c.removeprefix("overlap_") for c in got.columns]))
 
 
 @query(
@@ -112,7 +115,7 @@ def e12(spark, sf):
 
 @query("E15_median", f"WITH {TOKENS} SELECT route, round(median(final_loss), 6) AS med FROM tok GROUP BY route")
 def e15(spark, sf):
-    return r6(tokens(spark, sf).groupBy("route").agg(F.coalesce(F.median("final_loss"), F.lit(0.0)).alias("med")))
+    return r6(quantiles(tokens(spark, sf), ["route"], {"med": F.col("final_loss")}, (0.5,)).withColumnRenamed("med_p50", "med"))
 
 
 _THIRDS = {
@@ -164,9 +167,14 @@ pr AS (SELECT *, CASE WHEN active THEN least(greatest(1.0 - 0.01::DOUBLE * low_c
     f"WITH {_PRUNED} SELECT seq_id, round(coalesce(quantile_cont(weight, 0.5) FILTER (active), 0), 6) AS median_weight, coalesce(min(pos) FILTER (active AND weight < 1), -1) AS first_pruned, round(sum(weight), 6) AS effective_length FROM pr GROUP BY seq_id",
 )
 def e21(spark, sf):
-    p = sequence.prune_weights(tokens(spark, sf))
+    p = stored(sequence.prune_weights(tokens(spark, sf)).select("seq_id", "pos", "active", "weight"), "pruned")
     on = F.col("active")
-    return r6(p.groupBy("seq_id").agg(masked.masked_quantiles(F.col("weight"), on, (0.5,))[0].alias("median_weight"), F.coalesce(F.min(F.when(on & (F.col("weight") < 1), F.col("pos"))), F.lit(-1)).alias("first_pruned"), F.sum("weight").alias("effective_length")))
+    sums = p.groupBy("seq_id").agg(
+        F.coalesce(F.min(F.when(on & (F.col("weight") < 1), F.col("pos"))), F.lit(-1)).alias("first_pruned"),
+        F.sum("weight").alias("effective_length"),
+    )
+    medians = masked.masked_quantiles(p, ["seq_id"], {"weight": F.col("weight")}, on, (0.5,))
+    return r6(medians.join(sums, "seq_id").select("seq_id", F.col("weight_p50").alias("median_weight"), "first_pruned", "effective_length"))
 
 
 @query("F1_prune_weight", f"WITH {_PRUNED} SELECT event_id, low_count, round(weight, 6) AS weight FROM pr")

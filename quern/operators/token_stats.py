@@ -46,18 +46,34 @@ def route_json(entries: Column) -> Column:
     )
 
 
-def group_stats(tokens: DataFrame, *keys: str) -> DataFrame:
-    """Count, means and route histogram by ``keys``, in two levels so that both combine before the shuffle."""
+_ADDED = [*MEANS.values(), *LOGPS.values()]
+
+
+def group_sums(tokens: DataFrame, *keys: str) -> DataFrame:
+    """Counts and sums by ``keys`` and route, from which statistics follow; those of parts of the tokens add up."""
     sums = [F.count("*").alias("n")]
-    columns = [*MEANS.values(), *LOGPS.values()]
-    for c in columns:
+    for c in _ADDED:
         sums += [F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}")]
-    inner = tokens.groupBy(*keys, F.col("route").alias("route_")).agg(*sums)
+    return tokens.groupBy(*keys, F.col("route").alias("route_")).agg(*sums)
+
+
+def stats_of(sums: DataFrame, *keys: str) -> DataFrame:
+    """Count, means and route histogram by ``keys``, from sums of several parts."""
+    added = [F.sum(c).alias(c) for c in ["n", *[f"{a}_{c}" for c in _ADDED for a in "sn"]]]
+    return _stats(sums.groupBy(*keys, "route_").agg(*added), *keys)
+
+
+def _stats(inner: DataFrame, *keys: str) -> DataFrame:
     mean = lambda c: F.sum(f"s_{c}") / F.greatest(F.sum(f"n_{c}"), F.lit(1))
     out = [F.sum("n").alias("count")] + [F.coalesce(mean(c), F.lit(0.0)).alias(n) for n, c in (MEANS | LOGPS).items()]
     return inner.groupBy(*keys).agg(*out, route_json(F.collect_list(F.struct(F.col("route_").alias("route"), "n"))).alias("routes"))
 
 
+def group_stats(tokens: DataFrame, *keys: str) -> DataFrame:
+    """Count, means and route histogram by ``keys``, in two levels so that both combine before the shuffle."""
+    return _stats(group_sums(tokens, *keys), *keys)
+
+
 def binned(tokens: DataFrame) -> DataFrame:
     number, label = position_bin(F.col("position"))
     return tokens.withColumns({"overlap_bin": overlap_bin(F.col("overlap")), "position_no": number, "position_bin": label})

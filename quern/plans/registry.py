@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    for name in ("statistics", "scores", "texts", "rows"):
+    for name in ("statistics", "scores", "texts", "rows", "streams"):
         importlib.import_module(f"quern.plans.{name}")
 
 

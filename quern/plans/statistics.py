@@ -13,13 +13,13 @@ from quern.sources.tables import stored
 _M = "round(avg(overlap), 6) AS mean_overlap, round(avg(reverse_kl), 6) AS mean_reverse_kl, round(avg(forward_kl), 6) AS mean_forward_kl, round(avg(final_loss), 6) AS mean_final_loss, round(coalesce(avg(student_logp), 0), 6) AS mean_student_target_logp, round(coalesce(avg(teacher_logp), 0), 6) AS mean_teacher_target_logp"
 
 
-def _stats_sql(keys: str, names: str, extra: str = "") -> str:
+def stats_sql(keys: str, names: str, extra: str = "") -> str:
     return f"""WITH {TOKENS}{extra}, g AS (SELECT {keys}, count(*) AS "count", {_M} FROM src GROUP BY ALL),
 h AS (SELECT {names}, '{{' || string_agg('"' || r || '": ' || n, ', ' ORDER BY r) || '}}' AS routes FROM (SELECT {keys}, route AS r, count(*) AS n FROM src GROUP BY ALL) GROUP BY ALL)
 SELECT g.*, h.routes FROM g JOIN h USING ({names})"""
 
 
-@query("E1_group_stats", _stats_sql("token_id, token", "token_id, token").replace("FROM src", "FROM tok"))
+@query("E1_group_stats", stats_sql("token_id, token", "token_id, token").replace("FROM src", "FROM tok"))
 def e1(spark, sf):
     return r6(token_stats.group_stats(tokens(spark, sf), "token_id", "token"))
 
@@ -37,12 +37,12 @@ _OBIN = "'[0.' || least(floor(greatest(least(overlap, 1.0), 0.0) * 10), 9)::INT
 _PBIN = "(((position - 1) // 50) * 50 + 1) || '-' || (((position - 1) // 50 + 1) * 50)"
 
 
-@query("E3_by_overlap_bin", _stats_sql("overlap_bin", "overlap_bin", f", src AS (SELECT *, {_OBIN} AS overlap_bin FROM tok)"))
+@query("E3_by_overlap_bin", stats_sql("overlap_bin", "overlap_bin", f", src AS (SELECT *, {_OBIN} AS overlap_bin FROM tok)"))
 def e3(spark, sf):
     return r6(token_stats.group_stats(token_stats.binned(tokens(spark, sf)), "overlap_bin"))
 
 
-@query("E4_by_position_bin", _stats_sql("position_bin", "position_bin", f", src AS (SELECT *, {_PBIN} AS position_bin FROM tok)"))
+@query("E4_by_position_bin", stats_sql("position_bin", "position_bin", f", src AS (SELECT *, {_PBIN} AS position_bin FROM tok)"))
 def e4(spark, sf):
     return r6(token_stats.group_stats(token_stats.binned(tokens(spark, sf)), "position_bin"))
 

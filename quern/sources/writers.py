@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,34 @@ def append_jsonl(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).json(path)
 
 
+def append_once(df: DataFrame, path: str, batch: str, by: str | None = None) -> bool:
+    """Append JSON lines as the batch of this name, once; whether this call put them there.
+
+    Rows are written aside and moved into place by one rename, which fails if
+    the batch is there: a job that fails leaves nothing that readers see, and a
+    job that runs twice, even at the same time, leaves its rows once.
+    """
+    spark = df.sparkSession
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    aside, target = hadoop.Path(f"{path}/_aside-{uuid.uuid4().hex}"), hadoop.Path(f"{path}/batch={batch}")
+    fs = target.getFileSystem(conf)
+    if fs.exists(target):
+        return False
+    try:
+        writer = df.write.mode("errorifexists")
+        (writer.partitionBy(by) if by else writer).json(aside.toString())
+        how = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        how[0] = getattr(hadoop, "Options$Rename").NONE  # never over what is there
+        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(aside), fs.makeQualified(target), how)
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.toString():
+            raise
+        return False  # another run of this batch was first
+    finally:
+        fs.delete(aside, True)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -1,13 +1,16 @@
-"""The append-only log as a stream, and a stop rule with state."""
+"""The append-only log as a stream: windows, additive statistics by batch, and a stop rule with state."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators import token_stats
+from quern.session import ship
+from quern.streaming.stop import BoxedStop
+
 
 def tail(spark: SparkSession, path: str, schema: str, kind: str = "json", files_per_batch: int = 100) -> DataFrame:
     """New files of an append-only log; ``kind`` json or parquet."""
@@ -23,28 +26,37 @@ def windowed_routes(tokens: DataFrame, late: str = "10 minutes", width: str = "1
     ).select(F.col("window.start").alias("start"), "route", "n", "mean_loss")
 
 
-def _stop(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    from quern.streaming.stop import line_end
-
-    text, n, done = state.get if state.exists else ("", 0, -1)
-    for frame in frames:
-        for piece in frame.sort_values("pos")["piece"]:
-            n += 1
-            if done < 0:
-                text += piece
-                end = line_end(text)
-                if end is not None and len(text) >= end:
-                    done = n
-    state.update((text if done < 0 else "", n, done))
-    yield pd.DataFrame({"seq_id": [key[0]], "tokens": [n], "stop_at": [None if done < 0 else done]}).astype({"stop_at": "Int64"})
+#: The store that keeps state on disk with a changelog; stateful processors need it.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def boxed_stops(tokens: DataFrame) -> DataFrame:
-    """Per sequence, as its pieces arrive, the count so far and where its first boxed line ended."""
-    return tokens.groupBy("seq_id").applyInPandasWithState(
-        _stop,
-        "seq_id long, tokens long, stop_at long",
-        "text string, n long, done long",
-        "update",
-        "NoTimeout",
+    """Per sequence, as its pieces arrive in order, the count so far and the piece in which its first box with content closed.
+
+    ``tokens`` is a stream of seq_id, pos and piece; the session's state store must be ``ROCKS``.
+    """
+    ship(tokens.sparkSession)
+    return tokens.groupBy("seq_id").transformWithStateInPandas(
+        statefulProcessor=BoxedStop(),
+        outputStructType="seq_id long, tokens long, stop_at long",
+        outputMode="Update",
+        timeMode="None",
     )
+
+
+def run_available(stream: DataFrame, target: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append") -> None:
+    """Process what has arrived, each batch into a folder of its own number.
+
+    A batch that is sent again after a failure replaces its folder, so ``target`` holds each row once.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        (change(batch) if change else batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+
+
+def rolled_up(spark: SparkSession, target: str, *keys: str) -> DataFrame:
+    """Token statistics of all batches of :func:`run_available` whose ``change`` is ``token_stats.group_sums`` by ``keys``."""
+    return token_stats.stats_of(spark.read.parquet(target), *keys)

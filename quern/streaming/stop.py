@@ -1,19 +1,74 @@
-"""End of the line with the first complete, non-blank box of a growing text."""
+r"""The first complete, non-blank ``\boxed{...}`` of a text that arrives in pieces.
+
+The scanner reads every character once and keeps numbers in place of text: the
+depth of braces so far, how much of ``\boxed{`` the end of the last piece
+matched, the depths at which boxes are open, and whether the innermost has
+anything but blanks in it.  A box that never closes hides none inside it.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+TAG = "\\boxed{"
+_MARK = re.compile(r"\\boxed\{|[{}]")
+#: What a rollout's state holds, whatever the length of its text.
+STATE = "n bigint, done bigint, depth bigint, matched int, filled boolean, boxes array<bigint>"
+
+
+@dataclass
+class Scanner:
+    depth: int = 0
+    matched: int = 0
+    filled: bool = False
+    boxes: list[int] = field(default_factory=list)
+
+    def read(self, piece: str) -> bool:
+        """Take the next piece; whether a box with content closes in it."""
+        text = TAG[: self.matched] + piece
+        new, end = self.matched, 0  # what comes before these is counted, or part of a mark
+        for mark in _MARK.finditer(text):
+            self.filled |= bool(text[max(new, end) : mark.start()].strip())
+            end = mark.end()
+            if mark[0] == TAG:
+                self.boxes.append(self.depth)
+                self.depth, self.filled = self.depth + 1, False
+            elif mark[0] == "{":
+                self.depth, self.filled = self.depth + 1, True
+            else:
+                self.depth -= 1
+                if self.boxes and self.boxes[-1] == self.depth:
+                    self.boxes.pop()
+                    if self.filled:
+                        return True
+                self.filled = True  # what closed is content of the box around it
+        self.filled |= bool(text[max(new, end) :].strip())
+        most = min(len(TAG) - 1, len(text) - end)
+        self.matched = next(k for k in range(most, -1, -1) if text.endswith(TAG[:k]))
+        return False
+
+
+class BoxedStop(StatefulProcessor):
+    """Pieces so far of each rollout, and the number of the one in which its first box with content closed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("scan", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, done, depth, matched, filled, boxes = self.state.get() if self.state.exists() else (0, -1, 0, 0, False, [])
+        scan = Scanner(depth, matched, filled, [int(x) for x in boxes])
+        pieces = pd.concat(list(rows)).sort_values("pos")["piece"].tolist()
+        for place, piece in enumerate(pieces, n + 1):
+            if done < 0 and scan.read(piece or ""):
+                done, scan = place, Scanner()
+        n += len(pieces)
+        self.state.update((n, done, scan.depth, scan.matched, scan.filled, scan.boxes))
+        yield pd.DataFrame({"seq_id": [key[0]], "tokens": [n], "stop_at": pd.array([None if done < 0 else done], "Int64")})
 
-def line_end(text: str) -> int | None:
-    at = text.find("\\boxed{")
-    while at >= 0:
-        depth, close = 0, None
-        for i in range(at + 6, len(text)):
-            depth += (text[i] == "{") - (text[i] == "}")
-            if depth == 0:
-                close = i
-                break
-        if close is not None and text[at + 7 : close].strip():
-            line = text.find("\n", close)
-            return line + 1 if line >= 0 else close + 1
-        at = text.find("\\boxed{", at + 7 if close is None else close + 1)
-    return None
+    def close(self) -> None:
+        pass

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quern.sources import config, readers, writers
 from quern.streaming import logs
-from quern.streaming.stop import line_end
 
 
 def test_samples_of_all_layouts(spark, tmp_path):
@@ -94,20 +93,3 @@ def test_log_as_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.route, r.n, r.mean_loss) for r in spark.table("routes").collect()] == [("r", 2, 2.0)]
-
-
-def test_stops_with_state(spark, tmp_path):
-    spark.createDataFrame(
-        [(1, 0, "a \\boxed{"), (1, 1, "2}"), (1, 2, "\n"), (1, 3, "z"), (2, 0, "b")],
-        "seq_id long, pos long, piece string",
-    ).write.parquet(str(tmp_path / "in"))
-    q = logs.boxed_stops(
-        logs.tail(spark, str(tmp_path / "in"), "seq_id long, pos long, piece string", "parquet")
-    ).writeStream.outputMode("update").format("memory").queryName("stops").start()
-    q.processAllAvailable()
-    q.stop()
-    assert {(r.seq_id, r.tokens, r.stop_at) for r in spark.table("stops").collect()} == {(1, 4, 2), (2, 1, None)}
-
-
-def test_line_end():
-    assert line_end("\\boxed{1}\nx") == 10 and line_end("\\boxed{} ") is None and line_end("\\boxed{a") is None

@@ -2,18 +2,21 @@
 
 Examples are a bounded sample of the labelled documents: of each label the
 ``EXAMPLES`` ids with the least hash, as long as their distinct words are no
-more than ``POSTINGS`` in all.  Every word of their texts is a term.  Its weight
-is its TF-IDF times ``FLOOR`` plus how far, in standard deviations drawn in by
-``DRAWN``, toxic examples have it above their rate: no word is left out, but
-words that go with the label count more.  Where the sample has one label's
-examples more often than the corpus, their counts and votes are scaled back.
+more than ``POSTINGS`` in all.  Every word of their texts is a term, weighted by
+TF-IDF: 1 + log(count) times the inverse document frequency among the examples
+of label 0, the background, raised to the power ``SHARP``, so that what a text
+has beside common words decides which examples are near.  Where the sample has
+one label's examples more often than the corpus, their counts and votes are
+scaled back.
 
 The inverted index keeps the examples of a term in blocks of ``BLOCK`` with the
 largest weight in each.  For a document the blocks are visited by falling upper
 bound until no block can still reach the ``K`` best: the neighbours are exact,
 and those that tie with the last are all taken.  Votes are weighted by
 1 / (distance + ``NEAR``) and drawn to the base rate by ``PRIOR`` votes, which
-keeps few or distant neighbours from giving certain scores.
+keeps few or distant neighbours from giving certain scores.  A line through the
+log-odds of votes, fitted to up to ``FITTED`` examples of each label that do not
+vote on themselves, makes them probabilities.
 
 The index and its size are bounded by these parameters, whatever the corpus;
 every document is scored from its whole text.  Texts that are null, empty or
@@ -42,7 +45,8 @@ from quern.session import ship
 #: Examples of a label, and distinct words of all of them, that the index may hold.
 EXAMPLES, POSTINGS = 2_000, 2_000_000
 K, BLOCK, FIRST, NEAR, PRIOR, EVIDENCE = 15, 256, 2, 0.05, 1.0, 3
-FLOOR, DRAWN = 0.02, 8.0
+#: Power of the inverse document frequency; examples of a label that calibrate the votes, and how few leave them as they are.
+SHARP, FITTED, FEW = 4, 500, 10
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -73,10 +77,8 @@ class Index:
         self.number = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
         row, term = np.repeat(np.arange(len(ids)), size), coded.indices.to_numpy().astype(np.int64)
         n = examples["n"].combine_chunks().flatten().to_numpy().astype(float)
-        have, toxic = (np.bincount(term, w, len(self.number)) for w in (worth[row], (worth * label)[row]))
-        # the usual inverse frequency, and how much more often toxic examples have the term than their rate says
-        excess = (toxic - have * self.rate) / np.sqrt(have * self.rate * (1 - self.rate) + DRAWN)
-        self.weight = (np.log((1 + total) / (1 + have)) + 1) * (FLOOR + np.maximum(0, excess))
+        have = np.bincount(term, (worth * (label == 0))[row], len(self.number))
+        self.weight = np.maximum(np.log((1 + total) / (1 + have)), 1e-3) ** SHARP
         w = (1 + np.log(n)) * self.weight[term]
         norm = np.sqrt(np.bincount(row, w * w, len(ids)))
         w = w / np.maximum(norm, 1e-300)[row]
@@ -104,6 +106,30 @@ class Index:
         self.block = block[self.start]
         self.most = np.maximum.reduceat(self.w, self.start) if len(o) else self.w
         self.row = np.searchsorted(term[self.start], np.arange(len(self.number) + 1))
+        self.slope, self.shift = 1.0, 0.0
+        self._calibrate(ids, words, n, size)
+
+    def _calibrate(self, ids: np.ndarray, words: pa.Array, n: np.ndarray, size: np.ndarray) -> None:
+        """The line through the log-odds of votes that examples give examples."""
+        at = dict(zip(ids.tolist(), np.append(0, np.cumsum(size)[:-1]).tolist(), strict=True)) if len(ids) else {}
+        long = dict(zip(ids.tolist(), size.tolist(), strict=True))
+        chosen = [np.flatnonzero(self.label == x) for x in (0, 1)]
+        chosen = [c[np.unique(np.linspace(0, len(c) - 1, FITTED).astype(int))] if len(c) else c for c in chosen]
+        if min(map(len, chosen)) < FEW:
+            return
+        terms_ = words.flatten()
+        x, y, w = [], [], []
+        for mark, places in enumerate(chosen):
+            share = float(self.worth[self.label == mark].sum()) / len(places)
+            for i in self.ids[places].tolist():
+                own = slice(at[i], at[i] + long[i])
+                found = np.array([self.number[t] for t in terms_[own].to_pylist()])
+                order = np.argsort(found)
+                v = (1 + np.log(n[own][order])) * self.weight[found[order]]
+                x.append(_odds(self.vote(found[order], v / np.sqrt(v @ v), i)[0]))
+                y.append(mark)
+                w.append(share)
+        self.slope, self.shift = _line(np.array(x), np.array(y), np.array(w))
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of a text's terms that the examples have, of length one."""
@@ -140,16 +166,43 @@ class Index:
         found = found[np.lexsort((self.ids[found], -score[found]))]
         return found, score[found]
 
-    def score(self, text: str | None, own: int | None = None) -> tuple[float, list[int]]:
-        at, q = self.vector(text)
-        if not len(at):
-            return self.bare, []
+    def vote(self, at: np.ndarray, q: np.ndarray, own: int | None = None) -> tuple[float, list[int]]:
+        """The toxic share of the neighbours' votes, and the nearest of them."""
         near, cosine = self.neighbours(at, q, own)
         vote = self.worth[near] / (np.maximum(0, 1 - cosine) + NEAR)
         some = PRIOR / (1 + NEAR)
         toxic = float(vote[self.label[near] == 1].sum())
         return (toxic + some * self.rate) / (float(vote.sum()) + some), self.ids[near[:EVIDENCE]].tolist()
 
+    def calibrated(self, vote: float) -> float:
+        return float(1 / (1 + np.exp(-(self.slope * _odds(vote) + self.shift))))
+
+    def score(self, text: str | None, own: int | None = None) -> tuple[float, list[int]]:
+        at, q = self.vector(text)
+        if not len(at):
+            return self.bare, []
+        vote, evidence = self.vote(at, q, own)
+        return self.calibrated(vote), evidence
+
+
+def _odds(share: float) -> float:
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return float(np.log(share / (1 - share)))
+
+
+def _line(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the log-odds of y on x with weights w, drawn to even odds by one example of each label."""
+    ones, zeros = (w * y).sum(), (w * (1 - y)).sum()
+    want = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    line = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(line[0] * x + line[1], -30, 30)))
+        g, h = w * (p - want), w * p * (1 - p) + 1e-9
+        curve = np.array([[(h * x * x).sum() + 1e-6, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
+        step = np.linalg.solve(curve, [(g * x).sum(), g.sum()])
+        line -= np.clip(step, -2, 2)
+    return max(0.05, float(line[0])), float(line[1])
+
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -181,8 +234,11 @@ def fit(
         held[r.label].append((r.id, r.size))
     kept: list[int] = []
     for rows in held.values():
-        room = np.cumsum([n for _, n in rows]) <= POSTINGS // 2 if rows else []
-        kept += [i for (i, _), fits in zip(rows, room, strict=True) if fits]
+        room = POSTINGS // 2
+        for i, n in rows:  # a text too long for what is left is skipped, not what follows it
+            if n <= room:
+                room -= n
+                kept.append(i)
     wanted = docs.sparkSession.createDataFrame([(i,) for i in kept], "id long")
     got = sample.join(F.broadcast(wanted), "id").select("id", "label", "term", "n").toArrow().sort_by("id")
     counts = Counter(got["label"].to_pylist())

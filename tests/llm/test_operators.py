@@ -539,7 +539,7 @@ def test_very_long_texts(spark):
     assert {r.doc_id: r.lang_pred for r in identified(table, fit(train)).collect()} == {1: "und", 2: "en", 3: "en", 4: "en"}
 
 
-def toxicity_brute(rows, examples, own=False):
+def toxicity_brute(rows, examples, own=False, calibrated=lambda x: x):
     """Scores by all cosines, from the definitions; ``examples``: (id, label, text) of one label rate."""
     import math
 
@@ -550,9 +550,8 @@ def toxicity_brute(rows, examples, own=False):
     n, rate = len(held), sum(y for _, y, _ in held) / len(held)
     weight = {}
     for t in {t for _, _, c in held for t in c}:
-        have, toxic = sum(t in c for _, _, c in held), sum(t in c for _, y, c in held if y)
-        excess = max(0, (toxic - have * rate) / math.sqrt(have * rate * (1 - rate) + T.DRAWN))
-        weight[t] = (math.log((1 + n) / (1 + have)) + 1) * (T.FLOOR + excess)
+        clean = sum(t in c for _, y, c in held if not y)
+        weight[t] = max(math.log((1 + n) / (1 + clean)), 1e-3) ** T.SHARP
 
     def vector(c):
         v = {t: (1 + math.log(k)) * weight[t] for t, k in c.items() if t in weight}
@@ -571,7 +570,7 @@ def toxicity_brute(rows, examples, own=False):
         near = [x for x in near if x[0] > 0 and x[0] >= near[min(T.K, len(near)) - 1][0] - 1e-12]
         vote = [(1 / (max(0, 1 - c) + T.NEAR), y) for c, y in near]
         some = T.PRIOR / (1 + T.NEAR)
-        out.append((sum(v for v, y in vote if y) + some * rate) / (sum(v for v, _ in vote) + some))
+        out.append(calibrated((sum(v for v, y in vote if y) + some * rate) / (sum(v for v, _ in vote) + some)))
     return out
 
 
@@ -590,8 +589,10 @@ def test_toxicity_is_exact(spark, monkeypatch, block, own):
         (1000 + i, " ".join(word(i % 3 == 0) for _ in range(r.randint(0, 12)))) for i in range(60)
     ] + [(None, "scum tax"), (7, None), (8, ""), (9, "zzz")]
     table = spark.createDataFrame([(i, t, y) for i, y, t in examples], "doc_id long, text string, toxic int").repartition(3)
-    got = {(x.row.doc_id, x.row.text): x.score for x in T.scored(docs(spark, rows), T.fit(table, table), leave_own=own).collect()}
-    want = dict(zip(rows, toxicity_brute(rows, examples, own), strict=True))
+    index = T.fit(table, table)
+    assert (index.slope, index.shift) != (1.0, 0.0)
+    got = {(x.row.doc_id, x.row.text): x.score for x in T.scored(docs(spark, rows), index, leave_own=own).collect()}
+    want = dict(zip(rows, toxicity_brute(rows, examples, own, index.calibrated), strict=True))
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
 
 
@@ -605,6 +606,8 @@ def test_toxicity_sample(spark, monkeypatch):
     assert len(index.ids) == 100 and len(set(index.ids.tolist())) == 100 and abs(index.rate - 0.2) < 1e-9
     monkeypatch.setattr(T, "POSTINGS", 60)
     assert len(T.fit(table, table).w) <= 60
+    long = spark.createDataFrame([(1, " ".join(f"w{c}{d}" for c in "abcdefgh" for d in "abcdef"), 1), (2, "few words", 1), (3, "other words", 1)], table.schema)
+    assert sorted(T.fit(long, long).ids.tolist()) == [2, 3]
     both = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None)], "doc_id long, toxic int")
     text = spark.createDataFrame([(1, "a"), (2, "b"), (1, "c")], "doc_id long, text string")
     index = T.fit(text, both)
@@ -625,6 +628,26 @@ def test_toxicity_edges(spark):
     assert all(r.score == 0 for r in scored(docs(spark, [(1, "a"), (2, None)]), fit(labelled, labelled.limit(0))).collect())
 
 
+def test_toxicity_is_reliable(spark):
+    """Held-out documents are as often toxic as their scores say; few toxic ones are missed and no clean one is called toxic."""
+    from quern.llm.queries import held_out
+    from quern.llm.toxicity import fit, scored
+
+    sf = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").where("toxic is not null")
+    index = fit(table, labels.where(~held_out(F.col("doc_id"))))
+    asked = table.join(labels.where(held_out(F.col("doc_id"))), "doc_id")
+    got = np.array([(r.score, r.row.toxic) for r in scored(asked, index).collect()])
+    score, toxic = got[:, 0], got[:, 1]
+    for low, high in ((0, 0.1), (0.1, 0.5), (0.5, 1.01)):
+        inside = (score >= low) & (score < high)
+        assert inside.sum() > 20 and abs(score[inside].mean() - toxic[inside].mean()) < 0.2
+    assert abs(score.mean() - toxic.mean()) < 0.03
+    called = score >= 0.5
+    assert toxic[called].mean() > 0.97 and called[toxic == 1].mean() > 0.9
+
+
 def test_held_out_accuracy(spark):
     from quern.llm.queries import op6_toxicity, op7_language_id
 

@@ -240,7 +240,7 @@ def x29(spark, sf):
 
 @query(
     "X10_X18_mathd",
-    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '\\frac{' || n_chars || '}{7}' WHEN 1 THEN '\\frac{1}{2}' WHEN 2 THEN '\\sqrt{3}+' || n_chars ELSE n_chars::VARCHAR END AS form FROM documents",
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '\\frac{' || n_chars || '}{7}' WHEN 1 THEN '\\frac{1}{2}' WHEN 2 THEN '\\sqrt{3}+' || n_chars ELSE n_chars::VARCHAR END AS form, '(' || n_chars || ')' AS doubled FROM documents",
 )
 def x10(spark, sf):
     ship(spark)
@@ -249,7 +249,8 @@ def x10(spark, sf):
         k == 2,
         F.concat(F.lit("\\left\\sqrt3 + \\right "), n),
     ).otherwise(F.concat(n, F.lit("\\text{ cm}")))
-    return read(spark, sf, "documents").select("doc_id", G.mathd_udf(t).alias("form"))
+    doubled = F.concat(F.lit("\\\\left("), n, F.lit("\\\\right)"))
+    return read(spark, sf, "documents").select("doc_id", G.mathd_udf(t).alias("form"), G.mathd_udf(doubled).alias("doubled"))
 
 
 _NUMBERS = """WITH n AS (SELECT doc_id, n_chars, CASE doc_id % 5 WHEN 0 THEN n_chars || ',000' WHEN 1 THEN n_chars || ',234,567' WHEN 2 THEN n_chars || '/' || (doc_id % 12) WHEN 3 THEN (n_chars / 8.0)::VARCHAR ELSE '-' || n_chars || '/0' || (doc_id % 3) END AS t FROM documents),
@@ -258,7 +259,7 @@ c AS (SELECT *, regexp_replace(regexp_replace(t, '(\\d),(\\d\\d\\d)($|\\D)', '\\
 
 @query(
     "X11_X12_X14_plain",
-    _NUMBERS + r""" SELECT doc_id, (n_chars * 1000)::VARCHAR AS plain, bare AS no_commas, coalesce(abs(try_cast(bare AS DOUBLE) - round(try_cast(bare AS DOUBLE))) <= 1e-7, false) AS whole,
+    _NUMBERS + r""" SELECT doc_id, (n_chars * 1000)::VARCHAR AS plain, n_chars || ',' || (doc_id % 12) AS joined, bare AS no_commas, coalesce(abs(try_cast(bare AS DOUBLE) - round(try_cast(bare AS DOUBLE))) <= 1e-7, false) AS whole,
     regexp_matches(t, '^-?[0-9]+.?/0*[1-9][0-9]*.?$') AS fraction FROM c""".replace("\\\\", "\\"),
 )
 def x11(spark, sf):
@@ -268,9 +269,11 @@ def x11(spark, sf):
     t = F.when(k == 0, F.concat(n, F.lit(",000"))).when(k == 1, F.concat(n, F.lit(",234,567")))
     t = t.when(k == 2, F.concat(n, F.lit("/"), (F.col("doc_id") % 12).cast("string"))).when(k == 3, eighth)
     t = t.otherwise(F.concat(F.lit("-"), n, F.lit("/0"), (F.col("doc_id") % 3).cast("string")))
+    unit = F.when(k < 2, F.lit(" feet and ")).when(k == 2, F.lit(" or ")).when(k == 3, F.lit(" hours^2 or $")).otherwise(F.lit("\\% and "))
     return read(spark, sf, "documents").select("doc_id", "n_chars", t.alias("t")).select(
         "doc_id",
         G.plain_udf(F.concat((F.col("n_chars") * 1000).cast("string"), F.lit(".0"))).alias("plain"),
+        G.plain_udf(F.concat(F.col("n_chars").cast("string"), unit, (F.col("doc_id") % 12).cast("string"), F.lit(" inches"))).alias("joined"),
         G.commas_udf(F.col("t")).alias("no_commas"),
         G.is_int_udf(F.col("t")).alias("whole"),
         G.is_fraction(F.col("t")).alias("fraction"),

@@ -76,6 +76,11 @@ def test_strip_thinking(spark):
         ("\\sqrt2", "\\sqrt{2}", True),
         ("1\\%", "1", True),
         ("2/4", "1/2", False),
+        ("\\\\left(1\\\\right)", "(1)", True),
+        ("\\\\dfrac12", "\\frac{1}{2}", True),
+        ("\\\\\\!left(2,3\\right)", "(2,3)", True),
+        ("\\left(90^\\circ,\\$2\\right)", "(90,2)", True),
+        ("5^{\\\\circ}", "5", True),
     ],
 )
 def test_mathd(given, truth, ok):
@@ -96,6 +101,14 @@ def test_mathd(given, truth, ok):
         ("3 million", "3*10^6", True),
         ("", "1", False),
         ("sqrt(4)+1/2", "5/2", True),
+        ("2 feet and 3 inches", "2, 3", True),
+        ("5 hours or 3 days", "5 or 3", True),
+        ("5 hours or 3 days", "53", False),
+        ("10\\% and 20\\%", "(10, 20)", False),
+        ("10\\% or 20\\%", "10 , 20", True),
+        ("1 million or 2 million", "1*10^6, 2*10^6", True),
+        ("3 cm^2 and 4 cm", "3,4", True),
+        ("$5 and $6", "5,6", True),
     ],
 )
 def test_plain(given, truth, ok):

@@ -155,24 +155,43 @@ def strip_fence(text: Column) -> Column:
 def first_boxed_line_end(text: Column) -> Column:
     """Characters up to the end of the line with the first complete, non-blank box; null if none.
 
-    Tries the openings from left to right; unterminated and blank boxes are passed over.
+    Unterminated and blank boxes are passed over.  The text is cut at braces and
+    openings, and one fold over the parts keeps the open boxes: where each began,
+    the depth outside it, and whether it holds anything but blanks.
     """
-    parts = F.split(text, r"\\boxed\{", -1)
-    # offset of every opening and the text from its brace on
-    openings = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
-        lambda i: F.struct(i.alias("i"), (F.length(F.array_join(F.slice(parts, F.lit(1), i), "\\boxed{")) + 6).alias("brace")),
+    nothing = F.struct(
+        F.lit(0).alias("at"),
+        F.lit(0).alias("depth"),
+        F.array().cast("array<struct<begin:int,outside:int>>").alias("boxes"),
+        F.lit(False).alias("filled"),
+        F.lit(None).cast("int").alias("begin"),
+        F.lit(None).cast("int").alias("close"),
     )
-    ends = F.transform(
-        openings,
-        lambda o: F.struct(
-            (o["brace"] + F.length(balanced(F.substr(text, o["brace"] + 1, F.length(text)))) + 2).alias("close"),
-            balanced(F.substr(text, o["brace"] + 1, F.length(text))).alias("inside"),
-        ),
-    )
-    good = F.get(F.filter(ends, lambda e: e["inside"].isNotNull() & (strip(e["inside"]) != "")), F.lit(0))["close"]
-    newline = F.instr(F.substr(text, good + 1, F.length(text)), "\n")
-    return F.when(F.size(parts) > 1, F.when(newline > 0, good + newline).otherwise(good)).cast("int")
+
+    def step(a: Column, x: Column) -> Column:
+        at, depth = a["at"] + F.length(x), a["depth"]
+        opens, down = x == "\\boxed{", x == "}"
+        last = F.get(a["boxes"], F.size(a["boxes"]) - 1)
+        ends = down & F.coalesce(last["outside"] == depth - 1, F.lit(False))
+        first = ends & a["filled"] & (a["begin"].isNull() | (last["begin"] < a["begin"]))
+        one = F.array(F.struct(a["at"].alias("begin"), depth.alias("outside")))
+        return F.struct(
+            at.alias("at"),
+            (depth + F.when(opens | (x == "{"), 1).when(down, -1).otherwise(0)).alias("depth"),
+            F.when(opens, F.concat(a["boxes"], one)).when(ends, F.slice(a["boxes"], F.lit(1), F.size(a["boxes"]) - 1)).otherwise(a["boxes"]).alias("boxes"),
+            F.when(opens, False).otherwise(a["filled"] | (strip(x) != "")).alias("filled"),
+            F.when(first, last["begin"]).otherwise(a["begin"]).alias("begin"),
+            F.when(first, at).otherwise(a["close"]).alias("close"),
+        )
+
+    parts = F.regexp_extract_all(text, F.lit(r"\\boxed\{|[{}]|\\|[^{}\\]+"), F.lit(0))
+    close = F.when(F.contains(text, F.lit("\\boxed{")), F.aggregate(parts, nothing, step, lambda a: a["close"]))
+
+    def line(close: Column) -> Column:
+        newline = F.instr(F.substr(text, close + 1, F.length(text)), "\n")
+        return F.when(newline > 0, close + newline).otherwise(close).cast("int")
+
+    return bound(close, line)
 
 
 def template(text: str, column: Column, name: str = "problem") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.sequence import ngrams
@@ -21,12 +21,34 @@ def distinct_n(responses: DataFrame, n: int = 4, key: str = "example_id", text:
     return counted.groupBy(key).agg(F.coalesce(F.count("gram") / some, F.lit(0.0)).alias("distinct"))
 
 
+#: Ids of a range, within which an id's neighbour is looked for.
+SPAN = 1 << 16
+
+
+def gaps(rows: DataFrame, key: str = "example_id") -> DataFrame:
+    """Intervals ``first`` to ``last`` of the ids from 0 to the largest that have no rows.
+
+    Each id is compared with the one before it: within a range of ids by a
+    window over the range, at a range's start with the greatest id of the ranges
+    before.  Intervals are as many as the ids at most, however far these lie apart.
+    """
+    ids = rows.where(F.col(key) >= 0).select(F.col(key).cast("long").alias("id")).distinct().withColumn("range", F.expr(f"id div {SPAN}"))
+    tops = ids.groupBy("range").agg(F.max("id").alias("top"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    tops = tops.select("range", F.coalesce(F.max("top").over(before), F.lit(-1)).alias("below"))
+    near = ids.withColumn("near", F.lag("id").over(Window.partitionBy("range").orderBy("id"))).join(tops, "range")
+    found = near.select((F.coalesce("near", "below") + 1).alias("first"), (F.col("id") - 1).alias("last"))
+    return found.where("first <= last")
+
+
 def with_gaps(rows: DataFrame, key: str = "example_id") -> DataFrame:
     """Responses by id from 0 to the largest; ids without rows get an empty list."""
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list("response")).alias("responses"))
-    top = rows.agg(F.max(key)).first()[0]
-    every = rows.sparkSession.range(0, (top if top is not None else -1) + 1).withColumnRenamed("id", key)
-    return every.join(grouped, key, "left").select(key, F.coalesce("responses", F.array().cast("array<string>")).alias("responses"))
+    none = F.array().cast("array<string>")
+    grouped = rows.where(F.col(key) >= 0).groupBy(F.col(key).cast("long").alias(key))
+    grouped = grouped.agg(F.array_sort(F.collect_list("response")).alias("responses"))
+    parts = gaps(rows, key).select("last", F.explode(F.sequence(F.col("first"), F.col("last"), F.lit(SPAN))).alias("from"))
+    missing = parts.select(F.explode(F.sequence("from", F.least(F.col("last"), F.col("from") + SPAN - 1))).alias(key), none.alias("responses"))
+    return grouped.unionByName(missing)
 
 
 def scores(graded: DataFrame, key: str = "example_id") -> DataFrame:

@@ -13,15 +13,50 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def running(keys: list[str] | str = "seq_id", order: list[str] | str = "pos"):
-    return Window.partitionBy(keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+#: Positions of a range of a sequence.
+SPAN = 1 << 16
+
+
+def running_sums(
+    rows: DataFrame, values: dict[str, Column], keys: list[str] | str = "seq_id", order: str = "pos", totals: bool = False, span: int = SPAN
+) -> DataFrame:
+    """``rows`` with the sums of ``values`` up to each position and, if asked for, ``<name>_total`` of the sequence.
+
+    Sequences are cut into ranges of ``span`` positions: the sums of ranges are
+    added up along the sequence, and running sums within a range start from what
+    comes before it.  So a sequence of any length is many tasks, and what one
+    task holds of it is a row for each range.  ``order`` is a whole number; null
+    values count as 0.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    own = {f"__{n}": F.coalesce(v, F.lit(0)) for n, v in values.items()}
+    place = F.expr(f"cast(`{order}` as bigint) div {span}")
+    marked = rows.withColumns({"__k": F.struct(*keys), "__r": place} | own)
+    sums = marked.groupBy("__k", "__r").agg(*[F.sum(c).alias(c) for c in own])
+    along = Window.partitionBy("__k")
+    before = along.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(
+        "__k",
+        "__r",
+        *[F.sum(c).over(before).alias(f"{c}_base") for c in own],
+        *([F.sum(c).over(along).alias(f"{c}_total") for c in own] if totals else []),
+    )
+    if not totals:  # the first range starts from nothing
+        bases = bases.where(" or ".join(f"{c}_base is not null" for c in own))
+    within = Window.partitionBy("__k", "__r").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = marked.withColumns({c: F.sum(c).over(within) for c in own})
+    joined = local.join(bases, ["__k", "__r"], "inner" if totals else "left")
+    out = {n: F.col(f"__{n}") + F.coalesce(f"__{n}_base", F.lit(0)) for n in values}
+    if totals:
+        out |= {f"{n}_total": F.col(f"__{n}_total") for n in values}
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns if c not in out], *[c.alias(n) for n, c in out.items()])
 
 
 def prune_weights(facts: DataFrame, threshold: float = 0.65, drop: float = 0.01, base: float = 0.5, cumulative: bool = True) -> DataFrame:
     """``weight``: falls by ``drop`` with each low-overlap position so far, not below ``base``; 0 where inactive."""
     low = (F.col("active") & (F.col("overlap") < threshold)).cast("int")
     if cumulative:
-        counted = facts.withColumn("low_count", F.sum(low).over(running()))
+        counted = running_sums(facts, {"low_count": low})
         weight = F.least(F.greatest(1.0 - drop * F.col("low_count"), F.lit(base)), F.lit(1.0))
     else:
         counted = facts.withColumn("low_count", low)
@@ -31,16 +66,16 @@ def prune_weights(facts: DataFrame, threshold: float = 0.65, drop: float = 0.01,
 
 def response_positions(facts: DataFrame) -> DataFrame:
     """``response_pos`` (active positions before, from 0) and ``relative_pos`` in (0, 1]."""
-    on = F.col("active").cast("int")
-    at = F.sum(on).over(running()) - 1
-    total = F.sum(on).over(Window.partitionBy("seq_id"))
-    return facts.withColumns({"response_pos": at, "relative_pos": (at + 1) / F.greatest(total, F.lit(1))})
+    counted = running_sums(facts, {"__on": F.col("active").cast("int")}, totals=True)
+    at = F.col("__on") - 1
+    share = (at + 1) / F.greatest(F.col("__on_total"), F.lit(1))
+    return counted.withColumns({"response_pos": at, "relative_pos": share}).drop("__on", "__on_total")
 
 
-def char_spans(tokens: DataFrame, piece: str = "piece", keys: str = "seq_id", order: str = "pos") -> DataFrame:
+def char_spans(tokens: DataFrame, piece: str = "piece", keys: list[str] | str = "seq_id", order: str = "pos") -> DataFrame:
     """``start_char`` and ``end_char`` of every piece in the concatenation of its sequence."""
-    end = F.sum(F.length(piece)).over(running(keys, order))
-    return tokens.withColumns({"end_char": end, "start_char": end - F.length(piece)})
+    ended = running_sums(tokens, {"end_char": F.length(piece)}, keys, order)
+    return ended.withColumn("start_char", F.col("end_char") - F.length(piece))
 
 
 def shifted(facts: DataFrame, column: str = "label") -> DataFrame:

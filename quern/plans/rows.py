@@ -15,7 +15,7 @@ from quern.operators import evaluation, joins, rollouts, sequence
 from quern.plans.facts import BOXED, IDS, TOKENS, boxed_texts, id_lists, r6, read, tokens
 from quern.plans.registry import query
 from quern.session import shared_folder, ship
-from quern.sources import config, readers, writers
+from quern.sources import config, large_json, readers, writers
 from quern.sources.writers import renamed
 
 
@@ -534,6 +534,17 @@ def a11(spark, sf):
     )
 
 
+@query(
+    "A11_gap_intervals",
+    """WITH r AS (SELECT DISTINCT doc_id * doc_id % 100003 * 1000000007 AS id FROM documents WHERE doc_id % 3 > 0), n AS (SELECT id, lag(id, 1, -1) OVER (ORDER BY id) AS near FROM r)
+SELECT near + 1 AS "first", id - 1 AS "last" FROM n WHERE near + 1 < id""",
+)
+def a11_intervals(spark, sf):
+    """Ids that lie far apart: intervals without rows, none of which is written out."""
+    d = read(spark, sf, "documents").where("doc_id % 3 > 0")
+    return evaluation.gaps(d.select(F.expr("doc_id * doc_id % 100003 * 1000000007").alias("example_id")))
+
+
 @query(
     "E25_aligned_loss",
     f"WITH {TOKENS}, g AS (SELECT seq_id, pos // 3 AS gid, sum(student_logp) AS s, sum(teacher_logp) AS t, first(seq_weight) AS w FROM tok WHERE student_logp IS NOT NULL GROUP BY 1, 2), q AS (SELECT seq_id, avg(greatest(least(s - t, 0.5), -0.5)) AS m, first(w) AS w FROM g GROUP BY 1) SELECT round(sum(m * w) / greatest(sum(w), 1.0), 6) AS loss FROM q",
@@ -722,6 +733,17 @@ def a5(spark, sf):
     return got.select("layout", "first_", "r.item_id", F.col("r.target").alias("text"))
 
 
+@query("A5_split_documents", "SELECT doc_id, text FROM documents")
+def a5_split(spark, sf):
+    """Lists in eight files, each read in splits."""
+    path, bucket = _fresh(spark, "lists"), F.pmod("doc_id", F.lit(8)).alias("bucket")
+    d = read(spark, sf, "documents").select(bucket, F.lit(1).alias("place"), F.concat(F.to_json(F.struct("doc_id", "text")), F.lit(",")).alias("value"))
+    ends = spark.range(8).select(F.col("id").alias("bucket"), F.explode(F.array(F.struct(F.lit(0), F.lit("[")), F.struct(F.lit(2), F.lit("null]")))).alias("x"))
+    lines = d.unionByName(ends.select("bucket", F.col("x.col1").alias("place"), F.col("x.col2").alias("value")))
+    lines.repartition("bucket").sortWithinPartitions("bucket", "place").drop("place").write.partitionBy("bucket").text(path)
+    return large_json.objects(spark, path, "*.txt").select(F.from_json("record", "doc_id long, text string").alias("r")).select("r.*")
+
+
 @query("B3_csv", "SELECT page_id::VARCHAR AS page_id, NULL::VARCHAR AS missing, url FROM pages")
 def b3(spark, sf):
     path = _fresh(spark, "csv")

@@ -13,6 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the 50-byte strings that a document of a smaller id has: counts and digest of what is left."""
     from quern.llm.suffix_dedup import remove_repeats
 
     cut = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"], with_text=False)
@@ -20,12 +21,14 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each document's shingle set, its component of near duplicates, and whether it is the one that stays."""
     from quern.llm.minhash_dedup import near_duplicates
 
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, up to three words in 13 being others, with the place."""
     from quern.llm.decontaminate import leaks
 
     return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -36,6 +39,7 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, longest fitting rule and verdict of each page."""
     from quern.llm.url_filter import url_verdicts
 
     return url_verdicts(_read(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
@@ -59,6 +63,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each document from its nearest labelled examples, learned without the held-out ids."""
     from quern.llm.toxicity import fit, scored
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -68,6 +73,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned without the held-out ids."""
     from quern.llm.language import fit, identified
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -116,18 +122,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each vector of equal label at cosine 0.98 and more, its component, and whether it stays."""
     from quern.llm.embedding_dedup import near_vectors
 
     return near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in as few sequences of 2,048 tokens as can be found."""
     from quern.llm.packing_bins import pack_sequences
 
     return pack_sequences(_read(spark, sf_dir, "documents"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document, shards of nearly equal bytes, equal texts together."""
     from quern.llm.sharding import shard
 
     return shard(_read(spark, sf_dir, "documents"))

@@ -8,9 +8,11 @@ from pathlib import Path
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import jsons as Y
 from quern.functions import rows as C
+from quern.functions.extensions import Mapper, mapped, register_mappers, verified
 from quern.operators import evaluation, joins, rollouts, sequence
 from quern.plans.facts import BOXED, IDS, TOKENS, boxed_texts, id_lists, r6, read, tokens
 from quern.plans.registry import query
@@ -196,6 +198,52 @@ def j5(spark, sf):
     return joins.two_stage(rule, model, ["doc_id"])
 
 
+def _count_words(row):
+    yield (*row, len(row.text.split(" ")), f"{row.lang}/{row.source}")
+
+
+def _sentences(row):
+    for place, part in enumerate(row.text.split(". ")):
+        yield row.doc_id, place, len(part)
+
+
+MAPPERS = {
+    "words": Mapper(_count_words, lambda rows: T.StructType([*rows.fields, T.StructField("n", T.LongType()), T.StructField("kind", T.StringType())])),
+    "sentences": Mapper(_sentences, lambda rows: T.StructType([rows["doc_id"], T.StructField("place", T.LongType()), T.StructField("length", T.LongType())])),
+}
+
+
+@query(
+    "U1_mapper",
+    """SELECT doc_id, -1 AS place, len(string_split(text, ' ')) AS n, lang || '/' || source AS kind FROM documents
+    UNION ALL SELECT doc_id, unnest(range(len(string_split(text, '. ')))), unnest(list_transform(string_split(text, '. '), lambda x: length(x))), '' FROM documents""",
+)
+def u1(spark, sf):
+    """Two mappers of one table function: one adds columns to its input's, one makes several rows of each."""
+    ship(spark)
+    register_mappers(spark, MAPPERS)
+    d = read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    words = mapped(d, "words").select("doc_id", F.lit(-1).cast("long").alias("place"), "n", "kind")
+    return words.unionByName(mapped(d, "sentences").select("doc_id", "place", F.col("length").alias("n"), F.lit("").alias("kind")))
+
+
+def _load_judge():
+    """A judge that finds texts of many e good."""
+    return lambda frame: frame["text"].str.count("e") * 10 > frame["text"].str.len()
+
+
+@query(
+    "U2_judge",
+    """SELECT d.doc_id, coalesce(l.quality = 1, false) OR 10 * (length(text) - length(replace(text, 'e', ''))) > length(text) AS ok FROM documents d LEFT JOIN labels l USING (doc_id)""",
+)
+def u2(spark, sf):
+    """What the labels do not call good is shown to a judge that each worker loads once."""
+    d = read(spark, sf, "documents").select("doc_id", "text")
+    good = F.coalesce(F.col("quality") == 1, F.lit(False)).alias("ok")
+    rule = d.select("doc_id").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", good)
+    return verified(rule, d, ["doc_id"], "many e", _load_judge)
+
+
 @query(
     "J9_compatible",
     f"WITH {_VOC} SELECT false AS identical, (SELECT count(*) FROM sv ANTI JOIN (SELECT token, id - 1 AS id FROM tv) USING (token, id)) = 0 AS prefix_compatible",

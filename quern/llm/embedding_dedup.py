@@ -2,8 +2,9 @@
 
 Vectors are scaled to length one, so a cosine of ``limit`` is a distance of
 eps = sqrt(2 - 2 limit).  Projected on their leading principal directions they
-fall into grid cells of side eps; vectors of a label are sorted by cells and
-cut into blocks, and two intervals of the sequence are joined recursively
+fall into grid cells of side eps; one more coordinate is the length of what the
+directions leave out, which differs by no more than the distance either.  Vectors
+of a label are sorted by cells and cut into blocks, and two intervals of the sequence are joined recursively
 unless their cells are provably more than eps apart in some direction.  Pairs
 that remain are judged by the cosine in double precision.
 
@@ -41,6 +42,8 @@ LIMIT, DIRECTIONS, FIT, LEAF = 0.98, 4, 4_000, 128
 TILE = 16 << 20
 #: Cosines as close as this to the limit are taken again from the vectors themselves.
 CLOSE = 1e-9
+#: What cells are wider than the largest distance, so that no rounding parts a pair.
+SLACK = 1e-9
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -75,8 +78,11 @@ def _cells(fitted: dict[int, tuple[np.ndarray, np.ndarray]], eps: float):
             for d in set(sizes.tolist()):
                 own = np.flatnonzero(sizes == d)
                 mean, right = fitted[d]
-                x = _unit(_scaled(_matrix(vectors.take(pa.array(own)))))
-                for i, c in zip(own.tolist(), np.floor((x - mean) @ right.T / eps).astype(np.int64).tolist(), strict=True):
+                x = _unit(_scaled(_matrix(vectors.take(pa.array(own))))) - mean
+                along = x @ right.T
+                beside = np.linalg.norm(x - along @ right, axis=1, keepdims=True)
+                at = np.floor(np.append(along, beside, axis=1) / eps).astype(np.int64)
+                for i, c in zip(own.tolist(), at.tolist(), strict=True):
                     cells[i] = c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], names=[*batch.schema.names, "cell"])
 
@@ -136,7 +142,7 @@ class _Pairs:
 
 
 def _linked(table: pa.Table, limit: float) -> pa.Table:
-    """One task: block p with itself or with block q.  kind 0: digest and links of a vertex; kind 1: an edge of ids."""
+    """One task: block p with itself or with block q.  kind 0: id, links and digest of a vertex; kind 1: an edge of ids."""
     block, first = table["block"].to_numpy(), table["p"][0].as_py()
     cells = _matrix(table["cell"])
     order = np.lexsort((table["id"].to_numpy(), *cells.T[::-1], block != first))
@@ -151,9 +157,10 @@ def _linked(table: pa.Table, limit: float) -> pa.Table:
     some = np.flatnonzero(pairs.links)
     kind = np.append(np.zeros(len(some), np.int32), np.ones(len(pairs.edges), np.int32))
     edges = np.array(pairs.edges, np.int64).reshape(-1, 2)
-    a = np.append(table["d"].to_numpy()[order][some], ids[edges[:, 0]])
+    a = np.append(ids[some], ids[edges[:, 0]])
     b = np.append(pairs.links[some], ids[edges[:, 1]])
-    return pa.table({"kind": kind, "a": a.astype(np.int64), "b": b.astype(np.int64)})
+    d = np.append(table["d"].to_numpy()[order][some], np.zeros(len(edges), np.int64))
+    return pa.table({"kind": kind, "a": a.astype(np.int64), "b": b.astype(np.int64), "d": d.astype(np.int64)})
 
 
 def near_vectors(
@@ -165,7 +172,7 @@ def near_vectors(
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark, keep = vectors.sparkSession, Scratch(vectors.sparkSession)
-    eps = math.sqrt(2 - 2 * limit)
+    eps = math.sqrt(2 - 2 * limit) * (1 + SLACK) + SLACK
     v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     rows = vectors.select(
         F.col(f"`{id_col}`").cast("long").alias("id"),
@@ -206,7 +213,7 @@ def near_vectors(
     numbered = placed.withColumn("part", part).join(bases, ["g", "part"])
     blocked = keep.table(numbered.select("id", "d", "copies", "v", "g", "cell", block.alias("block")), "blocked")
     keep.drop("placed")
-    at = [F.get("cell", F.lit(k)) for k in range(DIRECTIONS)]
+    at = [F.get("cell", F.lit(k)) for k in range(DIRECTIONS + 1)]
     sides = [f(c).alias(f"{n}{k}") for k, c in enumerate(at) for n, f in (("lo", F.min), ("hi", F.max))]
     boxes = keep.table(blocked.groupBy("block").agg(F.first("g").alias("g"), *sides), "boxes")
     left = boxes.select("g", F.explode(F.sequence("lo0", "hi0")).alias("s"), *[F.col(c).alias(f"p_{c}") for c in boxes.columns if c != "g"])
@@ -216,7 +223,7 @@ def near_vectors(
         *[F.col(c).alias(f"q_{c}") for c in boxes.columns if c != "g"],
     )
     near = F.col("p_block") <= F.col("q_block")
-    for k in range(1, DIRECTIONS):
+    for k in range(1, DIRECTIONS + 1):
         near &= F.coalesce((F.col(f"p_lo{k}") <= F.col(f"q_hi{k}") + 1) & (F.col(f"q_lo{k}") <= F.col(f"p_hi{k}") + 1), F.lit(True))
     pairs = keep.table(
         left.join(right, ["g", "s"]).where(near).select(F.col("p_block").alias("p"), F.col("q_block").alias("q")).distinct(),
@@ -224,10 +231,10 @@ def near_vectors(
     )
     sides = pairs.select("p", "q", F.col("p").alias("block")).unionByName(pairs.where("p <> q").select("p", "q", F.col("q").alias("block")))
     tasks = sides.join(blocked.select("block", "id", "d", "copies", "v", "cell"), "block")
-    found = keep.table(tasks.groupBy("p", "q").applyInArrow(of_table(_linked, limit=limit), "kind int, a long, b long"), "found")
+    found = keep.table(tasks.groupBy("p", "q").applyInArrow(of_table(_linked, limit=limit), "kind int, a long, b long, d long"), "found")
     labels = components(found.where("kind = 1").select("a", "b"), keep)
-    links = found.where("kind = 0").groupBy(F.col("a").alias("d")).agg(F.sum("b").alias("more"))
-    vertex = same.join(links, "d", "left").join(labels, "id", "left").select(
+    links = found.where("kind = 0").groupBy(F.col("a").alias("id"), "d").agg(F.sum("b").alias("more"))
+    vertex = same.join(links, ["id", "d"], "left").join(labels, "id", "left").select(
         "label",
         "v",
         "d",

@@ -170,7 +170,8 @@ class _Block:
 def _pieces(k: np.ndarray):
     """Each value of a sorted array with the range of its places."""
     keys, starts = np.unique(k, return_index=True)
-    return zip(keys.tolist(), starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True)
+    ends = np.append(starts, len(k))[1:]
+    return zip(keys.tolist(), starts.tolist(), ends.tolist(), strict=True)
 
 
 def _bucket(g: np.ndarray, buckets: int, of: int = 1) -> np.ndarray:
@@ -196,7 +197,7 @@ def _first_digit(table: pa.Table, threshold: int, buckets: int) -> pa.Table:
     out = []
     plain = np.ones(len(b.items), bool)
     plain[b.common] = False
-    for k, x, y in zip(b.keys.tolist(), b.starts.tolist(), [*b.starts[1:].tolist(), len(b.items)], strict=True):
+    for k, x, y in zip(b.keys.tolist(), b.starts.tolist(), np.append(b.starts, len(b.items))[1:].tolist(), strict=True):
         u = b.items[x:y][plain[x:y]]
         i, j = np.searchsorted(b.common, (x, y))
         w = (b.common[i:j] - x).astype(np.uint32)

@@ -112,6 +112,11 @@ def test_a_common_sentence_sends_few_entries(monkeypatch):
     assert len(block.common) and (block.most > block.least).all()
 
 
+def test_pieces_of_sorted_places():
+    got = lambda *k: list(S._pieces(np.array(k, np.int64)))
+    assert got() == [] and got(4) == [(4, 0, 1)] and got(1, 1, 5, 7, 7) == [(1, 0, 2), (5, 2, 3), (7, 3, 5)]
+
+
 def test_packed_arrays_come_back():
     from quern.llm.packing import pack, unpack
 

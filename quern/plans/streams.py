@@ -35,18 +35,20 @@ _PIECE = 24
 _CASES = " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(_TAILS))
 
 
-def _pieces(spark, sf):
+def _pieces(spark, sf, part, parts):
+    """One of so many parts of each text's pieces: seq_id, pos, piece."""
     d = read(spark, sf, "documents")
     half = F.floor(F.length("text") / 2).cast("int")
     tail = F.replace(F.get(F.array(*[F.lit(t) for t in _TAILS]), (F.col("doc_id") % len(_TAILS)).cast("int")), F.lit("N"), F.col("n_chars").cast("string"))
     text = F.concat(F.left("text", half), tail, F.substr(F.col("text"), half + 1))
 
     def cut(t: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.length(t), F.lit(_PIECE)), lambda i: i < F.length(t))
-        return F.transform(starts, lambda i, k: F.struct(k.cast("long").alias("pos"), F.substr(t, i + 1, F.lit(_PIECE)).alias("piece")))
+        n = F.ceil(F.length(t) / _PIECE)
+        first, past = (F.ceil(n * k / parts).cast("int") for k in (part, part + 1))
+        own = F.substr(t, first * _PIECE + 1, (past - first) * _PIECE)  # cut in one pass; a substring by place would count from the text's start
+        return F.transform(F.regexp_extract_all(own, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), lambda x, i: F.struct((first + i).cast("long").alias("pos"), x.alias("piece")))
 
-    pieces = d.select(F.col("doc_id").alias("seq_id"), bound(text, cut).alias("x"))
-    return pieces.select("seq_id", F.size("x").alias("n"), F.explode("x").alias("x")).select("seq_id", "n", "x.*")
+    return d.select(F.col("doc_id").alias("seq_id"), F.explode(bound(text, cut)).alias("x")).select("seq_id", "x.*")
 
 
 @query("S2_boxed_stops", rf"""WITH x AS (SELECT doc_id, left(text, length(text) // 2) || replace(CASE doc_id % {len(_TAILS)} {_CASES} END, 'N', n_chars::VARCHAR) || substr(text, length(text) // 2 + 1) AS t FROM documents),
@@ -59,13 +61,12 @@ SELECT doc_id AS seq_id, (length(t) + {_PIECE - 1}) // {_PIECE} AS tokens, ((e +
 def s2(spark, sf):
     """Rollouts arrive by thirds of their pieces; state lies in the state store's files between three starts of the stream."""
     log, target, checkpoint = (new_folder(spark, name) for name in ("pieces", "stops", "checkpoint"))
-    p = _pieces(spark, sf)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, logs.ROCKS)
     try:
         for part in range(3):
-            p.where(F.floor(F.col("pos") * 3 / F.col("n")) == part).drop("n").write.mode("append").parquet(log)
+            _pieces(spark, sf, part, 3).write.mode("append").parquet(log)
             stream = logs.boxed_stops(logs.tail(spark, log, "seq_id long, pos long, piece string", "parquet", 1_000_000))
             logs.run_available(stream, target, checkpoint, mode="update")
     finally:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import token_stats
 from quern.session import ship
-from quern.streaming.stop import BoxedStop
+from quern.streaming.stop import MERGED, RANGE_BITS, BoxedStops, merged
 
 
 def tail(spark: SparkSession, path: str, schema: str, kind: str = "json", files_per_batch: int = 100) -> DataFrame:
@@ -34,10 +34,12 @@ def boxed_stops(tokens: DataFrame) -> DataFrame:
     """Per sequence, as its pieces arrive in order, the count so far and the piece in which its first box with content closed.
 
     ``tokens`` is a stream of seq_id, pos and piece; the session's state store must be ``ROCKS``.
+    Neighbouring pieces are merged and plain text is left out before anything is shuffled.
     """
     ship(tokens.sparkSession)
-    return tokens.groupBy("seq_id").transformWithStateInPandas(
-        statefulProcessor=BoxedStop(),
+    runs = tokens.select("seq_id", "pos", "piece").mapInArrow(merged, MERGED)
+    return runs.withColumn("range", F.shiftright("seq_id", RANGE_BITS)).groupBy("range").transformWithStateInPandas(
+        statefulProcessor=BoxedStops(),
         outputStructType="seq_id long, tokens long, stop_at long",
         outputMode="Update",
         timeMode="None",

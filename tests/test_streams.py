@@ -2,13 +2,14 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import token_stats
 from quern.sources import writers
 from quern.streaming import logs
-from quern.streaming.stop import Scanner
+from quern.streaming.stop import RANGE_BITS, Scanner, merged
 
 
 def line_end(text):
@@ -68,6 +69,28 @@ def test_state_does_not_grow_with_the_text():
         assert not scan.read("}")
 
 
+def test_merged_pieces_stop_where_pieces_do():
+    r = random.Random(2)
+    parts = ["\\boxed{", "\\boxed", "\\box", "ed{", "{", "}", "}", " ", "x", " " * 20, "plain text of some length ", "\\", "b"]
+    stops = 0
+    for _ in range(3000):
+        pieces = ["".join(r.choice(parts) for _ in range(r.randint(0, 3))) or None for _ in range(r.randint(1, 12))]
+        rows = [(7, k, x) for k, x in enumerate(pieces)] + [(8, k, "y") for k in range(3)]
+        r.shuffle(rows)
+        names = ("seq_id", "pos", "piece")
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], names=names)
+        runs = [x for b in merged(iter([batch])) for x in b.to_pylist()]
+        assert [x["n"] for x in runs if x["seq_id"] == 8] == [3]
+        own, n, got, scan = [x for x in runs if x["seq_id"] == 7], 0, None, Scanner()
+        for x in sorted(own, key=lambda x: x["pos"]):
+            n += x["n"]
+            if got is None and scan.read(x["text"]):
+                got = n - 1
+        assert n == len(pieces) and got == stop_scanned([x or "" for x in pieces]), pieces
+        stops += got is not None
+    assert stops > 300
+
+
 @pytest.fixture()
 def rocks(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -88,6 +111,19 @@ def test_stops_over_a_restart(spark, tmp_path, rocks):
     assert {tuple(r) for r in got} == {(1, 4, 3), (2, 2, None), (3, 3, 2)}
 
 
+def test_rollouts_share_entries_of_the_state(spark, tmp_path, rocks):
+    """An entry of the state costs round trips, so there is one for each range of ids; null is a rollout of its own."""
+    path, out, at = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    schema = "seq_id long, pos long, piece string"
+    ids = [-1, *range(300), 5 << RANGE_BITS, (1 << 62) + 1, None]
+    for rows in ([(k, 0, "a \\boxed{") for k in ids], [(k, 1, f"{k}}}") for k in ids if k != 7]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+        logs.run_available(logs.boxed_stops(logs.tail(spark, path, schema, "parquet")), out, at, mode="update")
+    got = spark.read.parquet(out).groupBy("seq_id").agg(F.max("tokens").alias("n"), F.min("stop_at").alias("stop")).collect()
+    assert {tuple(r) for r in got} == {(k, 1, None) if k == 7 else (k, 2, 2) for k in ids}
+    assert spark.read.format("statestore").option("stateVarName", "scans").load(at).count() == 5
+
+
 def test_a_replayed_batch_counts_once(spark, tmp_path):
     import shutil
 

@@ -742,14 +742,14 @@ def a4(spark, sf):
     "SELECT (row_number() OVER (ORDER BY doc_id))::BIGINT AS line_number, doc_id, text FROM documents QUALIFY doc_id % 3 <> 0",
 )
 def a8b(spark, sf):
-    """Lines of one file that is read in several splits, blank ones counted but left out."""
+    """Lines of one log in parts, each read in splits, blank ones counted but left out."""
     path = _fresh(spark, "numbered")
     d = read(spark, sf, "documents").select(
         "doc_id",
         F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.to_json(F.struct("doc_id", "text"))).alias("value"),
     )
-    d.orderBy("doc_id").select("value").coalesce(1).write.text(path)
-    got = readers.numbered_lines(spark, path)
+    d.orderBy("doc_id").select("value").write.text(path)
+    got = readers.numbered_lines(spark, path, as_one=True)
     return got.select("line_number", F.from_json("line", "doc_id long, text string").alias("r")).select("line_number", "r.*")
 
 

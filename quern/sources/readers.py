@@ -33,16 +33,18 @@ def with_source(df: DataFrame) -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], **options: bool) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str], as_one: bool = False, **options: bool) -> DataFrame:
     """source_file, line_number (from 1), line of all lines that are not blank.
 
     Files are split as any text is: a line's number is its place in its split
     plus the lines of the file's splits before, of which only counts are joined.
+    ``as_one`` numbers the files of a folder through, by name, as parts of one.
     """
     at = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_path", "source_file"), ("file_block_start", "block"))]
     lines = spark.read.options(**options).text(path).select(*at, F.monotonically_increasing_id().alias("m"), F.col("value").alias("line"))
     counts = lines.groupBy("source_file", "block").agg(F.min("m").alias("first"), F.count("*").alias("lines"))
-    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.regexp_extract("source_file", "^(.*)/", 1) if as_one else F.col("source_file")
+    before = Window.partitionBy(whole).orderBy("source_file", "block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("source_file", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("base"))
     number = F.col("base") + F.col("m") - F.col("first") + 1
     return lines.where(F.trim("line") != "").join(bases, ["source_file", "block"]).select(

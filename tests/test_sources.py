@@ -35,6 +35,38 @@ def test_line_numbers(spark, tmp_path):
     ] == [(1, "a"), (3, "b")]
 
 
+def test_line_numbers_through_the_parts_of_a_folder(spark, tmp_path):
+    """Parts in several splits each, blank lines at their ends, and a folder of its own."""
+    texts = {"in/part-00000": "".join(f"a{i}\n" for i in range(300)) + "\n", "in/part-00001": "\n\n" + "b\n" * 200, "in/part-00003": "c", "other/part-00000": "d\n"}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    key, folders = "spark.sql.files.maxPartitionBytes", [str(tmp_path / x) for x in ("in", "other")]
+    before = spark.conf.get(key)
+    spark.conf.set(key, "256")
+    try:
+        got = [(x.line_number, x.line) for x in readers.numbered_lines(spark, folders, as_one=True).collect()]
+    finally:
+        spark.conf.set(key, before)
+    lines = (texts["in/part-00000"] + texts["in/part-00001"] + texts["in/part-00003"]).split("\n")
+    assert sorted(got) == sorted([(n, x) for n, x in enumerate(lines, 1) if x] + [(1, "d")])
+
+
+def test_no_task_writes_the_whole_log(spark, tmp_path, monkeypatch):
+    from conftest import SF
+
+    from quern.plans import registry, rows
+
+    monkeypatch.setattr(rows, "_fresh", lambda spark, name: f"file://{tmp_path}/{name}")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        registry.queries()["A8_line_numbers"](spark, SF)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(list((tmp_path / "numbered").glob("part-*"))) > 1
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "x", None)], "a int, b string, c string").coalesce(1)
     writers.write_csv(df, str(tmp_path / "csv"), ["b", "missing", "a"])

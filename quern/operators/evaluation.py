@@ -5,20 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.sequence import ngrams
+from quern.operators.sequence import bound, ngrams
+from quern.sources.tables import stored
+
+
+#: Characters of a key's responses up to which one row holds its n-grams. Of keys with more, grams are counted across tasks.
+LARGE = 1 << 20
+#: Large keys that are sent to every task; more of them are joined by a shuffle.
+MOST_SENT = 100_000
 
 
 def distinct_n(responses: DataFrame, n: int = 4, key: str = "example_id", text: str = "response") -> DataFrame:
     """Distinct n-grams of words over all of them, pooled for each key; 0 without any.
 
-    N-grams are told apart by two 64-bit hashes, which shuffle a fraction of their texts.
+    Responses are shuffled once, by key, as texts are smaller than their n-grams.
+    Those of keys with more than ``LARGE`` characters are taken apart instead and
+    their n-grams told apart by two 64-bit hashes, so that no task holds such a key.
     """
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    rows = responses.select(key, text)
+    split = lambda t: F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
+    share = lambda some, of: F.coalesce(F.try_divide(some.cast("double"), of), F.lit(0.0)).alias("distinct")
+    large = stored(rows.groupBy(key).agg(F.sum(F.length(text)).alias("chars")).where(F.col("chars") > LARGE).select(F.col(key).alias("large")), "large")
+    n_large = large.count()
+    small = rows
+    if n_large:
+        own = F.col(key).eqNullSafe(F.col("large"))
+        told = F.broadcast(large) if n_large <= MOST_SENT else large
+        small = rows.join(told, own, "left_anti")
+
+    grams = F.flatten(F.transform(F.collect_list(text), lambda t: ngrams(split(t), n, lambda run: F.concat_ws(" ", *run))))  # words hold no space
+    pooled = small.repartition(F.col(key)).groupBy(key).agg(grams.alias("grams"))
+    out = pooled.select(key, bound(F.col("grams"), lambda g: share(F.size(F.array_distinct(g)), F.size(g))).alias("distinct"))
+    if not n_large:
+        return out
     hashes = lambda run: F.struct(F.xxhash64(*run).alias("a"), F.xxhash64(F.lit(n), *run).alias("b"))
-    each = responses.select(key, F.explode_outer(ngrams(words, n, hashes)).alias("gram"))
+    each = rows.join(told, own, "left_semi").select(key, F.explode_outer(ngrams(split(F.col(text)), n, hashes)).alias("gram"))
     counted = each.groupBy(key, "gram").count()
     some = F.sum(F.when(F.col("gram").isNotNull(), F.col("count")))
-    return counted.groupBy(key).agg(F.coalesce(F.count("gram") / some, F.lit(0.0)).alias("distinct"))
+    return out.unionByName(counted.groupBy(key).agg(share(F.count("gram"), some)))
 
 
 #: Ids of a range, within which an id's neighbour is looked for.

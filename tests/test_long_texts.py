@@ -94,3 +94,25 @@ def test_answers_behind_the_beginning(spark, tmp_path):
         assert (got["R5_boxed_trim"][i].cut, got["R5_boxed_trim"][i].boxes) == (trim(t), t.count("\\boxed{"))
     scores = registry.queries()["E23_scores"](spark, sf).collect()[0]
     assert (scores.format_errors, scores.responses) == (sum("boxed" not in t for t in whole.values()), len(whole))
+
+
+def test_distinct_ngrams_are_not_shuffled(spark, monkeypatch):
+    """Texts are, once; keys of many characters are taken apart and give the same."""
+    from quern.operators import evaluation
+
+    rows = [(k % 7, f"a b c d e f {k} a b c d e" if k % 5 else None) for k in range(60)] + [(None, "a b c d a b c d"), (None, "x"), (8, "too few"), (9, ""), (10, "ab c d e a bc d e")]
+    df = spark.createDataFrame(rows, "example_id long, response string")
+    want = {}
+    for key, text in rows:
+        w = (text or "").split()
+        want.setdefault(key, []).extend(tuple(w[i : i + 4]) for i in range(len(w) - 3))
+    want = {k: len(set(g)) / len(g) if g else 0.0 for k, g in want.items()}
+    got = evaluation.distinct_n(df)
+    assert dict(map(tuple, got.collect())) == want
+    assert "Generate explode" not in got._jdf.queryExecution().executedPlan().toString()
+    for large, sent in ((20, 100), (20, 0), (0, 100)):
+        monkeypatch.setattr(evaluation, "LARGE", large)
+        monkeypatch.setattr(evaluation, "MOST_SENT", sent)
+        mixed = evaluation.distinct_n(df)
+        assert dict(map(tuple, mixed.collect())) == want
+        assert mixed.count() == len(want)

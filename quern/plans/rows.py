@@ -783,10 +783,11 @@ def a5(spark, sf):
 
 @query("A5_split_documents", "SELECT doc_id, text FROM documents")
 def a5_split(spark, sf):
-    """Lists in eight files, each read in splits."""
-    path, bucket = _fresh(spark, "lists"), F.pmod("doc_id", F.lit(8)).alias("bucket")
+    """Lists in eight files for each 262,144 ids, each read in splits."""
+    path = _fresh(spark, "lists")
+    bucket = (F.shiftright("doc_id", 18) * 8 + F.pmod("doc_id", F.lit(8))).alias("bucket")
     d = read(spark, sf, "documents").select(bucket, F.lit(1).alias("place"), F.concat(F.to_json(F.struct("doc_id", "text")), F.lit(",")).alias("value"))
-    ends = spark.range(8).select(F.col("id").alias("bucket"), F.explode(F.array(F.struct(F.lit(0), F.lit("[")), F.struct(F.lit(2), F.lit("null]")))).alias("x"))
+    ends = d.select("bucket").distinct().select("bucket", F.explode(F.array(F.struct(F.lit(0), F.lit("[")), F.struct(F.lit(2), F.lit("null]")))).alias("x"))
     lines = d.unionByName(ends.select("bucket", F.col("x.col1").alias("place"), F.col("x.col2").alias("value")))
     lines.repartition("bucket").sortWithinPartitions("bucket", "place").drop("place").write.partitionBy("bucket").text(path)
     return large_json.objects(spark, path, "*.txt").select(F.from_json("record", "doc_id long, text string").alias("r")).select("r.*")

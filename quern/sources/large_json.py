@@ -6,7 +6,9 @@ quotes so far means that it begins inside a string, and the brackets outside of
 strings give its depth.  An object of the list ends where the depth falls back
 to that of the list; what lies between two such ends is one record, which is put
 together and parsed on its own.  Sums run over ranges of each file, so no task
-sees more of a file than its split, its range or one record.
+sees more of a file than its split, its range or one record.  Depths are summed
+without the texts, which are shuffled for the quotes, to their records' numbers
+and to their records.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.sequence import running_sums
@@ -41,9 +43,10 @@ def fragments(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame
         F.monotonically_increasing_id().alias("row"),
         F.col("value").alias("text"),
     )
-    # a split has fewer fragments than bytes, so its first byte and their number keep the order
-    number = F.row_number().over(Window.partitionBy("source_file", "block").orderBy("row"))
-    return rows.select("source_file", (F.col("block") + number).alias("pos"), "text")
+    # a split has fewer fragments than bytes, so its first byte and a fragment's place in it keep the order
+    firsts = rows.groupBy("source_file", "block").agg(F.min("row").alias("first"))  # a row for each split
+    placed = rows.join(F.broadcast(firsts), ["source_file", "block"])
+    return placed.select("source_file", (F.col("block") + F.col("row") - F.col("first") + 1).alias("pos"), "text")
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,11 +108,11 @@ def objects(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     # quotes before a fragment tell whether it begins inside a string, those through it whether its brace is in one
     inside, open_ = (F.col("quotes") - F.col("own")) % 2 == 1, F.col("quotes") % 2 == 1
     read = read.select("source_file", "pos", "text", inside.alias("inside"), open_.alias("open"))
-    read = stored(read.mapInArrow(_measured, _MEASURED), "measured")
+    measured = stored(read.mapInArrow(_measured, _MEASURED), "measured")
     first = F.min_by("text", "pos").alias("head")
     level = F.coalesce(*[F.when(F.col("head").rlike(pattern), depth) for pattern, depth in LAYOUTS.items()]).alias("level")
     levels = cut.groupBy("source_file").agg(first).select("source_file", level).where("level is not null")
-    deep = running_sums(read.join(levels, "source_file"), {"depth": F.col("change")}, "source_file")
+    deep = running_sums(measured.drop("text").join(F.broadcast(levels), "source_file"), {"depth": F.col("change")}, "source_file")
     before = F.col("depth") - F.col("change")
     floor = F.element_at(F.array(*[F.lit(x) for x in FLOOR.values()]), F.col("level"))
     # only a document's first fragment begins above the lists
@@ -117,7 +120,8 @@ def objects(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     ends = F.col("shut") & (F.col("depth") == F.col("level"))
     told = deep.withColumns({"before": before, "over": over.cast("int"), "ends": ends.cast("int")})
     told = running_sums(told, {"upto": F.col("ends"), "done": F.col("over")}, "source_file").where("done = 0")
-    told = told.withColumn("n", F.col("upto") - F.col("ends"))
+    told = told.select("source_file", "pos", "level", "before", "ends", (F.col("upto") - F.col("ends")).alias("n"))
+    told = told.hint("shuffle_hash").join(measured.select("source_file", "pos", "text"), ["source_file", "pos"])
     parts = F.array_sort(F.collect_list(F.struct("pos", "text", "before")))
     record = told.groupBy("source_file", "n", "level").agg(parts.alias("x"), F.max("ends").alias("whole")).where("whole = 1")
     text = F.concat(F.array_join(F.transform("x", lambda p: p["text"]), "}"), F.lit("}"))

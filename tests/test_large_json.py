@@ -56,3 +56,20 @@ def test_documents_in_splits(spark, tmp_path, small_splits):
     got = {(x.source_file, x.n, x.record) for x in large_json.objects(spark, str(tmp_path)).collect()}
     want = {(x.source_file, x.n, x.record) for x in readers.samples(spark, str(tmp_path)).collect() if "other" not in x.source_file}
     assert got == want and len(want) > 300
+
+
+def test_texts_are_shuffled_few_times(spark, tmp_path, small_splits):
+    """Sums run without the texts, which go to the quotes before them, to their numbers and to their records; each split sends its head."""
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    doc = [{"doc": k, "text": "".join(r.choices(letters, k=4000))} for k in range(400)]
+    (tmp_path / "list.json").write_text(json.dumps(doc))
+
+    def shuffled():
+        seen = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(seen.apply(i).totalShuffleWrite() for i in range(seen.size()))
+
+    before = shuffled()
+    assert large_json.objects(spark, str(tmp_path)).count() == 400
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < shuffled() - before < 4.6 * (tmp_path / "list.json").stat().st_size

@@ -22,6 +22,10 @@ full sets of both texts confirm every link.  Equal sets are one vertex from
 the start, nodes with equal members are compared once, and a node's answer is
 a spanning forest of its links, so no group emits all of its pairs.
 
+Below the second step only documents of nodes that are still large can be asked
+for, so these are dealt anew whenever they have become few, and a level costs
+what is left in it, not a pass over the corpus.
+
 Sets hold 64-bit hashes of the shingles, of texts of any size; two different
 shingles are equal with probability 2 ** -64.
 
@@ -44,11 +48,15 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.packing import flat, mix, of_table
-from quern.llm.scratch import Scratch
+from quern.llm.scratch import Scratch, parts
 
 TREES, SKETCH, AGREE, LEVELS, PIVOTS = 8, 64, 30, 16, 8
 #: What one task compares at most, or twice that for two blocks: members, and shingles of them all.
 BLOCK, WEIGHT = 2_048, 4_000_000
+#: Members of a task that is compared with others in one call, and members and shingles of such calls, about.
+SMALL, BUNDLE, BUNDLE_WEIGHT = 64, 2_048, 200_000
+#: Rows of nodes for which there is a task of the executors at least.
+ROWS = 8_192
 ROOTS = 2 * TREES
 _ODD = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -56,8 +64,14 @@ _LOWER[65:91] += 32
 _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_STEP = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(6)]
 _SEEDS = mix(np.arange(1001, 1001 + SKETCH, dtype=np.uint64))
+#: A set's shingle hashes are random, so their products with random odd numbers order them in ways of their own.
+_FACTORS = mix(np.arange(5001, 5001 + SKETCH, dtype=np.uint64)) | np.uint64(1)
+_STEP = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(6)]
+#: Bits by which common shingles are counted from above.
+_LOW = 20
+_SEVENS, _EIGHTH, _ONES = (np.uint64(x * 0x0101010101010101) for x in (0x7F, 0x80, 0x01))
+
 
 def shingles(at: np.ndarray, raw: np.ndarray, size: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document of a flat text column.
@@ -102,8 +116,8 @@ def shingles(at: np.ndarray, raw: np.ndarray, size: int = 5) -> list[np.ndarray]
     return out
 
 
-def _slices(at: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of documents with about ``size`` bytes."""
+def _slices(at: np.ndarray, size: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with about ``size`` bytes, few enough that what is computed of them stays in a processor's cache."""
     i = 0
     while i < len(at) - 1:
         j = max(i + 1, int(np.searchsorted(at, at[i] + size)))
@@ -125,10 +139,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(full):
                 every = np.concatenate([sets[k] for k in full])
                 starts = np.append(0, np.cumsum(n[full])[:-1])
+                x = np.empty_like(every)
                 for k in range(SKETCH):
-                    x = (every ^ _SEEDS[k]) * np.uint64(_ODD)
-                    x ^= x >> np.uint64(31)
-                    least[full, k] = np.minimum.reduceat(x * _STEP[1], starts)
+                    np.multiply(every, _FACTORS[k], out=x)
+                    least[full, k] = np.minimum.reduceat(x, starts)
             keys = mix(least[:, :ROOTS] ^ _SEEDS[:ROOTS]).view(np.int64)
             sketch = (mix(least) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             offsets = lambda w: pa.array(np.arange(j - i + 1, dtype=np.int32) * w)  # noqa: B023, E731
@@ -145,74 +159,133 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
+class _Members:
+    """Members of tasks, those of a task together, in it those of side 0 first, by size and id; which of them may link.
 
+    ``side`` 0 is compared with both sides, ``side`` 1 only with 0; members
+    that share a label are connected already.
+    """
 
-def _near(i: int, later: np.ndarray, sketch: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Those of ``later`` whose sketch and size allow a link with i."""
-    later = later[100 * np.minimum(n[later], n[i]) >= 75 * np.maximum(n[later], n[i])]
-    return later[(sketch[later] == sketch[i]).sum(axis=1) >= AGREE]
+    def __init__(self, table: pa.Table, task: str, n: np.ndarray):
+        of, side, ids = (table[c].to_numpy() for c in (task, "side", "id"))
+        self.order = np.lexsort((ids, n, side, of))
+        self.ids, self.n, self.side, of = ids[self.order], n[self.order], side[self.order], of[self.order]
+        self.full = table["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)[self.order]
+        # the low byte of each value, eight to a number
+        self.low = np.ascontiguousarray((self.full & 0xFF).astype(np.uint8).view(np.uint64).T)
+        self.starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        self.ends = np.append(self.starts[1:], len(of))
+        self.task = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
+
+    def small(self) -> np.ndarray:
+        """Tasks of which all pairs are looked at together."""
+        return self.ends - self.starts <= SMALL
+
+    def pairs(self, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs in all small tasks, in order, that may link."""
+        some = self.small()[self.task]
+        size = (self.ends - self.starts)[some[self.starts]]
+        left, right = [], []
+        for d in range(1, int(size.max(initial=0))):
+            ok = some[d:] & (self.task[d:] == self.task[:-d]) & (self.side[:-d] == 0) & (label[d:] != label[:-d])
+            i = np.flatnonzero(ok)
+            least, most = np.minimum(self.n[i], self.n[i + d]), np.maximum(self.n[i], self.n[i + d])
+            i = i[100 * least >= 75 * most]
+            i = i[(self.full[i] == self.full[i + d]).sum(axis=1) >= AGREE]
+            left.append(i)
+            right.append(i + d)
+        if not left:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        i, j = np.concatenate(left), np.concatenate(right)
+        order = np.lexsort((j, i))
+        return i[order], j[order]
+
+    def near(self, t: int, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member of a task with those behind it that may link with it, by the labels at that time."""
+        start, end = int(self.starts[t]), int(self.ends[t])
+        first = start + int((self.side[start:end] == 0).sum())
+        n = self.n[start:first]
+        most = 100 * n // 75
+        up_to = start + np.searchsorted(n, most, "right")
+        across = self.n[first:end]
+        low, high = first + np.searchsorted(across, -(-75 * n // 100)), first + np.searchsorted(across, most, "right")
+        for i, *ends in zip(range(start, first), up_to.tolist(), low.tolist(), high.tolist(), strict=True):
+            out = []
+            for a, b in ((i + 1, ends[0]), (ends[1], ends[2])):
+                if a >= b:
+                    continue
+                # bytes that are equal are zero here; no fewer agree than of the values
+                x = self.low[:, a:b] ^ self.low[:, i : i + 1]
+                x = ~(((x & _SEVENS) + _SEVENS) | x) & _EIGHTH
+                agree = ((x >> np.uint64(7)).sum(axis=0) * _ONES) >> np.uint64(56)
+                found = np.flatnonzero((agree >= AGREE) & (label[a:b] != label[i])) + a
+                if len(found):
+                    out.append(found[(self.full[found] == self.full[i]).sum(axis=1) >= AGREE])
+            if out and len(found := np.concatenate(out)):
+                yield i, found
 
 
 def _promising(table: pa.Table) -> pa.Table:
-    """Members of a task with some member of another label that they may link with; ``side`` as in :func:`_links`.
+    """Members of tasks with some member of another label that they may link with.
 
-    ``task`` is a digest of what is returned, so equal tasks can be told.
+    ``task`` is a digest of what is returned of one, so equal tasks can be told;
+    ``alone`` says that it is large.
     """
-    n, label, side = (table[c].to_numpy() for c in ("n", "label", "side"))
-    sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)
-    order = np.lexsort((table["id"].to_numpy(), side))
-    n, label, side, sketch = n[order], label[order], side[order], sketch[order]
-    some = np.zeros(len(n), bool)
-    for i in np.flatnonzero(side == 0).tolist():
-        later = np.arange(i + 1, len(n))
-        near = _near(i, later[label[later] != label[i]], sketch, n)
-        if len(near):
+    members = _Members(table, "key", table["n"].to_numpy())
+    label = table["label"].to_numpy()[members.order]
+    some = np.zeros(len(label), bool)
+    for rows in members.pairs(label):
+        some[rows] = True
+    for t in np.flatnonzero(~members.small()).tolist():
+        for i, near in members.near(t, label):
             some[i] = True
             some[near] = True
-    got = table.select(["id", "label", "side"]).take(pa.array(order[some]))
-    said = hashlib.blake2b(b"".join(np.ascontiguousarray(got[c].to_numpy()).tobytes() for c in got.column_names), digest_size=8)
-    task = np.full(len(got), int.from_bytes(said.digest(), "little", signed=True), np.int64)
-    return got.add_column(0, "task", pa.array(task))
+    at = np.flatnonzero(some)
+    got = table.select(["id", "label", "side", "n"]).take(pa.array(members.order[at]))
+    said = np.stack([got[c].to_numpy().astype(np.int64) for c in ("id", "label", "side")], axis=1)
+    cuts = np.searchsorted(members.task[at], np.unique(members.task[at])).tolist()
+    name, alone = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+    for a, b in zip(cuts, cuts[1:] + [len(at)] * bool(cuts), strict=True):
+        name[a:b] = int.from_bytes(hashlib.blake2b(said[a:b].tobytes(), digest_size=8).digest(), "little", signed=True)
+        alone[a:b] = b - a > SMALL or members.n[at[a:b]].sum() > BUNDLE_WEIGHT
+    return got.add_column(0, "task", pa.array(name)).append_column("alone", pa.array(alone))
 
 
 def _links(table: pa.Table) -> pa.Table:
-    """A spanning forest of the confirmed links of a node.
-
-    ``side`` 0 is compared with both sides, ``side`` 1 only with 0; members
-    that share ``label`` are connected already.
-    """
-    ids, label, side = (table[c].to_numpy() for c in ("id", "label", "side"))
-    sketch = table["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, SKETCH)
+    """A spanning forest of the confirmed links of each task."""
     at, raw = flat(table["text"])
     sets = [s for i, j in _slices(at) for s in shingles(at[i : j + 1] - at[i], raw[at[i] : at[j]])]
-    n = np.array([len(s) for s in sets])
-    order = np.lexsort((ids, side))
-    ids, label, side, sketch, n, sets = ids[order], label[order], side[order], sketch[order], n[order], [sets[i] for i in order]
-    forest, a, b = _Forest(len(ids)), [], []
-    seen: dict[int, int] = {}
-    for i, x in enumerate(label.tolist()):
-        forest.up[i] = seen.setdefault(x, i)
-    group = np.array([forest.find(i) for i in range(len(ids))])
-    for i in np.flatnonzero(side == 0).tolist():
-        later = np.arange(i + 1, len(ids))
-        for j in _near(i, later[group[later] != group[i]], sketch, n).tolist():
+    members = _Members(table, "task", np.array([len(s) for s in sets]))
+    n, sets = members.n, [sets[i] for i in members.order]
+    names, label = np.unique(table["label"].to_numpy()[members.order], return_inverse=True)
+    group = members.task * len(names) + label
+    a, b = [], []
+
+    def confirm(i: int, near: list[int]) -> None:
+        for j in near:
             if group[i] == group[j]:
                 continue
             both = np.concatenate([sets[i], sets[j]])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
             if 100 * common >= 75 * (n[i] + n[j] - common):
-                a.append(int(ids[i]))
-                b.append(int(ids[j]))
-                group[group == group[j]] = group[i]
+                a.append(int(members.ids[i]))
+                b.append(int(members.ids[j]))
+                own = group[members.starts[members.task[i]] : members.ends[members.task[i]]]
+                own[own == group[j]] = group[i]
+
+    for i, j in zip(*(x.tolist() for x in members.pairs(group)), strict=True):
+        confirm(i, [j])
+    seen, low = np.zeros(1 << _LOW, bool), {}
+    for t in np.flatnonzero(~members.small()).tolist():
+        low = {i: (sets[i] & np.uint64((1 << _LOW) - 1)).astype(np.uint32) for i in range(members.starts[t], members.ends[t])}
+        for i, near in members.near(t, group):
+            # shingles with the same low bits as one of i are no fewer than the common ones
+            seen[low[i]] = True
+            hit = seen[np.concatenate([low[j] for j in near.tolist()])]
+            most = np.add.reduceat(hit, np.append(0, np.cumsum(n[near])[:-1]), dtype=np.int64)
+            seen[low[i]] = False
+            confirm(i, near[100 * most >= 75 * (n[i] + n[near] - most)].tolist())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -221,6 +294,8 @@ class _Join:
 
     def __init__(self, docs: DataFrame, keep: Scratch):
         self.docs, self.keep = docs, keep
+        self.all = self.asked = docs.count()
+        self.dealt = "asked"
         self.edges: list[DataFrame] = []
         self.labels: DataFrame | None = None
         self.step = 0
@@ -255,7 +330,7 @@ class _Join:
 
         Returns the larger ones, if there are any; the ``last`` time these are compared in all pairs, too.
         """
-        most = nodes.agg(F.max("size")).first()[0]
+        most, rows = nodes.agg(F.max("size"), F.count("*")).first()
         if most is None:
             return None
         small = F.lit(True) if last else F.col("size") <= BLOCK
@@ -265,15 +340,33 @@ class _Join:
             tasks = tasks.unionByName(_pivots(large))
         # sketches first, and the texts of what they let through; both meet the documents where these lie
         sketched = tasks.hint("shuffle_hash").join(self.docs.select("id", "n", "sketch"), "id")
-        found = sketched.groupBy("key").applyInArrow(of_table(_promising), "task long, id long, label long, side int")
+        n = max(1, min(parts(self.keep.spark), rows // ROWS))  # by the work, not by the few bytes of sketches
+        sketched = sketched.withColumn("bundle", _bundle("key", F.col("size") <= SMALL, rows // BUNDLE)).repartition(n, "bundle")
+        found = sketched.groupBy("bundle").applyInArrow(of_table(_promising), "task long, id long, label long, side int, n long, alone boolean")
         near = self.keep.table(found.dropDuplicates(["task", "id"]), f"near{self.step}")
-        if not near.isEmpty():
-            full = near.hint("shuffle_hash").join(self.docs.select("id", "sketch", "text"), "id")
-            links = full.groupBy("task").applyInArrow(of_table(_links), "a long, b long")
-            self.edges.append(self.keep.table(links, f"edges{self.step}"))
-            self.labels = None
+        few = near.where("not alone").agg(F.count("*"), F.sum("n")).first()
+        if few[0] or not near.isEmpty():
+            bundles = max(4 * few[0] // BUNDLE, (few[1] or 0) // BUNDLE_WEIGHT)
+            full = near.drop("n").hint("shuffle_hash").join(self.docs.select("id", "sketch", "text"), "id")
+            full = full.withColumn("bundle", _bundle("task", ~F.col("alone"), bundles)).drop("alone")
+            links = full.groupBy("bundle").applyInArrow(of_table(_links), "a long, b long")
+            edges = self.keep.table(links, f"edges{self.step}")
+            if not edges.isEmpty():
+                self.edges.append(edges)
+                self.labels = None
         return large
 
+    def narrow(self, nodes: DataFrame) -> None:
+        """Deal the documents of ``nodes`` anew if they are few of those dealt; no others are below these nodes."""
+        ids = nodes.select("id").distinct()
+        left = ids.count()
+        if left * 2 > self.asked:
+            return
+        buckets = max(1, -(-parts(self.keep.spark) * left // self.all))
+        before, self.asked, self.dealt = self.dealt, left, f"asked{self.step}"
+        self.docs = self.keep.dealt(self.docs.join(ids, "id", "left_semi"), "id", self.dealt, buckets)
+        self.keep.drop(before)
+
     def children(self, nodes: DataFrame) -> DataFrame:
         """Members of the two nodes below each, by coordinates that the node's path chooses."""
         spread = nodes.hint("shuffle_hash").join(self.docs.select("id", "sketch"), "id").withColumn(
@@ -293,6 +386,7 @@ class _Join:
             large = self.compare(self.nodes(members), level == LEVELS)
             if large is None:
                 return
+            self.narrow(large)
             members = self.children(large)
 
 
@@ -311,7 +405,8 @@ def _pivots(nodes: DataFrame) -> DataFrame:
     )
     first = spread.select(F.xxhash64("key", "k").alias("key"), "id", "label", F.lit(0).alias("side"))
     rest = nodes.select(F.xxhash64("key", _block()).alias("key"), "id", "label", F.lit(1).alias("side"))
-    return first.unionByName(rest).groupBy("key", "id", "label").agg(F.min("side").alias("side"))
+    both = first.unionByName(rest).groupBy("key", "id", "label").agg(F.min("side").alias("side"))
+    return both.withColumn("size", F.lit(BLOCK).cast("long"))
 
 
 def _pairs(nodes: DataFrame) -> DataFrame:
@@ -320,7 +415,12 @@ def _pairs(nodes: DataFrame) -> DataFrame:
     both = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == i, 0).otherwise(1).alias("side")
-    return both.select(F.xxhash64("key", i, j).alias("key"), "id", "label", side)
+    return both.select(F.xxhash64("key", i, j).alias("key"), "id", "label", side, "size")
+
+
+def _bundle(task: str, small: Column, bundles: int) -> Column:
+    """Small tasks share a call by their hash; they stay tasks of their own in it."""
+    return F.when(small, F.pmod(F.xxhash64(task), F.lit(max(1, bundles)))).otherwise(F.col(task))
 
 
 def _block() -> Column:
@@ -364,7 +464,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     join = _Join(keep.dealt(once_each(rows.join(asked, "id")), "id", "asked"), keep)
     join.trees(members)
     labels = join.components()
-    keep.drop("roots", "asked", *[f"{name}{i}" for name in ("nodes", "near", "edges") for i in range(join.step + 1)])
+    keep.drop("roots", join.dealt, *[f"{name}{i}" for name in ("nodes", "near", "edges") for i in range(join.step + 1)])
     if labels is None:
         labels = marks.select("id", F.col("id").alias("component")).limit(0)
     one = sets.where("n = 0 or id is null").select("id", "n", F.col("id").alias("rep"))

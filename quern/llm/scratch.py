@@ -42,13 +42,13 @@ class Scratch:
         release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def dealt(self, df: DataFrame, key: str, name: str) -> DataFrame:
-        """``df`` in buckets by ``key``, so that grouping and joining by it shuffle only the other side.
+    def dealt(self, df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+        """``df`` in ``buckets`` by ``key``, by default as many as a shuffle has parts, so that grouping and joining by it shuffle only the other side.
 
         The catalog is told of the buckets and forgets them again; the files stay until they are dropped.
         """
         most = int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
-        n, as_table = min(parts(self.spark), most), f"quern_{name}_{uuid.uuid4().hex}"
+        n, as_table = min(buckets or parts(self.spark), most), f"quern_{name}_{uuid.uuid4().hex}"
         dealt = df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd")
         dealt.option("path", f"{self.folder}/{name}").saveAsTable(as_table)
         release(self.spark)

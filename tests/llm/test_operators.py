@@ -198,6 +198,71 @@ def test_near_duplicate_recall(spark, monkeypatch, block):
     assert sum(got[2 * i + 1] == 2 * i for i in range(150)) / 150 >= 0.99
 
 
+def test_levels_ask_only_for_what_is_left(spark, monkeypatch):
+    """Below the roots no step reads the documents again that no large node has."""
+    from quern.llm.scratch import Scratch
+
+    monkeypatch.setattr(M, "BLOCK", 40)
+    dealt, plain = [], Scratch.dealt
+
+    def counted(self, df, *more):
+        out = plain(self, df, *more)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "dealt", counted)
+    r = random.Random(9)
+    fresh = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    passage, pairs = fresh(60), []
+    for i in range(300):
+        words = (passage if i < 60 else []) + fresh(40)
+        pairs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "x"]))]
+    got = {x.doc_id: x.component_id for x in M.near_duplicates(docs(spark, pairs)).collect()}
+    assert all(got[i] == i // 2 * 2 for i in range(600))
+    assert dealt[0] == 600 and dealt[-1] <= 120
+
+
+def test_small_nodes_share_a_call():
+    """Nodes of one call stay apart: what may link, and what links, is that of each node."""
+    import pyarrow as pa
+
+    r = np.random.RandomState(4)
+    words = [[f"w{x}" for x in r.randint(0, 10**6, 40)] for _ in range(12)]
+    rows = []
+    for key, size in enumerate([2, 3, 5, 64, 65, 150]):
+        for i in range(size):
+            w = list(words[r.randint(len(words))])
+            at = r.randint(0, 36)
+            w[at : at + 1 + key % 3] = [f"x{r.randint(10**6)}" for _ in range(1 + r.randint(4))]
+            rows.append((key, i + 1000 * (key % 2), int(r.randint(0, size)), int(key > 2 and r.rand() < 0.3), " ".join(w)))
+    key, ids, label, side, text = zip(*rows, strict=True)
+    marks = pa.Table.from_batches(M._sketches(iter([pa.record_batch({"id": pa.array(ids), "text": pa.array(text)})])))
+    table = pa.table({"key": key, "id": ids, "label": label, "side": pa.array(side, pa.int32()), "n": marks["n"], "sketch": marks["sketch"]})
+    sketch = np.array(marks["sketch"].to_pylist())
+    n, sets, some, links = marks["n"].to_pylist(), [x[0] for x in sets_brute(list(enumerate(text))).values()], set(), {}
+    find = lambda up, x: x if up[x] == x else find(up, up[x])
+    forests = {k: {x: x for x in set(label)} for k in set(key)}
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if key[a] != key[b] or label[a] == label[b] or (side[a] and side[b]) or 100 * min(n[a], n[b]) < 75 * max(n[a], n[b]):
+            continue
+        if (sketch[a] == sketch[b]).sum() >= M.AGREE:
+            some |= {a, b}
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                up = forests[key[a]]
+                x, y = find(up, label[a]), find(up, label[b])
+                up[max(x, y)] = min(x, y)
+                links.setdefault(key[a], set()).add(frozenset((ids[a], ids[b])))
+    got = M._promising(table)
+    assert Counter(zip(got["id"].to_pylist(), got["label"].to_pylist(), strict=True)) == Counter((ids[i], label[i]) for i in some)
+    assert len(set(got["task"].to_pylist())) == len({key[i] for i in some}) and links
+    named = table.append_column("text", pa.array(text)).drop(["n"]).rename_columns(["task", "id", "label", "side", "sketch", "text"])
+    found = M._links(named)
+    edges = [frozenset(e) for e in zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True)]
+    assert all(any(e in x for x in links.values()) for e in edges)
+    # a forest of each node's labels: as many links as join them
+    assert len(edges) == sum(len(up) - len({find(up, x) for x in up}) for up in forests.values())
+
+
 def test_an_id_with_two_texts_ties_its_links(spark):
     a, b = "a b c d e f g h", "k l m n o p q r"
     pairs = [(1, a), (2, a), (2, b), (3, b), (None, a)]

@@ -34,6 +34,9 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 #: Arrays of up to so many values are packed as they are: planes would cost more than they save.
 FEW = 48
+#: Numbers of up to so many values lose the bytes that none of them needs; more of them are compressed by planes.
+#: A cell's cost then follows its values: compressing the planes of a hundred values costs as much as those of a thousand.
+SOME = 4_096
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -46,6 +49,12 @@ def pack(*arrays: np.ndarray) -> bytes:
         if few:
             out.append(a.tobytes())
             continue
+        if len(a) <= SOME and a.itemsize > 1:
+            least = int(a.min())
+            wide = max(1, ((int(a.max()) - least).bit_length() + 7) // 8)
+            over = (a - a.dtype.type(least)).view(np.uint8).reshape(len(a), a.itemsize)[:, :wide]
+            out.append(struct.pack("<B", wide) + a.dtype.type(least).tobytes() + over.tobytes())
+            continue
         for plane in a.view(np.uint8).reshape(len(a), a.itemsize).T:
             plane = np.ascontiguousarray(plane)
             raw = plane.tobytes()
@@ -70,6 +79,14 @@ def unpack(cell: bytes) -> list[np.ndarray]:
             continue
         (size,) = struct.unpack_from("<Q", cell, at)
         at += 8
+        if size <= SOME and kind.itemsize > 1:
+            wide, least = cell[at], np.frombuffer(cell, kind, 1, at + 1)[0]
+            at += 1 + kind.itemsize
+            over = np.zeros((size, kind.itemsize), np.uint8)
+            over[:, :wide] = np.frombuffer(cell, np.uint8, size * wide, at).reshape(size, wide)
+            at += size * wide
+            out.append(over.view(kind).reshape(size) + least)
+            continue
         planes = np.empty((kind.itemsize, size), np.uint8)
         for i in range(kind.itemsize):
             (length,) = struct.unpack_from("<Q", cell, at)

@@ -43,7 +43,8 @@ from quern.llm.scratch import Scratch
 
 #: Bytes of text in a block, entries in a bucket of anchors, surroundings of
 #: one anchor that are compared in one task.
-BLOCK_BYTES, BUCKET_ENTRIES, COMMON = 4 << 20, 300_000, 20_000
+#: A block sends each bucket a cell, so cells grow with the square of the corpus: buckets are as large as a task holds.
+BLOCK_BYTES, BUCKET_ENTRIES, COMMON = 4 << 20, 1_200_000, 20_000
 #: Surroundings of one anchor that a block names one by one.
 LOCAL = 16
 _SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
@@ -300,7 +301,7 @@ def _ask(texts: pa.Table, answers: pa.Table, threshold: int, buckets: int) -> pa
         fit = (s >= b.at[d]) & (s + z.t <= b.at[d + 1])
         s, i = np.unique(s[fit], return_index=True)
         d = d[fit][i]
-        m = b.raw[s[:, None] + np.arange(z.t)]
+        m = np.lib.stride_tricks.sliding_window_view(b.raw, z.t)[s]
         h = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=8).digest() for x in m), np.uint64)
         o = np.lexsort((d, h))
         s, d, m, h = s[o], d[o], m[o], h[o]

@@ -127,6 +127,40 @@ def test_packed_arrays_come_back():
         assert [x.dtype for x in got] == [x.dtype for x in arrays] and all(map(np.array_equal, got, arrays))
 
 
+def test_what_a_block_sends_costs_by_its_anchors(monkeypatch):
+    """A larger corpus has more buckets, so a block's cells get more and smaller; no cell pays for planes then."""
+    import pyarrow as pa
+
+    from quern.llm import packing
+
+    calls, plain = [], packing.zlib.compress
+    monkeypatch.setattr(packing.zlib, "compress", lambda *a: calls.append(1) or plain(*a))
+    r = random.Random(3)
+    text = ["".join(r.choice("abcdefghij ") for _ in range(2000)) for _ in range(100)]
+    table = pa.table({"__block": [0] * 100, "__id": list(range(100)), "__th": list(range(100)), "__text": text})
+    sent = []
+    for buckets in (8, 200):
+        calls.clear()
+        cells = [packing.unpack(x.as_py()) for x in S._first_digit(table, 50, buckets)["__cell"]]
+        sent.append((np.concatenate([x[0] for x in cells]).tolist(), len(calls)))
+    assert sent[0][0] == sent[1][0] and len(sent[0][0]) > 200 * packing.FEW
+    assert sent[1][1] <= sent[0][1]
+
+
+def test_packed_numbers_of_every_range_come_back():
+    from quern.llm.packing import SOME, pack, unpack
+
+    r = np.random.default_rng(2)
+    for n in (49, 113, SOME, SOME + 1):
+        for kind in (np.uint8, np.uint32, np.int64, np.uint64):
+            top = np.iinfo(kind)
+            for low, high in ((top.min, top.max), (top.max - 200, top.max), (top.min, top.min + 7), (5, 5)):
+                a = r.integers(low, high, n, kind, endpoint=True)
+                a[:2] = low, high
+                (got,) = unpack(pack(a))
+                assert got.dtype == a.dtype and np.array_equal(got, a)
+
+
 def test_suffix_dedup_of_one_id_in_many_blocks(spark):
     """Rows that share an id, equal or not, lie in several blocks and still do not cut each other."""
     r = random.Random(8)
